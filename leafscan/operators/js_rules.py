@@ -26,11 +26,6 @@ def number_value(text: Column) -> Column:
         plain.try_cast("double"))
 
 
-def balanced(facts: DataFrame) -> DataFrame:
-    """Facts of files whose brackets balance; the others are reported, not analysed."""
-    return facts.join(bad_files(facts).select("project", "file_path"), ["project", "file_path"], "left_anti")
-
-
 def bad_files(facts: DataFrame) -> DataFrame:
     return facts.filter("fact = 'bad'").select(
         "project", "file_path", F.lit("unbalanced brackets").alias("reason")).distinct()

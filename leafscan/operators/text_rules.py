@@ -213,6 +213,7 @@ def hit_rows(facts: DataFrame) -> DataFrame:
     """Fired rules of ``text_facts`` in the common shape of detector hits."""
     return facts.filter("rule_id <> 'import'").select(
         "project", "file_path", "rule_id", "grp", "detector",
-        F.lit(0).alias("start"), F.lit(0).alias("stop"),
+        # The file-level page-size test comes after every positioned finding of its detector.
+        F.when(F.col("rule_id") == "A12", 2_147_483_647).otherwise(0).alias("start"), F.lit(0).alias("stop"),
         F.col("line").alias("line_start"), F.col("line").alias("line_end"),
         "code_snippet", "strategy_seen", "evidence")

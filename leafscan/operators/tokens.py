@@ -390,8 +390,37 @@ def _fact_rows(s: DataFrame) -> DataFrame:
     return s.select("h1", "h2", F.inline(candidates))
 
 
-def token_facts(files: DataFrame) -> DataFrame:
-    """T02-T07 in one job; see the module text. ``files`` are code files (project, file_path, content)."""
+def structure(files: DataFrame) -> DataFrame:
+    """Tokens of all ``files`` with groups, runs and chains, without fact selection."""
+    named = keyed(files)
+    rows = _explode(named, "h1", "h2", "project", "file_path").withColumn("deep", F.lit(True))
+    return _structured(_leveled(_owned(_placed(rows, "deep", "project", "file_path"))).filter(~F.col("symbol_row")))
+
+
+def brackets(files: DataFrame) -> DataFrame:
+    """Matching bracket pairs."""
+    c = F.col
+    return structure(files).filter(c("item") & c("closes")).select(
+        "project", "file_path", c("open_item.t").alias("bracket"), c("open_item.n").alias("open_n"),
+        c("n").alias("close_n"), c("lvl"))
+
+
+def member_calls(files: DataFrame) -> DataFrame:
+    """Every member call with the names of its chain prefix."""
+    c = F.col
+    return structure(files).filter("is_call").select(
+        "project", "file_path", c("open_item.n").alias("open_n"), c("n").alias("close_n"),
+        c("call_name").alias("name"), "names", c("head.pos").alias("start"), (c("pos") + 1).alias("stop"))
+
+
+def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
+    """T02-T07 in one job; see the module text. ``files`` are code files (project, file_path, content).
+
+    Without ``symbols`` (no call chains wanted) files that cannot yield any other fact are skipped
+    before the exchange.
+    """
+    if not symbols:
+        files = files.filter(F.col("content").rlike(DEEP_WORDS))
     by_key = keyed(files)
     c = F.col
     rows = _explode(
@@ -404,6 +433,9 @@ def token_facts(files: DataFrame) -> DataFrame:
     names = c("half_call.names")
     wanted = F.arrays_overlap(names, F.array(*[F.lit(x) for x in CALL_NAMES_OF_INTEREST]))
     kept = halves.filter((c("fact") != "call") | (c("half_call").isNotNull() & wanted))
+    # Of a file that does not balance only that fact is kept.
+    broken = F.max((c("fact") == "bad").cast("int")).over(W.partitionBy("h1", "h2"))
+    kept = kept.withColumn("broken", broken).filter((c("broken") == 0) | (c("fact") == "bad")).drop("broken")
 
     # The text is joined back by the same key: the exchange of ``keyed`` is reused, and the facts,
     # far smaller than the text, are the hashed side.
