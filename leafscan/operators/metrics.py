@@ -115,7 +115,7 @@ def report_findings(findings: DataFrame) -> DataFrame:
 
 
 def order_report(report: DataFrame) -> DataFrame:
-    """Display order of ``report_findings``: project findings keep their own order."""
+    """Display order; a global sort, so no project has to fit one task."""
     rank = F.when(F.col("section") == 0, F.col("severity_rank")).otherwise(0)
     return report.orderBy("project", "section", rank.desc(), "finding_ord")
 

@@ -36,19 +36,106 @@ FROM (SELECT event_id % 16 AS k, CAST(floor(event_id / 16) AS BIGINT) AS g, (eve
 
 # Prose tables seen as source files: every text once as an SQL file and once as a code file.
 PROSE_SQL = """
-SELECT source AS project, '/' AS root, concat('/prose/', kind, '/', id, ext) AS file_path, text AS content
-FROM (
-  SELECT 'documents' AS source, lang AS kind, CAST(doc_id AS STRING) AS id, text FROM {documents}
-  UNION ALL SELECT 'pages', 'html', CAST(page_id AS STRING), html FROM {pages}
-  UNION ALL SELECT 'conversations', role, concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)), text FROM {conversations}
-) d CROSS JOIN (SELECT '.sql' AS ext UNION ALL SELECT '.ts' AS ext) x
+WITH d AS (
+  SELECT 'documents' AS source, concat('/prose/', lang, '/', CAST(doc_id AS STRING)) AS stem, text FROM {documents}
+  UNION ALL SELECT 'pages', concat('/prose/html/', CAST(page_id AS STRING)), html FROM {pages}
+  UNION ALL SELECT 'conversations', concat('/prose/', role, '/', CAST(conv_id AS STRING), '-', CAST(turn AS STRING)), text FROM {conversations}
+)
+SELECT source AS project, '/' AS root, concat(stem, '.sql') AS file_path, text AS content FROM d
+UNION ALL SELECT source, '/', concat(stem, '.ts'), text FROM d
 """
 
 
+def _over_tables(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
+    """Run ``text`` over parquet tables; its ``{table}`` marks become the files themselves."""
+    for table in tables:
+        text = text.replace("{%s}" % table, f"parquet.`{sf_dir}/{table}.parquet`")
+    return spark.sql(text)
+
+
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CORPUS_SQL, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return _over_tables(spark, sf_dir, CORPUS_SQL, "events")
 
 
 def prose_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages", "conversations")}
-    return spark.sql(PROSE_SQL, **tables)
+    return _over_tables(spark, sf_dir, PROSE_SQL, "documents", "pages", "conversations")
+
+
+# Folder layouts over the ``documents`` table: forty projects with backend folders, roles, ORM
+# hints and ignored paths; the whole document is the file's text.
+TREE_SQL = """
+SELECT concat('d', CAST(p AS STRING)) AS project, concat('/ws/d', CAST(p AS STRING)) AS root,
+       concat('/ws/d', CAST(p AS STRING), '/',
+         CASE WHEN doc_id % 7 = 0 THEN ''
+              ELSE CASE p % 6 WHEN 0 THEN 'backend/' WHEN 1 THEN 'api/' WHEN 2 THEN 'server/' WHEN 3 THEN 'apps/api/'
+                              WHEN 4 THEN 'services/api/' ELSE '' END END,
+         CASE r % 12 WHEN 0 THEN 'src/controllers/' WHEN 1 THEN 'src/routes/' WHEN 2 THEN 'src/services/' WHEN 3 THEN 'src/models/'
+                     WHEN 4 THEN 'src/Utils/' WHEN 5 THEN 'node_modules/lib/' WHEN 6 THEN 'src/prisma/' WHEN 7 THEN 'dist/'
+                     WHEN 8 THEN '.next/x/' WHEN 9 THEN 'src/tests/' WHEN 10 THEN 'src/sequelize/' ELSE 'src/' END,
+         'f', CAST(doc_id AS STRING),
+         CASE doc_id % 5 WHEN 0 THEN '.test.js' WHEN 1 THEN '.sql' WHEN 2 THEN '.tsx' WHEN 3 THEN '.txt' ELSE '.ts' END) AS file_path,
+       text AS content
+FROM (SELECT doc_id, doc_id % 40 AS p, CAST(floor(doc_id / 40) AS BIGINT) AS r, text FROM {documents}) d
+"""
+
+# Code shapes the first corpus lacks, one file per customer.
+EDGE_TEMPLATES = (
+    '@Controller("cats")\nexport class Cats {\n  @Get("list")\n  async list(q) {\n    return this.m.find().skip(q.n).limit(5);\n  }\n\n'
+    '  @Post()\n  create(b) { return b; }\n}\n',
+    'export class CatsResolver {\n  @UseGuards(G)\n  @Query("cats")\n  all() { return []; }\n  @Mutation()\n  add(x) {\n    return x;\n  }\n}\n',
+    'export const f = (M, offset, limit) => M.findAll({ offset, limit, order: [["id"]] });\n',
+    'export const f = (M) =>\n  M.find()["skip"](20000).limit(5);\n',
+    'export const f = (db) => db?.user.find().skip(5);\n',
+    'export const f = (a) => new Q(a).skip(3);\n',
+    'export const f = (a, b, x) => (a + b).skip(2).sort(x);\n',
+    'export const f = (M) => M.find().skip(0).limit(20000);\n',
+    'export const f = (M) => M.find().offset(20000);\n',
+    'export const f = (M, page, size) => M.find().skip(page * size + 1).limit(9).order("id");\n',
+    'export const f = (M, page, size) => M.find().skip((page - 1) * (size || 10)).limit(9);\n',
+    '// M.find().skip(1)\n/* M.find()\n .skip(2) */\nconst s = "M.find().skip(3)", r = /M.find\\(\\).skip\\(4"/g, t = `M.find().skip(5)`;\n',
+    'export function h(req) {\n  const limit = Math.min(req.query.limit, 50);\n  return limit;\n}\n',
+    'export function h(req) {\n  const limit = Math.min(Number(req.query.limit), 50);\n  return limit;\n}\n',
+    'export function h(req) {\n  const { limit } = req.query;\n  return limit;\n}\n',
+    'export function h(req, run) {\n  let a = 1, pageSize = +req.query.pageSize\n  run(a)\n}\n',
+    'export function h(M, req, sortBy) {\n  M.find().sort(sortBy).skip(2).limit(3);\n  M.find().order(req.query.order[0]);\n}\n',
+    'export const f = (db, c) => db.p.findMany({ cursor: { id: c }, orderBy: { id: "asc" }, take: 5 });\n',
+    'export const f = (db) =>\n  db.p.findMany({ where: { a: 1 } });\n',
+    'export const f = (db, c, d) => db.p.findMany({ where: { createdAt: { lt: c }, _id: { lt: d } }, orderBy: [{ createdAt: "desc" }, { _id: "desc" }] });\n',
+    'export const f = (db, args) => db.p.findMany(args).skip(1);\n',
+    'export const f = (z, w) => z.m(w.n().o()).skip(4).data.take(5);\n',
+    'const resolvers = {\n  Mutation: { add: addUser, del },\n  Query: {\n    list: async () => 1,\n    async m() { return 2; },\n    ...rest\n  }\n};\n',
+    'export function reg(router, map, app, path, ctrl, h) {\n  router["post"]("/a", ctrl.save);\n  map.get("k");\n  app.get(path, h);\n'
+    "  app.delete('/b', (req, res) => {\n    res.end();\n  });\n  app.get(\"/c\", h);\n}\n",
+    'export const broken = (a => {\n  M.find().skip(1);\n',
+)
+
+
+def _text_literal(text: str) -> str:
+    """A text as an expression without escapes, the same in every SQL dialect."""
+    special = {"\n": "chr(10)", "\\": "chr(92)", "'": "chr(39)"}
+    parts, run = [], ""
+    for ch in text:
+        if ch in special:
+            parts += [f"'{run}'"] if run else []
+            parts.append(special[ch])
+            run = ""
+        else:
+            run += ch
+    parts += [f"'{run}'"] if run else []
+    return f"concat({', '.join(parts)})"
+
+
+EDGE_SQL = f"""
+SELECT concat('e', CAST(c_nationkey AS STRING)) AS project, concat('/e', CAST(c_nationkey AS STRING)) AS root,
+       concat('/e', CAST(c_nationkey AS STRING), '/src/m', CAST(c_custkey % {len(EDGE_TEMPLATES)} AS STRING), '/f', CAST(c_custkey AS STRING), '.ts') AS file_path,
+       CASE c_custkey % {len(EDGE_TEMPLATES)} {' '.join(f"WHEN {i} THEN {_text_literal(t)}" for i, t in enumerate(EDGE_TEMPLATES))} END AS content
+FROM {{customer}}
+"""
+
+
+def tree_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_tables(spark, sf_dir, TREE_SQL, "documents")
+
+
+def edge_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_tables(spark, sf_dir, EDGE_SQL, "customer")

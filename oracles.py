@@ -88,7 +88,7 @@ placed AS (SELECT *, sum(length(t)) OVER w - length(t) AS pos,
            FROM pieces WINDOW w AS (PARTITION BY project, file_path ORDER BY i ROWS UNBOUNDED PRECEDING)),
 tk AS (SELECT project, file_path, t, CAST(pos AS BIGINT) AS pos, CAST(line AS BIGINT) AS line,
          row_number() OVER w - 1 AS n, lag(t) OVER w AS p1, lag(t, 2) OVER w AS p2, lag(t, 3) OVER w AS p3,
-         lead(t) OVER w AS x1, lag(pos + length(t)) OVER w AS prev_end
+         lead(t) OVER w AS x1, CAST(lag(pos + length(t)) OVER w AS BIGINT) AS prev_end
        FROM placed WHERE NOT regexp_full_match(t, '\\s+') AND NOT starts_with(t, '//') AND NOT (starts_with(t, '/*') AND length(t) > 2)
        WINDOW w AS (PARTITION BY project, file_path ORDER BY i)),
 dep AS (SELECT *, sum(CASE WHEN t IN ('(', '[', '{{') THEN 1 WHEN t IN (')', ']', '}}') THEN -1 ELSE 0 END)
