@@ -87,12 +87,18 @@ def unquote(t: Column) -> Column:
 
 
 def keyed(files: DataFrame) -> DataFrame:
-    """Code files under a 128-bit file key, exchanged once by it."""
+    """Code files under a 128-bit file key, exchanged once by it.
+
+    The number of partitions is fixed: text grows about twenty-fivefold into token rows, so sizes
+    measured at this exchange must not lead to merged partitions. Set
+    ``spark.sql.shuffle.partitions`` to the bytes of code divided by some 64 MB.
+    """
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return files.select(
         F.xxhash64("project", "file_path").alias("h1"),
         F.xxhash64(F.lit("file"), "file_path", "project").alias("h2"),
         "project", "file_path", "content",
-    ).repartition("h1", "h2")
+    ).repartition(parts, "h1", "h2")
 
 
 def _explode(keyed_files: DataFrame, *keys: str) -> DataFrame:
@@ -364,30 +370,33 @@ def _fact_rows(s: DataFrame) -> DataFrame:
     is_end = (c("t") == "") & ~c("symbol_row")
     is_bad = mismatch | (is_end & (c("depth") != 0))
 
-    def row(when, kind, key, **parts):
-        fields = {
-            "half_call": half_call, "half_args": half_args, "prop": prop, "declarator": declarator,
-            "half_decorator": half_decorator, "path_literal": path_literal, "method": method, "symbol": F.struct(
-                F.coalesce(c("decl_name"), c("p1")).alias("name"), c("owner"), c("line"), c("is_default")),
-        }
-        return F.when(when, F.struct(
-            F.lit(kind).alias("fact"), key.cast("int").alias("n"),
-            *[(value if name in parts else F.when(F.lit(False), value)).alias(name) for name, value in fields.items()]))
-
-    candidates = F.array_compact(F.array(
-        row(c("is_call"), "call", o["n"], half_call=1),
-        row(call_group, "call", g["n"], half_args=1),
-        row(is_prop, "prop", c("key.n"), prop=1),
-        row(is_declarator, "declarator", c("declared.n"), declarator=1),
-        row(is_cap, "cap", c("n")),
-        row(is_decorator, "decorator", o["n"], half_decorator=1),
-        row(decorator_group, "decorator", g["n"], path_literal=1),
-        row(is_method, "method", c("n"), method=1),
-        row(c("symbol_row") & c("is_decl"), "decl", c("n"), symbol=1),
-        row(c("symbol_row") & c("is_icall") & ~c("is_decl"), "icall", c("n"), symbol=1),
-        row(is_bad, "bad", c("n")),
-    ))
-    return s.select("h1", "h2", F.inline(candidates))
+    symbol = F.struct(F.coalesce(c("decl_name"), c("p1")).alias("name"), c("owner"), c("line"), c("is_default"))
+    # What a row shows: (kind, test, key of the fact, its part). The tests are plain columns of a
+    # compiled projection, most tokens show nothing and are dropped there, and only the names of
+    # the kinds are exploded.
+    shown = {
+        "call": (c("is_call"), o["n"], ("half_call", half_call)),
+        "call.args": (call_group, g["n"], ("half_args", half_args)),
+        "prop": (is_prop, c("key.n"), ("prop", prop)),
+        "declarator": (is_declarator, c("declared.n"), ("declarator", declarator)),
+        "cap": (is_cap, c("n"), None),
+        "decorator": (is_decorator, o["n"], ("half_decorator", half_decorator)),
+        "decorator.args": (decorator_group, g["n"], ("path_literal", path_literal)),
+        "method": (is_method, c("n"), ("method", method)),
+        "decl": (c("symbol_row") & c("is_decl"), c("n"), ("symbol", symbol)),
+        "icall": (c("symbol_row") & c("is_icall") & ~c("is_decl"), c("n"), ("symbol", symbol)),
+        "bad": (is_bad, c("n"), None),
+    }
+    kinds = F.concat_ws(" ", *[F.when(test, F.lit(kind)) for kind, (test, _, _) in shown.items()])
+    rows = s.withColumn("kinds", kinds).filter("kinds <> ''").withColumn("kind", F.explode(F.split("kinds", " ")))
+    key = F.coalesce(*[F.when(c("kind") == kind, place) for kind, (_, place, _) in shown.items()])
+    parts: dict[str, Column] = {}
+    for kind, (_, _, part) in shown.items():
+        if part is not None:
+            parts[part[0]] = F.when(c("kind").isin("decl", "icall") if part[0] == "symbol" else c("kind") == kind, part[1])
+    return rows.select(
+        "h1", "h2", F.substring_index("kind", ".", 1).alias("fact"), key.cast("int").alias("n"),
+        *[part.alias(name) for name, part in parts.items()])
 
 
 def structure(files: DataFrame) -> DataFrame:
