@@ -71,15 +71,11 @@ DEEP_WORDS = (
 )
 # --- End of fixed values ---------------------------------------------------------------------
 
-NAME = r"^[\p{L}_$]"
+# Token classes, decided once per token so that later tests are integer comparisons.
+WORD, STRING, NUMBER, TEMPLATE, SIGN = 1, 2, 3, 4, 0
 
-
-def _is_name(t: Column) -> Column:
-    return t.rlike(NAME)
-
-
-def _is_string(t: Column) -> Column:
-    return t.rlike(r"""^["']""")
+# Openers of interest: what stands before a bracket, decided once per bracket.
+DOT_CALL, TEXT_CALL, MIN_CALL, DECORATOR, QUERY_OBJECT, GRAPHQL_MAP = 1, 2, 3, 4, 5, 6
 
 
 def unquote(t: Column) -> Column:
@@ -127,24 +123,31 @@ def _placed(rows: DataFrame, *extra: str) -> DataFrame:
     by_file = W.partitionBy("h1", "h2").orderBy("n")
     running = by_file.rowsBetween(W.unboundedPreceding, W.currentRow)
     t, g = F.col("t"), F.col("g")
-    nl_t, nl_g = tx.count_newlines(t), tx.count_newlines(g)
-    opens, closes = t.isin(*OPENERS), t.isin(*CLOSERS)
-    step = F.when(opens, 1).when(closes, -1).otherwise(0)
-    placed = rows.select(
-        "h1", "h2", *extra, "n", "t",
-        (F.sum(F.length(g) + F.length(t)).over(running) - F.length(t)).cast("int").alias("pos"),
-        F.length(g).alias("gap"),
-        (1 + F.sum(nl_g + nl_t).over(running) - nl_t).cast("int").alias("line"),
-        nl_g.alias("gap_lines"),
-        F.sum(step).over(running).cast("int").alias("depth"),
-        *[F.lag("t", k).over(by_file).alias(f"p{k}") for k in (1, 2, 3, 4)],
-        *[F.lead("t", k).over(by_file).alias(f"x{k}") for k in (1, 2)],
+    initial = F.substring(t, 1, 1)
+    token_class = (
+        F.when(initial.isin('"', "'") & (F.length(t) > 1), STRING).when(initial == "`", TEMPLATE)
+        .when(initial.between("0", "9"), NUMBER).when(initial.rlike(r"[\p{L}_$]"), WORD).otherwise(SIGN))
+    step = F.when(t.isin(*OPENERS), 1).when(t.isin(*CLOSERS), -1).otherwise(0)
+    sized = rows.select(
+        "h1", "h2", *extra, "n", "t", token_class.cast("tinyint").alias("k"), step.alias("step"),
+        F.length(g).alias("gap"), F.length(t).alias("size"),
+        tx.count_newlines(g).alias("gap_lines"), tx.count_newlines(t).alias("own_lines"))
+    c = F.col
+    placed = sized.select(
+        "h1", "h2", *extra, "n", "t", "k", "step", "gap", "gap_lines",
+        (F.sum(c("gap") + c("size")).over(running) - c("size")).cast("int").alias("pos"),
+        (1 + F.sum(c("gap_lines") + c("own_lines")).over(running) - c("own_lines")).cast("int").alias("line"),
+        F.sum("step").over(running).cast("int").alias("depth"),
+        *[F.lag("t", i).over(by_file).alias(f"p{i}") for i in (1, 2, 3, 4)],
+        *[F.lag("k", i).over(by_file).alias(f"k{i}") for i in (1, 2, 3)],
+        *[F.lead("t", i).over(by_file).alias(f"x{i}") for i in (1, 2)],
+        F.lead("k", 1).over(by_file).alias("kx1"), F.lead("k", 2).over(by_file).alias("kx2"),
     )
     return placed.withColumns({
-        "opens": opens, "closes": closes,
-        "lvl": F.when(closes, F.col("depth") + 1).otherwise(F.col("depth")),
-        "prev_end": F.col("pos") - F.col("gap"),
-        "prev_line": F.col("line") - F.col("gap_lines"),
+        "opens": c("step") == 1, "closes": c("step") == -1,
+        "lvl": F.when(c("step") == -1, c("depth") + 1).otherwise(c("depth")),
+        "prev_end": c("pos") - c("gap"),
+        "prev_line": c("line") - c("gap_lines"),
     })
 
 
@@ -152,36 +155,72 @@ def _last(value: Column, spec) -> Column:
     return F.last(value, ignorenulls=True).over(spec)
 
 
+def _true(cond: Column) -> Column:
+    return F.coalesce(cond, F.lit(False))
+
+
 def _owned(placed: DataFrame) -> DataFrame:
-    """Top-level statements and the declaration each token belongs to (same window order)."""
+    """Top-level statements, the declaration each token belongs to (same window order), and what
+    the tests of the second window need to know about the neighbours."""
     by_file = W.partitionBy("h1", "h2").orderBy("n")
     running = by_file.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = by_file.rowsBetween(W.unboundedPreceding, -1)
     c = F.col
-    top = c("lvl") - (c("opens") | c("closes")).cast("int") == 0
-    new_line = c("line") > c("prev_line")
-    ends = top & ((c("t") == ";") | ((c("t") == "}") & (c("x1").isNull() | c("x1").rlike(r"^[\p{L}_$@]") | c("x1").isin("", ";"))))
-    first = c("p1").isNull() | c("p1").isin(";", "}", "export", "default", "async", "declare", "abstract") | new_line
-    function = top & (c("t") == "function") & first & ~((c("p1") == "async") & c("p2").isin("=", "(", ",", "=>", "return", ":"))
-    klass = top & (c("t") == "class") & first
-    variable = top & c("t").isin(*VARIABLE_WORDS) & _is_name(c("x1"))
-    name = F.when(function & (c("x1") == "*"), c("x2")).when(function | klass | variable, c("x1"))
-    is_decl = (function | klass | variable) & _is_name(name)
-    default = (c("p1") == "default") | (c("p2") == "default")
+    t, p1, p2, p3 = c("t"), c("p1"), c("p2"), c("p3")
+    top = c("lvl") == F.abs("step")
+    new_line = c("gap_lines") > 0
+    ends = top & ((t == ";") | ((t == "}") & (c("x1").isNull() | (c("kx1") == WORD) | c("x1").isin("", ";", "@"))))
+    first = p1.isNull() | p1.isin(";", "}", "export", "default", "async", "declare", "abstract") | new_line
+    function = top & (t == "function") & first & ~_true((p1 == "async") & p2.isin("=", "(", ",", "=>", "return", ":"))
+    klass = top & (t == "class") & first
+    variable = top & t.isin(*VARIABLE_WORDS) & (c("kx1") == WORD)
+    star = function & (c("x1") == "*")
+    name = F.when(star & (c("kx2") == WORD), c("x2")).when((function | klass | variable) & (c("kx1") == WORD), c("x1"))
     is_icall = (
-        (c("t") == "(") & _is_name(c("p1")) & ~c("p1").isin(*CALL_STOP_WORDS)
-        & ~F.coalesce(c("p2"), F.lit("")).isin(".", "?.", "function", "new", "async", "*", "get", "set", "static", "#", "@")
+        (t == "(") & (c("k1") == WORD) & ~p1.isin(*CALL_STOP_WORDS)
+        & ~F.coalesce(p2, F.lit("")).isin(".", "?.", "function", "new", "async", "*", "get", "set", "static", "#", "@")
     )
-    return placed.withColumns({
+    dot_call = (t == "(") & (p2 == ".") & (c("k1") == WORD)
+    text_call = (t == "(") & (p1 == "]") & (p3 == "[") & (c("k2") == STRING)
+    plain2, plain3 = F.regexp_replace(p2, "[\"']", ""), F.regexp_replace(p3, "[\"']", "")
+    query_object = (t == "{") & (p1 == "(") & (
+        ((p3 == ".") & p2.isin(*rb.QUERY_OBJECT_CALLS)) | ((p2 == "]") & plain3.isin(*rb.QUERY_OBJECT_CALLS)))
+    graphql_map = (t == "{") & (p1 == ":") & plain2.isin(*rb.GRAPHQL_TYPES) & p3.isin("{", ",")
+    form = F.when(c("opens"), (
+        F.when(dot_call & (p1 == "min") & (p3 == "Math") & ~_true(c("p4") == "."), MIN_CALL)
+        .when(dot_call, DOT_CALL).when(text_call, TEXT_CALL)
+        .when((t == "(") & (p2 == "@") & (c("k1") == WORD), DECORATOR)
+        .when(query_object, QUERY_OBJECT).when(graphql_map, GRAPHQL_MAP).otherwise(0))).cast("tinyint")
+    label = F.when(dot_call | ((t == "(") & (p2 == "@")), p1).when(text_call, unquote(p2)).when(graphql_map, plain2)
+    operand = ((c("k1") == WORD) & ~p1.isin(*PREFIX_WORDS)) | p1.isin(")", "]")
+    operand_end = operand | c("k1").isin(STRING, NUMBER, TEMPLATE) | (p1 == "}")
+    joined_word = t.isin("instanceof", "in", "as", "of", "satisfies")
+    begins = (
+        p1.isNull() | (p1 == ";") | t.isin(*VARIABLE_WORDS)
+        | ((p1 == "}") & ((c("k") != SIGN) | (t == "@")) & ~joined_word)
+        | (new_line & operand_end & (c("k").isin(WORD, NUMBER) | (t == "@")) & ~joined_word))
+    continues = (
+        t.isin(".", "?.") | p1.isin(".", "?.") | (p1 == "new") | c("closes")
+        | (t.isin("(", "[") & (operand | c("k1").isin(STRING, TEMPLATE))) | ((c("k") == TEMPLATE) & operand))
+    owned = placed.withColumns({
         "segment": F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)),
-        "is_decl": F.coalesce(is_decl, F.lit(False)),
         "decl_name": name,
-        "is_default": F.coalesce(default, F.lit(False)),
-        "is_icall": F.coalesce(is_icall, F.lit(False)),
+        "is_default": _true((p1 == "default") | (p2 == "default")),
+        "is_icall": _true(is_icall),
+        "form": form, "label": label,
+        "continues": _true(continues), "begins": _true(begins),
+        "is_query_size": _true((p1 == ".") & (p2 == "query") & (p3 == ".") & (c("p4") == "req")),
+        # The third and fourth neighbour of a text call: what its bracket is taken from.
+        "text_base": _true((c("k") == SIGN) & ((c("p4").isin(")", "]")) | c("p4").rlike(r"^[\p{L}_$]"))),
+        "member_end": _true((t == ";") | ((t == "}") & (c("x1").isNull() | c("kx1").isin(WORD, STRING) | c("x1").isin("@", "#", "*", "[", "}", ";", "")))),
+        "method_name": _true((c("k") == WORD) & (c("x1") == "(") & ~F.coalesce(p1, F.lit("")).isin("@", ".", "?.", "new") & ~t.isin(*CALL_STOP_WORDS)),
     }).withColumn(
-        "owner", _last(F.when(c("is_decl"), F.struct("decl_name", "segment")), running)
-    ).withColumn(
-        "owner", F.when(c("owner.segment") == c("segment"), c("owner.decl_name")))
+        "owner", _last(F.when(c("decl_name").isNotNull(), F.struct("decl_name", "segment")), running)
+    ).withColumn("owner", F.when(c("owner.segment") == c("segment"), c("owner.decl_name")))
+    return owned.drop("p2", "p3", "p4", "k2", "k3", "x2", "kx1", "kx2", "segment", "gap", "gap_lines", "step")
+
+
+SYMBOL_LEVEL = -1_000_000
 
 
 def _leveled(owned: DataFrame) -> DataFrame:
@@ -189,15 +228,20 @@ def _leveled(owned: DataFrame) -> DataFrame:
     c = F.col
     bracket = c("opens") | c("closes")
     inner = F.when(bracket, F.array(c("lvl") - 1, c("lvl"))).otherwise(F.array(c("lvl")))
-    symbol = F.when(c("is_decl") | (c("is_icall") & c("owner").isNotNull()), F.array(F.lit(-1_000_000)))
+    symbol = F.when(c("decl_name").isNotNull() | (c("is_icall") & c("owner").isNotNull()), F.array(F.lit(SYMBOL_LEVEL)))
     none = F.array().cast("array<int>")
     levels = F.concat(
         F.when(c("deep"), inner).otherwise(F.when(c("t") == "", F.array(c("lvl"))).otherwise(none)),
         F.coalesce(symbol, none))
-    return owned.withColumn("level", F.explode(levels)).withColumns({
-        "symbol_row": c("level") == -1_000_000,
+    leveled = owned.withColumn("level", F.explode(levels)).withColumns({
+        "symbol_row": c("level") == SYMBOL_LEVEL,
         "border": bracket & (c("level") == c("lvl")),
     })
+    # Strings only a symbol row needs stay off the others.
+    return leveled.withColumns({
+        "item": ~c("border") & ~c("symbol_row"),
+        "owner": F.when(c("symbol_row"), c("owner")), "decl_name": F.when(c("symbol_row"), c("decl_name")),
+    })
 
 
 def _structured(leveled: DataFrame) -> DataFrame:
@@ -206,118 +250,92 @@ def _structured(leveled: DataFrame) -> DataFrame:
     running = by_level.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = by_level.rowsBetween(W.unboundedPreceding, -1)
     c = F.col
-    t, p1 = c("t"), F.coalesce(c("p1"), F.lit(""))
-    item = ~c("border") & ~c("symbol_row")
+    t, p1, item = c("t"), c("p1"), c("item")
     border_open = c("border") & c("opens")
-    operand_end = (_is_name(p1) & ~p1.isin(*PREFIX_WORDS)) | p1.rlike(r"""^["'`\d]""") | p1.isin(")", "]", "}")
-    continues = (
-        t.isin(".", "?.") | p1.isin(".", "?.") | (p1 == "new") | (c("closes") & item)
-        | (t.isin("(", "[") & ((_is_name(p1) & ~p1.isin(*PREFIX_WORDS)) | p1.isin(")", "]") | p1.rlike(r"""^["'`]""")))
-        | (t.startswith("`") & ((_is_name(p1) & ~p1.isin(*PREFIX_WORDS)) | p1.isin(")", "]")))
-    )
-    new_line = c("line") > c("prev_line")
-    statement_start = (
-        item & ~c("closes") & (
-            p1.isin("", ";") | t.isin(*VARIABLE_WORDS)
-            | ((p1 == "}") & t.rlike(r"""^[\p{L}_$@\d"'`]""") & ~t.isin("instanceof", "in", "as", "of", "satisfies"))
-            | (new_line & operand_end & t.rlike(r"^[\p{L}_$@\d]") & ~t.isin("instanceof", "in", "as", "of", "satisfies")))
-    )
-    boundary = c("border") | (item & (t.isin(",", ";", "") | statement_start))
-    key = item & p1.isin("{", ",") & (_is_name(t) | _is_string(t)) & c("x1").isin(":", ",", "}")
-    # A class member ends at ";" or at the bracket that closes its body.
-    member_end = item & ((t == ";") | ((t == "}") & (c("x1").isNull() | c("x1").rlike(r"""^(?:[\p{L}_$@#*"'\[};]|$)"""))))
-    method = item & _is_name(t) & (c("x1") == "(") & ~p1.isin("@", ".", "?.", "new") & ~t.isin(*CALL_STOP_WORDS)
-    here = F.struct("n", "pos", "line", "p1")
-    opener = F.struct("n", "pos", "line", "t", "p1", "p2", "p3", "p4")
+    begins = item & c("begins") & ~c("closes")
+    boundary = c("border") | (item & (t.isin(",", ";", "") | begins))
+    comma = item & (t == ",")
+    variable = item & t.isin(*VARIABLE_WORDS)
+    opener = F.struct("n", "line", "t", "form", "label", "text_base")
     step1 = leveled.withColumns({
-        "item": item,
         "boundary": boundary,
-        "commas": F.sum((item & (t == ",")).cast("int")).over(running),
-        "head": _last(F.when(item & ~continues, here), running),
+        "commas": F.sum(comma.cast("int")).over(running),
+        "head": _last(F.when(item & ~c("continues"), F.struct("n", "pos", "line", p1.isin("(", ",").alias("in_list"))), running),
         "optional_n": _last(F.when(item & (t == "?."), c("n")), running),
         "open_item": _last(F.when(item & c("opens"), opener), running),
-        "group": _last(F.when(border_open, opener), running),
+        "group": _last(F.when(border_open, F.struct("n", "t", "form", "label")), running),
         "prev_boundary": F.coalesce(_last(F.when(boundary, c("n")), before), F.lit(-1)),
-        "key": _last(F.when(key, F.struct("n", "t", "pos", "line", "x1")), running),
-        "members": F.coalesce(F.sum(member_end.cast("int")).over(before), F.lit(0)),
-        "member_end": member_end,
-        "method": _last(F.when(method, F.struct("n", "t")), running),
-        "variable_n": _last(F.when(item & t.isin(*VARIABLE_WORDS), c("n")), running),
-        "semicolon_n": _last(F.when(item & ((t == ";") | (statement_start & ~t.isin(*VARIABLE_WORDS))), c("n")), running),
+        "variable_n": _last(F.when(variable, c("n")), running),
+        "statement_n": F.coalesce(_last(F.when(item & ((t == ";") | (begins & ~variable)), c("n")), running), F.lit(-1)),
+        "members": F.coalesce(F.sum((item & c("member_end")).cast("int")).over(before), F.lit(0)),
+        "method": _last(F.when(item & c("method_name"), F.struct("n", "t")), running),
     })
 
     o = c("open_item")
-    dotted = (o["p2"] == ".") & _is_name(o["p1"])
-    literal = (o["p1"] == "]") & (o["p3"] == "[") & _is_string(o["p2"]) & (o["p4"].rlike(r"^[\p{L}_$]") | o["p4"].isin(")", "]"))
-    is_call = c("item") & (c("t") == ")") & (o["t"] == "(") & (dotted | literal) & ~F.coalesce(
-        c("optional_n") > c("head.n"), F.lit(False))
+    called = o["form"].isin(DOT_CALL, MIN_CALL) | ((o["form"] == TEXT_CALL) & o["text_base"])
+    is_call = item & (t == ")") & called & ~_true(c("optional_n") > c("head.n"))
     step2 = step1.withColumns({
-        "is_call": F.coalesce(is_call, F.lit(False)),
-        "call_name": F.when(dotted, o["p1"]).when(literal, unquote(o["p2"])),
-        "link": F.when(dotted, o["n"] - 3).otherwise(o["n"] - 4),
+        "is_call": _true(is_call),
+        # The token before the "." or "[" of the call: a chain goes on if a member call closes there.
+        "link": o["n"] - F.when(o["form"] == TEXT_CALL, 4).otherwise(3),
+    })
+    step2 = step2.withColumns({
         "arg": c("commas") - F.coalesce(_last(F.when(border_open, c("commas")), running), F.lit(0)),
+        "prev_call_n": _last(F.when(c("is_call"), c("n")), before),
     })
 
-    named_in_list = (c("p1") == ",") & (c("variable_n") > F.greatest(
-        F.coalesce(c("semicolon_n"), F.lit(-1)), F.coalesce(c("group.n"), F.lit(-1))))
-    declared = c("item") & c("t").isin(*rb.PAGE_SIZE_NAMES) & c("x1").isin("=", ":") & (
-        c("p1").isin(*VARIABLE_WORDS) | named_in_list)
-    unary = c("p1").isNull() | c("p1").isin("(", ",", *WEAKER, *MULTIPLICATIVE)
-    weak = c("item") & (c("arg") == 0) & c("t").isin(*WEAKER) & ~(c("t").isin("+", "-") & unary)
-    strong = c("item") & (c("arg") == 0) & c("t").isin(*MULTIPLICATIVE)
-    comma = c("item") & (c("t") == ",")
-    first_item = c("item") & (c("n") == c("group.n") + 1)
-    second_item = c("item") & (c("arg") == 1) & (c("p1") == ",")
-    step3 = step2.withColumns({
+    group_n = F.coalesce(c("group.n"), F.lit(-1))
+    in_call = _true(c("group.form").between(DOT_CALL, DECORATOR))
+    in_object = _true(c("group.form") >= QUERY_OBJECT)
+    arg0, arg1 = in_call & (c("arg") == 0), in_call & (c("arg") == 1)
+    key = item & in_object & p1.isin("{", ",") & c("k").isin(WORD, STRING) & c("x1").isin(":", ",", "}")
+    named_in_list = (p1 == ",") & (c("variable_n") > F.greatest(c("statement_n"), group_n))
+    declared = item & t.isin(*rb.PAGE_SIZE_NAMES) & c("x1").isin("=", ":") & (p1.isin(*VARIABLE_WORDS) | named_in_list)
+    unary = p1.isNull() | p1.isin("(", ",", *WEAKER, *MULTIPLICATIVE)
+    weak = item & arg0 & t.isin(*WEAKER) & ~(t.isin("+", "-") & unary)
+    # Plain property access keeps an argument a member expression; anything else does not.
+    odd = item & (c("k") != WORD) & ~t.isin(".", "[", "]")
+    begin = F.struct("n", "t", "k", "pos")
+    return step2.withColumns({
+        "key": _last(F.when(key, F.struct("n", "t", "k", "pos", "line")), running),
         "declared": _last(F.when(declared, F.struct("n", "t", "pos", "line")), running),
-        "prev_call_n": _last(F.when(c("is_call"), c("n")), before),
-        "comma1": _last(F.when(comma & (c("arg") == 1), F.struct("n", "prev_end")), running),
-        "comma2": _last(F.when(comma & (c("arg") == 2), F.struct("n", "prev_end")), running),
-        "item1": _last(F.when(first_item, F.struct("n", "t", "pos")), running),
-        "item2": _last(F.when(second_item, F.struct("n", "t", "pos")), running),
+        "comma1": _last(F.when(comma & arg1, F.struct("n", "prev_end")), running),
+        "comma2": _last(F.when(comma & in_call & (c("arg") == 2), F.struct("n", "prev_end")), running),
+        "item1": _last(F.when(item & in_call & (c("n") == group_n + 1), begin), running),
+        "item2": _last(F.when(item & arg1 & (p1 == ","), begin), running),
         "weak_n": _last(F.when(weak, c("n")), running),
-        "strong": _last(F.when(strong, F.struct("n", "t")), running),
-        # Plain property access keeps an argument a member expression; anything else does not.
-        "odd_n": _last(F.when(c("item") & (c("arg") == 0) & ~(_is_name(c("t")) | c("t").isin(".", "[", "]")), c("n")), running),
-        "odd2_n": _last(F.when(c("item") & (c("arg") == 1) & ~(_is_name(c("t")) | c("t").isin(".", "[", "]", ",")), c("n")), running),
-        "arrow1_n": _last(F.when(c("item") & (c("arg") == 1) & c("t").isin("=>", "function"), c("n")), running),
+        "strong": _last(F.when(item & arg0 & t.isin(*MULTIPLICATIVE), F.struct("n", "t")), running),
+        "odd_n": _last(F.when(odd & arg0, c("n")), running),
+        "odd2_n": _last(F.when(odd & arg1 & (t != ","), c("n")), running),
+        "arrow1_n": _last(F.when(item & arg1 & t.isin("=>", "function"), c("n")), running),
+        "chain": _last(F.when(c("is_call") & (c("prev_call_n").isNull() | (c("prev_call_n") != c("link"))), c("n")), running),
     })
-    return step3.withColumn("chain", _last(
-        F.when(c("is_call") & (c("prev_call_n").isNull() | (c("prev_call_n") != c("link"))), c("n")), running)
-    ).withColumn("names", F.when(c("is_call"), F.collect_list(F.when(c("is_call"), c("call_name"))).over(
-        W.partitionBy("h1", "h2", "level", "chain").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow))))
 
 
 def _argument(first: Column, end_n: Column, odd_n: Column, open_n: Column, arrow_n: Column | None = None) -> Column:
     """Kind of a call argument from its first token and its length in tokens."""
     single = end_n == first["n"] + 1
-    t = first["t"]
-    plain = ~F.coalesce(odd_n > open_n, F.lit(False))
     kind = F.when(first.isNull(), F.lit(None).cast("string"))
-    kind = kind.when(single & _is_string(t), "string").when(single & t.rlike(r"^\d"), "number")
-    kind = kind.when(single & _is_name(t), "identifier")
+    kind = kind.when(single & (first["k"] == STRING), "string").when(single & (first["k"] == NUMBER), "number")
+    kind = kind.when(single & (first["k"] == WORD), "identifier")
     if arrow_n is not None:
-        kind = kind.when(F.coalesce(arrow_n > open_n, F.lit(False)), "function")
-    return kind.when(_is_name(t) & plain, "member").when(t == "{", "object").otherwise("expression")
+        kind = kind.when(_true(arrow_n > open_n), "function")
+    kind = kind.when((first["k"] == WORD) & ~_true(odd_n > open_n), "member")
+    return kind.when(first["t"] == "{", "object").otherwise("expression")
 
 
 def _fact_rows(s: DataFrame) -> DataFrame:
-    """Fact candidates, still without text; calls come in two halves that share a key."""
+    """Fact candidates, still without text; calls and decorators come in two halves that share a key."""
     c = F.col
-    g = c("group")
-    call_group = c("border") & (c("t") == ")") & (g["t"] == "(") & ((g["p2"] == ".") | (g["p1"] == "]"))
+    g, o, item, border = c("group"), c("open_item"), c("item"), c("border")
+    closes_call = border & (c("t") == ")")
     end0 = F.when(c("comma1.n") > g["n"], c("comma1")).otherwise(F.struct(c("n"), c("prev_end")))
     end1 = F.when(c("comma2.n") > g["n"], c("comma2")).otherwise(F.struct(c("n"), c("prev_end")))
-    item1 = F.when(c("item1.n") == g["n"] + 1, c("item1"))
-    item1 = F.when(item1["n"] < c("n"), item1)
-    item2 = F.when(c("item2.n") > g["n"], c("item2"))
-    item2 = F.when(item2["n"] < c("n"), item2)
-    weak = F.coalesce(c("weak_n") > g["n"], F.lit(False))
-    mult = ~weak & F.coalesce((c("strong.n") > g["n"]) & (c("strong.t") == "*"), F.lit(False))
-
-    o = c("open_item")
+    item1 = F.when((c("item1.n") == g["n"] + 1) & (c("item1.n") < c("n")), c("item1"))
+    item2 = F.when((c("item2.n") > g["n"]) & (c("item2.n") < c("n")), c("item2"))
+    mult = ~_true(c("weak_n") > g["n"]) & _true((c("strong.n") > g["n"]) & (c("strong.t") == "*"))
     half_call = F.struct(
-        c("call_name").alias("name"), c("names").alias("names"), (o["p2"] == ".").alias("dotted"), c("head.pos").alias("start"),
+        o["label"].alias("name"), (o["form"] != TEXT_CALL).alias("dotted"), c("head.pos").alias("start"),
         (c("pos") + 1).alias("stop"), c("head.line").alias("line_start"), c("line").alias("line_end"))
     half_args = F.struct(
         _argument(item1, end0["n"], c("odd_n"), g["n"]).alias("kind0"),
@@ -325,66 +343,54 @@ def _fact_rows(s: DataFrame) -> DataFrame:
         _argument(item2, end1["n"], c("odd2_n"), g["n"], c("arrow1_n")).alias("kind1"),
         item2["pos"].alias("a1"), end1["prev_end"].alias("b1"), mult.alias("mult"))
 
-    in_object = (g["t"] == "{") & (
-        ((g["p1"] == "(") & (g["p3"] == ".") & g["p2"].isin(*rb.QUERY_OBJECT_CALLS))
-        | ((g["p1"] == "(") & (g["p2"] == "]") & g["p3"].isin(*[q + n + q for n in rb.QUERY_OBJECT_CALLS for q in "\"'"]))
-        | ((g["p1"] == ":") & F.regexp_replace(g["p2"], "[\"']", "").isin(*rb.GRAPHQL_TYPES) & g["p3"].isin("{", ","))
-    )
-    closes_piece = (c("item") & (c("t") == ",")) | c("border") & c("closes")
-    is_prop = in_object & closes_piece & (c("key.n") == c("prev_boundary") + 1)
+    closes_piece = (item & (c("t") == ",")) | (border & c("closes"))
+    is_prop = _true(g["form"] >= QUERY_OBJECT) & closes_piece & (c("key.n") == c("prev_boundary") + 1)
     value_symbol = F.when(c("n") == c("key.n") + 1, c("key.t")).when(
-        (c("n") == c("key.n") + 3) & _is_name(c("p1")), c("p1"))
-    key_name = F.when(_is_string(c("key.t")), unquote(c("key.t"))).otherwise(c("key.t"))
+        (c("n") == c("key.n") + 3) & (c("k1") == WORD), c("p1"))
     prop = F.struct(
-        key_name.alias("name"), c("key.pos").alias("start"), c("prev_end").alias("stop"),
+        F.when(c("key.k") == STRING, unquote(c("key.t"))).otherwise(c("key.t")).alias("name"),
+        c("key.pos").alias("start"), c("prev_end").alias("stop"),
         c("key.line").alias("line_start"), c("prev_line").alias("line_end"),
-        F.when(g["p1"] == ":", F.regexp_replace(g["p2"], "[\"']", "")).otherwise(F.lit("arg")).alias("owner"),
-        (g["n"] - 1).alias("parent"), value_symbol.alias("symbol"))
+        F.coalesce(g["label"], F.lit("arg")).alias("owner"), (g["n"] - 1).alias("parent"), value_symbol.alias("symbol"))
 
-    ends_declarator = c("boundary") & ~(c("border") & c("opens"))
-    is_declarator = ends_declarator & (c("declared.n") == c("prev_boundary") + 1)
+    is_declarator = c("boundary") & ~(border & c("opens")) & (c("declared.n") == c("prev_boundary") + 1)
     declarator = F.struct(
         c("declared.t").alias("name"), c("declared.pos").alias("start"), c("prev_end").alias("stop"),
         c("declared.line").alias("line_start"), c("prev_line").alias("line_end"))
 
-    in_min = (g["t"] == "(") & (g["p1"] == "min") & (g["p2"] == ".") & (g["p3"] == "Math") & ~F.coalesce(g["p4"] == ".", F.lit(False))
-    sized = c("item") & c("t").isin(*rb.PAGE_SIZE_NAMES) & c("x1").isin(",", ")")
-    query_member = (
-        (c("p1") == ".") & (c("p2") == "query") & (c("p3") == ".") & (c("p4") == "req")
-        & (c("head.n") == c("n") - 4) & c("head.p1").isin("(", ","))
-    is_cap = in_min & sized & (c("p1").isin("(", ",") | query_member)
+    is_cap = (
+        (g["form"] == MIN_CALL) & item & c("t").isin(*rb.PAGE_SIZE_NAMES) & c("x1").isin(",", ")")
+        & (c("p1").isin("(", ",") | (c("is_query_size") & (c("head.n") == c("n") - 4) & c("head.in_list"))))
 
     # A decorator is seen from outside (which member it precedes) and from inside (its argument).
-    is_decorator = c("item") & (c("t") == ")") & (o["t"] == "(") & (o["p2"] == "@")
+    is_decorator = item & (c("t") == ")") & (o["form"] == DECORATOR)
     half_decorator = F.struct(
-        o["p1"].alias("name"), o["line"].alias("line"), c("members").alias("member"), g["n"].alias("parent"))
-    decorator_group = c("border") & (c("t") == ")") & (g["t"] == "(") & (g["p2"] == "@")
+        o["label"].alias("name"), o["line"].alias("line"), c("members").alias("member"), g["n"].alias("parent"))
     path_literal = F.struct(F.when(
-        item1["t"].rlike(r"""^["']""") & (end0["n"] == item1["n"] + 1), unquote(item1["t"])).alias("path"))
-    is_method = c("member_end") & (g["t"] == "{") & (c("t") == "}") & (o["t"] == "{") & (c("method.n") > g["n"])
+        (item1["k"] == STRING) & (end0["n"] == item1["n"] + 1), unquote(item1["t"])).alias("path"))
+    is_method = item & c("member_end") & (g["t"] == "{") & (c("t") == "}") & (o["t"] == "{") & (c("method.n") > g["n"])
     method = F.struct(
         c("method.t").alias("name"), c("line"), c("members").alias("member"), g["n"].alias("parent"))
 
-    mismatch = c("border") & c("closes") & ~F.coalesce(
-        F.concat(g["t"], c("t")).isin("()", "[]", "{}"), F.lit(False))
-    is_end = (c("t") == "") & ~c("symbol_row")
-    is_bad = mismatch | (is_end & (c("depth") != 0))
+    mismatch = border & c("closes") & ~_true(F.concat(g["t"], c("t")).isin("()", "[]", "{}"))
+    is_bad = mismatch | ((c("t") == "") & ~c("symbol_row") & (c("depth") != 0))
 
     symbol = F.struct(F.coalesce(c("decl_name"), c("p1")).alias("name"), c("owner"), c("line"), c("is_default"))
+    is_decl = c("decl_name").isNotNull()
     # What a row shows: (kind, test, key of the fact, its part). The tests are plain columns of a
     # compiled projection, most tokens show nothing and are dropped there, and only the names of
     # the kinds are exploded.
     shown = {
         "call": (c("is_call"), o["n"], ("half_call", half_call)),
-        "call.args": (call_group, g["n"], ("half_args", half_args)),
+        "call.args": (closes_call & _true(g["form"].between(DOT_CALL, MIN_CALL)), g["n"], ("half_args", half_args)),
         "prop": (is_prop, c("key.n"), ("prop", prop)),
         "declarator": (is_declarator, c("declared.n"), ("declarator", declarator)),
         "cap": (is_cap, c("n"), None),
         "decorator": (is_decorator, o["n"], ("half_decorator", half_decorator)),
-        "decorator.args": (decorator_group, g["n"], ("path_literal", path_literal)),
+        "decorator.args": (closes_call & (g["form"] == DECORATOR), g["n"], ("path_literal", path_literal)),
         "method": (is_method, c("n"), ("method", method)),
-        "decl": (c("symbol_row") & c("is_decl"), c("n"), ("symbol", symbol)),
-        "icall": (c("symbol_row") & c("is_icall") & ~c("is_decl"), c("n"), ("symbol", symbol)),
+        "decl": (c("symbol_row") & is_decl, c("n"), ("symbol", symbol)),
+        "icall": (c("symbol_row") & ~is_decl, c("n"), ("symbol", symbol)),
         "bad": (is_bad, c("n"), None),
     }
     kinds = F.concat_ws(" ", *[F.when(test, F.lit(kind)) for kind, (test, _, _) in shown.items()])
@@ -393,16 +399,23 @@ def _fact_rows(s: DataFrame) -> DataFrame:
     parts: dict[str, Column] = {}
     for kind, (_, _, part) in shown.items():
         if part is not None:
-            parts[part[0]] = F.when(c("kind").isin("decl", "icall") if part[0] == "symbol" else c("kind") == kind, part[1])
+            of_kind = c("kind").isin("decl", "icall") if part[0] == "symbol" else c("kind") == kind
+            parts[part[0]] = F.when(of_kind, part[1])
     return rows.select(
         "h1", "h2", F.substring_index("kind", ".", 1).alias("fact"), key.cast("int").alias("n"),
+        F.when(c("kind") == "call", c("level")).alias("level"), F.when(c("kind") == "call", c("chain")).alias("chain"),
         *[part.alias(name) for name, part in parts.items()])
 
 
+def _with_names(calls: DataFrame, name: Column) -> DataFrame:
+    """The names of each call's chain prefix."""
+    prefix = W.partitionBy("h1", "h2", "level", "chain").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return calls.withColumn("names", F.when(name.isNotNull(), F.collect_list(name).over(prefix)))
+
+
 def structure(files: DataFrame) -> DataFrame:
     """Tokens of all ``files`` with groups, runs and chains, without fact selection."""
-    named = keyed(files)
-    rows = _explode(named, "h1", "h2", "project", "file_path").withColumn("deep", F.lit(True))
+    rows = _explode(keyed(files), "h1", "h2", "project", "file_path").withColumn("deep", F.lit(True))
     return _structured(_leveled(_owned(_placed(rows, "deep", "project", "file_path"))).filter(~F.col("symbol_row")))
 
 
@@ -417,9 +430,9 @@ def brackets(files: DataFrame) -> DataFrame:
 def member_calls(files: DataFrame) -> DataFrame:
     """Every member call with the names of its chain prefix."""
     c = F.col
-    return structure(files).filter("is_call").select(
+    return _with_names(structure(files).filter("is_call"), c("open_item.label")).select(
         "project", "file_path", c("open_item.n").alias("open_n"), c("n").alias("close_n"),
-        c("call_name").alias("name"), "names", c("head.pos").alias("start"), (c("pos") + 1).alias("stop"))
+        c("open_item.label").alias("name"), "names", c("head.pos").alias("start"), (c("pos") + 1).alias("stop"))
 
 
 def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
@@ -436,12 +449,13 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
         by_key.withColumn("deep", c("content").rlike(DEEP_WORDS)),
         "h1", "h2", "deep")
     shaped = _structured(_leveled(_owned(_placed(rows, "deep"))))
+    parts = ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol")
     halves = _fact_rows(shaped).groupBy("h1", "h2", "fact", "n").agg(*[
-        F.first(x, ignorenulls=True).alias(x)
-        for x in ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol")])
-    names = c("half_call.names")
-    wanted = F.arrays_overlap(names, F.array(*[F.lit(x) for x in CALL_NAMES_OF_INTEREST]))
-    kept = halves.filter((c("fact") != "call") | (c("half_call").isNotNull() & wanted))
+        F.first(x, ignorenulls=True).alias(x) for x in ("level", "chain", *parts)])
+    # Halves without the call itself come from optional chains.
+    named = _with_names(halves.filter((c("fact") != "call") | c("half_call").isNotNull()), c("half_call.name"))
+    wanted = F.arrays_overlap("names", F.array(*[F.lit(x) for x in CALL_NAMES_OF_INTEREST]))
+    kept = named.filter((c("fact") != "call") | wanted)
     # Of a file that does not balance only that fact is kept.
     broken = F.max((c("fact") == "bad").cast("int")).over(W.partitionBy("h1", "h2"))
     kept = kept.withColumn("broken", broken).filter((c("broken") == 0) | (c("fact") == "bad")).drop("broken")
@@ -465,7 +479,7 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
         F.coalesce(either("line_end", "half_call", "prop", "declarator"),
                    either("line", "half_decorator", "method", "symbol")).alias("line_end"),
         either("name", "half_call", "prop", "declarator", "half_decorator", "method", "symbol").alias("name"),
-        names.alias("names"), part(start, stop).alias("text"),
+        "names", part(start, stop).alias("text"),
         c("half_args.kind0").alias("arg0_kind"), part(c("half_args.a0"), c("half_args.b0")).alias("arg0_text"),
         c("half_args.kind1").alias("arg1_kind"), part(c("half_args.a1"), c("half_args.b1")).alias("arg1_text"),
         c("half_args.mult").alias("mult"), c("half_call.dotted").alias("dotted"),
