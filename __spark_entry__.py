@@ -210,7 +210,7 @@ def _(spark, d):
   FROM (SELECT {o.HIT_COLS} FROM sql_hits UNION ALL SELECT {o.HIT_COLS} FROM g_hits UNION ALL SELECT {o.HIT_COLS} FROM w_hits) z""", o.PROSE))
 def _(spark, d):
     files = _audit(spark, d, corpus.prose_corpus).files
-    hits = text_rules.hit_rows(text_rules.text_facts(files, imports=False)).filter("rule_id <> 'A12'")
+    hits = text_rules.hit_rows(text_rules.text_facts(files, ("Q", "G", "W")))
     return hits.select("project", "file_path", "rule_id", "line_start", "code_snippet")
 
 

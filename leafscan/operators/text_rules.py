@@ -33,23 +33,7 @@ QUERY_PAGE_SIZE = r"req\.query\.(?:limit|pageSize|first|take)"
 IMPORT = r"""(?m)^[ \t]*import\s+(?:type\s+)?([\p{L}_$][\w$]*)?\s*,?\s*(?:\{([^}]*)\})?\s*from\s*["'](\.[^"']*)["']"""
 # --- End of fixed values ---------------------------------------------------------------------
 
-HIT = (
-    "STRUCT<rule_id: STRING, grp: INT, detector: INT, line: INT, code_snippet: STRING, "
-    "strategy_seen: STRING, evidence: STRING>"
-)
-
-
-def _hit(rule: str, grp: int, detector: int, line: Column, snippet: Column,
-         strategy: Column | None = None) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(
-        F.lit(rule).alias("rule_id"), F.lit(grp).alias("grp"), F.lit(detector).alias("detector"),
-        line.cast("int").alias("line"), snippet.alias("code_snippet"),
-        (none if strategy is None else strategy).alias("strategy_seen"), none.alias("evidence")).cast(HIT)
-
-
-def _fired(*pairs: tuple[Column, Column]) -> Column:
-    return F.array_compact(F.array(*[F.when(cond, hit) for cond, hit in pairs]))
+FAMILIES = ("Q", "W", "G", "A12", "import")
 
 
 def sql_conditions(text: Column) -> dict[str, Column]:
@@ -66,51 +50,27 @@ def sql_conditions(text: Column) -> dict[str, Column]:
     }
 
 
-def sql_array(text: Column) -> Column:
-    """Q01-Q07 of one SQL file."""
-    f = sql_conditions(text)
-    head = tx.first_line(text)
-    rules = {
-        "Q01": f["has_offset"],
-        "Q02": f["has_offset_fetch"],
-        "Q03": f["has_select"] & ~f["has_limit"],
-        "Q04": f["has_offset"] & ~f["has_order"],
-        "Q05": f["first_offset"] > rb.DEEP_OFFSET_THRESHOLD,
-        "Q06": f["has_full_scan"] & ~f["has_limit"],
-        "Q07": f["has_window"] & ~f["has_limit"],
-    }
-    return _fired(*[(cond, _hit(rule, 1, 0, F.lit(1), head)) for rule, cond in rules.items()])
-
-
 def wrapper_line(text: Column) -> Column:
     """Line of the first ``paginate(``."""
     return tx.count_newlines(F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(WRAPPER)) - 1)) + 1
 
 
-def wrapper_context(text: Column) -> Column:
+def wrapper_context(text: Column, line: Column) -> Column:
     """That line with the lines around it."""
-    line = wrapper_line(text)
     first = F.greatest(F.lit(1), line - 1)
     return F.array_join(F.slice(F.split(text, "\n"), first, line + 2 - first), "\n")
 
 
-def wrapper_array(text: Column) -> Column:
-    """W01, W02 of one code file."""
-    line, context = wrapper_line(text), wrapper_context(text)
-    found = text.rlike(WRAPPER)
-    capped = text.rlike(MATH_MIN) | text.rlike(MAX_NAME)
-    return _fired(
-        (found & ~capped, _hit("W01", 0, 2, line, context)),
-        (found & ~text.rlike(WRAPPER_ORDER), _hit("W02", 0, 2, line, context)))
+def identifier_line(text: Column) -> Column:
+    """The tokens of a file in one text, comments dropped and strings whole.
 
-
-def graphql_conditions(text: Column) -> dict[str, Column]:
-    """Paging words that occur as identifiers, outside comments and strings.
-
-    Positions are not needed, so the tokens stay an array of the row.
+    Enough to tell which words occur as identifiers; no positions, so nothing is exploded.
     """
     words = F.regexp_extract_all(text, F.lit(LEXEME), F.lit(2))
-    line = F.concat(F.lit("\u0001"), F.array_join(words, "\u0001"), F.lit("\u0001"))
+    return F.concat(F.lit("\u0001"), F.array_join(words, "\u0001"), F.lit("\u0001"))
+
+
+def graphql_conditions(line: Column) -> dict[str, Column]:
     return {
         "has_first": line.contains("\u0001first\u0001"),
         "has_after": line.contains("\u0001after\u0001"),
@@ -118,29 +78,18 @@ def graphql_conditions(text: Column) -> dict[str, Column]:
     }
 
 
-def graphql_array(text: Column) -> Column:
-    """G01, G02 of one code file, behind the substring test G00."""
-    f = graphql_conditions(text)
-    head = tx.first_line(text)
-    fired = _fired(
-        (f["has_first"] & ~f["has_min"],
-         _hit("G01", 0, 1, F.lit(1), head, F.when(f["has_after"], "cursor").otherwise("none"))),
-        (f["has_after"] & ~text.rlike(CURSOR_ORDER), _hit("G02", 0, 1, F.lit(1), head)))
-    return F.when(text.rlike(GRAPHQL_WORDS), fired)
+def _import_statements(text: Column) -> Column:
+    return F.arrays_zip(*[
+        F.regexp_extract_all(text, F.lit(IMPORT), F.lit(k)).alias(name) for k, name in ((1, "d"), (2, "n"), (3, "p"))])
 
 
-def import_array(text: Column) -> Column:
-    """Names imported from relative paths: alias, imported name, path."""
-    def groups(k):
-        return F.regexp_extract_all(text, F.lit(IMPORT), F.lit(k))
+BOUND = "ARRAY<STRUCT<rule_id: STRING, alias: STRING, imported: STRING, spec: STRING>>"
 
-    statements = F.arrays_zip(groups(1).alias("d"), groups(2).alias("n"), groups(3).alias("p"))
 
+def _bound_names(statements: Column) -> Column:
+    """Names bound by relative import statements."""
     def bound(name, alias, path):
-        return F.struct(
-            F.lit("import").alias("rule_id"), F.lit(0).alias("grp"), F.lit(0).alias("detector"),
-            F.lit(None).cast("int").alias("line"), path.alias("code_snippet"),
-            alias.alias("strategy_seen"), name.alias("evidence")).cast(HIT)
+        return F.struct(F.lit("import").alias("rule_id"), alias.alias("alias"), name.alias("imported"), path.alias("spec"))
 
     def of_statement(s):
         pieces = F.filter(
@@ -150,25 +99,79 @@ def import_array(text: Column) -> Column:
         named = F.transform(pieces, lambda x: bound(
             F.element_at(F.split(x, " as "), 1), F.element_at(F.split(x, " as "), -1), s["p"]))
         default = F.when(s["d"] != "", F.array(bound(F.lit("default"), s["d"], s["p"])))
-        return F.concat(named, F.coalesce(default, F.array().cast(f"ARRAY<{HIT}>")))
+        return F.concat(named, F.coalesce(default, F.array().cast(BOUND)))
 
-    return F.when(text.rlike(r"\bimport\b"), F.flatten(F.transform(statements, of_statement)))
+    return F.flatten(F.transform(statements, of_statement))
 
 
-def text_facts(files: DataFrame, imports: bool = True) -> DataFrame:
-    """Every text rule in one scan: ``rule_id`` is a fired rule, ``A12`` (candidate) or ``import``."""
-    text, path = F.col("content"), F.col("file_path")
-    none = F.array().cast(f"ARRAY<{HIT}>")
-    page_size = _fired((text.rlike(QUERY_PAGE_SIZE), _hit("A12", 0, 0, F.lit(1), F.lit(""))))
-    parts = [wrapper_array(text), F.coalesce(graphql_array(text), none), page_size]
-    if imports:
-        parts.append(F.coalesce(import_array(text), none))
-    hits = F.when(is_sql(path), sql_array(text)).when(is_code(path), F.concat(*parts))
-    return files.select("project", "file_path", F.inline(hits))
+def text_facts(files: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """Every text rule in one scan: ``rule_id`` is a fired rule, ``A12`` (candidate) or ``import``.
 
-
-def _family(files: DataFrame, keep: Column, hits: Column) -> DataFrame:
-    return hit_rows(files.filter(keep).select("project", "file_path", F.inline(hits)))
+    The expensive tests become plain columns of one compiled projection, each evaluated once per
+    file; the rules are then cheap conditions over those columns.
+    """
+    c = F.col
+    text = c("content")
+    flags: dict[str, Column] = {"head": tx.first_line(text)}
+    tests: dict[str, Column] = {}
+    if "Q" in families:
+        flags |= {name: F.when(c("sql_file"), test) for name, test in sql_conditions(text).items()}
+        tests |= {
+            "Q01": c("has_offset"),
+            "Q02": c("has_offset_fetch"),
+            "Q03": c("has_select") & ~c("has_limit"),
+            "Q04": c("has_offset") & ~c("has_order"),
+            "Q05": c("first_offset") > rb.DEEP_OFFSET_THRESHOLD,
+            "Q06": c("has_full_scan") & ~c("has_limit"),
+            "Q07": c("has_window") & ~c("has_limit"),
+        }
+    if "W" in families:
+        wraps = c("code_file") & text.rlike(WRAPPER)
+        flags |= {
+            "wrapper_line": F.when(wraps, wrapper_line(text)),
+            "wrapper_capped": F.when(wraps, text.rlike(MATH_MIN) | text.rlike(MAX_NAME)),
+            "wrapper_ordered": F.when(wraps, text.rlike(WRAPPER_ORDER)),
+        }
+        tests |= {"W01": ~c("wrapper_capped"), "W02": ~c("wrapper_ordered")}
+    if "G" in families:
+        flags |= {
+            "identifiers": F.when(c("code_file") & text.rlike(GRAPHQL_WORDS), identifier_line(text)),
+            "cursor_ordered": F.when(c("code_file"), text.rlike(CURSOR_ORDER)),
+        }
+        g = graphql_conditions(c("identifiers"))
+        tests |= {"G01": g["has_first"] & ~g["has_min"], "G02": g["has_after"] & ~c("cursor_ordered")}
+    if "A12" in families:
+        tests["A12"] = c("code_file") & text.rlike(QUERY_PAGE_SIZE)
+    if "import" in families:
+        flags["statements"] = F.when(c("code_file") & text.rlike(r"\bimport\b"), _import_statements(text))
+    path = c("file_path")
+    flagged = files.select("project", "file_path", "content", is_sql(path).alias("sql_file"), is_code(path).alias("code_file"))
+    flagged = flagged.withColumns(flags)
+    fired = F.concat_ws(" ", *[F.when(test, F.lit(rule)) for rule, test in tests.items()])
+    none = F.lit(None).cast("string")
+    listed = flagged.select(
+        "project", "file_path", "head", fired.alias("fired"),
+        (F.when(c("wrapper_line").isNotNull(), wrapper_context(text, c("wrapper_line"))) if "W" in families else none).alias("context"),
+        (c("wrapper_line") if "W" in families else F.lit(None)).cast("int").alias("wrapper_line"),
+        (F.when(c("identifiers").contains("\u0001after\u0001"), "cursor").otherwise("none") if "G" in families else none).alias("first_strategy"),
+        (c("statements") if "import" in families else none).alias("statements"))
+    entries = F.transform(F.split("fired", " "), lambda x: F.struct(
+        x.alias("rule_id"), none.alias("alias"), none.alias("imported"), none.alias("spec")))
+    if "import" in families:
+        listed = listed.filter("fired <> '' OR size(statements) > 0")
+        entries = F.concat(entries, F.coalesce(_bound_names(c("statements")), F.array().cast(BOUND)))
+    else:
+        listed = listed.filter("fired <> ''")
+    rule = c("rule_id")
+    family = F.substring(rule, 1, 1)
+    return listed.select("*", F.inline(entries)).filter(rule != "").select(
+        "project", "file_path", "rule_id",
+        F.when(family == "Q", 1).otherwise(0).alias("grp"),
+        F.when(family == "G", 1).when(family == "W", 2).otherwise(0).alias("detector"),
+        F.when(family == "W", c("wrapper_line")).otherwise(1).alias("line"),
+        F.when(family == "W", c("context")).when(rule == "A12", "").when(rule != "import", c("head")).alias("code_snippet"),
+        F.when(rule == "G01", c("first_strategy")).alias("strategy_seen"),
+        "alias", "imported", "spec")
 
 
 def sql_flags(files: DataFrame) -> DataFrame:
@@ -178,35 +181,38 @@ def sql_flags(files: DataFrame) -> DataFrame:
 
 
 def sql_hits(files: DataFrame) -> DataFrame:
-    return _family(files, is_sql(F.col("file_path")), sql_array(F.col("content")))
+    """Q01-Q07."""
+    return hit_rows(text_facts(files.filter(is_sql(F.col("file_path"))), ("Q",)))
 
 
 def wrapper_sites(files: DataFrame) -> DataFrame:
+    """W00."""
     text = F.col("content")
-    return files.filter(is_code(F.col("file_path")) & text.rlike(WRAPPER)).select(
-        "project", "file_path", wrapper_line(text).alias("line"), wrapper_context(text).alias("code_snippet"))
+    found = files.filter(is_code(F.col("file_path")) & text.rlike(WRAPPER)).withColumn("line", wrapper_line(text))
+    return found.select("project", "file_path", "line", wrapper_context(text, F.col("line")).alias("code_snippet"))
 
 
 def wrapper_hits(files: DataFrame) -> DataFrame:
-    return _family(files, is_code(F.col("file_path")) & F.col("content").rlike(WRAPPER), wrapper_array(F.col("content")))
+    """W01, W02."""
+    return hit_rows(text_facts(files.filter(is_code(F.col("file_path")) & F.col("content").rlike(WRAPPER)), ("W",)))
 
 
 def graphql_idents(files: DataFrame) -> DataFrame:
-    flags = graphql_conditions(F.col("content"))
-    return files.filter(is_code(F.col("file_path")) & F.col("content").rlike(GRAPHQL_WORDS)).select(
+    """G00 with the words found as identifiers."""
+    found = files.filter(is_code(F.col("file_path")) & F.col("content").rlike(GRAPHQL_WORDS))
+    flags = graphql_conditions(F.col("identifiers"))
+    return found.withColumn("identifiers", identifier_line(F.col("content"))).select(
         "project", "file_path", *[x.alias(name) for name, x in flags.items()])
 
 
 def graphql_hits(files: DataFrame) -> DataFrame:
-    return _family(
-        files, is_code(F.col("file_path")) & F.col("content").rlike(GRAPHQL_WORDS), graphql_array(F.col("content")))
+    """G01, G02."""
+    return hit_rows(text_facts(files.filter(is_code(F.col("file_path")) & F.col("content").rlike(GRAPHQL_WORDS)), ("G",)))
 
 
 def imports_of(facts: DataFrame) -> DataFrame:
     """Import rows of ``text_facts``."""
-    return facts.filter("rule_id = 'import'").select(
-        "project", "file_path", F.col("strategy_seen").alias("alias"),
-        F.col("evidence").alias("imported"), F.col("code_snippet").alias("spec"))
+    return facts.filter("rule_id = 'import'").select("project", "file_path", "alias", "imported", "spec")
 
 
 def hit_rows(facts: DataFrame) -> DataFrame:
@@ -216,4 +222,4 @@ def hit_rows(facts: DataFrame) -> DataFrame:
         # The file-level page-size test comes after every positioned finding of its detector.
         F.when(F.col("rule_id") == "A12", 2_147_483_647).otherwise(0).alias("start"), F.lit(0).alias("stop"),
         F.col("line").alias("line_start"), F.col("line").alias("line_end"),
-        "code_snippet", "strategy_seen", "evidence")
+        "code_snippet", "strategy_seen", F.lit(None).cast("string").alias("evidence"))

@@ -450,8 +450,13 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
         "h1", "h2", "deep")
     shaped = _structured(_leveled(_owned(_placed(rows, "deep"))))
     parts = ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol")
-    halves = _fact_rows(shaped).groupBy("h1", "h2", "fact", "n").agg(*[
-        F.first(x, ignorenulls=True).alias(x) for x in ("level", "chain", *parts)])
+    # Both halves of a fact share its position; repeated calls of a name in one declaration are one fact.
+    icall = c("fact") == "icall"
+    halves = _fact_rows(shaped).groupBy(
+        "h1", "h2", "fact", F.when(~icall, c("n")).alias("at"),
+        F.when(icall, c("symbol.owner")).alias("caller"), F.when(icall, c("symbol.name")).alias("callee"),
+    ).agg(F.min("n").alias("n"), *[F.first(x, ignorenulls=True).alias(x) for x in ("level", "chain", *parts)])
+    halves = halves.drop("at", "caller", "callee")
     # Halves without the call itself come from optional chains.
     named = _with_names(halves.filter((c("fact") != "call") | c("half_call").isNotNull()), c("half_call.name"))
     wanted = F.arrays_overlap("names", F.array(*[F.lit(x) for x in CALL_NAMES_OF_INTEREST]))

@@ -59,7 +59,8 @@ class Audit:
     # -- facts of the source text -----------------------------------------------------------
     @cached_property
     def text_facts(self) -> DataFrame:
-        return settle(text_rules.text_facts(self.files, self.with_chains), "text_facts", ("rule_id",))
+        families = text_rules.FAMILIES if self.with_chains else text_rules.FAMILIES[:-1]
+        return settle(text_rules.text_facts(self.files, families), "text_facts", ("rule_id",))
 
     @cached_property
     def facts(self) -> DataFrame:
