@@ -71,8 +71,46 @@ DEEP_WORDS = (
 )
 # --- End of fixed values ---------------------------------------------------------------------
 
-# Token classes, decided once per token so that later tests are integer comparisons.
-WORD, STRING, NUMBER, TEMPLATE, SIGN = 1, 2, 3, 4, 0
+# What a token is, as bits of one number: tests on a token and its neighbours are then integer
+# masks, which keeps the compiled projections small and the window rows narrow.
+WORD, STRING, NUMBER, TEMPLATE = 1, 2, 4, 8
+TOKEN_SETS = {
+    "dot": (".",), "chain": ("?.",), "(": ("(",), ")": (")",), "[": ("[",), "]": ("]",), "{": ("{",), "}": ("}",),
+    ",": (",",), ";": (";",), ":": (":",), "=": ("=",), "@": ("@",), "*": ("*",), "=>": ("=>",), "sign": ("+", "-"),
+    "member_start": ("@", "#", "*", "["), "variable": VARIABLE_WORDS, "prefix": PREFIX_WORDS, "call_stop": CALL_STOP_WORDS,
+    "weaker": WEAKER, "multiplicative": MULTIPLICATIVE, "joined": ("instanceof", "in", "as", "of", "satisfies"),
+    "function": ("function",), "class": ("class",), "default": ("default",), "async": ("async",), "new": ("new",),
+    "statement_word": ("export", "default", "async", "declare", "abstract"),
+    "before_async_function": ("=", "(", ",", "=>", "return", ":"),
+    "no_call_before": (".", "?.", "function", "new", "async", "*", "get", "set", "static", "#", "@"),
+    "page_size": rb.PAGE_SIZE_NAMES,
+    "query_object": tuple(q + n + q for n in rb.QUERY_OBJECT_CALLS for q in ("", '"', "'")),
+    "graphql_type": tuple(q + n + q for n in rb.GRAPHQL_TYPES for q in ("", '"', "'")),
+    "min": ("min",), "Math": ("Math",), "query": ("query",), "req": ("req",), "end": ("",),
+}
+BIT = {name: 1 << (4 + i) for i, name in enumerate(TOKEN_SETS)}
+_TOKEN_BITS: dict[str, int] = {}
+for _name, _members in TOKEN_SETS.items():
+    for _token in _members:
+        _TOKEN_BITS[_token] = _TOKEN_BITS.get(_token, 0) | BIT[_name]
+
+
+def _bits(t: Column) -> Column:
+    """Bits of a token: its class from the first character, the rest from one table lookup."""
+    initial = F.substring(t, 1, 1)
+    klass = (
+        F.when(initial.rlike(r"[\p{L}_$]"), WORD).when(initial.isin('"', "'") & (F.length(t) > 1), STRING)
+        .when(initial == "`", TEMPLATE).when(initial.between("0", "9"), NUMBER).otherwise(0)).cast("bigint")
+    place = F.array_position(F.array(*[F.lit(x) for x in _TOKEN_BITS]), t).cast("int")
+    return klass.bitwiseOR(F.element_at(F.array(*[F.lit(x).cast("bigint") for x in (0, *_TOKEN_BITS.values())]), place + 1))
+
+
+def _has(bits: Column, *sets: str | int) -> Column:
+    mask = 0
+    for x in sets:
+        mask |= x if isinstance(x, int) else BIT[x]
+    return bits.bitwiseAND(F.lit(mask).cast("bigint")) != 0
+
 
 # Openers of interest: what stands before a bracket, decided once per bracket.
 DOT_CALL, TEXT_CALL, MIN_CALL, DECORATOR, QUERY_OBJECT, GRAPHQL_MAP = 1, 2, 3, 4, 5, 6
@@ -123,29 +161,27 @@ def _placed(rows: DataFrame, *extra: str) -> DataFrame:
     by_file = W.partitionBy("h1", "h2").orderBy("n")
     running = by_file.rowsBetween(W.unboundedPreceding, W.currentRow)
     t, g = F.col("t"), F.col("g")
-    initial = F.substring(t, 1, 1)
-    token_class = (
-        F.when(initial.isin('"', "'") & (F.length(t) > 1), STRING).when(initial == "`", TEMPLATE)
-        .when(initial.between("0", "9"), NUMBER).when(initial.rlike(r"[\p{L}_$]"), WORD).otherwise(SIGN))
-    step = F.when(t.isin(*OPENERS), 1).when(t.isin(*CLOSERS), -1).otherwise(0)
+    c = F.col
     sized = rows.select(
-        "h1", "h2", *extra, "n", "t", token_class.cast("tinyint").alias("k"), step.alias("step"),
+        "h1", "h2", *extra, "n", "t", _bits(t).alias("b"),
         F.length(g).alias("gap"), F.length(t).alias("size"),
         tx.count_newlines(g).alias("gap_lines"), tx.count_newlines(t).alias("own_lines"))
-    c = F.col
+    step = F.when(_has(c("b"), "(", "[", "{"), 1).when(_has(c("b"), ")", "]", "}"), -1).otherwise(0)
+    no_bits = F.lit(0).cast("bigint")
     placed = sized.select(
-        "h1", "h2", *extra, "n", "t", "k", "step", "gap", "gap_lines",
+        "h1", "h2", *extra, "n", "t", "b", "gap", "gap_lines",
         (F.sum(c("gap") + c("size")).over(running) - c("size")).cast("int").alias("pos"),
         (1 + F.sum(c("gap_lines") + c("own_lines")).over(running) - c("own_lines")).cast("int").alias("line"),
-        F.sum("step").over(running).cast("int").alias("depth"),
-        *[F.lag("t", i).over(by_file).alias(f"p{i}") for i in (1, 2, 3, 4)],
-        *[F.lag("k", i).over(by_file).alias(f"k{i}") for i in (1, 2, 3)],
+        F.sum(step).over(running).cast("int").alias("depth"),
+        *[F.lag("b", i, 0).over(by_file).alias(f"b{i}") for i in (1, 2, 3, 4)],
+        *[F.lead("b", i, 0).over(by_file).alias(f"y{i}") for i in (1, 2)],
+        *[F.lag("t", i).over(by_file).alias(f"p{i}") for i in (1, 2)],
         *[F.lead("t", i).over(by_file).alias(f"x{i}") for i in (1, 2)],
-        F.lead("k", 1).over(by_file).alias("kx1"), F.lead("k", 2).over(by_file).alias("kx2"),
     )
+    closes = _has(c("b"), ")", "]", "}")
     return placed.withColumns({
-        "opens": c("step") == 1, "closes": c("step") == -1,
-        "lvl": F.when(c("step") == -1, c("depth") + 1).otherwise(c("depth")),
+        "opens": _has(c("b"), "(", "[", "{"), "closes": closes,
+        "lvl": F.when(closes, c("depth") + 1).otherwise(c("depth")),
         "prev_end": c("pos") - c("gap"),
         "prev_line": c("line") - c("gap_lines"),
     })
@@ -166,58 +202,52 @@ def _owned(placed: DataFrame) -> DataFrame:
     running = by_file.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = by_file.rowsBetween(W.unboundedPreceding, -1)
     c = F.col
-    t, p1, p2, p3 = c("t"), c("p1"), c("p2"), c("p3")
-    top = c("lvl") == F.abs("step")
+    b, b1, b2, b3, b4, y1, y2 = (c(x) for x in ("b", "b1", "b2", "b3", "b4", "y1", "y2"))
+    top = c("lvl") == F.when(c("opens") | c("closes"), 1).otherwise(0)
     new_line = c("gap_lines") > 0
-    ends = top & ((t == ";") | ((t == "}") & (c("x1").isNull() | (c("kx1") == WORD) | c("x1").isin("", ";", "@"))))
-    first = p1.isNull() | p1.isin(";", "}", "export", "default", "async", "declare", "abstract") | new_line
-    function = top & (t == "function") & first & ~_true((p1 == "async") & p2.isin("=", "(", ",", "=>", "return", ":"))
-    klass = top & (t == "class") & first
-    variable = top & t.isin(*VARIABLE_WORDS) & (c("kx1") == WORD)
-    star = function & (c("x1") == "*")
-    name = F.when(star & (c("kx2") == WORD), c("x2")).when((function | klass | variable) & (c("kx1") == WORD), c("x1"))
-    is_icall = (
-        (t == "(") & (c("k1") == WORD) & ~p1.isin(*CALL_STOP_WORDS)
-        & ~F.coalesce(p2, F.lit("")).isin(".", "?.", "function", "new", "async", "*", "get", "set", "static", "#", "@")
-    )
-    dot_call = (t == "(") & (p2 == ".") & (c("k1") == WORD)
-    text_call = (t == "(") & (p1 == "]") & (p3 == "[") & (c("k2") == STRING)
-    plain2, plain3 = F.regexp_replace(p2, "[\"']", ""), F.regexp_replace(p3, "[\"']", "")
-    query_object = (t == "{") & (p1 == "(") & (
-        ((p3 == ".") & p2.isin(*rb.QUERY_OBJECT_CALLS)) | ((p2 == "]") & plain3.isin(*rb.QUERY_OBJECT_CALLS)))
-    graphql_map = (t == "{") & (p1 == ":") & plain2.isin(*rb.GRAPHQL_TYPES) & p3.isin("{", ",")
-    form = F.when(c("opens"), (
-        F.when(dot_call & (p1 == "min") & (p3 == "Math") & ~_true(c("p4") == "."), MIN_CALL)
-        .when(dot_call, DOT_CALL).when(text_call, TEXT_CALL)
-        .when((t == "(") & (p2 == "@") & (c("k1") == WORD), DECORATOR)
-        .when(query_object, QUERY_OBJECT).when(graphql_map, GRAPHQL_MAP).otherwise(0))).cast("tinyint")
-    label = F.when(dot_call | ((t == "(") & (p2 == "@")), p1).when(text_call, unquote(p2)).when(graphql_map, plain2)
-    operand = ((c("k1") == WORD) & ~p1.isin(*PREFIX_WORDS)) | p1.isin(")", "]")
-    operand_end = operand | c("k1").isin(STRING, NUMBER, TEMPLATE) | (p1 == "}")
-    joined_word = t.isin("instanceof", "in", "as", "of", "satisfies")
+    ends = top & (_has(b, ";") | (_has(b, "}") & (_has(y1, WORD, "end", ";", "@") | (y1 == 0) & c("x1").isNull())))
+    first = (c("n") == 0) | _has(b1, ";", "}", "statement_word") | new_line
+    function = top & _has(b, "function") & first & ~(_has(b1, "async") & _has(b2, "before_async_function"))
+    named = function | (top & _has(b, "class") & first) | (top & _has(b, "variable"))
+    name = F.when(function & _has(y1, "*") & _has(y2, WORD), c("x2")).when(named & _has(y1, WORD), c("x1"))
+    round_open = _has(b, "(")
+    is_icall = round_open & _has(b1, WORD) & ~_has(b1, "call_stop") & ~_has(b2, "no_call_before")
+    dot_call = round_open & _has(b2, "dot") & _has(b1, WORD)
+    text_call = round_open & _has(b1, "]") & _has(b2, STRING) & _has(b3, "[")
+    decorator = round_open & _has(b2, "@") & _has(b1, WORD)
+    curly_open = _has(b, "{")
+    query_object = curly_open & _has(b1, "(") & (
+        (_has(b3, "dot") & _has(b2, "query_object") & _has(b2, WORD)) | (_has(b2, "]") & _has(b3, "query_object") & _has(b3, STRING)))
+    graphql_map = curly_open & _has(b1, ":") & _has(b2, "graphql_type") & _has(b3, "{", ",")
+    form = (
+        F.when(dot_call & _has(b1, "min") & _has(b3, "Math") & ~_has(b4, "dot"), MIN_CALL)
+        .when(dot_call, DOT_CALL).when(text_call, TEXT_CALL).when(decorator, DECORATOR)
+        .when(query_object, QUERY_OBJECT).when(graphql_map, GRAPHQL_MAP).when(c("opens"), 0)).cast("tinyint")
+    label = F.when(dot_call | decorator, c("p1")).when(text_call, unquote(c("p2"))).when(
+        graphql_map, F.when(_has(b2, STRING), unquote(c("p2"))).otherwise(c("p2")))
+    operand = (_has(b1, WORD) & ~_has(b1, "prefix")) | _has(b1, ")", "]")
+    operand_end = operand | _has(b1, STRING, NUMBER, TEMPLATE, "}")
     begins = (
-        p1.isNull() | (p1 == ";") | t.isin(*VARIABLE_WORDS)
-        | ((p1 == "}") & ((c("k") != SIGN) | (t == "@")) & ~joined_word)
-        | (new_line & operand_end & (c("k").isin(WORD, NUMBER) | (t == "@")) & ~joined_word))
+        (c("n") == 0) | _has(b1, ";") | _has(b, "variable")
+        | (_has(b1, "}") & _has(b, WORD, STRING, NUMBER, TEMPLATE, "@") & ~_has(b, "joined"))
+        | (new_line & operand_end & _has(b, WORD, NUMBER, "@") & ~_has(b, "joined")))
     continues = (
-        t.isin(".", "?.") | p1.isin(".", "?.") | (p1 == "new") | c("closes")
-        | (t.isin("(", "[") & (operand | c("k1").isin(STRING, TEMPLATE))) | ((c("k") == TEMPLATE) & operand))
-    owned = placed.withColumns({
-        "segment": F.coalesce(F.sum(ends.cast("int")).over(before), F.lit(0)),
-        "decl_name": name,
-        "is_default": _true((p1 == "default") | (p2 == "default")),
-        "is_icall": _true(is_icall),
-        "form": form, "label": label,
-        "continues": _true(continues), "begins": _true(begins),
-        "is_query_size": _true((p1 == ".") & (p2 == "query") & (p3 == ".") & (c("p4") == "req")),
-        # The third and fourth neighbour of a text call: what its bracket is taken from.
-        "text_base": _true((c("k") == SIGN) & ((c("p4").isin(")", "]")) | c("p4").rlike(r"^[\p{L}_$]"))),
-        "member_end": _true((t == ";") | ((t == "}") & (c("x1").isNull() | c("kx1").isin(WORD, STRING) | c("x1").isin("@", "#", "*", "[", "}", ";", "")))),
-        "method_name": _true((c("k") == WORD) & (c("x1") == "(") & ~F.coalesce(p1, F.lit("")).isin("@", ".", "?.", "new") & ~t.isin(*CALL_STOP_WORDS)),
-    }).withColumn(
+        _has(b, "dot", "chain") | _has(b1, "dot", "chain", "new") | c("closes")
+        | (_has(b, "(", "[") & (operand | _has(b1, STRING, TEMPLATE))) | (_has(b, TEMPLATE) & operand))
+    tested = placed.withColumns({
+        "ends": ends.cast("int"), "decl_name": name,
+        "is_default": _has(b1, "default") | _has(b2, "default"), "is_icall": is_icall,
+        "form": form, "label": label, "continues": continues, "begins": begins,
+        "is_query_size": _has(b1, "dot") & _has(b2, "query") & _has(b3, "dot") & _has(b4, "req"),
+        # What a text call takes its bracket from.
+        "text_base": _has(b4, WORD, ")", "]"),
+        "member_end": _has(b, ";") | (_has(b, "}") & (_has(y1, WORD, STRING, "member_start", "}", ";", "end") | c("x1").isNull())),
+        "method_name": _has(b, WORD) & _has(y1, "(") & ~_has(b1, "@", "dot", "chain", "new") & ~_has(b, "call_stop"),
+    }).drop("p2", "x1", "x2", "b2", "b3", "b4", "y2", "gap")
+    numbered = tested.withColumn("segment", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    return numbered.withColumn(
         "owner", _last(F.when(c("decl_name").isNotNull(), F.struct("decl_name", "segment")), running)
-    ).withColumn("owner", F.when(c("owner.segment") == c("segment"), c("owner.decl_name")))
-    return owned.drop("p2", "p3", "p4", "k2", "k3", "x2", "kx1", "kx2", "segment", "gap", "gap_lines", "step")
+    ).withColumn("owner", F.when(c("owner.segment") == c("segment"), c("owner.decl_name"))).drop("segment", "ends", "gap_lines")
 
 
 SYMBOL_LEVEL = -1_000_000
@@ -231,7 +261,7 @@ def _leveled(owned: DataFrame) -> DataFrame:
     symbol = F.when(c("decl_name").isNotNull() | (c("is_icall") & c("owner").isNotNull()), F.array(F.lit(SYMBOL_LEVEL)))
     none = F.array().cast("array<int>")
     levels = F.concat(
-        F.when(c("deep"), inner).otherwise(F.when(c("t") == "", F.array(c("lvl"))).otherwise(none)),
+        F.when(c("deep"), inner).otherwise(F.when(_has(c("b"), "end"), F.array(c("lvl"))).otherwise(none)),
         F.coalesce(symbol, none))
     leveled = owned.withColumn("level", F.explode(levels)).withColumns({
         "symbol_row": c("level") == SYMBOL_LEVEL,
@@ -250,30 +280,30 @@ def _structured(leveled: DataFrame) -> DataFrame:
     running = by_level.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = by_level.rowsBetween(W.unboundedPreceding, -1)
     c = F.col
-    t, p1, item = c("t"), c("p1"), c("item")
+    t, b, b1, item = c("t"), c("b"), c("b1"), c("item")
     border_open = c("border") & c("opens")
     begins = item & c("begins") & ~c("closes")
-    boundary = c("border") | (item & (t.isin(",", ";", "") | begins))
-    comma = item & (t == ",")
-    variable = item & t.isin(*VARIABLE_WORDS)
+    boundary = c("border") | (item & (_has(b, ",", ";", "end") | begins))
+    comma = item & _has(b, ",")
+    variable = item & _has(b, "variable")
     opener = F.struct("n", "line", "t", "form", "label", "text_base")
     step1 = leveled.withColumns({
         "boundary": boundary,
         "commas": F.sum(comma.cast("int")).over(running),
-        "head": _last(F.when(item & ~c("continues"), F.struct("n", "pos", "line", p1.isin("(", ",").alias("in_list"))), running),
-        "optional_n": _last(F.when(item & (t == "?."), c("n")), running),
+        "head": _last(F.when(item & ~c("continues"), F.struct("n", "pos", "line", _has(b1, "(", ",").alias("in_list"))), running),
+        "optional_n": _last(F.when(item & _has(b, "chain"), c("n")), running),
         "open_item": _last(F.when(item & c("opens"), opener), running),
         "group": _last(F.when(border_open, F.struct("n", "t", "form", "label")), running),
         "prev_boundary": F.coalesce(_last(F.when(boundary, c("n")), before), F.lit(-1)),
         "variable_n": _last(F.when(variable, c("n")), running),
-        "statement_n": F.coalesce(_last(F.when(item & ((t == ";") | (begins & ~variable)), c("n")), running), F.lit(-1)),
+        "statement_n": F.coalesce(_last(F.when(item & (_has(b, ";") | (begins & ~variable)), c("n")), running), F.lit(-1)),
         "members": F.coalesce(F.sum((item & c("member_end")).cast("int")).over(before), F.lit(0)),
         "method": _last(F.when(item & c("method_name"), F.struct("n", "t")), running),
     })
 
     o = c("open_item")
     called = o["form"].isin(DOT_CALL, MIN_CALL) | ((o["form"] == TEXT_CALL) & o["text_base"])
-    is_call = item & (t == ")") & called & ~_true(c("optional_n") > c("head.n"))
+    is_call = item & _has(b, ")") & called & ~_true(c("optional_n") > c("head.n"))
     step2 = step1.withColumns({
         "is_call": _true(is_call),
         # The token before the "." or "[" of the call: a chain goes on if a member call closes there.
@@ -288,26 +318,26 @@ def _structured(leveled: DataFrame) -> DataFrame:
     in_call = _true(c("group.form").between(DOT_CALL, DECORATOR))
     in_object = _true(c("group.form") >= QUERY_OBJECT)
     arg0, arg1 = in_call & (c("arg") == 0), in_call & (c("arg") == 1)
-    key = item & in_object & p1.isin("{", ",") & c("k").isin(WORD, STRING) & c("x1").isin(":", ",", "}")
-    named_in_list = (p1 == ",") & (c("variable_n") > F.greatest(c("statement_n"), group_n))
-    declared = item & t.isin(*rb.PAGE_SIZE_NAMES) & c("x1").isin("=", ":") & (p1.isin(*VARIABLE_WORDS) | named_in_list)
-    unary = p1.isNull() | p1.isin("(", ",", *WEAKER, *MULTIPLICATIVE)
-    weak = item & arg0 & t.isin(*WEAKER) & ~(t.isin("+", "-") & unary)
+    key = item & in_object & _has(b1, "{", ",") & _has(b, WORD, STRING) & _has(c("y1"), ":", ",", "}")
+    named_in_list = _has(b1, ",") & (c("variable_n") > F.greatest(c("statement_n"), group_n))
+    declared = item & _has(b, "page_size") & _has(c("y1"), "=", ":") & (_has(b1, "variable") | named_in_list)
+    unary = (c("n") == 0) | _has(b1, "(", ",", "weaker", "multiplicative")
+    weak = item & arg0 & _has(b, "weaker") & ~(_has(b, "sign") & unary)
     # Plain property access keeps an argument a member expression; anything else does not.
-    odd = item & (c("k") != WORD) & ~t.isin(".", "[", "]")
-    begin = F.struct("n", "t", "k", "pos")
+    odd = item & ~_has(b, WORD, "dot", "[", "]")
+    begin = F.struct("n", "t", "b", "pos")
     return step2.withColumns({
-        "key": _last(F.when(key, F.struct("n", "t", "k", "pos", "line")), running),
+        "key": _last(F.when(key, F.struct("n", "t", "b", "pos", "line")), running),
         "declared": _last(F.when(declared, F.struct("n", "t", "pos", "line")), running),
         "comma1": _last(F.when(comma & arg1, F.struct("n", "prev_end")), running),
         "comma2": _last(F.when(comma & in_call & (c("arg") == 2), F.struct("n", "prev_end")), running),
         "item1": _last(F.when(item & in_call & (c("n") == group_n + 1), begin), running),
-        "item2": _last(F.when(item & arg1 & (p1 == ","), begin), running),
+        "item2": _last(F.when(item & arg1 & _has(b1, ","), begin), running),
         "weak_n": _last(F.when(weak, c("n")), running),
-        "strong": _last(F.when(item & arg0 & t.isin(*MULTIPLICATIVE), F.struct("n", "t")), running),
+        "strong": _last(F.when(item & arg0 & _has(b, "multiplicative"), F.struct("n", "b")), running),
         "odd_n": _last(F.when(odd & arg0, c("n")), running),
-        "odd2_n": _last(F.when(odd & arg1 & (t != ","), c("n")), running),
-        "arrow1_n": _last(F.when(item & arg1 & t.isin("=>", "function"), c("n")), running),
+        "odd2_n": _last(F.when(odd & arg1 & ~_has(b, ","), c("n")), running),
+        "arrow1_n": _last(F.when(item & arg1 & _has(b, "=>", "function"), c("n")), running),
         "chain": _last(F.when(c("is_call") & (c("prev_call_n").isNull() | (c("prev_call_n") != c("link"))), c("n")), running),
     })
 
@@ -316,11 +346,11 @@ def _argument(first: Column, end_n: Column, odd_n: Column, open_n: Column, arrow
     """Kind of a call argument from its first token and its length in tokens."""
     single = end_n == first["n"] + 1
     kind = F.when(first.isNull(), F.lit(None).cast("string"))
-    kind = kind.when(single & (first["k"] == STRING), "string").when(single & (first["k"] == NUMBER), "number")
-    kind = kind.when(single & (first["k"] == WORD), "identifier")
+    kind = kind.when(single & _has(first["b"], STRING), "string").when(single & _has(first["b"], NUMBER), "number")
+    kind = kind.when(single & _has(first["b"], WORD), "identifier")
     if arrow_n is not None:
         kind = kind.when(_true(arrow_n > open_n), "function")
-    kind = kind.when((first["k"] == WORD) & ~_true(odd_n > open_n), "member")
+    kind = kind.when(_has(first["b"], WORD) & ~_true(odd_n > open_n), "member")
     return kind.when(first["t"] == "{", "object").otherwise("expression")
 
 
@@ -328,12 +358,12 @@ def _fact_rows(s: DataFrame) -> DataFrame:
     """Fact candidates, still without text; calls and decorators come in two halves that share a key."""
     c = F.col
     g, o, item, border = c("group"), c("open_item"), c("item"), c("border")
-    closes_call = border & (c("t") == ")")
+    closes_call = border & _has(c("b"), ")")
     end0 = F.when(c("comma1.n") > g["n"], c("comma1")).otherwise(F.struct(c("n"), c("prev_end")))
     end1 = F.when(c("comma2.n") > g["n"], c("comma2")).otherwise(F.struct(c("n"), c("prev_end")))
     item1 = F.when((c("item1.n") == g["n"] + 1) & (c("item1.n") < c("n")), c("item1"))
     item2 = F.when((c("item2.n") > g["n"]) & (c("item2.n") < c("n")), c("item2"))
-    mult = ~_true(c("weak_n") > g["n"]) & _true((c("strong.n") > g["n"]) & (c("strong.t") == "*"))
+    mult = ~_true(c("weak_n") > g["n"]) & _true((c("strong.n") > g["n"]) & _has(c("strong.b"), "*"))
     half_call = F.struct(
         o["label"].alias("name"), (o["form"] != TEXT_CALL).alias("dotted"), c("head.pos").alias("start"),
         (c("pos") + 1).alias("stop"), c("head.line").alias("line_start"), c("line").alias("line_end"))
@@ -343,12 +373,12 @@ def _fact_rows(s: DataFrame) -> DataFrame:
         _argument(item2, end1["n"], c("odd2_n"), g["n"], c("arrow1_n")).alias("kind1"),
         item2["pos"].alias("a1"), end1["prev_end"].alias("b1"), mult.alias("mult"))
 
-    closes_piece = (item & (c("t") == ",")) | (border & c("closes"))
+    closes_piece = (item & _has(c("b"), ",")) | (border & c("closes"))
     is_prop = _true(g["form"] >= QUERY_OBJECT) & closes_piece & (c("key.n") == c("prev_boundary") + 1)
     value_symbol = F.when(c("n") == c("key.n") + 1, c("key.t")).when(
-        (c("n") == c("key.n") + 3) & (c("k1") == WORD), c("p1"))
+        (c("n") == c("key.n") + 3) & _has(c("b1"), WORD), c("p1"))
     prop = F.struct(
-        F.when(c("key.k") == STRING, unquote(c("key.t"))).otherwise(c("key.t")).alias("name"),
+        F.when(_has(c("key.b"), STRING), unquote(c("key.t"))).otherwise(c("key.t")).alias("name"),
         c("key.pos").alias("start"), c("prev_end").alias("stop"),
         c("key.line").alias("line_start"), c("prev_line").alias("line_end"),
         F.coalesce(g["label"], F.lit("arg")).alias("owner"), (g["n"] - 1).alias("parent"), value_symbol.alias("symbol"))
@@ -359,21 +389,21 @@ def _fact_rows(s: DataFrame) -> DataFrame:
         c("declared.line").alias("line_start"), c("prev_line").alias("line_end"))
 
     is_cap = (
-        (g["form"] == MIN_CALL) & item & c("t").isin(*rb.PAGE_SIZE_NAMES) & c("x1").isin(",", ")")
-        & (c("p1").isin("(", ",") | (c("is_query_size") & (c("head.n") == c("n") - 4) & c("head.in_list"))))
+        (g["form"] == MIN_CALL) & item & _has(c("b"), "page_size") & _has(c("y1"), ",", ")")
+        & (_has(c("b1"), "(", ",") | (c("is_query_size") & (c("head.n") == c("n") - 4) & c("head.in_list"))))
 
     # A decorator is seen from outside (which member it precedes) and from inside (its argument).
-    is_decorator = item & (c("t") == ")") & (o["form"] == DECORATOR)
+    is_decorator = item & _has(c("b"), ")") & (o["form"] == DECORATOR)
     half_decorator = F.struct(
         o["label"].alias("name"), o["line"].alias("line"), c("members").alias("member"), g["n"].alias("parent"))
     path_literal = F.struct(F.when(
-        (item1["k"] == STRING) & (end0["n"] == item1["n"] + 1), unquote(item1["t"])).alias("path"))
-    is_method = item & c("member_end") & (g["t"] == "{") & (c("t") == "}") & (o["t"] == "{") & (c("method.n") > g["n"])
+        _has(item1["b"], STRING) & (end0["n"] == item1["n"] + 1), unquote(item1["t"])).alias("path"))
+    is_method = item & c("member_end") & (g["t"] == "{") & _has(c("b"), "}") & (o["t"] == "{") & (c("method.n") > g["n"])
     method = F.struct(
         c("method.t").alias("name"), c("line"), c("members").alias("member"), g["n"].alias("parent"))
 
     mismatch = border & c("closes") & ~_true(F.concat(g["t"], c("t")).isin("()", "[]", "{}"))
-    is_bad = mismatch | ((c("t") == "") & ~c("symbol_row") & (c("depth") != 0))
+    is_bad = mismatch | (_has(c("b"), "end") & ~c("symbol_row") & (c("depth") != 0))
 
     symbol = F.struct(F.coalesce(c("decl_name"), c("p1")).alias("name"), c("owner"), c("line"), c("is_default"))
     is_decl = c("decl_name").isNotNull()
