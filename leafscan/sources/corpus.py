@@ -50,7 +50,8 @@ def _over_tables(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> D
     """Run ``text`` over parquet tables; its ``{table}`` marks become the files themselves."""
     for table in tables:
         text = text.replace("{%s}" % table, f"parquet.`{sf_dir}/{table}.parquet`")
-    return spark.sql(text)
+    # The given tables are single files; as a table of sources they are spread like one.
+    return spark.sql(text).repartition(spark.sparkContext.defaultParallelism, "project", "file_path")
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
