@@ -69,6 +69,7 @@ DEEP_WORDS = (
     r"skip|offset|findMany|findAll|sort|order|req\s*\.\s*query|Query|Mutation|Math"
     r"|\b(?:get|post|put|patch|delete|options|head)\b|@\s*(?:Get|Post|Put|Patch|Delete|Options|Head)\b"
 )
+DECORATOR_WORDS = r"@\s*(?:Get|Post|Put|Patch|Delete|Options|Head|Query|Mutation)\b"
 # --- End of fixed values ---------------------------------------------------------------------
 
 # What a token is, as bits of one number: tests on a token and its neighbours are then integer
@@ -271,6 +272,7 @@ def _leveled(owned: DataFrame) -> DataFrame:
     return leveled.withColumns({
         "item": ~c("border") & ~c("symbol_row"),
         "owner": F.when(c("symbol_row"), c("owner")), "decl_name": F.when(c("symbol_row"), c("decl_name")),
+        "p1": F.when(c("symbol_row") | _has(c("b"), ",", "}"), c("p1")),
     })
 
 
@@ -286,19 +288,19 @@ def _structured(leveled: DataFrame) -> DataFrame:
     boundary = c("border") | (item & (_has(b, ",", ";", "end") | begins))
     comma = item & _has(b, ",")
     variable = item & _has(b, "variable")
-    opener = F.struct("n", "line", "t", "form", "label", "text_base")
+    opener = F.struct("n", "line", "b", "form", "label", "text_base")
     step1 = leveled.withColumns({
         "boundary": boundary,
         "commas": F.sum(comma.cast("int")).over(running),
         "head": _last(F.when(item & ~c("continues"), F.struct("n", "pos", "line", _has(b1, "(", ",").alias("in_list"))), running),
         "optional_n": _last(F.when(item & _has(b, "chain"), c("n")), running),
         "open_item": _last(F.when(item & c("opens"), opener), running),
-        "group": _last(F.when(border_open, F.struct("n", "t", "form", "label")), running),
+        "group": _last(F.when(border_open, F.struct("n", "b", "form", F.when(c("form") == GRAPHQL_MAP, c("label")).alias("label"))), running),
         "prev_boundary": F.coalesce(_last(F.when(boundary, c("n")), before), F.lit(-1)),
         "variable_n": _last(F.when(variable, c("n")), running),
         "statement_n": F.coalesce(_last(F.when(item & (_has(b, ";") | (begins & ~variable)), c("n")), running), F.lit(-1)),
         "members": F.coalesce(F.sum((item & c("member_end")).cast("int")).over(before), F.lit(0)),
-        "method": _last(F.when(item & c("method_name"), F.struct("n", "t")), running),
+        "method": _last(F.when(item & c("decorated") & c("method_name"), F.struct("n", "t")), running),
     })
 
     o = c("open_item")
@@ -325,7 +327,7 @@ def _structured(leveled: DataFrame) -> DataFrame:
     weak = item & arg0 & _has(b, "weaker") & ~(_has(b, "sign") & unary)
     # Plain property access keeps an argument a member expression; anything else does not.
     odd = item & ~_has(b, WORD, "dot", "[", "]")
-    begin = F.struct("n", "t", "b", "pos")
+    begin = F.struct("n", F.when(_has(b, STRING), t).alias("t"), "b", "pos")
     return step2.withColumns({
         "key": _last(F.when(key, F.struct("n", "t", "b", "pos", "line")), running),
         "declared": _last(F.when(declared, F.struct("n", "t", "pos", "line")), running),
@@ -351,7 +353,7 @@ def _argument(first: Column, end_n: Column, odd_n: Column, open_n: Column, arrow
     if arrow_n is not None:
         kind = kind.when(_true(arrow_n > open_n), "function")
     kind = kind.when(_has(first["b"], WORD) & ~_true(odd_n > open_n), "member")
-    return kind.when(first["t"] == "{", "object").otherwise("expression")
+    return kind.when(_has(first["b"], "{"), "object").otherwise("expression")
 
 
 def _fact_rows(s: DataFrame) -> DataFrame:
@@ -398,11 +400,14 @@ def _fact_rows(s: DataFrame) -> DataFrame:
         o["label"].alias("name"), o["line"].alias("line"), c("members").alias("member"), g["n"].alias("parent"))
     path_literal = F.struct(F.when(
         _has(item1["b"], STRING) & (end0["n"] == item1["n"] + 1), unquote(item1["t"])).alias("path"))
-    is_method = item & c("member_end") & (g["t"] == "{") & _has(c("b"), "}") & (o["t"] == "{") & (c("method.n") > g["n"])
+    is_method = item & c("member_end") & c("decorated") & _has(g["b"], "{") & _has(c("b"), "}") & _has(o["b"], "{") & (c("method.n") > g["n"])
     method = F.struct(
         c("method.t").alias("name"), c("line"), c("members").alias("member"), g["n"].alias("parent"))
 
-    mismatch = border & c("closes") & ~_true(F.concat(g["t"], c("t")).isin("()", "[]", "{}"))
+    pair = F.lit(False)
+    for opening, closing in zip(OPENERS, CLOSERS):
+        pair = pair | (_has(c("b"), closing) & _has(g["b"], opening))
+    mismatch = border & c("closes") & ~_true(pair)
     is_bad = mismatch | (_has(c("b"), "end") & ~c("symbol_row") & (c("depth") != 0))
 
     symbol = F.struct(F.coalesce(c("decl_name"), c("p1")).alias("name"), c("owner"), c("line"), c("is_default"))
@@ -445,15 +450,15 @@ def _with_names(calls: DataFrame, name: Column) -> DataFrame:
 
 def structure(files: DataFrame) -> DataFrame:
     """Tokens of all ``files`` with groups, runs and chains, without fact selection."""
-    rows = _explode(keyed(files), "h1", "h2", "project", "file_path").withColumn("deep", F.lit(True))
-    return _structured(_leveled(_owned(_placed(rows, "deep", "project", "file_path"))).filter(~F.col("symbol_row")))
+    rows = _explode(keyed(files), "h1", "h2", "project", "file_path").withColumn("deep", F.lit(True)).withColumn("decorated", F.lit(True))
+    return _structured(_leveled(_owned(_placed(rows, "deep", "decorated", "project", "file_path"))).filter(~F.col("symbol_row")))
 
 
 def brackets(files: DataFrame) -> DataFrame:
     """Matching bracket pairs."""
     c = F.col
     return structure(files).filter(c("item") & c("closes")).select(
-        "project", "file_path", c("open_item.t").alias("bracket"), c("open_item.n").alias("open_n"),
+        "project", "file_path", F.when(_has(c("b"), ")"), "(").when(_has(c("b"), "]"), "[").otherwise("{").alias("bracket"), c("open_item.n").alias("open_n"),
         c("n").alias("close_n"), c("lvl"))
 
 
@@ -476,9 +481,9 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
     by_key = keyed(files)
     c = F.col
     rows = _explode(
-        by_key.withColumn("deep", c("content").rlike(DEEP_WORDS)),
-        "h1", "h2", "deep")
-    shaped = _structured(_leveled(_owned(_placed(rows, "deep"))))
+        by_key.withColumns({"deep": c("content").rlike(DEEP_WORDS), "decorated": c("content").rlike(DECORATOR_WORDS)}),
+        "h1", "h2", "deep", "decorated")
+    shaped = _structured(_leveled(_owned(_placed(rows, "deep", "decorated"))))
     parts = ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol")
     # Both halves of a fact share its position; repeated calls of a name in one declaration are one fact.
     icall = c("fact") == "icall"
