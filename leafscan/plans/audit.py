@@ -1,8 +1,8 @@
 """The whole audit as one lazily built set of tables.
 
-Four intermediate tables are written once to the shared folder (``session.settle``): the facts of
-the two passes over the source text, the raw findings, and the units with their call chains. All
-later tables read those, so no table causes the text to be read again.
+The intermediate tables are written once to the shared folder (``session.settle``): the facts of
+the two passes over the source text, the raw findings, the units with their call chains, and the
+final findings. All later tables read those, so no table causes the text to be read again.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from ..session import settle
 from ..sources import files as fs
 
 
+# Two short strings a row: some 100 MB as a hash table in each executor.
+BROADCAST_ROWS = 1_000_000
+
+
 class Audit:
     """Tables of one audit over ``source_files(project, [root,] file_path, content)``.
 
@@ -33,14 +37,24 @@ class Audit:
         self.ignore, self.with_chains, self.max_bytes = tuple(ignore), call_chains, max_bytes
 
     # -- files ------------------------------------------------------------------------------
+    @cached_property
+    def backend_roots(self) -> DataFrame:
+        """Backend folders by project, from a scan of the paths alone.
+
+        This table meets the text itself, so it is counted: up to the bound it is broadcast and
+        the text stays where it is; beyond it the join is a shuffled one with skew handling.
+        """
+        roots = settle(fs.backend_roots(self.source_files), "backend_roots")
+        return F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+
     @cached_property
     def files(self) -> DataFrame:
-        return fs.audited_files(self.source_files, self.ignore)
+        return fs.audited_files(self.source_files, self.ignore, self.backend_roots)
 
     @cached_property
     def projects(self) -> DataFrame:
         """Every project of the input with its backend root; reads paths only."""
-        kept = fs.select_backend_root(self.source_files)
+        kept = fs.select_backend_root(self.source_files, self.backend_roots)
         return kept.groupBy("project").agg(F.min("root").alias("root"))
 
     @cached_property

@@ -82,10 +82,9 @@ def backend_roots(df: DataFrame) -> DataFrame:
     return best.select("project", F.element_at(hints, F.col("hint_rank") + 1).alias("backend_dir"))
 
 
-def select_backend_root(df: DataFrame) -> DataFrame:
+def select_backend_root(df: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Keep the files below each project's backend root; ``root`` becomes that folder."""
-    roots = backend_roots(df)
-    joined = df.join(roots, "project", "left")
+    joined = df.join(backend_roots(df) if roots is None else roots, "project", "left")
     below = F.concat(F.col("backend_dir"), F.lit("/"))
     new_root = F.when(F.col("backend_dir").isNull(), F.col("root")).otherwise(
         F.when(F.length(F.coalesce("root", F.lit(""))) > 0, F.concat_ws("/", F.rtrim("root", F.lit("/")), "backend_dir"))
@@ -97,9 +96,9 @@ def select_backend_root(df: DataFrame) -> DataFrame:
     )
 
 
-def audited_files(df: DataFrame, ignore: Iterable[str] = rb.USER_IGNORED_GLOBS) -> DataFrame:
+def audited_files(df: DataFrame, ignore: Iterable[str] = rb.USER_IGNORED_GLOBS, roots: DataFrame | None = None) -> DataFrame:
     """Backend files of the audited types after the ignore list (S01-S04 together)."""
-    kept = select_backend_root(source_files(df))
+    kept = select_backend_root(source_files(df), roots)
     kept = kept.filter(is_sql(F.col("file_path")) | is_code(F.col("file_path")))
     kept = kept.withColumn("content", F.make_valid_utf8("content"))
     return ignore_paths(kept, ignore)
