@@ -1,0 +1 @@
+"""Nothing here: the audit has no streaming operators."""
