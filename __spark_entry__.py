@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -731,9 +732,30 @@ def _(spark, d):
         a.project_metrics.select("project", "units_scored", "critical_units"), "project")
 
 
+def _optional(module: str) -> bool:
+    """Whether a module that may have been taken out is there; errors inside it are not hidden."""
+    spec = importlib.util.find_spec(module)
+    return spec is not None and spec.origin is not None
+
+
 def queries() -> dict[str, Query]:
-    return {name: function for name, (function, _) in REGISTRY.items()}
+    found = {name: function for name, (function, _) in REGISTRY.items()}
+    if _optional("leafscan.llm"):
+        from leafscan.llm.queries import QUERIES
+        found |= QUERIES
+        if _optional("corpus_pipeline"):
+            import corpus_pipeline
+            found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: twin for name, (_, twin) in REGISTRY.items() if twin is not None}
+    found = {name: twin for name, (_, twin) in REGISTRY.items() if twin is not None}
+    if _optional("leafscan.llm"):
+        from leafscan.llm.queries import ORACLES
+        found |= ORACLES
+        if _optional("corpus_pipeline"):
+            import corpus_pipeline
+            if corpus_pipeline.ORACLE_SQL is not None:
+                found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
