@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafscan.llm import common as c, line_quality, orc_ids, packing, sharding
+from leafscan.llm import bpe_stream, common as c, line_quality, orc_ids, packing, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,3 +36,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(c.table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(c.table(spark, sf_dir, "pages"))
+
+
+@register
+def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.encode_decode(c.table(spark, sf_dir, "documents"))
