@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafscan.llm import bpe_stream, common as c, line_quality, orc_ids, packing, sharding, warc
+from leafscan.llm import bpe_stream, collision_ann, common as c, line_quality, orc_ids, packing, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,6 +18,11 @@ def register(function: Query) -> Query:
     return function
 
 
+@register
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))
+
+
 @register
 def op2_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_ids.round_trip(c.table(spark, sf_dir, "documents"))
@@ -33,6 +38,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(c.table(spark, sf_dir, "documents"))
 
 
+@register
+def op6_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = c.table(spark, sf_dir, "embeddings")
+    return collision_ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 @register
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(c.table(spark, sf_dir, "documents"))
