@@ -1,13 +1,13 @@
 """Toxicity by weak supervision: many voters, a generative label model of their accuracies and correlations, a linear classifier.
 
 1. Voters. Lexicon voters say whether a text has a word of a list: small seed lists by kind of abuse, and lists mined from labelled training
-   rows (words that are most bound to the label, dealt out to ``mined_voters`` lists in turn). Pattern voters look for attacks on the reader,
+   rows (words and first letters of words that are most bound to the label, dealt out to ``mined_voters`` lists in turn). Pattern voters look for attacks on the reader,
    masked letters, shouting and bursts of exclamation marks.
 2. Label model. First and second moments of the votes, over all documents that are not held out, labelled or not. With ``p`` the share of toxic
    rows, independent voters have covariance ``p (1-p) d_i d_j``, ``d`` being the difference of their rates in the two classes: a rank-one fit
    of the off-diagonal covariance gives ``d``. Pairs that it leaves a large rest for are correlated; they are taken out, the fit is repeated,
    and the rest becomes covariance within the classes. The posterior follows the votes along a forest of the strongest correlations.
-3. Classifier. Logistic regression on words of training rows against the posteriors, then a two-parameter calibration on the same rows' labels.
+3. Classifier. Logistic regression on words and their first letters of training rows against the posteriors, then a two-parameter calibration on the same rows' labels.
 
 Labels are learnt only from rows whose crc32 of the id is not 0 modulo ``folds``; at most ``sample_rows`` labelled rows, those with the smallest hash,
 are used (that bounds the driver's work and the broadcast list of ids); everything else covers all rows. Scores look at the text alone.
@@ -48,6 +48,7 @@ PATTERNS = {
     "burst": (False, r"[!?]{3,}"),
 }
 WORDS = re.compile(r"[^\W\d_]+")
+STEM = 4
 
 
 @dataclass(frozen=True)
@@ -75,6 +76,12 @@ class Model:
     balance: float
 
 
+def terms(lower: str) -> set[str]:
+    """The words of a text in lower case, and the first letters of the longer ones with a star: inflected and compound forms share these."""
+    words = set(WORDS.findall(lower))
+    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
+
+
 def id_text(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
@@ -93,7 +100,7 @@ def _votes(texts: list[str], lists: list[set[str]]) -> np.ndarray:
     known = set(voters_of)
     for i, text in enumerate(texts):
         low = text.lower()
-        for w in known.intersection(WORDS.findall(low)):
+        for w in known.intersection(terms(low)):
             out[i, voters_of[w]] = True
         for k, (lower, p) in enumerate(patterns):
             if p.search(low if lower else text):
@@ -115,7 +122,7 @@ def _word_rows(sample: DataFrame) -> DataFrame:
         counts: tuple[Counter, Counter] = Counter(), Counter()
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                counts[int(y > 0)].update(set(WORDS.findall(text.lower())))
+                counts[int(y > 0)].update(terms(text.lower()))
         words = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([k[w] for w in words], pa.int64()) for k in counts)], ["word", "clean", "toxic"])
 
@@ -223,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     def features(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [sorted({place[w] for w in set(WORDS.findall(t.lower())) if w in place}) for t in texts]
+            found = [sorted({place[w] for w in terms(t.lower()) if w in place}) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(posterior(_votes(texts, lists), rates, pairs, balance)), pa.array(found, pa.list_(pa.int32()))],
                                              ["toxic", "posterior", "features"])
 
@@ -253,7 +260,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches):
         for batch in c.slices(batches, "_text"):
-            z = np.array([bias + sum(weights[w] for w in known.intersection(WORDS.findall(t.lower()))) for t in batch.column("_text").to_pylist()])
+            z = np.array([bias + sum(weights[w] for w in known.intersection(terms(t.lower()))) for t in batch.column("_text").to_pylist()])
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "_score", "_predicted"])
 
