@@ -57,9 +57,9 @@ class Settings:
     folds: int = 5
     mined_words: int = 48
     mined_voters: int = 12
-    min_rows: int = 8
+    min_rows: int = 3
     features: int = 8192
-    mined_errors: float = 5.0
+    mined_errors: float = 4.0
     feature_errors: float = 3.0
     rest: float = 0.25
     penalty: float = 0.5
@@ -179,16 +179,17 @@ def fit_label_model(n: int, joint: np.ndarray, balance: float, rest: float) -> t
 
 
 def posterior(votes: np.ndarray, rates: np.ndarray, pairs: list[tuple[int, int, float]], balance: float) -> np.ndarray:
-    """Probability of the toxic class: single factors of all voters, and for each correlated pair joint over single factors."""
+    """Probability of the toxic class: the factors of the voters that fired and, for correlated pairs of these, joint over single factors.
+
+    A voter that stays silent abstains, as its list may not be of the text's language; silence counts only where all are silent.
+    """
+    quiet = ~votes.any(1)
     log = []
     for rate in rates:
-        p = np.where(votes, rate, 1 - rate)
-        total = np.log(p).sum(1)
+        total = votes @ np.log(rate) + quiet * np.log(1 - rate).sum()
         for i, j, within in pairs:
-            both = np.clip(rate[i] * rate[j] + within, 1e-6, min(rate[i], rate[j]) - 1e-6)
-            table = np.array([[1 - rate[i] - rate[j] + both, rate[j] - both], [rate[i] - both, both]])
-            table = np.maximum(table, 1e-6)
-            total = total + np.log(table[votes[:, i].astype(int), votes[:, j].astype(int)]) - np.log(p[:, i]) - np.log(p[:, j])
+            both = np.clip(rate[i] * rate[j] + within, 1e-6, min(rate[i], rate[j]))
+            total = total + (votes[:, i] & votes[:, j]) * (np.log(both) - np.log(rate[i]) - np.log(rate[j]))
         log.append(total)
     odds = log[1] - log[0] + np.log(balance / (1 - balance))
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
