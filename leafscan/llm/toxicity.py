@@ -49,6 +49,7 @@ PATTERNS = {
 }
 WORDS = re.compile(r"[^\W\d_]+")
 STEM = 4
+TELLING = 3.0
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,7 @@ class Settings:
     min_rows: int = 3
     features: int = 8192
     mined_errors: float = 4.0
+    purity: float = 0.95
     feature_errors: float = 3.0
     rest: float = 0.25
     penalty: float = 0.5
@@ -181,12 +183,13 @@ def fit_label_model(n: int, joint: np.ndarray, balance: float, rest: float) -> t
 def posterior(votes: np.ndarray, rates: np.ndarray, pairs: list[tuple[int, int, float]], balance: float) -> np.ndarray:
     """Probability of the toxic class: the factors of the voters that fired and, for correlated pairs of these, joint over single factors.
 
-    A voter that stays silent abstains, as its list may not be of the text's language; silence counts only where all are silent.
+    A voter that stays silent abstains, as its list may not be of the text's language; silence counts only where all voters that tell the
+    classes apart (by ``TELLING`` times) are silent.
     """
-    quiet = ~votes.any(1)
+    quiet = ~votes[:, rates[1] > TELLING * rates[0]].any(1)
     log = []
     for rate in rates:
-        total = votes @ np.log(rate) + quiet * np.log(1 - rate).sum()
+        total = votes @ np.log(rate) + quiet * ((1 - votes) @ np.log(1 - rate))
         for i, j, within in pairs:
             both = np.clip(rate[i] * rate[j] + within, 1e-6, min(rate[i], rate[j]))
             total = total + (votes[:, i] & votes[:, j]) * (np.log(both) - np.log(rate[i]) - np.log(rate[j]))
@@ -220,10 +223,16 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     # How many standard errors a word's shares in the two classes lie apart.
     apart = (F.col("toxic") / F.lit(float(max(toxic, 1))) - F.col("clean") / F.lit(float(max(n - toxic, 1)))) / F.sqrt(
         (both * (1 - both) + 1e-9) * F.lit(1 / max(toxic, 1) + 1 / max(n - toxic, 1)))
-    strong = words.select("word", apart.alias("apart")).filter(F.abs("apart") >= s.feature_errors).orderBy(F.desc(F.abs("apart")), "word").limit(s.features)
-    ranked = [(r[0], r[1]) for r in strong.collect()] if learnt else []
-    mined = [w for w, z in ranked if z >= s.mined_errors][:s.mined_words]
-    lists = [set(x) for x in SEEDS.values()] + [set(mined[k::s.mined_voters]) for k in range(min(s.mined_voters, len(mined)))]
+    pure = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    strong = words.select("word", apart.alias("apart"), pure.alias("pure")).filter(F.abs("apart") >= s.feature_errors).orderBy(F.desc(F.abs("apart")), "word").limit(s.features)
+    found = strong.collect() if learnt else []
+    ranked = [(r[0], r[1]) for r in found]
+    best = float(np.median([r[2] for r in found if r[1] > 0][:20] or [0.0]))
+    mined = [r[0] for r in found if r[1] >= s.mined_errors and r[2] >= s.purity * best][:s.mined_words]
+    # Seed words that training rows show to be harmless here are no votes.
+    seeds = sorted(set().union(*SEEDS.values()))
+    harmless = {r[0] for r in words.filter(F.col("word").isin(seeds) & (pure < 0.5 * best)).select("word").collect()} if learnt else set()
+    lists = [set(x) - harmless for x in SEEDS.values()] + [set(mined[k::s.mined_voters]) for k in range(min(s.mined_voters, len(mined)))]
     total, joint = _moments(docs.filter(~held_out("doc_id", s.folds)).select("text"), lists)
     rates, pairs = fit_label_model(total, joint, balance, s.rest)
     place = {w: k for k, (w, _) in enumerate(ranked)}
