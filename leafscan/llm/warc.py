@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from leafscan.llm import common as c
-from leafscan.session import shared_folder
+from leafscan.session import settle, shared_folder
 
 END = "\r\n"
 CLOSE = END + END
@@ -62,9 +62,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write request, response or revisit, and metadata records; payloads under ``min_bytes`` are always responses."""
     rows = pages.select(c.row_id(id_col).alias("page_id"), F.translate(c.text_of(url_col), "\r\n", "  ").alias("url"), F.encode(c.text_of(payload_col), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", payload_digest(F.col("payload")))
-    known = roles(rows).withColumnRenamed("page_id", "_page").withColumnRenamed("digest", "_digest")
-    rows = rows.join(known, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest"))).drop("_page", "_digest")
-    nth = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1
+    # The page id as text, null as none: the join and the numbering then share one exchange of the payloads.
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
+    rows = rows.withColumn("_page", key).join(roles(rows).withColumn("_page", key).drop("page_id"), ["_page", "digest"])
+    nth = F.row_number().over(Window.partitionBy("_page", "digest").orderBy("url")) - 1
     rows = rows.withColumn("nth", nth)
     page, digest = F.col("page_id"), F.col("digest")
     is_first = page.eqNullSafe(F.col("first_id")) & (F.col("nth") == 0) | (F.octet_length("payload") < min_bytes)
@@ -182,7 +183,7 @@ def captures(records: DataFrame) -> DataFrame:
 def page_captures(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each capture in the archives; ``refers_to`` is a page id."""
     page = F.nullif(F.regexp_extract(F.col("metadata.fields"), r"page-id: (-?\d*)", 1), F.lit("")).cast("long")
-    rows = captures(read_records(spark, path)).select(
+    rows = captures(settle(read_records(spark, path), "records")).select(
         "capture", page.alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("_to"))
     revisited = rows.filter("_to IS NOT NULL").select(F.col("_to").alias("capture")).distinct()
     targets = rows.filter("record_type = 'response'").join(revisited, "capture", "left_semi").select(F.col("capture").alias("_to"), F.col("page_id").alias("refers_to"))
