@@ -67,3 +67,31 @@ def sums_by(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sum of ``values`` in each range between neighbouring offsets; an empty range gives 0."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def words_of(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(offsets, words) of each string; a word is a run of anything but ASCII white space."""
+    offsets, flat = list_parts(pc.ascii_split_whitespace(strings))
+    full = pc.not_equal(pc.binary_length(flat), 0)
+    kept = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)))
+    return kept[offsets], flat.filter(full)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table for each run of rows with equal integer ``keys``; the rows come sorted by them. One group is in memory at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy() for k in keys], 1)
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), len(values)]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(values[a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)

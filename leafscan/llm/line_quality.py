@@ -50,14 +50,6 @@ _LATER = np.zeros(256, bool)
 _LATER[128:192] = True  # bytes of a code point after its first
 
 
-def _words(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(offsets, words) of each string."""
-    offsets, flat = c.list_parts(pc.ascii_split_whitespace(strings))
-    full = pc.not_equal(pc.binary_length(flat), 0)
-    kept = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)))
-    return kept[offsets], flat.filter(full)
-
-
 def _repeated_words(offsets: np.ndarray, words: np.ndarray, n_codes: int) -> np.ndarray:
     """For each string the number of words in three-word windows that it has twice or more."""
     if len(words) < 3:
@@ -98,11 +90,11 @@ def _failing_lines(lines: pa.Array, at: np.ndarray, words: pa.Array, codes: np.n
 def judge(texts: pa.Array, rules: Rules = Rules()) -> dict[str, np.ndarray | list]:
     """Counts, verdict and cleaned text of each text; ``texts`` is a string array without nulls."""
     offsets, raw = c.utf8_bytes(texts)
-    word_at, words = _words(texts)
+    word_at, words = c.words_of(texts)
     codes, n_codes = c.codes_of(words)
     n_words = np.diff(word_at)
     line_at, lines = c.list_parts(pc.split_pattern(texts, "\n"))
-    in_line, line_words = _words(lines)
+    in_line, line_words = c.words_of(lines)
     line_n = np.diff(in_line)
     line_owner = c.owners(line_at)
     line_codes, n_lines = c.codes_of(lines)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafscan.llm import bpe_stream, collision_ann, common as c, line_quality, orc_ids, packing, sharding, toxicity, warc
+from leafscan.llm import bpe_stream, collision_ann, common as c, line_quality, lsh_forest, orc_ids, packing, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,11 @@ def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_quality(c.table(spark, sf_dir, "documents"))
 
 
+@register
+def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(c.table(spark, sf_dir, "documents"))
+
+
 @register
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(c.table(spark, sf_dir, "pages"))
