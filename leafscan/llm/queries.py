@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafscan.llm import bpe_stream, collision_ann, common as c, line_quality, lsh_forest, orc_ids, packing, sharding, toxicity, warc
+from leafscan.llm import attention_lm, bpe_stream, collision_ann, common as c, line_quality, lsh_forest, orc_ids, packing, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,11 @@ def op2_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_ids.round_trip(c.table(spark, sf_dir, "documents"))
 
 
+@register
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.lm_scores(c.table(spark, sf_dir, "documents"))
+
+
 @register
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(c.table(spark, sf_dir, "documents"))
