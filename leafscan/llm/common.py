@@ -25,6 +25,14 @@ def row_id(column: str) -> Column:
     return F.col(f"`{column}`").cast("long")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    taken = {n.lower() for n in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in order, in slices whose ``column`` holds about ``limit`` bytes; a longer text is a slice of its own."""
     for batch in batches:

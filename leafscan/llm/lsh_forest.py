@@ -312,8 +312,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest = Forest()) -> DataFrame:
     """The documents that are the first of their class, with all their columns as they were."""
-    names = docs.columns
-    whole = settle(docs.select("*", F.monotonically_increasing_id().alias("_row")), "rows")
-    rows = whole.select("_row", c.row_id(id_col).alias("doc_id"), c.text_of(text_col).alias("text"))
-    kept = classes(rows, forest).filter("kept").select(F.col("_row").alias("_kept"))
-    return whole.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*[F.col(f"`{n}`") for n in names])
+    names, key = docs.columns, c.fresh(docs, "_row")
+    whole = settle(docs.select("*", F.monotonically_increasing_id().alias(key)), "rows")
+    rows = whole.select(F.col(key).alias("_row"), c.row_id(id_col).alias("doc_id"), c.text_of(text_col).alias("text"))
+    kept = classes(rows, forest).filter("kept").select(F.col("_row").alias(key))
+    return whole.join(kept, key, "left_semi").select(*[F.col(f"`{n}`") for n in names])

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from leafscan.llm import common as c
 from leafscan.session import settle
@@ -155,16 +155,21 @@ def fit_label_model(n: int, joint: np.ndarray, balance: float, rest: float) -> t
     m, use = len(mean), ~np.eye(len(mean), dtype=bool)
     active = mean * n >= 1
     use &= active[:, None] & active[None, :]
-    corr, v = cov / np.outer(spread, spread), np.full(m, 0.3)
+    corr, v = cov / np.outer(spread, spread), np.zeros(m)
+    for i in np.flatnonzero(active):  # start: the median over triplets, which a few correlated pairs do not move
+        others = [j for j in np.flatnonzero(active) if j != i]
+        triplets = [abs(corr[i, j] * corr[i, k] / corr[j, k]) for j in others for k in others if j < k and abs(corr[j, k]) > 1e-4]
+        side = 1.0 if not others or corr[i, others].sum() >= 0 else -1.0
+        v[i] = side * min(np.sqrt(np.median(triplets)), 0.999) if triplets else 0.3
     for _ in range(3):
-        for _ in range(60):  # rank-one fit of the pairs in use, one coordinate at a time
-            for i in range(m):
-                u = v * use[i]
-                v[i] = np.clip((corr[i] * use[i]) @ v / max(u @ u, 1e-9), -0.999, 0.999)
         left = np.where(use, corr - np.outer(v, v), 0.0)
         if np.abs(left).max(initial=0) <= rest:
             break
         use &= np.abs(left) <= rest
+        for _ in range(60):  # rank-one fit of the pairs in use, one coordinate at a time
+            for i in range(m):
+                u = v * use[i]
+                v[i] = np.clip((corr[i] * use[i]) @ v / max(u @ u, 1e-9), -0.999, 0.999) if use[i].any() else v[i]
     if v.sum() < 0:
         v = -v
     v = np.maximum(v, 0.0)
@@ -263,20 +268,18 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     return Model(weights, float(a * bias + b), [sorted(x) for x in lists], rates, pairs, balance)
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with columns score and predicted; all columns of ``docs`` stay. The model is a bounded list of words with weights."""
-    weights, bias, names, schema = model.weights, model.bias, docs.columns, docs.schema
+def score_texts(docs: DataFrame, model: Model, text: str, score: str, predicted: str) -> DataFrame:
+    """``docs`` with columns ``score`` and ``predicted`` for column ``text`` (no nulls). The model is a bounded list of words with weights."""
+    weights, bias, names = model.weights, model.bias, docs.columns
     known = set(weights)
 
     def work(batches):
-        for batch in c.slices(batches, "_text"):
-            z = np.array([bias + sum(weights[w] for w in known.intersection(terms(t.lower()))) for t in batch.column("_text").to_pylist()])
-            score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "_score", "_predicted"])
+        for batch in c.slices(batches, text):
+            z = np.array([bias + sum(weights[w] for w in known.intersection(terms(t.lower()))) for t in batch.column(text).to_pylist()])
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, score, predicted])
 
-    from pyspark.sql import types as T
-    out = T.StructType([*schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
-    return docs.mapInArrow(work, out)
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> Model:
@@ -287,11 +290,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     model = fit(docs, labels, id_col, text_col, settings=settings)
-    slim = docs.select(c.row_id(id_col).alias("doc_id"), held_out(id_col, settings.folds).alias("held_out"), c.text_of(text_col).alias("_text"))
-    return score_texts(slim, model).select("doc_id", "held_out", F.col("_score").alias("score"), F.col("_predicted").alias("predicted"))
+    slim = docs.select(c.row_id(id_col).alias("doc_id"), held_out(id_col, settings.folds).alias("held_out"), c.text_of(text_col).alias("text"))
+    return score_texts(slim, model, "text", "score", "predicted").drop("text")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns as they were."""
     model = fit(docs, labels, id_col, text_col, settings=settings)
-    return score_texts(docs.withColumn("_text", c.text_of(text_col)), model).filter("_predicted = 0").select(*[F.col(f"`{n}`") for n in docs.columns])
+    text, score, predicted = (c.fresh(docs, n) for n in ("_text", "_score", "_predicted"))
+    scored = score_texts(docs.withColumn(text, c.text_of(text_col)), model, text, score, predicted)
+    return scored.filter(F.col(predicted) == 0).select(*[F.col(f"`{n}`") for n in docs.columns])
