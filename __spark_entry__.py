@@ -693,7 +693,7 @@ def _(spark, d):
     report = reports.audit_json(_audit(spark, d)).filter("section = 'report'")
     return report.select(
         "project", F.get_json_object("json", "$.score").cast("int").alias("score"), F.get_json_object("json", "$.status").alias("status"),
-        F.get_json_object("json", "$.metrics.unbounded_units").cast("int").alias("unbounded_units"))
+        F.get_json_object("json", "$.metrics.unboundedUnits").cast("int").alias("unbounded_units"))
 
 
 @register("S11_recommendations_of_snapshot", o.q(_ADVICE, "SELECT project, 'listed' AS state, rank, recommendation FROM recs"))

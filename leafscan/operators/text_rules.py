@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import rulebook as rb
 from ..functions import text as tx
 from ..sources.files import is_code, is_sql
-from .tokens import LEXEME
+from .tokens import LEXEME, TOKEN_GROUP
 
 # --- Fixed values: patterns ------------------------------------------------------------------
 LIMIT = r"(?i)\bLIMIT\b"
@@ -67,7 +67,7 @@ def identifier_line(text: Column) -> Column:
 
     Enough to tell which words occur as identifiers; no positions, so nothing is exploded.
     """
-    words = F.regexp_extract_all(text, F.lit(LEXEME), F.lit(2))
+    words = F.regexp_extract_all(text, F.lit(LEXEME), F.lit(TOKEN_GROUP))
     return F.concat(F.lit("\u0001"), F.array_join(words, "\u0001"), F.lit("\u0001"))
 
 

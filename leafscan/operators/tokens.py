@@ -15,7 +15,7 @@ decorator  ``@Name("text")`` with the method it decorates
 method     a class member that ends in a body
 decl       a top-level function, class or variable
 icall      a direct ``name(...)`` call inside a top-level declaration
-bad        a file whose brackets do not balance
+bad        a bracket that does not balance
 ========== =============================================================================
 """
 
@@ -28,18 +28,36 @@ from ..functions import text as tx
 
 # --- Fixed values: lexical patterns ----------------------------------------------------------
 # Loops are possessive: they run without recursion, however long a comment or string is.
-GAP = r"(?:\s++|//[^\n]*+|/\*[\s\S]*?\*/)*+"
+# Type arguments stand directly behind a name and before "("; "a < b > (c)" is no such case. Four
+# levels of nested arguments are read. A "!" before a member access or index asserts a value.
+_PLAIN_TYPE = r"[^<>()=;{}+*/%!^~`]"
+_TYPE = _PLAIN_TYPE + "*+"
+for _ in range(3):
+    _TYPE = rf"(?:{_PLAIN_TYPE}|<{_TYPE}>|\{{(?:[^(){{}}<>]|<{_TYPE}>)*+\}})*+"
+GAP = (
+    r"(?:\s++|//[^\n]*+|/\*[\s\S]*?\*/"
+    rf"|(?<=[\p{{L}}\p{{Nd}}_$])<{_TYPE}>(?=\s*+\()"
+    r"|(?<=[\p{L}\p{Nd}_$)\]])!(?=\s*+(?:\.(?!\.)|\?\.|\[)))*+"
+)
+REGEX = r"/(?![*/>])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[\p{L}]*+"
+# What stands before a gap tells a regular expression from a division. Behind a closing bracket it
+# is one if a member of it is used, which no divisor allows.
+BEFORE_REGEX = (
+    r"(?:(?<![\s\S])|(?<=[=(,:\[!&|?{};~^%*])|(?<==>)|(?<!\+)(?<=\+)|(?<!-)(?<=-)"
+    r"|(?<=\b(?:return|typeof|case|in|of|void|throw|await|yield|else|do|delete|instanceof)))"
+)
 TOKEN = (
     r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
     r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
     r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
-    r"|(?<=[=(,:\[!&|?{};]\s{0,4}|return\s{1,4})/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
     r"|[\p{L}_$][\p{L}\p{Nd}_$]*+"
     r"|\d[\w.]*+"
     r"|=>|\?\.|\?\?|\.\.\.|\*\*|\+\+|--|&&|\|\||[-+*/%&|^<>=!]=++"
     r"|[\s\S]"
 )
-LEXEME = f"({GAP})({TOKEN})"
+# Groups 1 and 2 hold a regular expression that the text ahead was found to be, 3 the gap, 4 the token.
+LEXEME = f"(?:{BEFORE_REGEX}(?={GAP}({REGEX}))|(?<=\\))(?={GAP}({REGEX})\\.\\p{{L}})|)({GAP})(\\1|\\2|{TOKEN})"
+GAP_GROUP, TOKEN_GROUP = 3, 4
 
 OPENERS = ("(", "[", "{")
 CLOSERS = (")", "]", "}")
@@ -87,7 +105,7 @@ TOKEN_SETS = {
     "page_size": rb.PAGE_SIZE_NAMES,
     "query_object": tuple(q + n + q for n in rb.QUERY_OBJECT_CALLS for q in ("", '"', "'")),
     "graphql_type": tuple(q + n + q for n in rb.GRAPHQL_TYPES for q in ("", '"', "'")),
-    "min": ("min",), "Math": ("Math",), "query": ("query",), "req": ("req",), "end": ("",),
+    "type_word": ("type", "interface"), "min": ("min",), "Math": ("Math",), "query": ("query",), "req": ("req",), "end": ("",),
 }
 BIT = {name: 1 << (4 + i) for i, name in enumerate(TOKEN_SETS)}
 _TOKEN_BITS: dict[str, int] = {}
@@ -138,8 +156,8 @@ def keyed(files: DataFrame) -> DataFrame:
 
 def _explode(keyed_files: DataFrame, *keys: str) -> DataFrame:
     pairs = F.arrays_zip(
-        F.regexp_extract_all("content", F.lit(LEXEME), F.lit(2)).alias("t"),
-        F.regexp_extract_all("content", F.lit(LEXEME), F.lit(1)).alias("g"),
+        F.regexp_extract_all("content", F.lit(LEXEME), F.lit(TOKEN_GROUP)).alias("t"),
+        F.regexp_extract_all("content", F.lit(LEXEME), F.lit(GAP_GROUP)).alias("g"),
     )
     # Every file ends in an empty token, the last boundary. Its (always empty) gap reads the path
     # columns on purpose: the exchange then has the same columns here and at the join back to the
@@ -238,7 +256,7 @@ def _owned(placed: DataFrame) -> DataFrame:
     tested = placed.withColumns({
         "ends": ends.cast("int"), "decl_name": name,
         "is_default": _has(b1, "default") | _has(b2, "default"), "is_icall": is_icall,
-        "form": form, "label": label, "continues": continues, "begins": begins,
+        "form": form, "label": label, "is_type": _true(top & first & _has(b, "type_word") & _has(y1, WORD)), "continues": continues, "begins": begins,
         "is_query_size": _has(b1, "dot") & _has(b2, "query") & _has(b3, "dot") & _has(b4, "req"),
         # What a text call takes its bracket from.
         "text_base": _has(b4, WORD, ")", "]"),
@@ -246,6 +264,9 @@ def _owned(placed: DataFrame) -> DataFrame:
         "method_name": _has(b, WORD) & _has(y1, "(") & ~_has(b1, "@", "dot", "chain", "new") & ~_has(b, "call_stop"),
     }).drop("p2", "x1", "x2", "b2", "b3", "b4", "y2", "gap")
     numbered = tested.withColumn("segment", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    # A map inside a type or interface declares shapes, not resolvers.
+    typed = _last(F.when(c("is_type"), c("segment")), running) == c("segment")
+    numbered = numbered.withColumn("form", F.when((c("form") == GRAPHQL_MAP) & typed, F.lit(0).cast("tinyint")).otherwise(c("form"))).drop("is_type")
     return numbered.withColumn(
         "owner", _last(F.when(c("decl_name").isNotNull(), F.struct("decl_name", "segment")), running)
     ).withColumn("owner", F.when(c("owner.segment") == c("segment"), c("owner.decl_name"))).drop("segment", "ends", "gap_lines")
@@ -495,10 +516,8 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
     # Halves without the call itself come from optional chains.
     named = _with_names(halves.filter((c("fact") != "call") | c("half_call").isNotNull()), c("half_call.name"))
     wanted = F.arrays_overlap("names", F.array(*[F.lit(x) for x in CALL_NAMES_OF_INTEREST]))
+    # A file that does not balance is reported and keeps its facts: levels are relative, so what is nested in itself is still right.
     kept = named.filter((c("fact") != "call") | wanted)
-    # Of a file that does not balance only that fact is kept.
-    broken = F.max((c("fact") == "bad").cast("int")).over(W.partitionBy("h1", "h2"))
-    kept = kept.withColumn("broken", broken).filter((c("broken") == 0) | (c("fact") == "bad")).drop("broken")
 
     # The text is joined back by the same key: the exchange of ``keyed`` is reused, and the facts,
     # far smaller than the text, are the hashed side.

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import rulebook as rb
 from ..operators import callchain, discovery, enrich, findings as fd, grouping, js_rules, metrics, scoring, text_rules, tokens
-from ..session import settle
+from ..session import discard, settle
 from ..sources import files as fs
 
 
@@ -35,6 +35,21 @@ class Audit:
         self.source_files = fs.source_files(source_files)
         self.policy, self.rules = policy, rules
         self.ignore, self.with_chains, self.max_bytes = tuple(ignore), call_chains, max_bytes
+        self.settled: list[str] = []
+
+    def _settle(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        return settle(df, name, partition_by, self.settled)
+
+    def close(self) -> None:
+        """Remove the intermediate tables; tables of this audit can't be read after it."""
+        discard(self.source_files.sparkSession, self.settled)
+        self.settled.clear()
+
+    def __enter__(self) -> Audit:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     # -- files ------------------------------------------------------------------------------
     @cached_property
@@ -44,7 +59,7 @@ class Audit:
         This table meets the text itself, so it is counted: up to the bound it is broadcast and
         the text stays where it is; beyond it the join is a shuffled one with skew handling.
         """
-        roots = settle(fs.backend_roots(self.source_files), "backend_roots")
+        roots = self._settle(fs.backend_roots(self.source_files), "backend_roots")
         return F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
 
     @cached_property
@@ -59,7 +74,8 @@ class Audit:
 
     @cached_property
     def project_context(self) -> DataFrame:
-        orm = fs.orm_tags(self.files).groupBy("project").agg(F.sort_array(F.collect_set("orm")).alias("orm"))
+        # Hints may lie anywhere in the project, not only below its backend folder.
+        orm = fs.orm_tags(fs.ignore_paths(self.source_files, self.ignore)).groupBy("project").agg(F.sort_array(F.collect_set("orm")).alias("orm"))
         counts = fs.files_scanned(self.files)
         return self.projects.join(orm, "project", "left").join(counts, "project", "left").select(
             "project", F.col("root").alias("backend_root"),
@@ -74,12 +90,12 @@ class Audit:
     @cached_property
     def text_facts(self) -> DataFrame:
         families = text_rules.FAMILIES if self.with_chains else text_rules.FAMILIES[:-1]
-        return settle(text_rules.text_facts(self.files, families), "text_facts", ("rule_id",))
+        return self._settle(text_rules.text_facts(self.files, families), "text_facts", ("rule_id",))
 
     @cached_property
     def facts(self) -> DataFrame:
         code = self.files.filter(fs.is_code(F.col("file_path")))
-        return settle(tokens.token_facts(code, symbols=self.with_chains), "token_facts", ("fact",))
+        return self._settle(tokens.token_facts(code, symbols=self.with_chains), "token_facts", ("fact",))
 
     # -- findings ---------------------------------------------------------------------------
     @cached_property
@@ -87,7 +103,7 @@ class Audit:
         text = text_rules.hit_rows(self.text_facts)
         hits = text.filter("rule_id <> 'A12'").unionByName(js_rules.page_size_hits(text, self.facts)).unionByName(
             js_rules.js_hits(self.facts))
-        return settle(fd.to_findings(hits), "raw_findings")
+        return self._settle(fd.to_findings(hits), "raw_findings")
 
     @cached_property
     def final_findings(self) -> DataFrame:
@@ -99,12 +115,12 @@ class Audit:
         units = discovery.discovered_units(self.facts)
         if self.with_chains:
             units = callchain.call_chains(units, self.facts, text_rules.imports_of(self.text_facts))
-        return settle(units, "units")
+        return self._settle(units, "units")
 
     @cached_property
     def findings(self) -> DataFrame:
         """Final findings with layer, category and unit."""
-        return settle(
+        return self._settle(
             grouping.group_findings(self.final_findings, self.discovered, self.rules), "findings")
 
     @cached_property

@@ -27,8 +27,6 @@ UNITS = (
     f"entry_symbol STRING, meta MAP<STRING, STRING>, call_chain ARRAY<{CALL_STEP}>"
 )
 
-POLICY = "project STRING, max_allowed_severity STRING, enforce_strategy STRING"
-
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:
     """Select the columns of ``ddl`` in order, adding the missing ones as typed nulls."""

@@ -31,23 +31,35 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's checkpoint folder. Only a local session may do without one: it gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share: intermediate tables are written there")
         folder = tempfile.mkdtemp(prefix="leafscan-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def settle(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def settle(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), kept: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; the folder's path is added to ``kept``.
 
     Cuts the lineage in a way that survives lost executors, and unlike a checkpointed RDD keeps
     column pruning, filter push-down and partition pruning for the readers.
     """
-    path = f"{shared_folder(df.sparkSession)}/leafscan/{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_folder(df.sparkSession)}/leafscan/{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer.parquet(f"{folder}/{name}")
+    if kept is not None:
+        kept.append(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Remove folders that ``settle`` has written."""
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import rulebook as rb
@@ -15,25 +17,70 @@ SQL_GLOB = "*.sql"
 AUDIT_GLOB = "*.{ts,tsx,js,jsx,sql}"
 
 
-def scan_files(spark: SparkSession, root: str, project: str | None = None, glob: str = AUDIT_GLOB) -> DataFrame:
+def _pattern(glob: str) -> str:
+    """Regular expression of a file name glob with ``*``, ``?`` and ``{a,b}``."""
+    out, depth = "", 0
+    for ch in glob:
+        depth += (ch == "{") - (ch == "}")
+        out += {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")"}.get(ch, "|" if ch == "," and depth else re.escape(ch))
+    return out
+
+
+def _list_files(file_system, folder: str, pattern: re.Pattern) -> Iterator[tuple[str, int]]:
+    from pyarrow import fs
+
+    for entry in file_system.get_file_info(fs.FileSelector(folder, recursive=True)):
+        if entry.type == fs.FileType.File and pattern.fullmatch(entry.base_name):
+            yield entry.path, entry.size
+
+
+def scan_files(spark: SparkSession, root: str, project: str | None = None, glob: str = AUDIT_GLOB, read_bytes: int = 8 << 20) -> DataFrame:
     """Every matching file below ``root`` as one ``source_files`` row.
 
-    Without ``project`` the first folder below ``root`` names the project, so one scan audits a
-    whole checkout farm.
+    Without ``project`` the first folder below ``root`` names the project, so one scan audits a whole checkout farm. Spark's own file
+    sources hide names that begin with ``_`` and give paths as encoded addresses, so the tree is listed and read with Arrow's file systems
+    (local, HDFS, object stores) in the tasks: the folders below ``root`` are listed each in a task, the files found are dealt out
+    by a hash of their path and read in batches of ``read_bytes``. Paths are those of the file system, and nothing is written to find them.
     """
-    raw = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-        .text(root, wholetext=True)
-        .select(F.col("value").alias("content"),
-                F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("file_path"))
-    )
-    base = F.lit(root.removeprefix("file://").rstrip("/"))
+    from pyarrow import fs
+
+    file_system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+    base = base.rstrip("/") or "/"
+    pattern = re.compile(_pattern(glob))
+    top = file_system.get_file_info(fs.FileSelector(base, recursive=False))
+    folders = [e.path for e in top if e.type == fs.FileType.Directory]
+    loose = [(e.path, e.size) for e in top if e.type == fs.FileType.File and pattern.fullmatch(e.base_name)] if project is not None else []
+
+    def list_folders(batches):
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                found = list(_list_files(file_system, folder, pattern))
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())], ["file_path", "size"])
+
+    def read(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for path in batch.column("file_path").to_pylist():
+                with file_system.open_input_stream(path) as stream:
+                    rows.append((path, stream.read()))
+                size += len(rows[-1][1])
+                if size >= read_bytes:
+                    yield contents(rows)
+                    rows, size = [], 0
+        yield contents(rows)
+
+    def contents(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["file_path", "content"])
+
+    listed = spark.createDataFrame([(f,) for f in folders], "folder STRING").repartition(max(1, len(folders))).mapInArrow(list_folders, "file_path STRING, size BIGINT")
+    if loose:
+        listed = listed.unionByName(spark.createDataFrame(loose, "file_path STRING, size BIGINT"))
+    raw = listed.repartition(F.xxhash64("file_path")).mapInArrow(read, "file_path STRING, content BINARY").select(
+        "file_path", F.col("content").cast("string").alias("content"))
     if project is not None:
-        named = raw.select(F.lit(project).alias("project"), base.alias("root"), "file_path", "content")
-    else:
-        name = F.split(tx.relative_path(F.col("file_path"), base), "/")[0]
-        named = raw.select(name.alias("project"), F.concat_ws("/", base, name).alias("root"), "file_path", "content")
-    return named
+        return raw.select(F.lit(project).alias("project"), F.lit(base).alias("root"), "file_path", "content")
+    name = F.split(F.substring(F.col("file_path"), len(base.rstrip("/")) + 2, 1 << 20), "/")[0]
+    return raw.select(name.alias("project"), F.concat_ws("/", F.lit(base.rstrip("/")), name).alias("root"), "file_path", "content")
 
 
 def source_file_scan(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:

@@ -134,3 +134,38 @@ def test_own_rules_and_plain_audit(spark):
     scores = {r["name"]: r["score"] for r in a.unit_scores.filter("project = 'backend-risk'").collect()}
     assert scores["src/services/users.sql"] == 50
     assert a.discovered.filter("call_chain IS NOT NULL").count() == 0
+
+
+def test_scan_keeps_every_name(spark, tmp_path):
+    root = tmp_path / "check outs"
+    tree = {"a/_app.tsx": "1", "a/_shared/x.ts": "2", "a/[id].ts": "3", "b/my dir/y z.ts": "4", "b/a%20b.ts": "5", "_c/q.sql": "6", "a/no.md": "7", "a/.hid/z.ts": "8", "a/empty.ts": ""}
+    for name, content in tree.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(content)
+    found = {(r.project, r.root, r.file_path, r.content) for r in fs.scan_files(spark, str(root)).collect()}
+    assert found == {(n.split("/")[0], f"{root}/{n.split('/')[0]}", f"{root}/{n}", c) for n, c in tree.items() if not n.endswith(".md")}
+    one = {(r.project, r.root, r.file_path) for r in fs.sql_file_scan(spark, f"file://{str(root).replace(' ', '%20')}", "p").collect()}
+    assert one == {("p", str(root), f"{root}/_c/q.sql")}
+
+
+def test_orm_hints_of_the_whole_project(spark):
+    a = audit(source_files(spark, {"p": {"backend/a.ts": "", "packages/prisma/client.ts": ""}}))
+    assert [r["orm"] for r in a.project_context.collect()] == [["Prisma"]]
+
+
+def test_settled_tables(spark, tmp_path):
+    import os
+    from types import SimpleNamespace
+
+    import pytest
+
+    from leafscan.session import shared_folder
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getConf=lambda: {}, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(unset)
+    with audit(source_files(spark, {"p": {"a.ts": "M.find().skip(1);"}})) as a:
+        assert a.findings.count() > 0
+        folders = list(a.settled)
+        assert folders and all(os.path.isdir(f) for f in folders)
+    assert not any(os.path.exists(f) for f in folders)
