@@ -263,7 +263,8 @@ def _owned(placed: DataFrame) -> DataFrame:
         "member_end": _has(b, ";") | (_has(b, "}") & (_has(y1, WORD, STRING, "member_start", "}", ";", "end") | c("x1").isNull())),
         "method_name": _has(b, WORD) & _has(y1, "(") & ~_has(b1, "@", "dot", "chain", "new") & ~_has(b, "call_stop"),
     }).drop("p2", "x1", "x2", "b2", "b3", "b4", "y2", "gap")
-    numbered = tested.withColumn("segment", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    numbered = tested.withColumn("segment", F.coalesce(F.sum("ends").over(before), F.lit(0))).withColumn(
+        "closed_n", F.coalesce(_last(F.when(c("ends") == 1, c("n")), running), F.lit(-1)))
     # A map inside a type or interface declares shapes, not resolvers.
     typed = _last(F.when(c("is_type"), c("segment")), running) == c("segment")
     numbered = numbered.withColumn("form", F.when((c("form") == GRAPHQL_MAP) & typed, F.lit(0).cast("tinyint")).otherwise(c("form"))).drop("is_type")
@@ -447,7 +448,7 @@ def _fact_rows(s: DataFrame) -> DataFrame:
         "method": (is_method, c("n"), ("method", method)),
         "decl": (c("symbol_row") & is_decl, c("n"), ("symbol", symbol)),
         "icall": (c("symbol_row") & ~is_decl, c("n"), ("symbol", symbol)),
-        "bad": (is_bad, c("n"), None),
+        "bad": (is_bad, c("n"), ("unclosed", F.when(_has(c("b"), "end") & (c("depth") > 0), F.struct(c("closed_n").alias("n"))))),
     }
     kinds = F.concat_ws(" ", *[F.when(test, F.lit(kind)) for kind, (test, _, _) in shown.items()])
     rows = s.withColumn("kinds", kinds).filter("kinds <> ''").withColumn("kind", F.explode(F.split("kinds", " ")))
@@ -505,7 +506,7 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
         by_key.withColumns({"deep": c("content").rlike(DEEP_WORDS), "decorated": c("content").rlike(DECORATOR_WORDS)}),
         "h1", "h2", "deep", "decorated")
     shaped = _structured(_leveled(_owned(_placed(rows, "deep", "decorated"))))
-    parts = ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol")
+    parts = ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol", "unclosed")
     # Both halves of a fact share its position; repeated calls of a name in one declaration are one fact.
     icall = c("fact") == "icall"
     halves = _fact_rows(shaped).groupBy(
@@ -516,8 +517,11 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
     # Halves without the call itself come from optional chains.
     named = _with_names(halves.filter((c("fact") != "call") | c("half_call").isNotNull()), c("half_call.name"))
     wanted = F.arrays_overlap("names", F.array(*[F.lit(x) for x in CALL_NAMES_OF_INTEREST]))
-    # A file that does not balance is reported and keeps its facts: levels are relative, so what is nested in itself is still right.
     kept = named.filter((c("fact") != "call") | wanted)
+    # A bracket that is never closed leaves out what follows the last complete statement; a stray
+    # closing one (markup text) leaves out nothing, as levels are relative. Both are reported.
+    whole = F.max("unclosed.n").over(W.partitionBy("h1", "h2"))
+    kept = kept.withColumn("whole", whole).filter(c("whole").isNull() | (c("n") <= c("whole")) | (c("fact") == "bad")).drop("whole", "unclosed")
 
     # The text is joined back by the same key: the exchange of ``keyed`` is reused, and the facts,
     # far smaller than the text, are the hashed side.

@@ -15,6 +15,7 @@ CODE = {
     "returned": "function g(x) { return     /[)]/.exec(x) }\nM.find().skip(5)",
     "divided": "const r = (a) / b / c.d(1); i++ / 2 / k.l(2); M.find().skip(5)",
     "markup": "const v = <div>\n  <p>step 1) go</p>\n  <br />\n</div>;\nfunction h() { return M.find().skip(5) }",
+    "unclosed": "M.find().skip(5);\nfunction f() {}\nconst g = (a => {\n  N.find().skip(6);",
     "broken": "M.find().skip(5)\n}}}\nN.find().skip(6)",
 }
 
@@ -42,10 +43,10 @@ def test_facts_of_files_that_do_not_balance(files):
     facts = tokens.token_facts(files)
     calls = facts.filter("fact = 'call' AND name = 'skip'").groupBy("file_path").count()
     counts = {r.file_path[3:-3]: r["count"] for r in calls.collect()}
-    assert counts == {"type_args": 2, "asserted": 1, "compared": 1, "indented": 1, "arrow": 1, "behind_bracket": 1, "returned": 1, "divided": 1, "markup": 1, "broken": 2}
+    assert counts == {"type_args": 2, "asserted": 1, "compared": 1, "indented": 1, "arrow": 1, "behind_bracket": 1, "returned": 1, "divided": 1, "markup": 1, "unclosed": 1, "broken": 2}
     texts = {r.text for r in facts.filter("fact = 'call' AND name = 'findMany'").collect()}
     assert texts == {"db.user.findMany<User>({skip: 5})"}
-    assert {r.file_path for r in facts.filter("fact = 'bad'").select("file_path").distinct().collect()} == {"/p/broken.ts", "/p/markup.ts"}
+    assert {r.file_path for r in facts.filter("fact = 'bad'").select("file_path").distinct().collect()} == {"/p/broken.ts", "/p/markup.ts", "/p/unclosed.ts"}
 
 
 def test_no_resolvers_in_types(spark):
