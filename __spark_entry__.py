@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import os
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -738,14 +739,27 @@ def _optional(module: str) -> bool:
     return spec is not None and spec.origin is not None
 
 
+def _on_workers(function: Query) -> Query:
+    """The query with this folder on the path of the Python workers, wherever the driver was started."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = str(Path(__file__).resolve().parent)
+        paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if folder not in paths:
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([folder, *paths])
+        return function(spark, sf_dir)
+
+    return query
+
+
 def queries() -> dict[str, Query]:
     found = {name: function for name, (function, _) in REGISTRY.items()}
     if _optional("leafscan.llm"):
         from leafscan.llm.queries import QUERIES
-        found |= QUERIES
+        more = dict(QUERIES)
         if _optional("corpus_pipeline"):
             import corpus_pipeline
-            found["pipeline"] = corpus_pipeline.run
+            more["pipeline"] = corpus_pipeline.run
+        found |= {name: _on_workers(function) for name, function in more.items()}
     return found
 
 
