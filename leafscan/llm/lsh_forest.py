@@ -252,7 +252,8 @@ def verified(rows: DataFrame, members: DataFrame, f: Forest) -> DataFrame:
             sets = [np.unique(values[a:b]).tobytes() for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("root"), batch.column("_size"), pa.array(sets, pa.binary())], ["rep", "root", "_size", "_set"])
 
-    texts = rows.select(F.col("_row").alias("rep"), "text").join(members, "rep").select("rep", "root", "_size", "text")
+    # A merge join at every size: members grow with the corpus, so their broadcast would only hold for small ones.
+    texts = rows.select(F.col("_row").alias("rep"), "text").join(members.hint("merge"), "rep").select("rep", "root", "_size", "text")
     listed = texts.mapInArrow(sets_of, "rep long, root long, _size long, _set binary")
     keys = ["root", "_i", "_j"]
     grouped = dealt(listed, "_size", f.block_rows).select(*keys, "_block", "rep", "_set").repartition(*keys).sortWithinPartitions(*keys)
