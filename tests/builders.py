@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leafscan.schema import FINDINGS, SOURCE_FILES, UNITS, conform
 
+# --- Fixed values: three small projects with known results -------------------------------------
 FIXTURES = {
     "backend-risk": {
         "src/controllers/userController.ts": 'import { Request, Response } from "express";\nimport { User } from "../models/User";\n\nexport async function listUsers(req: Request, res: Response) {\n  const page = parseInt(String(req.query.page ?? "1"), 10);\n  const limit = parseInt(String(req.query.limit ?? "20"), 10);\n\n  const users = await User.find({})\n    .skip(page * limit)\n    .limit(limit);\n\n  res.json(users);\n}\n',
@@ -20,6 +21,7 @@ FIXTURES = {
         "src/services/userService.ts": 'type CursorInput = {\n  cursor?: string;\n  limit?: number;\n};\n\nexport async function listUsersKeyset(input: CursorInput) {\n  const limit = Math.min(input.limit ?? 20, 50);\n  const cursor = input.cursor;\n\n  // Representative keyset-like query shape in code\n  return {\n    where: {\n      createdAt: { gt: cursor },\n      _id: { gt: cursor }\n    },\n    orderBy: [{ createdAt: "asc" }, { _id: "asc" }],\n    take: limit\n  };\n}\n',
     },
 }
+# --- End of fixed values ---------------------------------------------------------------------
 
 
 def source_files(spark, tree):
