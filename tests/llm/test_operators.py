@@ -352,6 +352,32 @@ def test_language_model(spark, none):
     assert attention_lm.lm_scores(none).count() == 0
 
 
+def test_language_model_learns_from_every_window(spark):
+    import pyarrow as pa
+    shape = attention_lm.Shape()
+    texts = [np.full(3 + i % 40, 1000 + i, "<u4") for i in range(120)] + [np.zeros(0, "<u4"), np.arange(3000, 3200, dtype="<u4")]
+    table = spark.createDataFrame([(i << 20, False, x.tobytes()) for i, x in enumerate(texts)] + [(1, True, np.full(9, 7, "<u4").tobytes())], "row long, held_out boolean, ids binary").repartition(3)
+    model = attention_lm.fit(table, subwords.public_path("word_bpe_49k.json"), shape)
+    first = attention_lm.Network(shape, np.zeros((len(model.class_of), 2))).p["e"]
+    moved = np.abs(model.network.p["e"] - first).max(1) > 1e-4
+    assert moved[model.symbol_of[np.unique(np.concatenate(texts))]].all()  # each id of each short text has reached the network
+    symbols, ids = len(model.class_of), [model.symbol_of[x] for x in texts]
+    _, *want = attention_lm.windows(ids, shape, symbols)
+    assert model.trained == len(want[0])
+    batches = lambda: [pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([x.tobytes() for x in texts], pa.binary())], ["row", "ids"])]
+    got = [np.concatenate(x) for x in zip(*attention_lm.window_slices(batches(), shape, model.symbol_of, symbols, most=4))]
+    assert all((a == b).all() for a, b in zip(got, want))
+    turns = [x for r in range(shape.rounds) for x in attention_lm.in_batches(attention_lm.window_slices(batches(), shape, model.symbol_of, symbols, r, most=4), 16)]
+    as_rows = lambda parts: Counter(map(bytes, np.concatenate([p[0] for p in parts])))
+    assert as_rows(turns) == as_rows([want]) and sum(len(p[0]) < 16 for p in turns) <= shape.rounds
+    marks = np.array([5, 0, symbols - 1])
+    near = np.zeros((symbols + 1, 3))
+    for row in want[0]:
+        for x in row:
+            near[x] += [(row == m).sum() for m in marks]
+    assert (attention_lm.neighbours(table, shape, model.symbol_of, symbols, marks) == near).all()
+
+
 def test_language_model_gradients_and_windows():
     shape = attention_lm.Shape(width=8, stride=5, size=6, hidden=7)
     ids = [np.array([1, 2, 3, 4, 0, 1, 2]), np.array([], int)]
