@@ -83,7 +83,7 @@ def _failing_lines(lines: pa.Array, at: np.ndarray, words: pa.Array, codes: np.n
         (bars >= rules.min_bars) & (bars * 4 >= n - bars)
         | notice & (n <= rules.notice_words)
         | long_enough & (marks * 3 >= n)
-        | (ends == 0) & (n > rules.bare_words) & (n - same <= n // 2 + 1)
+        | long_enough & (ends == 0) & (n > rules.bare_words)
         | long_enough & (same * 2 >= n)))
 
 

@@ -153,6 +153,33 @@ def test_line_quality(spark, docs, none):
     assert line_quality.line_quality(none).count() == 0 and line_quality.clean_documents(none).count() == 0
 
 
+def fails_by_force(line):
+    words = WORD.findall(line)
+    n, low = len(words), line.lower()
+    bars = sum(w in ("|", "»", "›", "•", ">") for w in words)
+    marks = sum(bool(re.search(r"[!?#*$%&~^=_+<>|@]{2}\Z", w)) for w in words)
+    ends = sum(bool(re.search(r"[.!?:;…。！？؟][\"'”’»)\]]*\Z", w)) for w in words)
+    same = sum(a == b for a, b in zip(words, words[1:]))
+    return n > 0 and (bars >= 3 and 4 * bars >= n - bars or n <= 30 and any(x in low for x in line_quality.NOTICES)
+                      or n >= 4 and (3 * marks >= n or n > 12 and not ends or 2 * same >= n))
+
+
+def test_line_rules_by_force(spark):
+    r = random.Random(8)
+    parts = ["ab", "cd", "cd", "ef", "gh.", "ij!", "kl!!", "x$$", "|", "»", "ok?\"", "(no.)", "é…", "Privacy policy", "back to top"]
+    lines = ["", " \t", *(" ".join(r.choices(parts, [8, 8, 8, 8, *[r.choice((0, 0.5, 4))] * 11], k=r.randint(1, 34))) for _ in range(1500))]
+    lines += [" ".join("k%d" % i for i in range(n)) for n in (3, 4, 12, 13, 14, 40)] + [" ".join("k%d" % i for i in range(40)) + end for end in (".", "…", "?)", ",")]
+    table = spark.createDataFrame(rows_of(enumerate(lines)), DOCS)
+    out = {x.doc_id: x for x in line_quality.line_quality(table, with_text=True).collect()}
+    assert [out[i].lost_lines for i in range(len(lines))] == [int(fails_by_force(x)) for x in lines]
+    assert [out[i].lost_words for i in range(len(lines))] == [len(WORD.findall(x)) * fails_by_force(x) for x in lines]
+    bare = "\n".join(" ".join(f"tag{k}x{i}" for i in range(20)) for k in range(6))  # long lines of varied words, no punctuation
+    table = spark.createDataFrame(rows_of([(0, bare), (1, bare + "\n" + BASE), (2, BASE)]), DOCS)
+    got = {x.doc_id: x for x in line_quality.line_quality(table, with_text=True).collect()}
+    assert [(got[i].base_failed, got[i].kept, got[i].lost_lines) for i in range(3)] == [(False, False, 6), (False, True, 6), (False, True, 0)]
+    assert got[1].cleaned == BASE and {x.doc_id for x in line_quality.clean_documents(table).collect()} == {1, 2}
+
+
 def near_by_force(texts):
     sets = {}
     for _, t in texts:
