@@ -1,8 +1,9 @@
-"""Near-duplicate join: MinHash LSH forest over word n-grams, exact verification, classes and link counts.
+"""Near-duplicate join: MinHash bands over word n-grams in place of an LSH forest's tries, exact verification, classes and link counts.
 
-1. Equal texts are one representative (smallest id). Its signature is cut into ``trees`` labels; each tree is a prefix trie of labels.
-2. Matched prefixes are shortened from the full label until a pair at the threshold is found with the target recall:
-   ``1 - (1 - t^depth)^trees``. Texts below the same trie node in any tree are compared by their whole signatures; the pairs that may reach the
+1. Equal texts are one representative (smallest id). Its signature is cut into ``trees`` runs of ``longest`` labels. No trie is built and no prefix adapts
+   to the data: of each run the first ``depth`` labels are one band, and texts are grouped by its hash ("node" below).
+2. ``depth`` is the longest for which a pair at the threshold is found with the target recall, ``1 - (1 - t^depth)^trees``: a constant of the parameters
+   (4 of 5 labels; the fifth serves the whole signatures only). Texts of the same node in any tree are compared by their whole signatures; the pairs that may reach the
    threshold (``slack`` standard errors) leave a spanning forest for each node, so a node gives fewer edges than it has texts.
 3. Edges are joined to components by alternating stars. The texts of a component are verified exactly, all against all in numpy matrices of
    their n-gram sets: each text gets its number of links, each component the spanning edges of its true links. True links make the classes.
