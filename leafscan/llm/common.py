@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SLICE_BYTES = 8 << 20
+# A table with one short row for each group is broadcast by hint up to this many rows.
+BROADCAST_GROUPS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
