@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafscan.llm import attention_lm, bpe_stream, collision_ann, common as c, line_quality, lsh_forest, orc_ids, packing, sharding, toxicity, warc
+from leafscan.llm import attention_lm, bpe_stream, collision_ann, common as c, conversations, line_quality, lsh_forest, merkle, orc_ids, packing, secrets, sharding, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +67,47 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode_decode(c.table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_conversation_auction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(c.table(spark, sf_dir, "conversations"))
+
+
+@register
+def op12_merkle_midstates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(c.table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(c.table(spark, sf_dir, "documents"))
+
+
+# The manifest of documents: unsigned CRC-32 of the decimal id, one round of parents after another, then siblings and folds along each path.
+ORACLES["op12_merkle_midstates"] = """WITH RECURSIVE
+coded AS (SELECT row_number() OVER () AS r, doc_id, lang, n_chars, coalesce('=' || lang, '-') AS tree,
+  (SELECT coalesce(octet_length(encode(v)) || ':' || v, '-') FROM (SELECT doc_id::VARCHAR AS v)) AS f_id, coalesce(octet_length(encode(source)) || ':' || source, '-') AS f_source,
+  coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS f_lang, coalesce(octet_length(encode(text)) || ':' || text, '-') AS f_text,
+  xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b:
+    list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda k: k::BIGINT)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS crc
+  FROM documents),
+fields AS (SELECT *, (doc_id IS NOT NULL AND crc % 7 = 0)::INT AS more FROM coded),
+leafs AS (SELECT r, doc_id, tree, sha256(f_id || f_source || f_lang || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || f_text) AS leaf,
+  sha256(f_id || f_source || f_lang || coalesce(length((n_chars + more)::VARCHAR) || ':' || (n_chars + more), '-') || f_text) AS given FROM fields),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leafs),
+nodes(tree, lvl, i, n, node) AS (SELECT tree, 0, i, n, leaf FROM placed
+  UNION ALL SELECT tree, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY tree, lvl, i // 2, n),
+subs AS (SELECT tree, node, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(lvl, i, n, node) AS (SELECT 0, i, n, node FROM subs
+  UNION ALL SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(node, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY lvl, i // 2, n),
+steps AS (
+  SELECT p.r, x.lvl, y.node AS sibling, (p.i // (1 << x.lvl)) % 2 AS slot FROM placed p JOIN nodes x ON x.tree = p.tree AND x.n > 1 AND x.i = p.i // (1 << x.lvl)
+    LEFT JOIN nodes y ON y.tree = x.tree AND y.lvl = x.lvl AND y.i = xor(x.i, 1)
+  UNION ALL SELECT p.r, 1000 + x.lvl, y.node, (s.i // (1 << x.lvl)) % 2 FROM placed p JOIN subs s ON s.tree = p.tree JOIN tops x ON x.n > 1 AND x.i = s.i // (1 << x.lvl)
+    LEFT JOIN tops y ON y.lvl = x.lvl AND y.i = xor(x.i, 1)),
+lists AS (SELECT r, list({'sibling': coalesce(sibling, ''), 'slot': slot} ORDER BY lvl) AS path FROM steps GROUP BY r),
+folds AS (SELECT p.*, coalesce(l.path, []) AS path, list_reduce(list_concat([{'sibling': p.given, 'slot': 0}], coalesce(l.path, [])), lambda a, b:
+  {'sibling': sha256(CASE WHEN b.slot = 0 THEN a.sibling || b.sibling ELSE b.sibling || a.sibling END), 'slot': 0}).sibling AS folded_root FROM placed p LEFT JOIN lists l USING (r))
+SELECT f.doc_id, f.leaf, s.node AS subroot, t.node AS root, sha256(array_to_string(list_transform(f.path, lambda x: x.sibling), '')) AS proof_sha256, f.folded_root,
+  f.folded_root = t.node AS verified FROM folds f JOIN subs s USING (tree), (SELECT node FROM tops WHERE n = 1) t"""
