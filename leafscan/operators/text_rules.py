@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import rulebook as rb
 from ..functions import text as tx
 from ..sources.files import is_code, is_sql
-from .tokens import LEXEME, TOKEN_GROUP
+from . import lexer
 
 # --- Fixed values: patterns ------------------------------------------------------------------
 LIMIT = r"(?i)\bLIMIT\b"
@@ -63,12 +63,11 @@ def wrapper_context(text: Column, line: Column) -> Column:
 
 
 def identifier_line(text: Column) -> Column:
-    """The tokens of a file in one text, comments dropped and strings whole.
+    """The tokens of a file in one text, comments dropped and strings whole; a null text has none.
 
     Enough to tell which words occur as identifiers; no positions, so nothing is exploded.
     """
-    words = F.regexp_extract_all(text, F.lit(LEXEME), F.lit(TOKEN_GROUP))
-    return F.concat(F.lit("\u0001"), F.array_join(words, "\u0001"), F.lit("\u0001"))
+    return lexer.joined(text)
 
 
 def graphql_conditions(line: Column) -> dict[str, Column]:
@@ -136,7 +135,8 @@ def text_facts(files: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFr
         tests |= {"W01": ~c("wrapper_capped"), "W02": ~c("wrapper_ordered")}
     if "G" in families:
         flags |= {
-            "identifiers": F.when(c("code_file") & text.rlike(GRAPHQL_WORDS), identifier_line(text)),
+            # Only these texts are handed to the lexer.
+            "identifiers": identifier_line(F.when(c("code_file") & text.rlike(GRAPHQL_WORDS), text)),
             "cursor_ordered": F.when(c("code_file"), text.rlike(CURSOR_ORDER)),
         }
         g = graphql_conditions(c("identifiers"))

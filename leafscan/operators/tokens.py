@@ -1,8 +1,10 @@
 """The token job (T01-T07): JS/TS source text as relational facts.
 
-Source files are exchanged once by a file key. Everything after that (explode, running windows,
+Source files are exchanged once by a file key. Everything after that (lexing, explode, running windows,
 grouping, the join back to the text) is keyed by the same file key and needs no further exchange,
 so a token never crosses the network. Windows use running frames only: one row of state each.
+Lexing knows modes (``lexer``): an expression in a template is code between ``${`` and its end, which
+count as round brackets; text of templates and markup and type arguments are gaps between tokens.
 
 ``token_facts`` gives one long table, partitioned by fact kind when settled:
 
@@ -15,7 +17,7 @@ decorator  ``@Name("text")`` with the method it decorates
 method     a class member that ends in a body
 decl       a top-level function, class or variable
 icall      a direct ``name(...)`` call inside a top-level declaration
-bad        a bracket that does not balance
+bad        lines of a statement that was left out because its brackets do not balance
 ========== =============================================================================
 """
 
@@ -25,42 +27,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import rulebook as rb
 from ..functions import text as tx
+from . import lexer
 
-# --- Fixed values: lexical patterns ----------------------------------------------------------
-# Loops are possessive: they run without recursion, however long a comment or string is.
-# Type arguments stand directly behind a name and before "("; "a < b > (c)" is no such case. Four
-# levels of nested arguments are read. A "!" before a member access or index asserts a value.
-_PLAIN_TYPE = r"[^<>()=;{}+*/%!^~`]"
-_TYPE = _PLAIN_TYPE + "*+"
-for _ in range(3):
-    _TYPE = rf"(?:{_PLAIN_TYPE}|<{_TYPE}>|\{{(?:[^(){{}}<>]|<{_TYPE}>)*+\}})*+"
-GAP = (
-    r"(?:\s++|//[^\n]*+|/\*[\s\S]*?\*/"
-    rf"|(?<=[\p{{L}}\p{{Nd}}_$])<{_TYPE}>(?=\s*+\()"
-    r"|(?<=[\p{L}\p{Nd}_$)\]])!(?=\s*+(?:\.(?!\.)|\?\.|\[)))*+"
-)
-REGEX = r"/(?![*/>])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[\p{L}]*+"
-# What stands before a gap tells a regular expression from a division. Behind a closing bracket it
-# is one if a member of it is used, which no divisor allows.
-BEFORE_REGEX = (
-    r"(?:(?<![\s\S])|(?<=[=(,:\[!&|?{};~^%*])|(?<==>)|(?<!\+)(?<=\+)|(?<!-)(?<=-)"
-    r"|(?<=\b(?:return|typeof|case|in|of|void|throw|await|yield|else|do|delete|instanceof)))"
-)
-TOKEN = (
-    r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
-    r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
-    r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
-    r"|[\p{L}_$][\p{L}\p{Nd}_$]*+"
-    r"|\d[\w.]*+"
-    r"|=>|\?\.|\?\?|\.\.\.|\*\*|\+\+|--|&&|\|\||[-+*/%&|^<>=!]=++"
-    r"|[\s\S]"
-)
-# Groups 1 and 2 hold a regular expression that the text ahead was found to be, 3 the gap, 4 the token.
-LEXEME = f"(?:{BEFORE_REGEX}(?={GAP}({REGEX}))|(?<=\\))(?={GAP}({REGEX})\\.\\p{{L}})|)({GAP})(\\1|\\2|{TOKEN})"
-GAP_GROUP, TOKEN_GROUP = 3, 4
-
-OPENERS = ("(", "[", "{")
-CLOSERS = (")", "]", "}")
+# --- Fixed values: words and token sets --------------------------------------------------------
 VARIABLE_WORDS = ("const", "let", "var")
 # Words that can stand before "(" without being called.
 CALL_STOP_WORDS = (
@@ -92,9 +61,9 @@ DECORATOR_WORDS = r"@\s*(?:Get|Post|Put|Patch|Delete|Options|Head|Query|Mutation
 
 # What a token is, as bits of one number: tests on a token and its neighbours are then integer
 # masks, which keeps the compiled projections small and the window rows narrow.
-WORD, STRING, NUMBER, TEMPLATE = 1, 2, 4, 8
+WORD, STRING, NUMBER, TEMPLATE, BROKEN = 1, 2, 4, 8, 16
 TOKEN_SETS = {
-    "dot": (".",), "chain": ("?.",), "(": ("(",), ")": (")",), "[": ("[",), "]": ("]",), "{": ("{",), "}": ("}",),
+    "dot": (".",), "chain": ("?.",), "(": ("(", lexer.TEMPLATE_OPEN), ")": (")", lexer.TEMPLATE_CLOSE), "[": ("[",), "]": ("]",), "{": ("{",), "}": ("}",),
     ",": (",",), ";": (";",), ":": (":",), "=": ("=",), "@": ("@",), "*": ("*",), "=>": ("=>",), "sign": ("+", "-"),
     "member_start": ("@", "#", "*", "["), "variable": VARIABLE_WORDS, "prefix": PREFIX_WORDS, "call_stop": CALL_STOP_WORDS,
     "weaker": WEAKER, "multiplicative": MULTIPLICATIVE, "joined": ("instanceof", "in", "as", "of", "satisfies"),
@@ -107,7 +76,7 @@ TOKEN_SETS = {
     "graphql_type": tuple(q + n + q for n in rb.GRAPHQL_TYPES for q in ("", '"', "'")),
     "type_word": ("type", "interface"), "min": ("min",), "Math": ("Math",), "query": ("query",), "req": ("req",), "end": ("",),
 }
-BIT = {name: 1 << (4 + i) for i, name in enumerate(TOKEN_SETS)}
+BIT = {name: 1 << (5 + i) for i, name in enumerate(TOKEN_SETS)}
 _TOKEN_BITS: dict[str, int] = {}
 for _name, _members in TOKEN_SETS.items():
     for _token in _members:
@@ -119,7 +88,7 @@ def _bits(t: Column) -> Column:
     initial = F.substring(t, 1, 1)
     klass = (
         F.when(initial.rlike(r"[\p{L}_$]"), WORD).when(initial.isin('"', "'") & (F.length(t) > 1), STRING)
-        .when(initial == "`", TEMPLATE).when(initial.between("0", "9"), NUMBER).otherwise(0)).cast("bigint")
+        .when(initial == "`", TEMPLATE).when(initial.between("0", "9"), NUMBER).when(initial == lexer.BROKEN, BROKEN).otherwise(0)).cast("bigint")
     place = F.array_position(F.array(*[F.lit(x) for x in _TOKEN_BITS]), t).cast("int")
     return klass.bitwiseOR(F.element_at(F.array(*[F.lit(x).cast("bigint") for x in (0, *_TOKEN_BITS.values())]), place + 1))
 
@@ -154,37 +123,32 @@ def keyed(files: DataFrame) -> DataFrame:
     ).repartition(parts, "h1", "h2")
 
 
-def _explode(keyed_files: DataFrame, *keys: str) -> DataFrame:
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("content", F.lit(LEXEME), F.lit(TOKEN_GROUP)).alias("t"),
-        F.regexp_extract_all("content", F.lit(LEXEME), F.lit(GAP_GROUP)).alias("g"),
-    )
-    # Every file ends in an empty token, the last boundary. Its (always empty) gap reads the path
-    # columns on purpose: the exchange then has the same columns here and at the join back to the
-    # text, and is reused.
-    nothing = F.substring(F.concat("project", "file_path"), 1, 0)
-    end = F.array(F.struct(F.lit("").alias("t"), nothing.alias("g")))
-    return keyed_files.select(*keys, F.posexplode(F.concat(pairs, end)).alias("n", "tok")).select(
-        *keys, "n", F.col("tok.t").alias("t"), F.col("tok.g").alias("g"))
+def _explode(keyed_files: DataFrame, *keys: str, every: bool = False) -> DataFrame:
+    """One row for each token. Every file ends in an empty token, the last boundary, and its broken statements."""
+    # The (always empty) second argument reads the path columns on purpose: the exchange then has the
+    # same columns here and at the join back to the text, and is reused.
+    beside = F.substring(F.concat("project", "file_path"), 1, 0)
+    rows = keyed_files.withColumn("tokens", lexer.lexed(F.col("content"), beside, every))
+    return rows.select(*keys, F.posexplode("tokens").alias("n", "tok")).select(
+        *keys, "n", F.col("tok.t").alias("t"), F.col("tok.gap").alias("gap"), F.col("tok.lines").alias("gap_lines"))
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """Non-blank tokens of each file with their character offset and line."""
-    rows = _explode(keyed(files), "h1", "h2", "project", "file_path")
+    """Non-blank tokens of each file with their character offset and line, those of broken statements too."""
+    rows = _explode(keyed(files), "h1", "h2", "project", "file_path", every=True)
+    shown = F.when(F.col("t") == lexer.TEMPLATE_CLOSE, "}").otherwise(F.col("t"))
     return _placed(rows, "project", "file_path").filter("t <> ''").select(
-        "project", "file_path", "n", "t", "pos", "line", "lvl")
+        "project", "file_path", "n", shown.alias("t"), "pos", "line", "lvl")
 
 
 def _placed(rows: DataFrame, *extra: str) -> DataFrame:
     """Offsets, lines, bracket depth and neighbours (first running window)."""
     by_file = W.partitionBy("h1", "h2").orderBy("n")
     running = by_file.rowsBetween(W.unboundedPreceding, W.currentRow)
-    t, g = F.col("t"), F.col("g")
-    c = F.col
+    c, t = F.col, F.col("t")
     sized = rows.select(
-        "h1", "h2", *extra, "n", "t", _bits(t).alias("b"),
-        F.length(g).alias("gap"), F.length(t).alias("size"),
-        tx.count_newlines(g).alias("gap_lines"), tx.count_newlines(t).alias("own_lines"))
+        "h1", "h2", *extra, "n", "t", _bits(t).alias("b"), "gap", "gap_lines",
+        F.length(t).alias("size"), tx.count_newlines(t).alias("own_lines"))
     step = F.when(_has(c("b"), "(", "[", "{"), 1).when(_has(c("b"), ")", "]", "}"), -1).otherwise(0)
     no_bits = F.lit(0).cast("bigint")
     placed = sized.select(
@@ -263,8 +227,7 @@ def _owned(placed: DataFrame) -> DataFrame:
         "member_end": _has(b, ";") | (_has(b, "}") & (_has(y1, WORD, STRING, "member_start", "}", ";", "end") | c("x1").isNull())),
         "method_name": _has(b, WORD) & _has(y1, "(") & ~_has(b1, "@", "dot", "chain", "new") & ~_has(b, "call_stop"),
     }).drop("p2", "x1", "x2", "b2", "b3", "b4", "y2", "gap")
-    numbered = tested.withColumn("segment", F.coalesce(F.sum("ends").over(before), F.lit(0))).withColumn(
-        "closed_n", F.coalesce(_last(F.when(c("ends") == 1, c("n")), running), F.lit(-1)))
+    numbered = tested.withColumn("segment", F.coalesce(F.sum("ends").over(before), F.lit(0)))
     # A map inside a type or interface declares shapes, not resolvers.
     typed = _last(F.when(c("is_type"), c("segment")), running) == c("segment")
     numbered = numbered.withColumn("form", F.when((c("form") == GRAPHQL_MAP) & typed, F.lit(0).cast("tinyint")).otherwise(c("form"))).drop("is_type")
@@ -284,7 +247,7 @@ def _leveled(owned: DataFrame) -> DataFrame:
     symbol = F.when(c("decl_name").isNotNull() | (c("is_icall") & c("owner").isNotNull()), F.array(F.lit(SYMBOL_LEVEL)))
     none = F.array().cast("array<int>")
     levels = F.concat(
-        F.when(c("deep"), inner).otherwise(F.when(_has(c("b"), "end"), F.array(c("lvl"))).otherwise(none)),
+        F.when(c("deep"), inner).otherwise(F.when(_has(c("b"), "end", BROKEN), F.array(c("lvl"))).otherwise(none)),
         F.coalesce(symbol, none))
     leveled = owned.withColumn("level", F.explode(levels)).withColumns({
         "symbol_row": c("level") == SYMBOL_LEVEL,
@@ -426,11 +389,9 @@ def _fact_rows(s: DataFrame) -> DataFrame:
     method = F.struct(
         c("method.t").alias("name"), c("line"), c("members").alias("member"), g["n"].alias("parent"))
 
-    pair = F.lit(False)
-    for opening, closing in zip(OPENERS, CLOSERS):
-        pair = pair | (_has(c("b"), closing) & _has(g["b"], opening))
-    mismatch = border & c("closes") & ~_true(pair)
-    is_bad = mismatch | (_has(c("b"), "end") & ~c("symbol_row") & (c("depth") != 0))
+    is_broken = item & _has(c("b"), BROKEN)
+    border_line = lambda i: F.split_part(F.substring(c("t"), 2, 64), F.lit(":"), F.lit(i)).cast("int")
+    broken = F.struct(border_line(1).alias("line_start"), border_line(2).alias("line_end"))
 
     symbol = F.struct(F.coalesce(c("decl_name"), c("p1")).alias("name"), c("owner"), c("line"), c("is_default"))
     is_decl = c("decl_name").isNotNull()
@@ -448,7 +409,7 @@ def _fact_rows(s: DataFrame) -> DataFrame:
         "method": (is_method, c("n"), ("method", method)),
         "decl": (c("symbol_row") & is_decl, c("n"), ("symbol", symbol)),
         "icall": (c("symbol_row") & ~is_decl, c("n"), ("symbol", symbol)),
-        "bad": (is_bad, c("n"), ("unclosed", F.when(_has(c("b"), "end") & (c("depth") > 0), F.struct(c("closed_n").alias("n"))))),
+        "bad": (is_broken, c("n"), ("broken", broken)),
     }
     kinds = F.concat_ws(" ", *[F.when(test, F.lit(kind)) for kind, (test, _, _) in shown.items()])
     rows = s.withColumn("kinds", kinds).filter("kinds <> ''").withColumn("kind", F.explode(F.split("kinds", " ")))
@@ -480,7 +441,7 @@ def brackets(files: DataFrame) -> DataFrame:
     """Matching bracket pairs."""
     c = F.col
     return structure(files).filter(c("item") & c("closes")).select(
-        "project", "file_path", F.when(_has(c("b"), ")"), "(").when(_has(c("b"), "]"), "[").otherwise("{").alias("bracket"), c("open_item.n").alias("open_n"),
+        "project", "file_path", F.when(c("t") == lexer.TEMPLATE_CLOSE, lexer.TEMPLATE_OPEN).when(_has(c("b"), ")"), "(").when(_has(c("b"), "]"), "[").otherwise("{").alias("bracket"), c("open_item.n").alias("open_n"),
         c("n").alias("close_n"), c("lvl"))
 
 
@@ -506,7 +467,7 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
         by_key.withColumns({"deep": c("content").rlike(DEEP_WORDS), "decorated": c("content").rlike(DECORATOR_WORDS)}),
         "h1", "h2", "deep", "decorated")
     shaped = _structured(_leveled(_owned(_placed(rows, "deep", "decorated"))))
-    parts = ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol", "unclosed")
+    parts = ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol", "broken")
     # Both halves of a fact share its position; repeated calls of a name in one declaration are one fact.
     icall = c("fact") == "icall"
     halves = _fact_rows(shaped).groupBy(
@@ -518,11 +479,6 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
     named = _with_names(halves.filter((c("fact") != "call") | c("half_call").isNotNull()), c("half_call.name"))
     wanted = F.arrays_overlap("names", F.array(*[F.lit(x) for x in CALL_NAMES_OF_INTEREST]))
     kept = named.filter((c("fact") != "call") | wanted)
-    # A bracket that is never closed leaves out what follows the last complete statement; a stray
-    # closing one (markup text) leaves out nothing, as levels are relative. Both are reported.
-    whole = F.max("unclosed.n").over(W.partitionBy("h1", "h2"))
-    kept = kept.withColumn("whole", whole).filter(c("whole").isNull() | (c("n") <= c("whole")) | (c("fact") == "bad")).drop("whole", "unclosed")
-
     # The text is joined back by the same key: the exchange of ``keyed`` is reused, and the facts,
     # far smaller than the text, are the hashed side.
     joined = by_key.join(kept.hint("shuffle_hash"), ["h1", "h2"], "inner")
@@ -537,9 +493,9 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
     stop = either("stop", "half_call", "prop", "declarator")
     return joined.select(
         "project", "file_path", "fact", "n", start.alias("start"), stop.alias("stop"),
-        F.coalesce(either("line_start", "half_call", "prop", "declarator"),
+        F.coalesce(either("line_start", "half_call", "prop", "declarator", "broken"),
                    either("line", "half_decorator", "method", "symbol")).alias("line_start"),
-        F.coalesce(either("line_end", "half_call", "prop", "declarator"),
+        F.coalesce(either("line_end", "half_call", "prop", "declarator", "broken"),
                    either("line", "half_decorator", "method", "symbol")).alias("line_end"),
         either("name", "half_call", "prop", "declarator", "half_decorator", "method", "symbol").alias("name"),
         "names", part(start, stop).alias("text"),
