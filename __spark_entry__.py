@@ -340,7 +340,7 @@ def _(spark, d):
 @register("J07_call_edges", o.q(_CORPUS_UNITS, "SELECT project, from_file, from_symbol, to_file AS next_file, symbol AS next_symbol, line AS next_line FROM edge"))
 def _(spark, d):
     a = _audit(spark, d)
-    return callchain.call_edges(a.facts, callchain.declarations(a.facts), text_rules.imports_of(a.text_facts))
+    return callchain.call_edges(a.facts, callchain.declarations(a.facts), callchain.bound_names(a.facts))
 
 
 # --- findings: union, signals, enrichment, dedupe ------------------------------------------------

@@ -7,16 +7,16 @@ is a fixed number of equi-joins against the same table, whose exchange is shared
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import rulebook as rb
-from ..functions import text as tx
 from ..schema import CALL_STEP
+from ..session import settle
+from . import modules
 
-# --- Fixed values: guesses for a relative import, in the order they are tried -----------------
-SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
-# --- End of fixed values ---------------------------------------------------------------------
-
+Settle = Callable[[DataFrame, str], DataFrame]
 
 def declarations(facts: DataFrame) -> DataFrame:
     """Top-level names of each file, first declaration first; default exports also as ``default``."""
@@ -29,39 +29,21 @@ def declarations(facts: DataFrame) -> DataFrame:
         "project", "file_path", "lookup", F.col("d.name").alias("symbol"), F.col("d.line_start").alias("line"))
 
 
-def resolve(wanted: DataFrame, decls: DataFrame, imports: DataFrame) -> DataFrame:
+def resolve(wanted: DataFrame, decls: DataFrame, bound: DataFrame) -> DataFrame:
     """``wanted(project, file_path, name)`` to the declaration the name stands for.
 
-    A name declared in the file itself wins; otherwise it goes through a relative import.
+    What an import or a required value binds (``modules.reached``) wins; otherwise it is a name declared in the file itself.
     """
-    names = wanted.select("project", "file_path", "name").distinct()
-    local = names.join(
-        decls.select("project", "file_path", F.col("lookup").alias("name"), "symbol", "line"),
-        ["project", "file_path", "name"])
-    local = local.select("project", "file_path", "name", F.lit(0).alias("guess"),
-                         F.col("file_path").alias("to_file"), "symbol", "line")
-    folder = F.regexp_replace("file_path", "/?[^/]*$", "")
-    base = tx.join_path(folder, F.col("spec"))
-    guesses = F.array(
-        *[F.struct(F.lit(i + 1).alias("guess"), F.concat(base, F.lit(s)).alias("to_file")) for i, s in enumerate(SUFFIXES)],
-        # A path written with the compiled extension means the TypeScript file.
-        F.struct(F.lit(len(SUFFIXES) + 1).alias("guess"), F.regexp_replace(base, r"\.js(x?)$", ".ts$1").alias("to_file")))
-    imported = names.join(
-        imports.withColumnRenamed("alias", "name"), ["project", "file_path", "name"]
-    ).select("project", "file_path", "name", "imported", F.inline(guesses))
-    target = decls.select(
-        "project", F.col("file_path").alias("to_file"), F.col("lookup").alias("imported"), "symbol", "line")
-    foreign = imported.join(target, ["project", "to_file", "imported"]).select(
-        "project", "file_path", "name", "guess", "to_file", "symbol", "line")
-    return local.unionByName(foreign).groupBy("project", "file_path", "name").agg(
-        F.min(F.struct("guess", "to_file", "symbol", "line")).alias("r")
-    ).select("project", "file_path", "name", "r.to_file", "r.symbol", "r.line")
-
-
-def call_edges(facts: DataFrame, decls: DataFrame, imports: DataFrame) -> DataFrame:
+    key = ["project", "file_path", "name"]
+    names = wanted.select(*key).distinct()
+    local = decls.select("project", "file_path", F.col("lookup").alias("name"), F.col("file_path").alias("to_file"), "symbol", "line")
+    return names.join(local.join(bound.select(*key), key, "left_anti").unionByName(bound), key)
+
+
+def call_edges(facts: DataFrame, decls: DataFrame, bound: DataFrame) -> DataFrame:
     """One successor per declaration: another file first, then call order."""
     calls = facts.filter("fact = 'icall'").groupBy("project", "file_path", "owner", "name").agg(F.min("n").alias("n"))
-    resolved = calls.join(resolve(calls, decls, imports), ["project", "file_path", "name"])
+    resolved = calls.join(resolve(calls, decls, bound), ["project", "file_path", "name"])
     step = F.struct(
         (F.col("to_file") == F.col("file_path")).cast("int").alias("same"), F.col("n"), F.col("to_file"), F.col("symbol"), F.col("line"))
     return resolved.groupBy("project", F.col("file_path").alias("from_file"), F.col("owner").alias("from_symbol")).agg(
@@ -70,15 +52,22 @@ def call_edges(facts: DataFrame, decls: DataFrame, imports: DataFrame) -> DataFr
              F.col("s.symbol").alias("next_symbol"), F.col("s.line").alias("next_line"))
 
 
-def call_chains(units: DataFrame, facts: DataFrame, imports: DataFrame) -> DataFrame:
-    """Units with ``call_chain`` filled; it stops at a revisit, a dead end or the depth limit."""
-    decls = declarations(facts)
-    edges = call_edges(facts, decls, imports)
+def bound_names(facts: DataFrame, keep: Settle = settle, aliases: DataFrame | None = None) -> DataFrame:
+    """Names that imports bind, with their declarations."""
+    return modules.reached(declarations(facts), modules.links_of(facts), keep, aliases)
+
+
+def call_chains(units: DataFrame, facts: DataFrame, keep: Settle = settle, aliases: DataFrame | None = None) -> DataFrame:
+    """Units with ``call_chain`` filled; it stops at a revisit, a dead end or the depth limit. ``keep`` writes intermediate tables."""
+    decls = keep(declarations(facts), "declarations")
+    bound = modules.reached(decls, modules.links_of(facts), keep, aliases)
+    # Every step of the walk reads the edges again.
+    edges = keep(call_edges(facts, decls, bound), "call_edges")
     entries = units.filter("entry_symbol IS NOT NULL").select(
         "project", "unit_key", F.col("entry_file").alias("file_path"), F.col("entry_symbol").alias("name"))
     step = F.struct(
         F.col("to_file").alias("file_path"), F.col("symbol").alias("symbol"), F.col("line").alias("line"))
-    walk = entries.join(resolve(entries, decls, imports), ["project", "file_path", "name"]).select(
+    walk = entries.join(resolve(entries, decls, bound), ["project", "file_path", "name"]).select(
         "project", "unit_key", F.col("to_file").alias("from_file"), F.col("symbol").alias("from_symbol"),
         F.array(step.cast(CALL_STEP)).alias("call_chain"))
     for _ in range(rb.CHAIN_MAX_DEPTH - 1):

@@ -12,13 +12,17 @@ without its partner is passed over. Tokens of a given-up statement are left out
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+import sys
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
+from .modules import links_in
+
 # --- Fixed values: lexical patterns ----------------------------------------------------------
 BLANKS = r"[ \t\n\x0b\f\r]"
 NAME = r"[\p{L}_$][\p{L}\p{Nd}_$]*+"
@@ -47,8 +51,12 @@ DECLARATION_WORDS = frozenset("export import function class const let var interf
 
 TEMPLATE_OPEN = "${"
 TEMPLATE_CLOSE = "\ue07d"  # stands for the "}" that ends an expression in a template
+LINK = "\ue0c1"  # followed by the parts of a link between modules, U+0001 between them
 BROKEN = "\ue0ba"  # followed by the first and last line of a given-up statement
 
+# This one module travels with its functions: workers need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _CODE, _TYPE, _TAG = (regex.compile(x).match for x in (CODE, TYPE, TAG))
 _REGEX, _PLAIN, _TEXT, _TAG_START, _CLOSING = (regex.compile(x).match for x in (REGEX, PLAIN_TEMPLATE, TEMPLATE_TEXT, TAG_START, CLOSING_TAG))
 _CALLED = regex.compile(rf"{BLANKS}*+\(").match
@@ -343,6 +351,8 @@ def lex(text: str, every: bool = False) -> tuple[list[str], list[int], list[int]
         k = max(k, b)
     broken = [(text.count("\n", 0, starts[a]) + 1, text.count("\n", 0, starts[b - 1] + len(tokens[b - 1])) + 1) for a, b in skip]
     more = ["", *(f"{BROKEN}{a}:{b}" for a, b in broken)]
+    if not every:
+        more += [LINK + "\u0001".join(link) for link in links_in(out)]
     return out + more, gaps + [0] * len(more), lines + [0] * len(more)
 
 
@@ -380,7 +390,7 @@ def _function(name: str) -> Callable:
 
 
 def lexed(content: Column, beside: Column, every: bool = False) -> Column:
-    """Token rows of a text, the last of them empty, then one for each broken statement. ``beside`` is read and not used (see ``tokens._explode``)."""
+    """Token rows of a text, the last of them empty, then one for each broken statement and each link between modules. ``beside`` is read and not used (see ``tokens._explode``)."""
     return _function("every" if every else "rows")(content, beside)
 
 

@@ -1,5 +1,5 @@
 """Per-file text rules, all in one pass over the text: raw SQL (Q), ``paginate()`` wrappers (W),
-GraphQL paging (G), the file-level page-size test (A12 candidates) and import statements.
+GraphQL paging (G) and the file-level page-size test (A12 candidates).
 
 Nothing here needs a shuffle. ``text_facts`` is the single scan the audit uses; the per-family
 functions below it are the same expressions on their own.
@@ -30,10 +30,9 @@ WRAPPER_ORDER = r"(?:orderBy|sort|ORDER BY)"
 GRAPHQL_WORDS = r"(?:first|after|before|last)"
 CURSOR_ORDER = r"orderBy|sort"
 QUERY_PAGE_SIZE = r"req\.query\.(?:limit|pageSize|first|take)"
-IMPORT = r"""(?m)^[ \t]*import\s+(?:type\s+)?([\p{L}_$][\w$]*)?\s*,?\s*(?:\{([^}]*)\})?\s*from\s*["'](\.[^"']*)["']"""
 # --- End of fixed values ---------------------------------------------------------------------
 
-FAMILIES = ("Q", "W", "G", "A12", "import")
+FAMILIES = ("Q", "W", "G", "A12")
 
 
 def sql_conditions(text: Column) -> dict[str, Column]:
@@ -78,34 +77,8 @@ def graphql_conditions(line: Column) -> dict[str, Column]:
     }
 
 
-def _import_statements(text: Column) -> Column:
-    return F.arrays_zip(*[
-        F.regexp_extract_all(text, F.lit(IMPORT), F.lit(k)).alias(name) for k, name in ((1, "d"), (2, "n"), (3, "p"))])
-
-
-BOUND = "ARRAY<STRUCT<rule_id: STRING, alias: STRING, imported: STRING, spec: STRING>>"
-
-
-def _bound_names(statements: Column) -> Column:
-    """Names bound by relative import statements."""
-    def bound(name, alias, path):
-        return F.struct(F.lit("import").alias("rule_id"), alias.alias("alias"), name.alias("imported"), path.alias("spec"))
-
-    def of_statement(s):
-        pieces = F.filter(
-            F.transform(F.split(F.coalesce(s["n"], F.lit("")), ","),
-                        lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:type\s+)?|\s+", " "))),
-            lambda x: x != "")
-        named = F.transform(pieces, lambda x: bound(
-            F.element_at(F.split(x, " as "), 1), F.element_at(F.split(x, " as "), -1), s["p"]))
-        default = F.when(s["d"] != "", F.array(bound(F.lit("default"), s["d"], s["p"])))
-        return F.concat(named, F.coalesce(default, F.array().cast(BOUND)))
-
-    return F.flatten(F.transform(statements, of_statement))
-
-
 def text_facts(files: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFrame:
-    """Every text rule in one scan: ``rule_id`` is a fired rule, ``A12`` (candidate) or ``import``.
+    """Every text rule in one scan: ``rule_id`` is a fired rule or ``A12`` (candidate).
 
     The expensive tests become plain columns of one compiled projection, each evaluated once per
     file; the rules are then cheap conditions over those columns.
@@ -143,8 +116,6 @@ def text_facts(files: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFr
         tests |= {"G01": g["has_first"] & ~g["has_min"], "G02": g["has_after"] & ~c("cursor_ordered")}
     if "A12" in families:
         tests["A12"] = c("code_file") & text.rlike(QUERY_PAGE_SIZE)
-    if "import" in families:
-        flags["statements"] = F.when(c("code_file") & text.rlike(r"\bimport\b"), _import_statements(text))
     path = c("file_path")
     flagged = files.select("project", "file_path", "content", is_sql(path).alias("sql_file"), is_code(path).alias("code_file"))
     flagged = flagged.withColumns(flags)
@@ -154,25 +125,17 @@ def text_facts(files: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFr
         "project", "file_path", "head", fired.alias("fired"),
         (F.when(c("wrapper_line").isNotNull(), wrapper_context(text, c("wrapper_line"))) if "W" in families else none).alias("context"),
         (c("wrapper_line") if "W" in families else F.lit(None)).cast("int").alias("wrapper_line"),
-        (F.when(c("identifiers").contains("\u0001after\u0001"), "cursor").otherwise("none") if "G" in families else none).alias("first_strategy"),
-        (c("statements") if "import" in families else none).alias("statements"))
-    entries = F.transform(F.split("fired", " "), lambda x: F.struct(
-        x.alias("rule_id"), none.alias("alias"), none.alias("imported"), none.alias("spec")))
-    if "import" in families:
-        listed = listed.filter("fired <> '' OR size(statements) > 0")
-        entries = F.concat(entries, F.coalesce(_bound_names(c("statements")), F.array().cast(BOUND)))
-    else:
-        listed = listed.filter("fired <> ''")
+        (F.when(c("identifiers").contains("\u0001after\u0001"), "cursor").otherwise("none") if "G" in families else none).alias("first_strategy"))
+    listed = listed.filter("fired <> ''")
     rule = c("rule_id")
     family = F.substring(rule, 1, 1)
-    return listed.select("*", F.inline(entries)).filter(rule != "").select(
+    return listed.withColumn("rule_id", F.explode(F.split("fired", " "))).select(
         "project", "file_path", "rule_id",
         F.when(family == "Q", 1).otherwise(0).alias("grp"),
         F.when(family == "G", 1).when(family == "W", 2).otherwise(0).alias("detector"),
         F.when(family == "W", c("wrapper_line")).otherwise(1).alias("line"),
-        F.when(family == "W", c("context")).when(rule == "A12", "").when(rule != "import", c("head")).alias("code_snippet"),
-        F.when(rule == "G01", c("first_strategy")).alias("strategy_seen"),
-        "alias", "imported", "spec")
+        F.when(family == "W", c("context")).when(rule == "A12", "").otherwise(c("head")).alias("code_snippet"),
+        F.when(rule == "G01", c("first_strategy")).alias("strategy_seen"))
 
 
 def sql_flags(files: DataFrame) -> DataFrame:
@@ -211,14 +174,9 @@ def graphql_hits(files: DataFrame) -> DataFrame:
     return hit_rows(text_facts(files.filter(is_code(F.col("file_path")) & F.col("content").rlike(GRAPHQL_WORDS)), ("G",)))
 
 
-def imports_of(facts: DataFrame) -> DataFrame:
-    """Import rows of ``text_facts``."""
-    return facts.filter("rule_id = 'import'").select("project", "file_path", "alias", "imported", "spec")
-
-
 def hit_rows(facts: DataFrame) -> DataFrame:
     """Fired rules of ``text_facts`` in the common shape of detector hits."""
-    return facts.filter("rule_id <> 'import'").select(
+    return facts.select(
         "project", "file_path", "rule_id", "grp", "detector",
         # The file-level page-size test comes after every positioned finding of its detector.
         F.when(F.col("rule_id") == "A12", 2_147_483_647).otherwise(0).alias("start"), F.lit(0).alias("stop"),

@@ -17,6 +17,7 @@ decorator  ``@Name("text")`` with the method it decorates
 method     a class member that ends in a body
 decl       a top-level function, class or variable
 icall      a direct ``name(...)`` call inside a top-level declaration
+link       a name or file that an import, export or require stands for
 bad        lines of a statement that was left out because its brackets do not balance
 ========== =============================================================================
 """
@@ -61,7 +62,7 @@ DECORATOR_WORDS = r"@\s*(?:Get|Post|Put|Patch|Delete|Options|Head|Query|Mutation
 
 # What a token is, as bits of one number: tests on a token and its neighbours are then integer
 # masks, which keeps the compiled projections small and the window rows narrow.
-WORD, STRING, NUMBER, TEMPLATE, BROKEN = 1, 2, 4, 8, 16
+WORD, STRING, NUMBER, TEMPLATE, BROKEN, LINK = 1, 2, 4, 8, 16, 32
 TOKEN_SETS = {
     "dot": (".",), "chain": ("?.",), "(": ("(", lexer.TEMPLATE_OPEN), ")": (")", lexer.TEMPLATE_CLOSE), "[": ("[",), "]": ("]",), "{": ("{",), "}": ("}",),
     ",": (",",), ";": (";",), ":": (":",), "=": ("=",), "@": ("@",), "*": ("*",), "=>": ("=>",), "sign": ("+", "-"),
@@ -76,7 +77,7 @@ TOKEN_SETS = {
     "graphql_type": tuple(q + n + q for n in rb.GRAPHQL_TYPES for q in ("", '"', "'")),
     "type_word": ("type", "interface"), "min": ("min",), "Math": ("Math",), "query": ("query",), "req": ("req",), "end": ("",),
 }
-BIT = {name: 1 << (5 + i) for i, name in enumerate(TOKEN_SETS)}
+BIT = {name: 1 << (6 + i) for i, name in enumerate(TOKEN_SETS)}
 _TOKEN_BITS: dict[str, int] = {}
 for _name, _members in TOKEN_SETS.items():
     for _token in _members:
@@ -88,7 +89,7 @@ def _bits(t: Column) -> Column:
     initial = F.substring(t, 1, 1)
     klass = (
         F.when(initial.rlike(r"[\p{L}_$]"), WORD).when(initial.isin('"', "'") & (F.length(t) > 1), STRING)
-        .when(initial == "`", TEMPLATE).when(initial.between("0", "9"), NUMBER).when(initial == lexer.BROKEN, BROKEN).otherwise(0)).cast("bigint")
+        .when(initial == "`", TEMPLATE).when(initial.between("0", "9"), NUMBER).when(initial == lexer.BROKEN, BROKEN).when(initial == lexer.LINK, LINK).otherwise(0)).cast("bigint")
     place = F.array_position(F.array(*[F.lit(x) for x in _TOKEN_BITS]), t).cast("int")
     return klass.bitwiseOR(F.element_at(F.array(*[F.lit(x).cast("bigint") for x in (0, *_TOKEN_BITS.values())]), place + 1))
 
@@ -247,7 +248,7 @@ def _leveled(owned: DataFrame) -> DataFrame:
     symbol = F.when(c("decl_name").isNotNull() | (c("is_icall") & c("owner").isNotNull()), F.array(F.lit(SYMBOL_LEVEL)))
     none = F.array().cast("array<int>")
     levels = F.concat(
-        F.when(c("deep"), inner).otherwise(F.when(_has(c("b"), "end", BROKEN), F.array(c("lvl"))).otherwise(none)),
+        F.when(c("deep"), inner).otherwise(F.when(_has(c("b"), "end", BROKEN, LINK), F.array(c("lvl"))).otherwise(none)),
         F.coalesce(symbol, none))
     leveled = owned.withColumn("level", F.explode(levels)).withColumns({
         "symbol_row": c("level") == SYMBOL_LEVEL,
@@ -393,6 +394,9 @@ def _fact_rows(s: DataFrame) -> DataFrame:
     border_line = lambda i: F.split_part(F.substring(c("t"), 2, 64), F.lit(":"), F.lit(i)).cast("int")
     broken = F.struct(border_line(1).alias("line_start"), border_line(2).alias("line_end"))
 
+    of_link = lambda i: F.split_part(F.substring(c("t"), F.lit(2), F.length("t")), F.lit("\u0001"), F.lit(i))
+    link = F.struct(of_link(1).alias("owner"), of_link(2).alias("name"), of_link(3).alias("spec"), of_link(4).alias("target"))
+
     symbol = F.struct(F.coalesce(c("decl_name"), c("p1")).alias("name"), c("owner"), c("line"), c("is_default"))
     is_decl = c("decl_name").isNotNull()
     # What a row shows: (kind, test, key of the fact, its part). The tests are plain columns of a
@@ -410,6 +414,7 @@ def _fact_rows(s: DataFrame) -> DataFrame:
         "decl": (c("symbol_row") & is_decl, c("n"), ("symbol", symbol)),
         "icall": (c("symbol_row") & ~is_decl, c("n"), ("symbol", symbol)),
         "bad": (is_broken, c("n"), ("broken", broken)),
+        "link": (item & _has(c("b"), LINK), c("n"), ("link", link)),
     }
     kinds = F.concat_ws(" ", *[F.when(test, F.lit(kind)) for kind, (test, _, _) in shown.items()])
     rows = s.withColumn("kinds", kinds).filter("kinds <> ''").withColumn("kind", F.explode(F.split("kinds", " ")))
@@ -467,7 +472,7 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
         by_key.withColumns({"deep": c("content").rlike(DEEP_WORDS), "decorated": c("content").rlike(DECORATOR_WORDS)}),
         "h1", "h2", "deep", "decorated")
     shaped = _structured(_leveled(_owned(_placed(rows, "deep", "decorated"))))
-    parts = ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol", "broken")
+    parts = ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol", "broken", "link")
     # Both halves of a fact share its position; repeated calls of a name in one declaration are one fact.
     icall = c("fact") == "icall"
     halves = _fact_rows(shaped).groupBy(
@@ -477,6 +482,8 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
     halves = halves.drop("at", "caller", "callee")
     # Halves without the call itself come from optional chains.
     named = _with_names(halves.filter((c("fact") != "call") | c("half_call").isNotNull()), c("half_call.name"))
+    if not symbols:
+        halves = halves.filter("fact <> 'link'")
     wanted = F.arrays_overlap("names", F.array(*[F.lit(x) for x in CALL_NAMES_OF_INTEREST]))
     kept = named.filter((c("fact") != "call") | wanted)
     # The text is joined back by the same key: the exchange of ``keyed`` is reused, and the facts,
@@ -497,17 +504,17 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
                    either("line", "half_decorator", "method", "symbol")).alias("line_start"),
         F.coalesce(either("line_end", "half_call", "prop", "declarator", "broken"),
                    either("line", "half_decorator", "method", "symbol")).alias("line_end"),
-        either("name", "half_call", "prop", "declarator", "half_decorator", "method", "symbol").alias("name"),
-        "names", part(start, stop).alias("text"),
+        either("name", "half_call", "prop", "declarator", "half_decorator", "method", "symbol", "link").alias("name"),
+        "names", F.coalesce(part(start, stop), c("link.spec")).alias("text"),
         c("half_args.kind0").alias("arg0_kind"), part(c("half_args.a0"), c("half_args.b0")).alias("arg0_text"),
         c("half_args.kind1").alias("arg1_kind"), part(c("half_args.a1"), c("half_args.b1")).alias("arg1_text"),
         c("half_args.mult").alias("mult"), c("half_call.dotted").alias("dotted"),
-        # prop: Query/Mutation or "arg"; icall: the declaration it is in.
-        either("owner", "prop", "symbol").alias("owner"),
+        # prop: Query/Mutation or "arg"; icall: the declaration it is in; link: its kind.
+        either("owner", "prop", "symbol", "link").alias("owner"),
         # prop: opening bracket of the call; decorator, method: opening bracket of the class.
         either("parent", "prop", "half_decorator", "method").alias("parent"),
         either("member", "half_decorator", "method").alias("member"),
-        # prop: the identifier that is its value; decorator: its literal argument.
-        F.coalesce(c("prop.symbol"), c("path_literal.path")).alias("symbol"),
+        # prop: the identifier that is its value; decorator: its literal argument; link: the name there.
+        F.coalesce(c("prop.symbol"), c("path_literal.path"), c("link.target")).alias("symbol"),
         c("symbol.is_default").alias("is_default"),
     )

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from .. import rulebook as rb
-from ..operators import callchain, discovery, enrich, findings as fd, grouping, js_rules, metrics, scoring, text_rules, tokens
+from ..operators import callchain, discovery, enrich, findings as fd, grouping, js_rules, metrics, modules, scoring, text_rules, tokens
 from ..session import discard, settle
 from ..sources import files as fs
 
@@ -89,14 +89,19 @@ class Audit:
     # -- facts of the source text -----------------------------------------------------------
     @cached_property
     def text_facts(self) -> DataFrame:
-        families = text_rules.FAMILIES if self.with_chains else text_rules.FAMILIES[:-1]
-        return self._settle(text_rules.text_facts(self.files, families), "text_facts", ("rule_id",))
+        return self._settle(text_rules.text_facts(self.files), "text_facts", ("rule_id",))
 
     @cached_property
     def facts(self) -> DataFrame:
         code = self.files.filter(fs.is_code(F.col("file_path")))
         return self._settle(tokens.token_facts(code, symbols=self.with_chains), "token_facts", ("fact",))
 
+    @cached_property
+    def aliases(self) -> DataFrame | None:
+        """Path aliases of the projects' ``tsconfig`` files, if the source table has any."""
+        found = self._settle(modules.path_aliases(self.source_files), "aliases")
+        return None if found.isEmpty() else found
+
     # -- findings ---------------------------------------------------------------------------
     @cached_property
     def raw_findings(self) -> DataFrame:
@@ -114,7 +119,7 @@ class Audit:
     def discovered(self) -> DataFrame:
         units = discovery.discovered_units(self.facts)
         if self.with_chains:
-            units = callchain.call_chains(units, self.facts, text_rules.imports_of(self.text_facts))
+            units = callchain.call_chains(units, self.facts, self._settle, self.aliases)
         return self._settle(units, "units")
 
     @cached_property

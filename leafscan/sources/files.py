@@ -14,7 +14,8 @@ from ..schema import SOURCE_FILES, conform
 
 CODE_GLOB = "*.{ts,tsx,js,jsx}"
 SQL_GLOB = "*.sql"
-AUDIT_GLOB = "*.{ts,tsx,js,jsx,sql}"
+# With the configurations that hold path aliases; they are no audited files.
+AUDIT_GLOB = "{*.ts,*.tsx,*.js,*.jsx,*.sql,tsconfig.json}"
 
 
 def _pattern(glob: str) -> str:
