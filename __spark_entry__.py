@@ -162,7 +162,7 @@ def _(spark, d):
 
 @register("T03_member_calls", o.q(o.CALLS, "SELECT project, file_path, open_n, close_n, name, start, stop FROM calls"))
 def _(spark, d):
-    return tokens.member_calls(_code(spark, d)).drop("names")
+    return tokens.member_calls(_code(spark, d)).drop("names", "line")
 
 
 @register("T04_call_prefixes", o.q(o.CALLS, "SELECT project, file_path, open_n, array_to_string(names, ' -> ') AS names FROM names"))
@@ -322,6 +322,43 @@ _CORPUS_UNITS = o.CALLS + "," + o.UNITS
 _UNIT_COLS = ("project", "unit_key", "unit_id", "kind", "name", "entry_file", "entry_start", "entry_end", "entry_symbol")
 
 
+# --- files that need modes, modules that pass names on ---------------------------------------------
+
+_SUPPLIED = "'m' || s_suppkey % 10 AS project, '/m' || s_suppkey % 10 || '/k' || s_suppkey || '/' || path AS file_path"
+
+
+def _supplied(rows: list[tuple], columns: str, shown: str) -> str:
+    """Rows that hold for every supplier's files."""
+    return f"SELECT {_SUPPLIED}, {shown} FROM supplier, {o.values(rows, columns, 'v')}"
+
+
+@register("T04_calls_in_modes", _supplied([
+    ("modes/template.ts", "find", 1), ("modes/template.ts", "find -> skip", 1), ("modes/template.ts", "list", 1), ("modes/template.ts", "list -> offset", 1), ("modes/template.ts", "done", 2),
+    ("modes/markup.tsx", "find", 1), ("modes/markup.tsx", "find -> skip", 1), ("modes/markup.tsx", "find", 2), ("modes/markup.tsx", "find -> skip", 2),
+    ("modes/types.ts", "find", 1), ("modes/types.ts", "find -> skip", 1), ("modes/types.ts", "list", 2), ("modes/types.ts", "list -> skip", 2), ("modes/types.ts", "pick", 3), ("modes/types.ts", "h", 4),
+    ("modes/open.ts", "find", 1), ("modes/open.ts", "find -> skip", 1), ("modes/open.ts", "find", 6), ("modes/open.ts", "find -> skip", 6),
+    ("modes/loose.ts", "find", 2), ("modes/loose.ts", "find -> skip", 2), ("modes/loose.ts", "find", 4), ("modes/loose.ts", "find -> limit", 4),
+    ("modes/stray.ts", "find", 1), ("modes/stray.ts", "find -> skip", 1), ("modes/stray.ts", "find", 3), ("modes/stray.ts", "find -> skip", 3)], "path, names, line", "names, line"))
+def _(spark, d):
+    files = _files(spark, d, corpus.module_corpus).filter(C("file_path").contains("/modes/"))
+    return tokens.member_calls(files).select("project", "file_path", F.array_join("names", " -> ").alias("names"), "line")
+
+
+@register("S13_broken_statements", _supplied([
+    ("modes/open.ts", 2, 5), ("modes/loose.ts", 1, 1), ("modes/loose.ts", 3, 3), ("modes/stray.ts", 2, 2), ("modes/stray.ts", 2, 2)], "path, line_start, line_end", "line_start, line_end"))
+def _(spark, d):
+    return _audit(spark, d, corpus.module_corpus).facts.filter("fact = 'bad'").select("project", "file_path", "line_start", "line_end")
+
+
+@register("U05_chains_between_modules", _supplied([
+    ("impl/store.ts", "GET /list", 0, "list", 1), ("impl/store.ts", "GET /list", 1, "inner", 2), ("impl/store.ts", "POST /save", 0, "write", 3), ("default.ts", "PUT /def", 0, "handler", 1),
+    ("common.js", "GET /old", 0, "old", 1), ("common.js", "GET /k", 0, "hidden", 2), ("whole.js", "GET /whole", 0, "main", 1), ("far/d.ts", "GET /far", 0, "deep", 1),
+    ("impl/store.ts", "GET /aliased", 0, "aliased", 5)], "path, name, depth, symbol, line", "CASE WHEN name = 'GET /list' THEN name || s_suppkey ELSE name END AS name, depth, symbol, line"))
+def _(spark, d):
+    units = _audit(spark, d, corpus.module_corpus).discovered
+    return units.select("project", "name", F.posexplode("call_chain").alias("depth", "step")).select("project", "step.file_path", "name", "depth", "step.symbol", "step.line")
+
+
 @register("U01_http_units", o.q(_CORPUS_UNITS, f"SELECT {', '.join(_UNIT_COLS)} FROM disc WHERE kind = 'http'"))
 def _(spark, d):
     return discovery.http_units(_audit(spark, d).facts).select(*_UNIT_COLS)

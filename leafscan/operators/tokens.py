@@ -455,7 +455,7 @@ def member_calls(files: DataFrame) -> DataFrame:
     c = F.col
     return _with_names(structure(files).filter("is_call"), c("open_item.label")).select(
         "project", "file_path", c("open_item.n").alias("open_n"), c("n").alias("close_n"),
-        c("open_item.label").alias("name"), "names", c("head.pos").alias("start"), (c("pos") + 1).alias("stop"))
+        c("open_item.label").alias("name"), "names", c("head.pos").alias("start"), (c("pos") + 1).alias("stop"), c("line"))
 
 
 def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # The same text runs in Spark SQL and in other ANSI engines.
 CORPUS_SQL = """
@@ -140,3 +140,44 @@ def tree_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edge_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over_tables(spark, sf_dir, EDGE_SQL, "customer")
+
+
+# Small projects for each supplier: files whose text needs modes to be read, and modules that pass names on. ``#`` is the supplier's key.
+MODE_FILES = (
+    ("modes/template.ts", "export const a# = async (M) => `${await M.find().skip(5)} and ${`in ${M.list({ q: `}` }).offset(#)} it`}`;\nrun.done();\n"),
+    ("modes/markup.tsx", 'export const V# = (M) => <p title="(">step (a don\'t {M.find().skip(5)} can\'t<br /> <b>x</b></p>;\nN.find().skip(#);\n'),
+    ("modes/types.ts", "M.find<A<B<C<D<E<F>>>>>>({}).skip(5);\nM.list<(a: X) => Y[]>({}).skip(#);\nM.pick<T extends U ? V<T> : { a: W<T>; b?: X }>(1);\nif (a.b<c && d.e>(f)) g.h();\n"),
+    ("modes/open.ts", "M.find().skip(1);\nfunction f#() {\n  if (x) {\n    A.find().skip(2);\n}\nfunction g#() { return N.find().skip(3); }\n"),
+    ("modes/loose.ts", "B.find(({a: 1});\nN.find().skip(#);\nconst c = [1, 2;\nP.find().limit(4);\n"),
+    ("modes/stray.ts", "M.find().skip(1)\n}}\nN.find().skip(2)\n"),
+)
+MODULE_FILES = (
+    ("web/a.ts", 'import { list, save as store } from "../barrel";\nimport def from "../default";\nconst { old, kept: k } = require("../common.js");\nconst whole = require("../whole");\n'
+                 'import { far } from "../far/index.js";\nimport { lost } from "../cycle/a";\nimport { aliased } from "@/store";\n// import { gone } from "../impl/store";\n'
+                 "r.get('/list#', list);\nr.post('/save', store);\nr.put('/def', def);\nr.get('/old', old);\nr.get('/k', k);\nr.get('/whole', whole);\nr.get('/far', far);\n"
+                 "r.get('/lost', lost);\nr.get('/aliased', aliased);\nr.get('/gone', gone);\n"),
+    ("barrel.ts", 'export { list, put as save } from "./impl/store";\nexport { default } from "./default";\n'),
+    ("impl/store.ts", "export function list(a) { return inner(a); }\nfunction inner(a) { return a; }\nconst write = (a) => a;\nexport { write as put };\nexport const aliased = 1;\n"),
+    ("default.ts", "const handler = (a) => a;\nexport default handler;\n"),
+    ("common.js", "function old(a) { return a; }\nfunction hidden(a) { return a; }\nmodule.exports = { old, kept: hidden };\n"),
+    ("whole.js", "function main(a) { return a; }\nmodule.exports = main;\n"),
+    ("far/index.ts", 'export * from "./b";\nexport * from "./other";\n'),
+    ("far/b.ts", 'export * from "./c";\nexport * from ".";\n'),
+    ("far/c.ts", 'import { deep } from "./d";\nexport { deep as far };\n'),
+    ("far/d.ts", "export const deep = (a) => a;\n"),
+    ("far/other.ts", "export const far2 = 1;\n"),
+    ("cycle/a.ts", 'export { lost } from "./b";\n'),
+    ("cycle/b.ts", 'export { lost } from "./a";\n'),
+    ("tsconfig.json", '{ // one alias\n "compilerOptions": { "paths": { "@/*": ["impl/*"] } } }'),
+)
+
+
+def module_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of these files for each row of ``supplier``."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    key = F.col("s_suppkey").cast("string")
+    each = suppliers.select("s_suppkey", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in MODE_FILES + MODULE_FILES])).alias("f"))
+    project = F.concat(F.lit("m"), (F.col("s_suppkey") % 10).cast("string"))
+    root = F.concat(F.lit("/"), project)
+    files = each.select(project.alias("project"), root.alias("root"), F.concat_ws("/", root, F.concat(F.lit("k"), key), "f.path").alias("file_path"), F.replace("f.text", F.lit("#"), key).alias("content"))
+    return files.repartition(spark.sparkContext.defaultParallelism, "project", "file_path")
