@@ -7,8 +7,8 @@ the last token they share; it then stands before ``t``. The next such merge ``(t
 weighing ``len(t)``; ``lookahead`` finds it in one pass over the list. Tokens that end that far before the end of the buffer never change: they
 are emitted and dropped, as merges never cross a border of final tokens. Buffer and state stay constant, however long a word is.
 
-Texts reach the transducer by pieces of the vocabulary's split, distinct stretches once per worker (see ``subwords``); a text of more than
-``STREAM_CHARS`` goes through it in blocks. Null texts are empty; empty tables give empty results; rows that repeat are encoded each; special
+Every piece of the vocabulary's split goes through the transducer; where a piece ends, what has not been emitted is decided. Distinct stretches of text
+are encoded once per worker (see ``subwords``), each as a stream of blocks. Null texts are empty; empty tables give empty results; rows that repeat are encoded each; special
 tokens in a text are their ids, as in the tokenizers library; other columns are not looked at. Nothing is exchanged between rows.
 """
 
@@ -19,16 +19,15 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from leafscan.llm import common as c, subwords
 
-STREAM_CHARS = 1 << 20
 BLOCK_CHARS = 1 << 16
 # Fixed value: the split of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,35 +48,39 @@ def lookahead(merges: list[tuple[str, str]]) -> int:
 class Transducer:
     """Ids of one piece of the split, pushed symbol by symbol; what is stable comes out at once."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], block: int = 512):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], block: int | None = None):
         self.symbols, self.merges = vocab, merges
         self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         self.lengths = {i: len(s) for s, i in vocab.items()}
-        self.reach: int | None = None
-        self.block = block
+        self.reach = lookahead(merges)
+        # Symbols that are held before the stable ones are taken out: each is then merged a bounded number of times.
+        self.block = max(block or 0, 2 * self.reach + 2 * max(self.lengths.values()))
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of a bounded stretch: always the best-ranked pair, the leftmost of equal ones."""
-        get, never = self.ranks.get, (1 << 60, -1)
-        pairs = [get(p, never) for p in zip(ids, ids[1:])]
-        while pairs:
-            best = min(pairs)
-            if best is never:
-                break
-            k = pairs.index(best)
-            ids[k:k + 2] = [best[1]]
-            del pairs[k]
-            if k:
-                pairs[k - 1] = get((ids[k - 1], ids[k]), never)
-            if k < len(pairs):
-                pairs[k] = get((ids[k], ids[k + 1]), never)
-        return ids
+        n, get = len(ids), self.ranks.get
+        heap = [(found[0], k) for k, found in enumerate(map(get, zip(ids, ids[1:]))) if found is not None]
+        if not heap:
+            return ids
+        heapify(heap)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        while heap:
+            rank, k = heappop(heap)
+            j = after[k]
+            if j < 0 or (found := get((ids[k], ids[j]))) is None or found[0] != rank:
+                continue  # one of the two has been merged since
+            ids[k], ids[j] = found[1], -1
+            after[k], after[j], i = after[j], -1, before[k]
+            if (j := after[k]) >= 0:
+                before[j] = k
+                if (found := get((ids[k], ids[j]))) is not None:
+                    heappush(heap, (found[0], k))
+            if i >= 0 and (found := get((ids[i], ids[k]))) is not None:
+                heappush(heap, (found[0], i))
+        return [i for i in ids if i >= 0]
 
     def stable(self, symbols: list[int]) -> tuple[list[int], list[int]]:
         """(final ids, symbols whose tokens may still change)."""
-        if self.reach is None:
-            self.reach = lookahead(self.merges)
-            self.block = max(self.block, 2 * self.reach + 2 * max(self.lengths.values()))
         if len(symbols) < self.block:
             return [], symbols
         out, end, keep = [], 0, len(symbols) - self.reach
@@ -88,6 +91,15 @@ class Transducer:
             out.append(token)
         return out, symbols[end:]
 
+    def piece(self, symbols: list[int]) -> list[int]:
+        """Ids of a whole piece."""
+        out: list[int] = []
+        buffer: list[int] = []
+        for k in range(0, len(symbols), self.block):
+            done, buffer = self.stable(buffer + symbols[k:k + self.block])
+            out += done
+        return out + self.merge(buffer)
+
 
 class StreamEncoder(subwords.Encoder):
     """Like the library's encoder of the byte-level vocabulary, every merge made by the transducer."""
@@ -106,19 +118,13 @@ class StreamEncoder(subwords.Encoder):
         self.bytes_of |= {i: s.encode() for s, i in self.specials.items()}
 
     def _merge(self, piece: str) -> list[int]:
-        symbols = [self.byte_ids[b] for b in piece.encode()]
-        if len(symbols) < self.transducer.block:
-            return self.transducer.merge(symbols)
-        out: list[int] = []
-        buffer: list[int] = []
-        step = self.transducer.block
-        for k in range(0, len(symbols), step):
-            done, buffer = self.transducer.stable(buffer + symbols[k:k + step])
-            out += done
-        return out + self.transducer.merge(buffer)
+        return self.transducer.piece([self.byte_ids[b] for b in piece.encode()])
 
     def _whole(self, text: str) -> bytes:
-        return array(self.code, [i for ids in self.stream([text]) for i in ids]).tobytes()
+        ids = array(self.code)
+        for part in self.stream(text[k:k + BLOCK_CHARS] for k in range(0, max(len(text), 1), BLOCK_CHARS)):
+            ids.extend(part)
+        return ids.tobytes()
 
     def stream(self, blocks: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a text that comes in blocks; memory is bounded by a block, whatever the text."""
@@ -208,20 +214,6 @@ def _worker(path: str) -> tuple[StreamEncoder, Decoder, list[str]]:
     return _WORKERS[path]
 
 
-def _encoded(encoder: StreamEncoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    long = pc.greater(pc.utf8_length(texts), STREAM_CHARS).to_numpy(zero_copy_only=False)
-    if not long.any():
-        return encoder.encode(texts)
-    counts, parts = [], []
-    for text, streamed in zip(texts, long):
-        text = text.as_py()
-        ids = (np.fromiter((i for block in encoder.stream(text[k:k + BLOCK_CHARS] for k in range(0, len(text), BLOCK_CHARS)) for i in block), encoder.dtype)
-               if streamed else np.frombuffer(encoder.encode(pa.array([text]))[1], encoder.dtype))
-        counts.append(len(ids))
-        parts.append(ids)
-    return np.array(counts, np.int64), np.concatenate(parts)
-
-
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row for each document: number of ids, sha256 of the ids (decimal, with commas) and of the decoded text; with ``with_ids`` both in full."""
     path = vocabulary or subwords.public_path("byte_bpe_50k.json")
@@ -229,7 +221,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def work(batches):
         encoder, decoder, decimal = _worker(path)
         for batch in c.slices(batches, "text"):
-            counts, flat = _encoded(encoder, batch.column("text"))
+            counts, flat = encoder.encode(batch.column("text"))
             ids_hash, text_hash, lists, texts, at = [], [], [], [], 0
             for n in counts.tolist():
                 ids_sum, text_sum, first = hashlib.sha256(), hashlib.sha256(), at
