@@ -8,11 +8,12 @@ block ends a query's search when the k-th verified distance is within ``trust``
 then have passed the threshold with high probability, or when everything is verified. So near groups of any size are verified whole, and
 no window, bucket or candidate list is capped.
 
-Blocks and blocks of queries meet in one task each (the stated query set against all rows); each gives the k best of its block, which are
-merged for each query. Every row is indexed; directions depend on the seed alone, so nothing is fitted and nothing grows on the driver.
+Each block meets the groups of queries one after another in a task (the stated query set against all rows); blocks are copied only where there are
+fewer of them than the cluster has cores. Each block gives its k best, which a top-k (cut before its exchange) merges for each query. Every row is indexed; directions depend on the seed alone, so nothing is fitted and nothing grows on the driver.
 
 Vectors that are null, empty, zero, of another dimension than most or have null or non-finite components take no part. Ties go to the smaller
-id; null ids take no part, repeated rows are candidates each; empty tables give empty results; other columns are not looked at.
+id; null ids take no part, repeated rows are candidates each, but as a query a repeated row (id and vector) is asked once, and an id with several
+vectors is asked with each and gets the k nearest to any of them; empty tables give empty results; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from leafscan.llm import common as c
 from leafscan.session import settle
@@ -105,31 +106,43 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     ``share``: a vector is verified after falling into the windows of that share of the projections. ``trust``: see above. Larger values of
     ``trust`` end earlier; smaller ones verify more. A query is no candidate of its own.
     """
+    k_best = k
     vectors, queries = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
     index = build_index(vectors, block_rows, projections, seed)
-    asked = settle(queries.withColumn("_group", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, math.ceil(queries.count() / query_rows))))), "queries")
-    groups = asked.groupBy("_group").agg(F.collect_list(F.struct("vec_id", "vector")).alias("asked"))
+    asked = settle(queries.distinct(), "queries")
+    n_groups, blocks = max(1, math.ceil(asked.count() / query_rows)), (index.agg(F.max("block")).head()[0] or 0) + 1
+    groups = asked.groupBy(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n_groups)).alias("group")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("asked"))
     threshold = max(1, math.ceil(share * projections))
-    # Every block of queries meets every block of the index: a copy of the blocks for each number, then an equi-join on it.
-    n_groups = max(1, asked.select("_group").distinct().count())
-    pairs = index.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))))
+    copies = max(1, min(n_groups, math.ceil(2 * vectors.sparkSession.sparkContext.defaultParallelism / blocks)))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    parts = ("ids", "vectors", "values", "order")
+    held = index.select("block", numbers(copies).alias("copy"), F.lit(-1).cast("long").alias("group"), *parts, none("asked", "array<struct<vec_id:bigint,vector:array<double>>>"))
+    sent = groups.select(numbers(blocks).alias("block"), F.pmod("group", F.lit(copies)).cast("long").alias("copy"), F.col("group").cast("long").alias("group"), *[none(x, "binary") for x in parts], "asked")
+    # A block comes first, then its groups of queries, one at a time.
+    lined = held.unionByName(sent).repartition(blocks * copies, "block", "copy").sortWithinPartitions("block", "copy", "group")
 
     def work(batches):
+        ids = x = values = order = hashes = block = None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                x = np.frombuffer(row["vectors"]).reshape(len(ids), -1)
-                values = np.frombuffer(row["values"]).reshape(projections, -1)
-                order = np.frombuffer(row["order"], np.int32).reshape(projections, -1)
-                query_ids = np.array([a["vec_id"] for a in row["asked"]], np.int64)
-                q = np.array([a["vector"] for a in row["asked"]])
-                if q.shape[1] != x.shape[1]:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k] for name in (*parts, "block", "group", "asked")}
+                if row["group"].as_py() < 0:
+                    block = row["block"].as_py()
+                    ids = np.frombuffer(row["ids"].as_py(), np.int64)
+                    x = np.frombuffer(row["vectors"].as_py()).reshape(len(ids), -1)
+                    values = np.frombuffer(row["values"].as_py()).reshape(projections, -1)
+                    order = np.frombuffer(row["order"].as_py(), np.int32).reshape(projections, -1)
+                    hashes = directions(x.shape[1], projections, seed)
                     continue
-                who, found, distances = search_block(ids, x, values, order, query_ids, q, q @ directions(x.shape[1], projections, seed),
-                                                     k, threshold, ratio, trust)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[who]), pa.array(ids[found]), pa.array(distances)], ["query_id", "vec_id", "score"])
-
-    found = pairs.join(groups, "_group").repartition("block", "_group").drop("_group", "block").mapInArrow(work, RESULT)
-    best = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("_all"))
-    return best.select("query_id", F.posexplode(F.slice("_all", 1, k))).select(
-        "query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id"), F.col("col.score"))
+                found = row["asked"].as_py()
+                query_ids = np.array([a["vec_id"] for a in found], np.int64)
+                q = np.array([a["vector"] for a in found])
+                if row["block"].as_py() != block or q.shape[1] != x.shape[1]:  # no such block, or other dimensions
+                    continue
+                who, near, distances = search_block(ids, x, values, order, query_ids, q, q @ hashes, k_best, threshold, ratio, trust)
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[who]), pa.array(ids[near]), pa.array(distances)], ["query_id", "vec_id", "score"])
+
+    found = lined.mapInArrow(work, RESULT)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k_best).select("query_id", "rank", "vec_id", "score")
