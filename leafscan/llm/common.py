@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SLICE_BYTES = 8 << 20
 # A table with one short row for each group is broadcast by hint up to this many rows.
 BROADCAST_GROUPS = 100_000
+HOT_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,21 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+def join_once(rows: DataFrame, found: DataFrame, key: str, count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``found`` (settled, one row for each key, ``count`` telling its rows) so that no key is one task.
+
+    Keys with ``hot_rows`` rows or more are at most rows / hot_rows: their part of ``found`` is broadcast if that is few enough, and the rest is shuffled.
+    """
+    hot = found.filter(F.col(count) >= hot_rows)
+    n = hot.count()
+    found = found.drop(count)
+    if n == 0 or n > BROADCAST_GROUPS:
+        return rows.join(found, key)
+    hot = F.broadcast(hot.drop(count))
+    keys = F.broadcast(hot.select(key))
+    return rows.join(keys, key, "left_anti").join(found, key).unionByName(rows.join(hot, key))
+
+
 def row_id(column: str) -> Column:
     return F.col(f"`{column}`").cast("long")
 
@@ -47,6 +65,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = end
 
 
+def give_back() -> None:
+    """Return the memory of finished slices to the system: a worker keeps running, and others share its machine."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+@lru_cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def list_parts(array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets from 0, flat values) of a list array without nulls."""
     offsets = array.offsets.to_numpy().astype(np.int64)

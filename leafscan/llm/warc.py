@@ -52,9 +52,9 @@ def _record(kind: Column | str, record_id: Column, url: Column, date: str, more:
 
 def roles(pages: DataFrame) -> DataFrame:
     """(page_id, digest, first_id) of the distinct pages; ``first_id`` is the smallest id with that payload. Payloads stay where they are."""
-    slim = pages.select("page_id", "digest").distinct()
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    return slim.join(first, "digest")
+    slim = settle(pages.select("page_id", "digest").distinct(), "digests")
+    first = settle(slim.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_n")), "first")
+    return c.join_once(slim, first, "digest", "_n")
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
@@ -185,9 +185,14 @@ def page_captures(spark: SparkSession, path: str) -> DataFrame:
     page = F.nullif(F.regexp_extract(F.col("metadata.fields"), r"page-id: (-?\d*)", 1), F.lit("")).cast("long")
     rows = captures(settle(read_records(spark, path), "records")).select(
         "capture", page.alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("_to"))
-    revisited = rows.filter("_to IS NOT NULL").select(F.col("_to").alias("capture")).distinct()
-    targets = rows.filter("record_type = 'response'").join(revisited, "capture", "left_semi").select(F.col("capture").alias("_to"), F.col("page_id").alias("refers_to"))
-    return rows.join(targets, "_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # Only revisits are joined; the others have no key that could meet anything.
+    rows = settle(rows, "captures")
+    result = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    revisits = rows.filter("_to IS NOT NULL")
+    counts = revisits.groupBy("_to").agg(F.count(F.lit(1)).alias("_n"))
+    targets = counts.join(rows.filter("record_type = 'response'").select(F.col("capture").alias("_to"), F.col("page_id").alias("refers_to")), "_to", "left")
+    joined = c.join_once(revisits, settle(targets, "targets"), "_to", "_n")
+    return joined.select(*result).unionByName(rows.filter("_to IS NULL").withColumn("refers_to", F.lit(None).cast("long")).select(*result))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
