@@ -1,10 +1,12 @@
-"""Near-duplicate join: MinHash bands over word n-grams in place of an LSH forest's tries, exact verification, classes and link counts.
-
-1. Equal texts are one representative (smallest id). Its signature is cut into ``trees`` runs of ``longest`` labels. No trie is built and no prefix adapts
-   to the data: of each run the first ``depth`` labels are one band, and texts are grouped by its hash ("node" below).
-2. ``depth`` is the longest for which a pair at the threshold is found with the target recall, ``1 - (1 - t^depth)^trees``: a constant of the parameters
-   (4 of 5 labels; the fifth serves the whole signatures only). Texts of the same node in any tree are compared by their whole signatures; the pairs that may reach the
-   threshold (``slack`` standard errors) leave a spanning forest for each node, so a node gives fewer edges than it has texts.
+"""Near-duplicate join: MinHash LSH forest over word n-grams, exact verification, classes and link counts.
+
+1. Equal texts are one representative (smallest id). Its signature is cut into ``trees`` runs of ``longest`` labels; texts sorted by the labels of a
+   run are a prefix trie.
+2. Each trie is walked from its longest shared prefixes to shorter ones, down to ``depth``: the longest prefix at which a pair at the threshold is found
+   in some tree with the target recall, ``1 - (1 - t^depth)^trees`` (6 labels, then 5, then 4). Texts that share a prefix are compared by their whole signatures, and
+   those that may reach the threshold (``slack`` standard errors) are connected. A shorter prefix compares only what longer ones have not connected, so
+   the walk of a subtree ends as soon as its texts hang together: groups of near copies never come to the short prefixes. Subtrees below the
+   prefixes of length ``depth`` are spread over tasks ("node" below); each leaves fewer edges than it has texts.
 3. Edges are joined to components by alternating stars. The texts of a component are verified exactly, all against all in numpy matrices of
    their n-gram sets: each text gets its number of links, each component the spanning edges of its true links. True links make the classes.
 
@@ -38,7 +40,7 @@ class Forest:
     n: int = 5
     threshold: float = 0.8
     trees: int = 20
-    longest: int = 5
+    longest: int = 6
     recall: float = 0.9999
     slack: float = 4.5
     node_rows: int = 1024
@@ -127,7 +129,7 @@ def _sign(rows: DataFrame, f: Forest) -> DataFrame:
 
 
 def _nodes(texts: DataFrame, f: Forest) -> DataFrame:
-    """(node, rep): below which trie nodes a representative lies, one for each tree at the adapted depth."""
+    """(node, tree, rep): the subtree below its first ``depth`` labels that a representative lies in, for each tree."""
     def work(batches):
         for batch in batches:
             s = np.frombuffer(b"".join(batch.column("_signature").to_pylist()), np.uint16).reshape(-1, f.trees, f.longest)[:, :, :f.depth].astype(np.uint64)
@@ -138,7 +140,7 @@ def _nodes(texts: DataFrame, f: Forest) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(node.view(np.int64)), pa.list_(pa.int64())), batch.column("rep")], ["nodes", "rep"])
 
     listed = texts.select("rep", "_signature").mapInArrow(work, "nodes array<long>, rep long")
-    return listed.select(F.explode("nodes").alias("node"), "rep")
+    return listed.select(F.posexplode("nodes").alias("tree", "node"), "rep")
 
 
 def dealt(rows: DataFrame, size: str, block: int) -> DataFrame:
@@ -167,19 +169,28 @@ class _Sets:
         return x != y
 
 
-def _close(s: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Spanning edges of the signatures that may reach the threshold. What is all but equal to a pivot needs no turn as one:
-    whatever reaches the threshold with it is close to the pivot as well."""
-    sets, edges, core = _Sets(len(s)), [], np.zeros(len(s), bool)
-    for p in range(len(s) - 1):
-        if core[p]:
-            continue
-        same = (s == s[p]).mean(1)
-        core |= same >= 0.95
-        for x in np.flatnonzero(same >= least):
-            if sets.join(p, int(x)):
-                edges.append((p, int(x)))
-    return edges
+def walk(s: np.ndarray, labels: np.ndarray, depth: int, least: float) -> tuple[list[tuple[int, int]], int]:
+    """(spanning edges, length of the shortest prefix that was needed) of texts with signatures ``s`` and the trie of their ``labels``.
+
+    Two texts are connected exactly if a chain of pairs, each of which may reach the threshold, leads from one to the other.
+    """
+    order = np.lexsort(labels.T[::-1])
+    s, labels = s[order], labels[order]
+    edges, group, used = [], np.arange(len(s)), labels.shape[1]
+    for length in range(labels.shape[1], depth - 1, -1):
+        if (group == group[0]).all():
+            break
+        used = length
+        starts = np.flatnonzero(np.concatenate(([True], (labels[1:, :length] != labels[:-1, :length]).any(1))))
+        for a, b in zip(starts, [*starts[1:], len(s)]):
+            for p in range(a, b - 1):
+                apart = p + 1 + np.flatnonzero(group[p + 1:b] != group[p])
+                if len(apart):
+                    for x in apart[(s[apart] == s[p]).mean(1) >= least]:
+                        if group[x] != group[p]:
+                            group[group == group[x]] = group[p]
+                            edges.append((int(order[p]), int(order[x])))
+    return edges, used
 
 
 def candidate_edges(texts: DataFrame, f: Forest) -> DataFrame:
@@ -194,7 +205,9 @@ def candidate_edges(texts: DataFrame, f: Forest) -> DataFrame:
         for group in c.groups(batches, ["node", "_i", "_j"]):
             reps = group.column("rep").to_numpy()
             s = np.frombuffer(b"".join(group.column("_signature").to_pylist()), np.uint16).reshape(len(reps), -1)
-            found += [(int(reps[x]), int(reps[y])) for x, y in _close(s, least)]
+            tree = group.column("tree")[0].as_py()
+            edges, _ = walk(s, s[:, tree * f.longest:(tree + 1) * f.longest], f.depth, least)
+            found += [(int(reps[x]), int(reps[y])) for x, y in edges]
             if len(found) > 10_000:
                 yield pairs_of(found)
                 found = []
@@ -204,7 +217,7 @@ def candidate_edges(texts: DataFrame, f: Forest) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([max(p) for p in found], pa.int64()), pa.array([min(p) for p in found], pa.int64())], ["a", "b"])
 
     keys = ["node", "_i", "_j"]
-    grouped = dealt(rows, "_size", f.node_rows).select(*keys, "rep", "_signature").repartition(*keys).sortWithinPartitions(*keys)
+    grouped = dealt(rows, "_size", f.node_rows).select(*keys, "tree", "rep", "_signature").repartition(*keys).sortWithinPartitions(*keys)
     return grouped.mapInArrow(work, "a long, b long").distinct()
 
 
