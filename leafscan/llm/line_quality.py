@@ -12,7 +12,8 @@ Lines without words never fail. A document goes if the base rules fail (fewer th
 three-word windows) or if its failing lines hold more than ``max_loss`` of its words.
 
 Null text: no words, so base_failed. Empty tables give empty results; rows that repeat are judged each; other columns are not looked at.
-Everything is a function of one row, so nothing is exchanged; a slice of about 8 MB of text is in memory at a time, a longer text whole.
+Everything is a function of one row, so nothing is exchanged; a slice of about 1 MB of text is in memory at a time, a longer text whole, and what a
+slice has taken goes back to the system before the next one. Only texts that lose lines are made anew.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from leafscan.llm import common as c
 
 WORD = r"[^\x20\x09-\x0D]"
+SLICE_BYTES = 1 << 20
 # Phrases of notices that are not running text, lower case.
 NOTICES = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies", "accept cookies",
            "enable javascript", "javascript is disabled", "click here to", "sign up for our newsletter", "subscribe to our newsletter",
@@ -87,8 +89,8 @@ def _failing_lines(lines: pa.Array, at: np.ndarray, words: pa.Array, codes: np.n
         | long_enough & (same * 2 >= n)))
 
 
-def judge(texts: pa.Array, rules: Rules = Rules()) -> dict[str, np.ndarray | list]:
-    """Counts, verdict and cleaned text of each text; ``texts`` is a string array without nulls."""
+def judge(texts: pa.Array, rules: Rules = Rules(), clean: bool = True) -> dict[str, np.ndarray | pa.Array]:
+    """Counts, verdict and, with ``clean``, cleaned text of each text; ``texts`` is a string array without nulls."""
     offsets, raw = c.utf8_bytes(texts)
     word_at, words = c.words_of(texts)
     codes, n_codes = c.codes_of(words)
@@ -109,12 +111,14 @@ def judge(texts: pa.Array, rules: Rules = Rules()) -> dict[str, np.ndarray | lis
     lost = c.sums_by(line_at, np.where(fails, line_n, 0))
     base_failed = (n_words < 50) | (100 * repeats > 50 * n_words)
     kept = ~base_failed & (lost <= rules.max_loss * n_words)
-    cleaned = texts.to_pylist()
-    for k in np.flatnonzero(lost > 0):
-        cleaned[k] = "\n".join(lines[i].as_py() for i in range(line_at[k], line_at[k + 1]) if not fails[i])
-    return {"n_words": n_words, "word_chars": c.sums_by(offsets, ~_SPACE[raw] & ~_LATER[raw]), "n_symbols": c.sums_by(offsets, _SYMBOL[raw]),
+    out = {"n_words": n_words, "word_chars": c.sums_by(offsets, ~_SPACE[raw] & ~_LATER[raw]), "n_symbols": c.sums_by(offsets, _SYMBOL[raw]),
             "n_dup_lines": c.sums_by(line_at, again), "n_repeat_words": repeats, "base_failed": base_failed, "kept": kept,
-            "lost_words": lost, "lost_lines": c.sums_by(line_at, fails), "cleaned": cleaned}
+            "lost_words": lost, "lost_lines": c.sums_by(line_at, fails)}
+    if clean:
+        changed = np.flatnonzero(lost > 0)
+        anew = ["\n".join(lines.slice(line_at[k], line_at[k + 1] - line_at[k]).filter(pa.array(~fails[line_at[k]:line_at[k + 1]])).to_pylist()) for k in changed]
+        out["cleaned"] = pc.replace_with_mask(texts, pa.array(lost > 0), pa.array(anew, texts.type)) if len(changed) else texts
+    return out
 
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_words long, lost_lines long"
@@ -123,13 +127,15 @@ COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), with_text: bool = False) -> DataFrame:
     """One row for each document: id, counts, verdict and, with ``with_text``, the text without its failing lines."""
     def work(batches):
-        for batch in c.slices(batches, "text"):
-            out = judge(batch.column("text"), rules)
+        for batch in c.slices(batches, "text", SLICE_BYTES):
+            out = judge(batch.column("text"), rules, with_text)
             names = [x.split()[0] for x in COUNTS.split(", ")]
             columns = [batch.column("doc_id"), *(pa.array(out[n]) for n in names)]
             if with_text:
-                columns.append(pa.array(out["cleaned"], pa.string()))
+                columns.append(out["cleaned"])
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, *["cleaned"] * with_text])
+            del out, columns
+            c.give_back()
 
     slim = docs.select(c.row_id(id_col).alias("doc_id"), c.text_of(text_col).alias("text"))
     return slim.mapInArrow(work, f"doc_id long, {COUNTS}" + ", cleaned string" * with_text)
@@ -143,14 +149,15 @@ def clean_documents(docs: DataFrame, text_col: str = "text", size_col: str | Non
     schema, names = docs.schema, docs.columns
 
     def work(batches):
-        for batch in c.slices(batches, text_col):
+        for batch in c.slices(batches, text_col, SLICE_BYTES):
             out = judge(batch.column(text_col).fill_null(""), rules)
-            kept = pa.array(out["kept"])
-            cleaned = pa.array(out["cleaned"], batch.column(text_col).type)
+            kept, cleaned = pa.array(out["kept"]), out["cleaned"]
             columns = {n: batch.column(n) for n in names} | {text_col: cleaned}
             if size_col in columns:
                 changed = pa.array(out["lost_words"] > 0)
                 columns[size_col] = pc.if_else(changed, pc.utf8_length(cleaned).cast(columns[size_col].type), columns[size_col])
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names).filter(kept)
+            del out, columns, cleaned
+            c.give_back()
 
     return docs.mapInArrow(work, schema)

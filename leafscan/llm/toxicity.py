@@ -10,7 +10,9 @@
 3. Classifier. Logistic regression on words and their first letters of training rows against the posteriors, then a two-parameter calibration on the same rows' labels.
 
 Labels are learnt only from rows whose crc32 of the id is not 0 modulo ``folds``; at most ``sample_rows`` labelled rows, those with the smallest hash,
-are used (that bounds the driver's work and the broadcast list of ids); everything else covers all rows. Scores look at the text alone.
+are used (that bounds the driver's work and the broadcast list of ids), one text for each id (the least, if an id repeats); everything else covers all
+rows. The classifier knows at most ``features`` words, the mined lists at most ``mined_words``: sizes of the model, whatever the input. Scores look at
+the text alone.
 
 Null texts are empty and get a score as any other; a null id counts as the empty string; null labels are left out, several labels of an id count as
 their maximum; without any labels the seed lists alone make the posteriors. Empty tables give empty results; repeated rows are scored each.
@@ -50,6 +52,7 @@ PATTERNS = {
 WORDS = re.compile(r"[^\W\d_]+")
 STEM = 4
 TELLING = 3.0
+SLICE_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -115,7 +118,8 @@ def _sample(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     train = labels.filter(~held_out("doc_id", s.folds) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows)
     rows = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
-    return settle(rows.select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
+    once = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max(F.col("toxic").cast("int")).alias("toxic"))
+    return settle(once.select("text", "toxic"), "labelled")
 
 
 def _word_rows(sample: DataFrame) -> DataFrame:
@@ -269,15 +273,16 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
 
 
 def score_texts(docs: DataFrame, model: Model, text: str, score: str, predicted: str) -> DataFrame:
-    """``docs`` with columns ``score`` and ``predicted`` for column ``text`` (no nulls). The model is a bounded list of words with weights."""
+    """``docs`` with columns ``score`` and ``predicted`` for the string column ``text`` (null: empty). The model is a bounded list of words with weights."""
     weights, bias, names = model.weights, model.bias, docs.columns
     known = set(weights)
 
     def work(batches):
-        for batch in c.slices(batches, text):
-            z = np.array([bias + sum(weights[w] for w in known.intersection(terms(t.lower()))) for t in batch.column(text).to_pylist()])
+        for batch in c.slices(batches, text, SLICE_BYTES):
+            z = np.array([bias + sum(weights[w] for w in known.intersection(terms((t.as_py() or "").lower()))) for t in batch.column(text)])
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*names, score, predicted])
+            c.give_back()
 
     return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]))
 
@@ -297,6 +302,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns as they were."""
     model = fit(docs, labels, id_col, text_col, settings=settings)
-    text, score, predicted = (c.fresh(docs, n) for n in ("_text", "_score", "_predicted"))
-    scored = score_texts(docs.withColumn(text, c.text_of(text_col)), model, text, score, predicted)
+    text, score, predicted = text_col, c.fresh(docs, "_score"), c.fresh(docs, "_predicted")
+    if not isinstance(docs.schema[text_col].dataType, T.StringType):
+        text = c.fresh(docs, "_text")
+        docs_read = docs.withColumn(text, c.text_of(text_col))
+    else:
+        docs_read = docs
+    scored = score_texts(docs_read, model, text, score, predicted)
     return scored.filter(F.col(predicted) == 0).select(*[F.col(f"`{n}`") for n in docs.columns])
