@@ -223,7 +223,30 @@ def test_near_duplicates(spark, forest):
 def test_near_duplicates_empty(none):
     assert lsh_forest.near_duplicates(none).count() == 0 and lsh_forest.one_of_each(none).count() == 0
     f = lsh_forest.Forest()
-    assert f.depth == 4 and 1 - (1 - 0.8 ** 4) ** f.trees >= f.recall > 1 - (1 - 0.8 ** 5) ** f.trees
+    assert (f.longest, f.depth) == (6, 4) and 1 - (1 - 0.8 ** 4) ** f.trees >= f.recall > 1 - (1 - 0.8 ** 5) ** f.trees
+
+
+def test_walk_of_a_trie_connects_what_is_close():
+    r = np.random.default_rng(1)
+    for trial in range(200):
+        base = r.integers(0, 9, (r.integers(1, 4), 24))
+        s = base[r.integers(0, len(base), 30)].astype(np.uint16)
+        s[r.random(s.shape) < 0.06] = 9
+        labels = s[:, :6]
+        edges, used = lsh_forest.walk(s, labels, 3, 0.8)
+        up = {}
+        find = lambda x: x if up.get(x, x) == x else find(up[x])
+        for x, y in combinations(range(30), 2):
+            if (labels[x, :3] == labels[y, :3]).all() and (s[x] == s[y]).mean() >= 0.8:
+                up[find(x)] = find(y)
+        want = {frozenset(y for y in range(30) if find(y) == find(x)) for x in range(30)}
+        up = {}
+        for x, y in edges:
+            assert find(x) != find(y)  # a forest
+            up[find(x)] = find(y)
+        assert {frozenset(y for y in range(30) if find(y) == find(x)) for x in range(30)} == want and 3 <= used <= 6
+    copies = np.repeat(r.integers(0, 99, (1, 24)), 50, 0).astype(np.uint16)
+    assert lsh_forest.walk(copies, copies[:, :6], 3, 0.8)[1] == 6  # near copies need the longest prefix only
 
 
 def test_bpe_lookahead_of_small_vocabularies():
@@ -260,8 +283,9 @@ def test_bpe_stream_of_blocks():
     r = random.Random(1)
     for text in ("".join(r.choice("abcdethion") for _ in range(70_000)), "!?" * 30_000, " " * 50_000 + "x", "9é" * 20_000, "x <|endoftext|> " * 300, "it's we'll\n\n  a\tb "):
         want = e.tokenizer.encode(text, add_special_tokens=False).ids
-        for n in (7, 4099, 65536):
-            assert [i for part in e.stream(text[k:k + n] for k in range(0, len(text), n)) for i in part] == want or n == 7 and len(text) > 1000
+        for n in (1, 7, 50, 4099, 65536):
+            short = text if n > 7 else text[:40_000]
+            assert [i for part in e.stream(short[k:k + n] for k in range(0, len(short), n)) for i in part] == (want if short == text else e.tokenizer.encode(short, add_special_tokens=False).ids)
         d = bpe_stream.Decoder(e.bytes_of)
         assert "".join(d.push(want[k:k + 3]) for k in range(0, len(want), 3)) + d.finish() == text
     d = bpe_stream.Decoder({0: b"\xe6\x97", 1: b"\xa5", 2: b"a"})
@@ -316,6 +340,15 @@ def test_nearest(spark):
         hit, total = hit + len(set(own.vec_id) & set(order)), total + 10
     assert hit / total >= 0.95 and set(out.query_id) == set(range(0, 3000, 100))
     assert out[out.query_id == 2000].vec_id.tolist()[:3] == [3, 2001, 2002]  # ties to the smaller id
+    twice = table.filter("vec_id < 300").union(table.filter("vec_id in (100, 7)"))  # a repeated query and a repeated candidate
+    repeated = collision_ann.nearest(twice, twice.filter("vec_id % 100 = 0"), block_rows=64).toPandas()
+    for q in (0, 100, 200):
+        ids = np.array([*range(300), 7])
+        ids = ids[ids != q]
+        d = np.sqrt(((x[ids].astype(float) - x[q].astype(float)) ** 2).sum(1))
+        own = repeated[repeated.query_id == q].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 11)) and len(set(own.vec_id) & set(ids[np.lexsort((ids, d))[:10]])) >= 9
+        assert own.vec_id.value_counts().drop(7, errors="ignore").max() == 1
     few = table.filter("vec_id < 5")
     assert collision_ann.nearest(few, few.filter("vec_id = 0")).count() == 4
     assert collision_ann.nearest(few.limit(0), few.limit(0)).count() == 0
