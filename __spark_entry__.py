@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import importlib.util
+import importlib
 import os
 import sys
 from collections.abc import Callable
@@ -593,13 +593,14 @@ def _view(name: str, scope: str, sort: str, only: str, keep: str) -> None:
     category = {"bounds": "Bounds", "depth": "DepthCost"}.get(sort)
     value = "u.score" if category is None else "coalesce(c.category_score, u.score)"
     where = "u.score < 75 OR u.high" if scope == "critical" else "true"
-    twin = o.q(o.SCORED, f"""SELECT project, unit_key, score, sort_value FROM (
-      SELECT u.project, u.unit_key, u.score, {value} AS sort_value, {keep} AS keep, bool_or({keep}) OVER (PARTITION BY u.project) AS matched
+    twin = o.q(o.SCORED, f"""SELECT project, unit_key, score, sort_value, row_number() OVER (PARTITION BY project ORDER BY sort_value, rank DESC, score, ugrp, cand, entry_file, kind_rank, n) AS position FROM (
+      SELECT u.project, u.unit_key, u.score, {value} AS sort_value, {keep} AS keep, bool_or({keep}) OVER (PARTITION BY u.project) AS matched,
+        coalesce(u.max_rank, 0) AS rank, u.ugrp, u.cand, u.entry_file, u.kind_rank, u.n
       FROM us u LEFT JOIN cats c ON c.project = u.project AND c.unit_key = u.unit_key AND c.category = '{category}' WHERE {where}) z WHERE keep OR NOT matched""")
 
     def query(spark, d):
         a = _audit(spark, d)
-        return metrics.unit_view(a.unit_scores, a.unit_categories, scope, sort, only).select("project", "unit_key", "score", "sort_value")
+        return metrics.order_view(metrics.unit_view(a.unit_scores, a.unit_categories, scope, sort, only)).select("project", "unit_key", "score", "sort_value", "position")
 
     register(name, twin)(query)
 
@@ -611,12 +612,13 @@ _view("K02_all_unbounded_units", "all", "score", "unbounded", "u.unbounded")
 _view("K02_all_unsafe_sort_units", "all", "score", "unsafeSort", "u.unsafe_sort")
 
 
-@register("K03_findings_view", o.q(o.GROUPED, f"""SELECT project, file_path, code, message, severity, section FROM (
+@register("K03_findings_view", o.q(o.GROUPED, f"""SELECT project, file_path, code, message, severity, section,
+  row_number() OVER (PARTITION BY project ORDER BY section, CASE WHEN section = 0 THEN -sev ELSE 0 END, {o.ORD}) AS position FROM (
   SELECT *, 0 AS section FROM grouped WHERE file_path <> '<project>' QUALIFY row_number() OVER (PARTITION BY project, code, file_path ORDER BY sev DESC, {o.ORD}) = 1
   UNION ALL SELECT *, 1 FROM grouped WHERE file_path = '<project>') z"""))
 def _(spark, d):
     report = metrics.order_report(metrics.report_findings(_audit(spark, d).findings))
-    return report.select("project", "file_path", "code", "message", "severity", "section")
+    return report.select("project", "file_path", "code", "message", "severity", "section", "position")
 
 
 @register("K04_unit_findings", o.q(o.GROUPED, f"""SELECT * FROM (SELECT project, unit_key, code, message,
@@ -734,6 +736,18 @@ def _(spark, d):
         F.get_json_object("json", "$.metrics.unboundedUnits").cast("int").alias("unbounded_units"))
 
 
+@register("S09_audit_json_units", o.q(o.SCORED, """SELECT u.project, u.unit_key AS id, u.kind, u.score, u.entry_file, u.entry_start AS first_line, coalesce(u.entry_end, u.entry_start) AS last_line,
+  (SELECT string_agg(c.category || '=' || c.category_score, ',' ORDER BY c.category) FROM cats c WHERE c.project = u.project AND c.unit_key = u.unit_key) AS categories,
+  (SELECT string_agg(f, ',' ORDER BY f) FROM (SELECT u.entry_file AS f WHERE u.entry_file IS NOT NULL UNION SELECT g.file_path FROM grouped g WHERE g.project = u.project AND g.unit_key = u.unit_key) z) AS files FROM us u"""))
+def _(spark, d):
+    line = reports.audit_json(_audit(spark, d)).filter("section = 'unit'")
+    got = F.from_json("json", "id string, kind string, score int, entry struct<filePath:string,lineRange:array<int>>, files array<string>, categories map<string,int>")
+    u = line.select("project", got.alias("u"))
+    cats = F.array_join(F.transform(F.sort_array(F.map_entries("u.categories")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return u.select("project", "u.id", "u.kind", "u.score", C("u.entry.filePath").alias("entry_file"), C("u.entry.lineRange")[0].alias("first_line"), C("u.entry.lineRange")[1].alias("last_line"),
+                    F.when(F.size("u.categories") > 0, cats).alias("categories"), F.nullif(F.array_join(F.sort_array("u.files"), ","), F.lit("")).alias("files"))
+
+
 @register("S11_recommendations_of_snapshot", o.q(_ADVICE, "SELECT project, 'listed' AS state, rank, recommendation FROM recs"))
 def _(spark, d):
     a = _audit(spark, d)
@@ -770,10 +784,12 @@ def _(spark, d):
         a.project_metrics.select("project", "units_scored", "critical_units"), "project")
 
 
-def _optional(module: str) -> bool:
-    """Whether a module that may have been taken out is there; errors inside it are not hidden."""
-    spec = importlib.util.find_spec(module)
-    return spec is not None and spec.origin is not None
+def _optional(module: str):
+    """A module that may have been taken out, or None; so it is too where a package that it needs is missing."""
+    try:
+        return importlib.import_module(module)
+    except ImportError:
+        return None
 
 
 def _on_workers(function: Query) -> Query:
@@ -790,23 +806,20 @@ def _on_workers(function: Query) -> Query:
 
 def queries() -> dict[str, Query]:
     found = {name: function for name, (function, _) in REGISTRY.items()}
-    if _optional("leafscan.llm"):
-        from leafscan.llm.queries import QUERIES
-        more = dict(QUERIES)
-        if _optional("corpus_pipeline"):
-            import corpus_pipeline
-            more["pipeline"] = corpus_pipeline.run
-        found |= {name: _on_workers(function) for name, function in more.items()}
-    return found
+    more = _optional("leafscan.llm.queries")
+    if more is not None:
+        found |= more.QUERIES
+        if (pipeline := _optional("corpus_pipeline")) is not None:
+            found["pipeline"] = pipeline.run
+    return {name: _on_workers(function) for name, function in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: twin for name, (_, twin) in REGISTRY.items() if twin is not None}
-    if _optional("leafscan.llm"):
-        from leafscan.llm.queries import ORACLES
-        found |= ORACLES
-        if _optional("corpus_pipeline"):
-            import corpus_pipeline
-            if corpus_pipeline.ORACLE_SQL is not None:
-                found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    more = _optional("leafscan.llm.queries")
+    if more is not None:
+        found |= more.ORACLES
+        pipeline = _optional("corpus_pipeline")
+        if pipeline is not None and pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = pipeline.ORACLE_SQL
     return found

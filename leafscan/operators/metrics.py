@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import rulebook as rb
 from ..functions import text as tx
+from ..session import settle
+from . import ordering
 from .findings import keep_first
 
+Keep = Callable[[DataFrame, str], DataFrame]
+
 METRICS = (
     "units_scored", "units_with_issues", "critical_units", "high_units", "units_with_bounds", "offset_units",
     "cursor_units", "bounds_coverage_percent", "keyset_usage_percent", "offset_usage_percent",
@@ -95,9 +101,11 @@ def unit_view(unit_scores: DataFrame, categories: DataFrame, scope: str = "criti
         "project", "unit_key", "unit_ord", "name", "kind", "score", "status", "max_severity", "issue_count", "sort_value", "max_rank")
 
 
-def order_view(view: DataFrame) -> DataFrame:
-    """Display order of ``unit_view``."""
-    return view.orderBy("project", "sort_value", F.col("max_rank").desc(), "score", "unit_ord")
+def order_view(view: DataFrame, keep: Keep = settle) -> DataFrame:
+    """``unit_view`` with ``position``: the place in its project's list, from 1. A project's list may be longer than a task can sort."""
+    sorted_by = view.withColumn("_rank", -F.col("max_rank"))
+    placed = ordering.ordered(keep(sorted_by, "view"), ["project", "sort_value", "_rank", "score", "unit_ord", "unit_key"], "ordered", keep)
+    return ordering.numbered(placed, "position", "project").withColumn("position", F.col("position") + 1).drop("_rank")
 
 
 def report_findings(findings: DataFrame) -> DataFrame:
@@ -114,10 +122,11 @@ def report_findings(findings: DataFrame) -> DataFrame:
     })
 
 
-def order_report(report: DataFrame) -> DataFrame:
-    """Display order; a global sort, so no project has to fit one task."""
-    rank = F.when(F.col("section") == 0, F.col("severity_rank")).otherwise(0)
-    return report.orderBy("project", "section", rank.desc(), "finding_ord")
+def order_report(report: DataFrame, keep: Keep = settle) -> DataFrame:
+    """``report_findings`` with ``position``: the place in its project's report, from 1."""
+    sorted_by = report.withColumn("_rank", F.when(F.col("section") == 0, -F.col("severity_rank")).otherwise(0))
+    placed = ordering.ordered(keep(sorted_by, "report"), ["project", "section", "_rank", "finding_ord", "code"], "ordered", keep)
+    return ordering.numbered(placed, "position", "project").withColumn("position", F.col("position") + 1).drop("_rank")
 
 
 def unit_findings(grouped: DataFrame, k: int = 20) -> DataFrame:

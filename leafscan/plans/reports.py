@@ -66,13 +66,25 @@ def audit_json(a: Audit) -> DataFrame:
             F.array("line_start", "line_end").alias("lineRange"), c("code_snippet").alias("codeSnippet"), "strategy",
             c("root_cause").alias("rootCause"), "recommendation", "evidence", "layer", c("unit_key").alias("unitId"), "category",
         ), {"ignoreNullFields": "true"}).alias("json"))
-    units = a.unit_scores.select(
-        "project", F.lit("unit").alias("section"), F.xxhash64("unit_key").alias("ord"), F.to_json(F.struct(
-            c("unit_key").alias("id"), "kind", "name", c("entry_file").alias("entryFile"), c("entry_start").alias("entryLine"),
-            c("call_chain").alias("callChain"), "score", "status", "weight"), {"ignoreNullFields": "true"}).alias("json"))
+    units = unit_lines(a).select("project", F.lit("unit").alias("section"), F.xxhash64("unit_key").alias("ord"), F.to_json(F.struct(
+        c("unit_key").alias("id"), "kind", "name", "entry", c("call_chain").alias("callChain"), "files", "categories", "score", "status", "weight"),
+        {"ignoreNullFields": "true"}).alias("json"))
     return head.unionByName(findings).unionByName(units)
 
 
+def unit_lines(a: Audit) -> DataFrame:
+    """Units with their entry, the files their findings come from (the entry's first) and their category scores."""
+    c = F.col
+    files = a.findings.select("project", "unit_key", "file_path").distinct().groupBy("project", "unit_key").agg(F.sort_array(F.collect_list("file_path")).alias("_files"))
+    cats = a.unit_categories.groupBy("project", "unit_key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "category_score")))).alias("categories"))
+    units = a.unit_scores.join(files, ["project", "unit_key"], "left").join(cats, ["project", "unit_key"], "left")
+    own = F.when(c("entry_file").isNull(), F.array().cast("array<string>")).otherwise(F.array("entry_file"))
+    lines = F.when(c("entry_start").isNotNull(), F.array("entry_start", F.coalesce("entry_end", "entry_start")))
+    return units.withColumns({
+        "files": F.concat(own, F.array_except(F.coalesce("_files", F.array().cast("array<string>")), own)),
+        "entry": F.when(c("entry_file").isNotNull(), F.struct(c("entry_file").alias("filePath"), lines.alias("lineRange")))})
+
+
 def write_json(a: Audit, path: str) -> None:
     """One folder per section, one line per object."""
     audit_json(a).select("section", F.col("json").alias("value")).write.mode("overwrite").partitionBy("section").text(path)
@@ -81,8 +93,10 @@ def write_json(a: Audit, path: str) -> None:
 def write_snapshot(a: Audit, path: str, run_id: str) -> None:
     """Keep the result tables of a run, sorted by project."""
     for name in SNAPSHOT_TABLES:
-        # Sorted runs of projects: a reader of one project skips row groups, and a task writes one file.
-        getattr(a, name).repartitionByRange("project").sortWithinPartitions("project").write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
+        # Sorted runs of projects: a reader of one project skips row groups, a task writes one file, and a large project is several runs.
+        table = getattr(a, name)
+        whole = F.xxhash64(*[x.name for x in table.schema if x.dataType.typeName() != "map"])
+        table.withColumn("_hash", whole).repartitionByRange("project", "_hash").sortWithinPartitions("project").drop("_hash").write.mode("overwrite").parquet(f"{path}/{name}/run_id={run_id}")
     stamp = a.projects.select("project", F.lit(run_id).alias("run_id"), F.current_timestamp().alias("written_at"))
     # The run's projects come last: a run without them is not finished and is never read.
     stamp.write.mode("overwrite").parquet(f"{path}/runs/run_id={run_id}")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections import deque
+from collections.abc import Iterable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import rulebook as rb
 from ..functions import text as tx
 from ..schema import SOURCE_FILES, conform
+from ..session import settle
 
 CODE_GLOB = "*.{ts,tsx,js,jsx}"
 SQL_GLOB = "*.sql"
@@ -27,36 +30,47 @@ def _pattern(glob: str) -> str:
     return out
 
 
-def _list_files(file_system, folder: str, pattern: re.Pattern) -> Iterator[tuple[str, int]]:
-    from pyarrow import fs
-
-    for entry in file_system.get_file_info(fs.FileSelector(folder, recursive=True)):
-        if entry.type == fs.FileType.File and pattern.fullmatch(entry.base_name):
-            yield entry.path, entry.size
+# A task lists about so many entries before it hands the folders it has not seen to the next round.
+LIST_ENTRIES = 5_000
 
 
-def scan_files(spark: SparkSession, root: str, project: str | None = None, glob: str = AUDIT_GLOB, read_bytes: int = 8 << 20) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, project: str | None = None, glob: str = AUDIT_GLOB, read_bytes: int = 8 << 20, list_entries: int = LIST_ENTRIES) -> DataFrame:
     """Every matching file below ``root`` as one ``source_files`` row.
 
-    Without ``project`` the first folder below ``root`` names the project, so one scan audits a whole checkout farm. Spark's own file
-    sources hide names that begin with ``_`` and give paths as encoded addresses, so the tree is listed and read with Arrow's file systems
-    (local, HDFS, object stores) in the tasks: the folders below ``root`` are listed each in a task, the files found are dealt out
-    by a hash of their path and read in batches of ``read_bytes``. Paths are those of the file system, and nothing is written to find them.
+    Without ``project`` the first folder below ``root`` names the project, so one scan audits a whole checkout farm; files directly below ``root`` belong
+    to a project named like ``root`` itself. Spark's own file sources hide names that begin with ``_`` and give paths as encoded addresses, so the tree
+    is listed and read with Arrow's file systems (local, HDFS, object stores) in the tasks. Folders are rows: each round a task walks down from its
+    folders until it has seen ``list_entries`` entries, and the folders left over are the next round's rows, dealt out anew. So a project with a third
+    of all files is listed by many tasks. The files found are dealt out by a hash of their path and read in batches of ``read_bytes``.
     """
     from pyarrow import fs
 
     file_system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
     base = base.rstrip("/") or "/"
     pattern = re.compile(_pattern(glob))
-    top = file_system.get_file_info(fs.FileSelector(base, recursive=False))
-    folders = [e.path for e in top if e.type == fs.FileType.Directory]
-    loose = [(e.path, e.size) for e in top if e.type == fs.FileType.File and pattern.fullmatch(e.base_name)] if project is not None else []
 
-    def list_folders(batches):
+    def walk(batches):
         for batch in batches:
-            for folder in batch.column("folder").to_pylist():
-                found = list(_list_files(file_system, folder, pattern))
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())], ["file_path", "size"])
+            files, waiting, seen = [], deque(batch.column("path").to_pylist()), 0
+            while waiting and seen < list_entries:
+                for entry in file_system.get_file_info(fs.FileSelector(waiting.popleft(), recursive=False)):
+                    seen += 1
+                    if entry.type == fs.FileType.Directory:
+                        waiting.append(entry.path)
+                    elif entry.type == fs.FileType.File and pattern.fullmatch(entry.base_name):
+                        files.append(entry.path)
+            paths = [*files, *waiting]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([k >= len(files) for k in range(len(paths))])], ["path", "is_folder"])
+
+    folders, found = spark.createDataFrame([(base,)], "path STRING"), []
+    while True:
+        level = settle(folders.mapInArrow(walk, "path STRING, is_folder BOOLEAN"), "listing")
+        found.append(level.filter("NOT is_folder").select(F.col("path").alias("file_path")))
+        folders = level.filter("is_folder").select("path")
+        if folders.isEmpty():
+            break
+        folders = folders.repartition(F.xxhash64("path"))
+    listed = reduce(DataFrame.unionByName, found)
 
     def read(batches):
         rows, size = [], 0
@@ -73,15 +87,15 @@ def scan_files(spark: SparkSession, root: str, project: str | None = None, glob:
     def contents(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["file_path", "content"])
 
-    listed = spark.createDataFrame([(f,) for f in folders], "folder STRING").repartition(max(1, len(folders))).mapInArrow(list_folders, "file_path STRING, size BIGINT")
-    if loose:
-        listed = listed.unionByName(spark.createDataFrame(loose, "file_path STRING, size BIGINT"))
     raw = listed.repartition(F.xxhash64("file_path")).mapInArrow(read, "file_path STRING, content BINARY").select(
         "file_path", F.col("content").cast("string").alias("content"))
     if project is not None:
         return raw.select(F.lit(project).alias("project"), F.lit(base).alias("root"), "file_path", "content")
-    name = F.split(F.substring(F.col("file_path"), len(base.rstrip("/")) + 2, 1 << 20), "/")[0]
-    return raw.select(name.alias("project"), F.concat_ws("/", F.lit(base.rstrip("/")), name).alias("root"), "file_path", "content")
+    top = base.rstrip("/")
+    below = F.split(F.substring(F.col("file_path"), len(top) + 2, 1 << 20), "/")
+    loose = F.size(below) == 1
+    return raw.select(F.when(loose, top.rsplit("/", 1)[-1]).otherwise(below[0]).alias("project"),
+                      F.when(loose, top).otherwise(F.concat_ws("/", F.lit(top), below[0])).alias("root"), "file_path", "content")
 
 
 def source_file_scan(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:

@@ -144,6 +144,11 @@ def test_scan_keeps_every_name(spark, tmp_path):
         (root / name).write_text(content)
     found = {(r.project, r.root, r.file_path, r.content) for r in fs.scan_files(spark, str(root)).collect()}
     assert found == {(n.split("/")[0], f"{root}/{n.split('/')[0]}", f"{root}/{n}", c) for n, c in tree.items() if not n.endswith(".md")}
+    rounds = {(r.project, r.root, r.file_path, r.content) for r in fs.scan_files(spark, str(root), list_entries=1).collect()}
+    assert rounds == found  # a folder a round
+    (root / "loose.ts").write_text("9")
+    loose = [(r.project, r.root, r.file_path) for r in fs.source_file_scan(spark, str(root)).collect() if r.content == "9"]
+    assert loose == [("check outs", str(root), f"{root}/loose.ts")]
     one = {(r.project, r.root, r.file_path) for r in fs.sql_file_scan(spark, f"file://{str(root).replace(' ', '%20')}", "p").collect()}
     assert one == {("p", str(root), f"{root}/_c/q.sql")}
 
