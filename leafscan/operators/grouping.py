@@ -26,10 +26,36 @@ def _by_unit_id(units: DataFrame) -> DataFrame:
 
 
 def _by_file(units: DataFrame) -> DataFrame:
-    """Units of each file in order. Bounded by the text of one file, so a finding can look for its
-    first containing unit inside the row instead of being paired with every unit of the file."""
+    """The first unit of each file and the last line that any unit of it reaches."""
     return units.filter("entry_file IS NOT NULL").groupBy("project", F.col("entry_file").alias("file_path")).agg(
-        F.sort_array(F.collect_list(F.struct("unit_ord", "unit_key", "entry_start", "entry_end"))).alias("in_file"))
+        F.min_by("unit_key", "unit_ord").alias("first_key"), F.max("entry_end").alias("last_line"))
+
+
+def _blocks(units: DataFrame) -> DataFrame:
+    """(project, file_path, level, block, u): the first unit that covers a block of 2^level lines with one of its own blocks.
+
+    A range of lines is a union of at most two aligned blocks a level, so units and lines meet in an equi-join on blocks: a line lies in one block
+    of each level.
+    """
+    c = F.col
+    ranges = units.filter("entry_file IS NOT NULL AND entry_start <= entry_end").select(
+        "project", c("entry_file").alias("file_path"), F.struct("unit_ord", "unit_key").alias("u"), c("entry_start").alias("_s"), (c("entry_end") + 1).alias("_e"),
+        F.explode(F.sequence(F.lit(0), F.floor(F.log2(c("entry_end") - c("entry_start") + 1)).cast("int"))).alias("level"))
+    size = F.expr("shiftleft(1, level)")
+    cut = ranges.withColumn("_l", F.floor((c("_s") + size - 1) / size).cast("int")).withColumn("_r", F.floor(c("_e") / size).cast("int")).filter("_l < _r")
+    found = cut.withColumn("block", F.explode(F.array_compact(F.array(F.when(c("_l") % 2 == 1, c("_l")), F.when(c("_r") % 2 == 1, c("_r") - 1)))))
+    return found.groupBy("project", "file_path", "level", "block").agg(F.min("u").alias("u"))
+
+
+def _by_line(findings: DataFrame, units: DataFrame, by_file: DataFrame) -> DataFrame:
+    """(project, file_path, _line, line_key): the first unit whose range holds a line that has findings."""
+    c = F.col
+    lines = findings.select("project", "file_path", F.coalesce("line_start", F.lit(1)).alias("_line")).distinct()
+    near = lines.join(by_file, ["project", "file_path"]).filter("_line BETWEEN 1 AND last_line")
+    levels = near.select("project", "file_path", "_line", F.explode(F.sequence(F.lit(0), F.floor(F.log2(c("last_line"))).cast("int"))).alias("level"))
+    asked = levels.withColumn("block", F.floor(c("_line") / F.expr("shiftleft(1, level)")).cast("int"))
+    met = asked.join(_blocks(units), ["project", "file_path", "level", "block"])
+    return met.groupBy("project", "file_path", "_line").agg(F.min("u").alias("u")).select("project", "file_path", "_line", c("u.unit_key").alias("line_key"))
 
 
 def _by_chain(units: DataFrame) -> DataFrame:
@@ -44,14 +70,15 @@ def assign_units(findings: DataFrame, units: DataFrame) -> DataFrame:
     c = F.col
     # Null ids meet nothing; spreading them keeps the left join free of one huge null key.
     preset = findings.withColumn("_preset", F.coalesce("unit_id", F.concat(F.lit("\u0000"), "file_path")))
+    preset = preset.withColumn("_line", F.coalesce("line_start", F.lit(1)))
+    by_file = _by_file(units)
     joined = (
         preset.join(_by_unit_id(units).withColumnRenamed("unit_id", "_preset"), ["project", "_preset"], "left")
-        .join(_by_file(units), ["project", "file_path"], "left")
+        .join(by_file.drop("last_line"), ["project", "file_path"], "left")
+        .join(_by_line(findings, units, by_file), ["project", "file_path", "_line"], "left")
         .withColumn("path_key", tx.normal_path(c("file_path")))
         .join(_by_chain(units), ["project", "path_key"], "left"))
-    line = F.coalesce("line_start", F.lit(1))
-    containing = F.filter("in_file", lambda u: (u["entry_start"] <= line) & (u["entry_end"] >= line))
-    in_file = F.coalesce(F.get(containing, F.lit(0))["unit_key"], F.get("in_file", F.lit(0))["unit_key"])
+    in_file = F.coalesce("line_key", "first_key")
     unit_key = F.coalesce("preset_key", in_file, "chain_key", F.concat(F.lit("file:"), "file_path"))
     how = (
         F.when(c("preset_key").isNotNull(), "preset").when(in_file.isNotNull(), "file")

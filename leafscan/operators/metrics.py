@@ -105,7 +105,7 @@ def order_view(view: DataFrame, keep: Keep = settle) -> DataFrame:
     """``unit_view`` with ``position``: the place in its project's list, from 1. A project's list may be longer than a task can sort."""
     sorted_by = view.withColumn("_rank", -F.col("max_rank"))
     placed = ordering.ordered(keep(sorted_by, "view"), ["project", "sort_value", "_rank", "score", "unit_ord", "unit_key"], "ordered", keep)
-    return ordering.numbered(placed, "position", "project").withColumn("position", F.col("position") + 1).drop("_rank")
+    return ordering.numbered(placed, "position", "project").withColumn("position", F.col("position") + 1).drop("_rank").orderBy("project", "position")
 
 
 def report_findings(findings: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def order_report(report: DataFrame, keep: Keep = settle) -> DataFrame:
     """``report_findings`` with ``position``: the place in its project's report, from 1."""
     sorted_by = report.withColumn("_rank", F.when(F.col("section") == 0, -F.col("severity_rank")).otherwise(0))
     placed = ordering.ordered(keep(sorted_by, "report"), ["project", "section", "_rank", "finding_ord", "code"], "ordered", keep)
-    return ordering.numbered(placed, "position", "project").withColumn("position", F.col("position") + 1).drop("_rank")
+    return ordering.numbered(placed, "position", "project").withColumn("position", F.col("position") + 1).drop("_rank").orderBy("project", "position")
 
 
 def unit_findings(grouped: DataFrame, k: int = 20) -> DataFrame:

@@ -52,6 +52,11 @@ class Audit:
         self.close()
 
     # -- files ------------------------------------------------------------------------------
+    @cached_property
+    def paths(self) -> DataFrame:
+        """The source table without its texts, read once for all that looks at paths alone."""
+        return self._settle(self.source_files.withColumn("content", F.lit(None).cast("string")), "paths")
+
     @cached_property
     def backend_roots(self) -> DataFrame:
         """Backend folders by project, from a scan of the paths alone.
@@ -59,25 +64,29 @@ class Audit:
         This table meets the text itself, so it is counted: up to the bound it is broadcast and
         the text stays where it is; beyond it the join is a shuffled one with skew handling.
         """
-        roots = self._settle(fs.backend_roots(self.source_files), "backend_roots")
+        roots = self._settle(fs.backend_roots(self.paths), "backend_roots")
         return F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
 
     @cached_property
     def files(self) -> DataFrame:
         return fs.audited_files(self.source_files, self.ignore, self.backend_roots)
 
+    @cached_property
+    def files_scanned(self) -> DataFrame:
+        """Number of audited files by project."""
+        return fs.files_scanned(fs.audited_files(self.paths, self.ignore, self.backend_roots))
+
     @cached_property
     def projects(self) -> DataFrame:
         """Every project of the input with its backend root; reads paths only."""
-        kept = fs.select_backend_root(self.source_files, self.backend_roots)
+        kept = fs.select_backend_root(self.paths, self.backend_roots)
         return kept.groupBy("project").agg(F.min("root").alias("root"))
 
     @cached_property
     def project_context(self) -> DataFrame:
         # Hints may lie anywhere in the project, not only below its backend folder.
-        orm = fs.orm_tags(fs.ignore_paths(self.source_files, self.ignore)).groupBy("project").agg(F.sort_array(F.collect_set("orm")).alias("orm"))
-        counts = fs.files_scanned(self.files)
-        return self.projects.join(orm, "project", "left").join(counts, "project", "left").select(
+        orm = fs.orm_tags(fs.ignore_paths(self.paths, self.ignore)).groupBy("project").agg(F.sort_array(F.collect_set("orm")).alias("orm"))
+        return self.projects.join(orm, "project", "left").join(self.files_scanned, "project", "left").select(
             "project", F.col("root").alias("backend_root"),
             F.coalesce("orm", F.array().cast("array<string>")).alias("orm"),
             F.coalesce("files_scanned", F.lit(0)).alias("files_scanned"))
@@ -113,7 +122,7 @@ class Audit:
     @cached_property
     def final_findings(self) -> DataFrame:
         """Enriched and deduped, before units are assigned."""
-        return enrich.enrich(self.raw_findings)
+        return self._settle(enrich.enrich(self.raw_findings), "final_findings")
 
     @cached_property
     def discovered(self) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import rulebook as rb
 from ..operators import metrics
-from ..sources.files import files_scanned
 from .audit import Audit
 
 SNAPSHOT_TABLES = (
@@ -130,7 +129,7 @@ def audit_summary(a: Audit) -> DataFrame:
                     c("issue_count").cast("string"), F.lit(" @ "), place)
     units = a.top_units.select("project", "rank", line.alias("line"))
     out = a.project_scores.join(a.strategies, "project").join(
-        files_scanned(a.files), "project", "left").join(
+        a.files_scanned, "project", "left").join(
         a.project_metrics.select("project", metrics.hotspot_array().alias("hotspots")), "project")
     for extra in (_listed(units, "line", "top", 3), _listed(a.issues, "issue", "first_issues", 4),
                   _listed(a.recommendations, "recommendation", "quick_wins", 3)):

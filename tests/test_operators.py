@@ -120,6 +120,20 @@ def test_assignment_against_brute_force(spark):
     assert got == {f["message"]: expected(f) for f in fs}
 
 
+def test_one_file_of_many_units(spark):
+    rng = random.Random(3)
+    us = []
+    for i in range(20_000):
+        start = rng.randint(1, 60_000)
+        us.append({"key": f"u{i:05}", "file": "/p/a.ts", "start": start, "end": start + rng.choice([0, 1, 7, 500, 20_000])})
+    fs = [{"code": "OFFSET_USED", "message": f"m{i}", "file": "/p/a.ts", "line": rng.choice([0, 1, rng.randint(1, 90_000)])} for i in range(300)]
+    grouped = grouping.group_findings(findings(spark, fs), units(spark, us))
+    got = {r["message"]: r["unit_key"] for r in grouped.collect()}
+    assert got == {f["message"]: next((u["key"] for u in us if u["start"] <= f["line"] <= u["end"]), us[0]["key"]) for f in fs}
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan  # units travel as rows
+
+
 @pytest.mark.parametrize("path,layer", [
     ("/a/routes/x.ts", "route"), ("/a/controllers/x.ts", "controller"), ("/a/services/x.ts", "service"), ("/a/x.sql", "sql"),
     ("/a/resolvers/x.ts", "graphql"), ("/a/misc/x.ts", "unknown"), ("/a/Repo/x.ts", "repository"), ("C:\\a\\utils\\x.ts", "utility")])
