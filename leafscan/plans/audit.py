@@ -148,7 +148,8 @@ class Audit:
 
     @cached_property
     def unit_scores(self) -> DataFrame:
-        return scoring.score_units(self.units, self.findings, self.rules)
+        # Eight tables read the scores.
+        return self._settle(scoring.score_units(self.units, self.findings, self.rules), "unit_scores")
 
     @cached_property
     def unit_deductions(self) -> DataFrame:
@@ -156,7 +157,7 @@ class Audit:
 
     @cached_property
     def unit_categories(self) -> DataFrame:
-        return scoring.unit_categories(self.code_points)
+        return self._settle(scoring.unit_categories(self.code_points), "unit_categories")
 
     @cached_property
     def project_scores(self) -> DataFrame:
