@@ -353,7 +353,8 @@ def _(spark, d):
 @register("U05_chains_between_modules", _supplied([
     ("impl/store.ts", "GET /list", 0, "list", 1), ("impl/store.ts", "GET /list", 1, "inner", 2), ("impl/store.ts", "POST /save", 0, "write", 3), ("default.ts", "PUT /def", 0, "handler", 1),
     ("common.js", "GET /old", 0, "old", 1), ("common.js", "GET /k", 0, "hidden", 2), ("whole.js", "GET /whole", 0, "main", 1), ("far/d.ts", "GET /far", 0, "deep", 1),
-    ("impl/store.ts", "GET /aliased", 0, "aliased", 5)], "path, name, depth, symbol, line", "CASE WHEN name = 'GET /list' THEN name || s_suppkey ELSE name END AS name, depth, symbol, line"))
+    ("impl/store.ts", "GET /aliased", 0, "aliased", 5), ("shadow/a.ts", "GET /param", 0, "param", 2), ("shadow/a.ts", "GET /inner", 0, "inner", 3), ("impl/other.ts", "GET /inner", 1, "put", 2),
+    ("shadow/a.ts", "GET /arrow", 0, "arrow", 4), ("shadow/a.ts", "GET /arrow", 1, "own", 5)], "path, name, depth, symbol, line", "CASE WHEN name = 'GET /list' THEN name || s_suppkey ELSE name END AS name, depth, symbol, line"))
 def _(spark, d):
     units = _audit(spark, d, corpus.module_corpus).discovered
     return units.select("project", "name", F.posexplode("call_chain").alias("depth", "step")).select("project", "step.file_path", "name", "depth", "step.symbol", "step.line")

@@ -22,6 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from .modules import links_in
+from .scopes import local_calls
 
 # --- Fixed values: lexical patterns ----------------------------------------------------------
 BLANKS = r"[ \t\n\x0b\f\r]"
@@ -366,17 +367,21 @@ def _rows(every: bool) -> Callable:
         tokens: list[str] = []
         gaps: list[int] = []
         lines: list[int] = []
-        ends = [0]
+        ends, local = [0], []
         for text in _texts(contents):
             t, g, n = lex(text, every)
+            local += [] if every else [ends[-1] + k for k in local_calls(t)]
             tokens += t
             gaps += g
             lines += n
             ends.append(len(tokens))
-        rows = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(np.array(gaps, np.int32)), pa.array(np.array(lines, np.int32))], ["t", "gap", "lines"])
+        marks = np.zeros(len(tokens), bool)
+        marks[local] = True
+        rows = pa.StructArray.from_arrays(
+            [pa.array(tokens, pa.string()), pa.array(np.array(gaps, np.int32)), pa.array(np.array(lines, np.int32)), pa.array(marks)], ["t", "gap", "lines", "local"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
-    return F.arrow_udf(run, "array<struct<t:string,gap:int,lines:int>>")
+    return F.arrow_udf(run, "array<struct<t:string,gap:int,lines:int,local:boolean>>")
 
 
 def _joined(contents: pa.Array) -> pa.Array:
@@ -390,7 +395,7 @@ def _function(name: str) -> Callable:
 
 
 def lexed(content: Column, beside: Column, every: bool = False) -> Column:
-    """Token rows of a text, the last of them empty, then one for each broken statement and each link between modules. ``beside`` is read and not used (see ``tokens._explode``)."""
+    """Token rows of a text (``local``: opens a call of a name that an inner scope binds), the last of them empty, then one for each broken statement and each link between modules. ``beside`` is read and not used (see ``tokens._explode``)."""
     return _function("every" if every else "rows")(content, beside)
 
 

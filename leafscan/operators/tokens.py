@@ -16,7 +16,7 @@ cap        a ``Math.min`` call that caps a page size
 decorator  ``@Name("text")`` with the method it decorates
 method     a class member that ends in a body
 decl       a top-level function, class or variable
-icall      a direct ``name(...)`` call inside a top-level declaration
+icall      a direct ``name(...)`` call inside a top-level declaration, unless an inner scope binds the name
 link       a name or file that an import, export or require stands for
 bad        lines of a statement that was left out because its brackets do not balance
 ========== =============================================================================
@@ -131,7 +131,7 @@ def _explode(keyed_files: DataFrame, *keys: str, every: bool = False) -> DataFra
     beside = F.substring(F.concat("project", "file_path"), 1, 0)
     rows = keyed_files.withColumn("tokens", lexer.lexed(F.col("content"), beside, every))
     return rows.select(*keys, F.posexplode("tokens").alias("n", "tok")).select(
-        *keys, "n", F.col("tok.t").alias("t"), F.col("tok.gap").alias("gap"), F.col("tok.lines").alias("gap_lines"))
+        *keys, "n", F.col("tok.t").alias("t"), F.col("tok.gap").alias("gap"), F.col("tok.lines").alias("gap_lines"), "tok.local")
 
 
 def tokens(files: DataFrame) -> DataFrame:
@@ -148,12 +148,12 @@ def _placed(rows: DataFrame, *extra: str) -> DataFrame:
     running = by_file.rowsBetween(W.unboundedPreceding, W.currentRow)
     c, t = F.col, F.col("t")
     sized = rows.select(
-        "h1", "h2", *extra, "n", "t", _bits(t).alias("b"), "gap", "gap_lines",
+        "h1", "h2", *extra, "n", "t", _bits(t).alias("b"), "gap", "gap_lines", "local",
         F.length(t).alias("size"), tx.count_newlines(t).alias("own_lines"))
     step = F.when(_has(c("b"), "(", "[", "{"), 1).when(_has(c("b"), ")", "]", "}"), -1).otherwise(0)
     no_bits = F.lit(0).cast("bigint")
     placed = sized.select(
-        "h1", "h2", *extra, "n", "t", "b", "gap", "gap_lines",
+        "h1", "h2", *extra, "n", "t", "b", "gap", "gap_lines", "local",
         (F.sum(c("gap") + c("size")).over(running) - c("size")).cast("int").alias("pos"),
         (1 + F.sum(c("gap_lines") + c("own_lines")).over(running) - c("own_lines")).cast("int").alias("line"),
         F.sum(step).over(running).cast("int").alias("depth"),
@@ -195,7 +195,7 @@ def _owned(placed: DataFrame) -> DataFrame:
     named = function | (top & _has(b, "class") & first) | (top & _has(b, "variable"))
     name = F.when(function & _has(y1, "*") & _has(y2, WORD), c("x2")).when(named & _has(y1, WORD), c("x1"))
     round_open = _has(b, "(")
-    is_icall = round_open & _has(b1, WORD) & ~_has(b1, "call_stop") & ~_has(b2, "no_call_before")
+    is_icall = round_open & _has(b1, WORD) & ~_has(b1, "call_stop") & ~_has(b2, "no_call_before") & ~c("local")
     dot_call = round_open & _has(b2, "dot") & _has(b1, WORD)
     text_call = round_open & _has(b1, "]") & _has(b2, STRING) & _has(b3, "[")
     decorator = round_open & _has(b2, "@") & _has(b1, WORD)
@@ -227,7 +227,7 @@ def _owned(placed: DataFrame) -> DataFrame:
         "text_base": _has(b4, WORD, ")", "]"),
         "member_end": _has(b, ";") | (_has(b, "}") & (_has(y1, WORD, STRING, "member_start", "}", ";", "end") | c("x1").isNull())),
         "method_name": _has(b, WORD) & _has(y1, "(") & ~_has(b1, "@", "dot", "chain", "new") & ~_has(b, "call_stop"),
-    }).drop("p2", "x1", "x2", "b2", "b3", "b4", "y2", "gap")
+    }).drop("p2", "x1", "x2", "b2", "b3", "b4", "y2", "gap", "local")
     numbered = tested.withColumn("segment", F.coalesce(F.sum("ends").over(before), F.lit(0)))
     # A map inside a type or interface declares shapes, not resolvers.
     typed = _last(F.when(c("is_type"), c("segment")), running) == c("segment")

@@ -156,6 +156,9 @@ MODULE_FILES = (
                  'import { far } from "../far/index.js";\nimport { lost } from "../cycle/a";\nimport { aliased } from "@/store";\n// import { gone } from "../impl/store";\n'
                  "r.get('/list#', list);\nr.post('/save', store);\nr.put('/def', def);\nr.get('/old', old);\nr.get('/k', k);\nr.get('/whole', whole);\nr.get('/far', far);\n"
                  "r.get('/lost', lost);\nr.get('/aliased', aliased);\nr.get('/gone', gone);\n"),
+    ("shadow/a.ts", 'import { list, put } from "../impl/other";\nexport function param(list) { list(1); }\nexport function inner(a) { const list = () => a; list(); { let put = a; } return put(a); }\n'
+                    "export const arrow = ({ list }, [put]) => list(put(own()));\nfunction own() {}\nr.get('/param', param);\nr.get('/inner', inner);\nr.get('/arrow', arrow);\n"),
+    ("impl/other.ts", "export function list() {}\nexport function put() {}\n"),
     ("barrel.ts", 'export { list, put as save } from "./impl/store";\nexport { default } from "./default";\n'),
     ("impl/store.ts", "export function list(a) { return inner(a); }\nfunction inner(a) { return a; }\nconst write = (a) => a;\nexport { write as put };\nexport const aliased = 1;\n"),
     ("default.ts", "const handler = (a) => a;\nexport default handler;\n"),

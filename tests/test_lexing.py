@@ -1,9 +1,11 @@
 """Lexical cases of everyday TypeScript: type arguments, assertions, regular expressions, markup, broken files."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from leafscan.operators import discovery, tokens
+from leafscan.operators import discovery, lexer, tokens
 
 CODE = {
     "type_args": "db.user.findMany<User>({skip: 5}); M.find<User>({}).skip(5); f.g<Map<A, B[]>>().skip(1);\nx.y<{a: string; b?: C<D>}>(1)",
@@ -55,3 +57,47 @@ def test_no_resolvers_in_types(spark):
     files = spark.createDataFrame([("p", "/p", "/p/r.ts", code)], "project string, root string, file_path string, content string")
     units = discovery.discovered_units(tokens.token_facts(files))
     assert {r.name for r in units.select(F.col("name")).collect()} == {"Query.posts", "GET /users"}
+
+
+MODES = {
+    "const x = `${await M.find().skip(5)}`; N.x()": ["find", "skip", "x"],
+    "const y = `a ${`b ${M.q().skip(1)} c`} d`; N.x()": ["q", "skip", "x"],
+    "return <p>step (a</p>;\nM.find().skip(5)": ["find", "skip"],
+    "const v = <div title=\"a(\">don't {M.find().skip(5)} can't<br/> <b>x</b></div>; N.x()": ["find", "skip", "x"],
+    "const v = <A b={M.find()} {...c.d()}><>{e.f(<g.H i='('/>)}</></A>; N.x()": ["find", "d", "f", "x"],
+    "const g = <T>(a: T) => a.b(); const h = <any>x.y();": ["b", "y"],
+    "M.find<A<B<C<D<E<F>>>>>>({}).skip(5)": ["find", "skip"],
+    "M.find<(a: X) => Y>({}).skip(5); M.g<A extends B ? C : D>().h()": ["find", "skip", "g", "h"],
+    "if (a.b<c && d.e>(f)) g.h()": ["h"],
+    "a.x(b.c; N.x()": ["x"], "for (let i = 0; i < a.b(); i++) { c.d() }": ["b", "d"], "x = `never closed ${ a.b() }; c.d()": ["b", "d"],
+    "const re = /`[(]/; a.b(`\\``)": ["b"], "a.b(/* ( */ 1) // )": ["b"], "const s = 'it\\'s (', t = \"(\"; a.b()": ["b"],
+}
+
+
+@pytest.mark.parametrize("code", MODES)
+def test_modes(code):
+    tokens, _, _ = lexer.lex(code)
+    assert [tokens[k + 1] for k, t in enumerate(tokens[:-2]) if t == "." and tokens[k + 2] == "("] == MODES[code]
+
+
+def test_tokens_stand_where_they_are_in_any_text():
+    rng = random.Random(11)
+    parts = ["a", "b.c(", ")", "(", "{", "}", "[", "]", "`", "${", "<", ">", "</a>", "<a>", "<a b={", "/>", "/", "'", '"', ";", "\n", " ", "const ", "return ", "=>", "=", "//", "/*", "*/", "é", "\\", "import ", "x<y>("]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 40)))
+        for every in (True, False):
+            tokens, gaps, lines = lexer.lex(text, every)
+            at, line, open_ = 0, 0, []
+            for t, gap, n in zip(tokens, gaps, lines):
+                if t == "":
+                    break
+                assert n == text.count("\n", at, at + gap)
+                at += gap
+                assert text.startswith("}" if t == lexer.TEMPLATE_CLOSE else t, at)
+                at += len(t)
+                if not every:  # what is left balances
+                    if t in ("(", "[", "{", "${"):
+                        open_.append(t)
+                    elif t in (")", "]", "}", lexer.TEMPLATE_CLOSE):
+                        assert open_ and open_.pop() == {")": "(", "]": "[", "}": "{", lexer.TEMPLATE_CLOSE: "${"}[t], text
+            assert not open_, text

@@ -4,7 +4,7 @@ import pytest
 
 from builders import source_files
 from leafscan import audit
-from leafscan.operators import lexer, modules
+from leafscan.operators import lexer, modules, scopes
 
 TREE = {"p": {
     "routes/a.ts": 'import { list, save as store } from "../barrel";\nimport def from "../default";\nconst { old, kept: k } = require("../common.js");\nconst whole = require("../whole");\n'
@@ -71,3 +71,20 @@ def test_links_are_read_from_code_only():
         ("bind", "T", "./t", "T"), ("bind", "d", "./u", "default"), ("bind", "U", "./u", "U"), ("bind", "w", "./u", "v"), ("forward", "X", "./x", "X")]
     assert links("exports.go = run;\nmodule.exports.stop = halt;\nexport default function f() {}\nexport * as ns from './n';\nimport e = require('./e');") == [
         ("forward", "go", "", "run"), ("forward", "stop", "", "halt"), ("bind", "e", "./e", "default")]
+
+
+@pytest.mark.parametrize("code,local", [
+    ("function a(x, f) { f(x); g(x); }", ["f"]),
+    ("const a = (f, {h, k: m}, [n], ...r) => h(f(m(k(n(r())))));", ["h", "f", "m", "n", "r"]),
+    ("const a = async f => { await f(1); q(); }; f(2)", ["f"]),
+    ("function a(f: (x: T) => U, g = dflt()): Promise<X> { f(); g(); T(); }", ["f", "g"]),
+    ("function o() { function inner(z) { z(); out(); } inner(1); const loc = 1; loc(); { let deep = 1; } deep(); }", ["z", "inner", "loc"]),
+    ("class A { m(f, e) { f(); try { e() } catch (x) { x(); } } n() { f(); } }", ["f", "e", "x"]),
+    ("export const f = 1; f(2); function b() { f(3); }", []),
+    ("const t = `${((p) => p(1))(2)}`; p(3);", ["p"]),
+    ("if (a) { b(c) } else { const b = 1; b(d) } b(e)", ["b"]),
+    ("const a = { go(f) { return f(1) }, [k](w) { w() } }; f(2);", ["f", "w"]),
+    ("const z = cond ? (x) : { y: x(1) };", []), ("", []), ("a(", [])])
+def test_calls_of_inner_names(code, local):
+    tokens = lexer.lex(code)[0]
+    assert [tokens[k - 1] for k in sorted(scopes.local_calls(tokens))] == local
