@@ -111,3 +111,13 @@ folds AS (SELECT p.*, coalesce(l.path, []) AS path, list_reduce(list_concat([{'s
   {'sibling': sha256(CASE WHEN b.slot = 0 THEN a.sibling || b.sibling ELSE b.sibling || a.sibling END), 'slot': 0}).sibling AS folded_root FROM placed p LEFT JOIN lists l USING (r))
 SELECT f.doc_id, f.leaf, s.node AS subroot, t.node AS root, sha256(array_to_string(list_transform(f.path, lambda x: x.sibling), '')) AS proof_sha256, f.folded_root,
   f.folded_root = t.node AS verified FROM folds f JOIN subs s USING (tree), (SELECT node FROM tops WHERE n = 1) t"""
+
+# Roles and digests of the archives: base32 of SHA-1 by its bits, five at a time.
+ORACLES["op9_warc"] = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h),
+d AS (SELECT *, octet_length(encode(h)) AS payload_bytes, array_to_string(list_transform(string_split(sha1(h), ''), lambda x:
+  right(((strpos('0123456789abcdef', x) - 1)::INT::BIT)::VARCHAR, 4)), '') AS bits FROM p JOIN f USING (h)),
+e AS (SELECT *, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 +
+  list_sum(list_transform(range(5), lambda j: substr(bits, (5 * k + j + 1)::INT, 1)::INT * (1 << (4 - j)::INT))))::INT, 1)), '') AS payload_digest FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM e"""

@@ -289,3 +289,15 @@ def test_secrets(spark):
     plain = table.filter("doc_id in (2, 3)")  # no sample of a secret
     assert Counter(map(tuple, secrets.find_secrets(plain).collect())) == secrets_by_force(docs[2:4])
     assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
+
+
+def test_join_of_hot_keys(spark, monkeypatch):
+    from leafscan.llm import common
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 3 + [3])], "k long, i long")
+    found = rows.groupBy("k").agg(F.count("i").alias("n"), F.min("i").alias("low"))
+    want = sorted((r.k, r.i, r.low) for r in rows.join(found, "k").collect())
+    for hot in (1, 10, 1000):
+        out = common.join_once(rows, found, "k", "n", hot)
+        assert sorted((r.k, r.i, r.low) for r in out.select("k", "i", "low").collect()) == want
+    monkeypatch.setattr(common, "BROADCAST_GROUPS", 0)
+    assert common.join_once(rows, found, "k", "n", 10).count() == len(want)
