@@ -30,3 +30,14 @@ def keep_first(df: DataFrame, keys: list, order) -> DataFrame:
 def dedupe_findings(findings: DataFrame) -> DataFrame:
     """One finding per project, code, file and message; the first wins, lines are ignored."""
     return keep_first(findings, ["project", "code", "file_path", "message"], F.col("finding_ord"))
+
+
+# Three short columns a row: some 10 MB as a hash table in each executor.
+BROADCAST_RULES = 100_000
+
+
+def rules_of(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """The rule table to join with findings by code. A code may hold most findings, so a table of few rules is broadcast; it is counted first."""
+    if rules is None:
+        return F.broadcast(rb.rules_table(findings.sparkSession))
+    return F.broadcast(rules) if rules.count() <= BROADCAST_RULES else rules

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .. import rulebook as rb
 from ..functions import text as tx
 from ..schema import FINDINGS, UNITS, conform
-from .findings import keep_first
+from .findings import keep_first, rules_of
 
 
 def classify(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Layer from the path, category from the rule table; preset values stay."""
-    rules = rules if rules is not None else rb.rules_table(findings.sparkSession)
-    category = rules.select("code", F.col("category").alias("_category"))
+    category = rules_of(findings, rules).select("code", F.col("category").alias("_category"))
     return findings.join(category, "code", "left").withColumns({
         "layer": F.coalesce("layer", tx.infer_layer(F.col("file_path"))),
         "category": F.coalesce("category", "_category"),

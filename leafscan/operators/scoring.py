@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import rulebook as rb
 from ..functions import text as tx
+from .findings import rules_of
 
 
 def code_points(grouped: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Per unit and code: the highest points, and the first finding that reaches them."""
-    rules = rules if rules is not None else rb.rules_table(grouped.sparkSession)
-    dims = rules.select("code", F.col("points").alias("base"), F.col("category").alias("_category"))
+    dims = rules_of(grouped, rules).select("code", F.col("points").alias("base"), F.col("category").alias("_category"))
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(1.0))))
     scored = grouped.join(dims, "code").filter("base > 0").withColumn("points", F.col("base") * clamped)
     rank = F.struct(-F.col("points"), F.col("finding_ord"))

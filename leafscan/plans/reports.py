@@ -107,12 +107,10 @@ def read_recommendations(spark: SparkSession, path: str) -> DataFrame:
     ``state`` is ``listed`` or ``clean`` (a run without recommendations); a project, or a path,
     without a run has no rows.
     """
-    try:
-        runs = spark.read.parquet(f"{path}/runs")
-    except Exception as error:  # no snapshot was ever written
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/runs")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):  # no snapshot was ever written
         return spark.createDataFrame([], "project STRING, state STRING, rank INT, recommendation STRING")
+    runs = spark.read.parquet(f"{path}/runs")
     last = runs.groupBy("project").agg(F.max_by("run_id", F.struct("written_at", "run_id")).alias("run_id"))
     kept = spark.read.schema("project STRING, rank INT, recommendation STRING, run_id STRING").parquet(f"{path}/recommendations")
     return last.join(kept, ["project", "run_id"], "left").select(
