@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -121,3 +122,28 @@ e AS (SELECT *, array_to_string(list_transform(range(32), lambda k: substr('ABCD
   list_sum(list_transform(range(5), lambda j: substr(bits, (5 * k + j + 1)::INT, 1)::INT * (1 << (4 - j)::INT))))::INT, 1)), '') AS payload_digest FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM e"""
+
+# Line rules: words of each line, three-word windows of each whole text; the patterns and limits are those of the operator.
+ORACLES["op7_line_quality"] = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+split AS (SELECT r, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM cut),
+counted AS (SELECT r, line, len(ws) AS n, len(list_filter(ws, lambda w: regexp_matches(w, '[!?#*$%&~^=_+<>|@]{2}$'))) AS marks,
+  len(list_filter(ws, lambda w: regexp_matches(w, '[.!?:;…。！？؟]["''”’»)\]]*$'))) AS ends, len(list_filter(ws, lambda w: regexp_matches(w, '^[|»›•>]$'))) AS bars,
+  len(list_filter(range(2, len(ws) + 1), lambda k: ws[k] = ws[k - 1])) AS same, regexp_matches(lower(line), '{notices}') AS notice FROM split),
+judged AS (SELECT r, line, n, n > 0 AND (bars >= {min_bars} AND bars * 4 >= n - bars OR notice AND n <= {notice_words} OR n >= {min_words} AND (
+  marks * 3 >= n OR ends = 0 AND n > {bare_words} OR same * 2 >= n)) AS fails FROM counted),
+by_lines AS (SELECT r, sum(n) AS n_words, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
+  coalesce(sum(n) FILTER (fails), 0) AS lost_words, count(*) FILTER (fails) AS lost_lines FROM judged GROUP BY r),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM (
+  SELECT r, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM d)),
+windows AS (SELECT r, k, w, lead(w) OVER s AS w2, lead(w, 2) OVER s AS w3 FROM words WINDOW s AS (PARTITION BY r ORDER BY k)),
+twice AS (SELECT r, k, w3 IS NOT NULL AND count(*) OVER (PARTITION BY r, w, w2, w3) > 1 AS t FROM windows),
+inside AS (SELECT r, t OR coalesce(lag(t) OVER s, false) OR coalesce(lag(t, 2) OVER s, false) AS i FROM twice WINDOW s AS (PARTITION BY r ORDER BY k)),
+repeats AS (SELECT r, count(*) FILTER (i) AS n_repeat_words FROM inside GROUP BY r),
+base AS (SELECT doc_id, n_words::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  lost_words::BIGINT AS lost_words, lost_lines FROM d JOIN by_lines USING (r) LEFT JOIN repeats USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_words <= {max_loss} * n_words AS kept FROM base"""
+for name, value in {**asdict(line_quality.Rules()), "notices": "|".join(line_quality.NOTICES)}.items():
+    ORACLES["op7_line_quality"] = ORACLES["op7_line_quality"].replace(f"{{{name}}}", str(value))
