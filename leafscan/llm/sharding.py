@@ -2,8 +2,8 @@
 
 At each level every child of the chosen node draws ``-ln(u) / weight`` with ``u`` from a hash of the key and the child, and the smallest
 draw wins. A child's chance is its share of the weight, and a changed weight moves keys only between the subtree that changed and its
-siblings, at every level of the path. ``tree_of`` fills racks and regions in order, so a shard beyond full regions opens a region of its own:
-keys move into it and nowhere else.
+siblings, at every level of the path. ``tree_of`` fills racks and regions in order; ``grown_tree`` puts one more shard into a region of its own,
+whatever the regions before hold, so keys move into it and nowhere else.
 
 The key alone decides (law ``key``). Null keys are one key. Empty tables give empty results; repeated rows go to the same shard and get slots
 of their own; other columns are not looked at. Rows are numbered within a shard by hash buckets of a row number that is written once, so
@@ -31,6 +31,11 @@ def tree_of(shards: int, per_rack: int = 4, racks_per_region: int = 3, weights:
     return [racks[i:i + racks_per_region] for i in range(0, len(racks), racks_per_region)]
 
 
+def grown_tree(tree: Tree, weight: float = 1.0) -> Tree:
+    """The tree with one more shard as the only one of a new region: no weight of an older subtree changes, so only the new one wins keys."""
+    return [*tree, [[weight]]]
+
+
 def _draw(key: Column, level: str, children: list[tuple[int, float]]) -> Column:
     """The child with the smallest weighted draw; a child without weight never wins."""
     def race(child: int, weight: float) -> Column:
@@ -82,7 +87,7 @@ def numbered(rows: DataFrame, group: str, into: str, bucket_rows: int = BUCKET_R
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", weights: Sequence[float] | None = None) -> DataFrame:
     """Shard, slot and (with one more shard of weight 1) next shard of each document, with its size in bytes and the crc32 of its text."""
     tree = tree_of(shards, weights=weights)
-    grown = tree_of(shards + 1, weights=None if weights is None else [*weights, 1.0])
+    grown = grown_tree(tree)
     slim = docs.select(c.row_id(id_col).alias("doc_id"), c.text_of(text_col).alias("_text"))
     placed = settle(slim.select(
         "doc_id", (F.octet_length("_text") + 8).cast("long").alias("size"), F.crc32(F.encode("_text", "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"),

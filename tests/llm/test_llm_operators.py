@@ -2,18 +2,23 @@
 
 import base64
 import hashlib
+import itertools
+import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F, types as T
 
 import corpus_pipeline
-from leafscan.llm import attention_lm, bpe_stream, collision_ann, line_quality, lsh_forest, orc_ids, packing, sharding, subwords, toxicity, warc
+from leafscan.llm import attention_lm, bpe_stream, collision_ann, line_quality, lsh_forest, orc_ids, packing, queries, sharding, subwords, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _row string, kept string, score string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -116,6 +121,39 @@ def test_sharding(docs, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("shards,weights", [(5, None), (23, None), (24, None), (3, [1.0, 0.0, 2.5])])
+def test_one_more_shard_takes_rows_only_into_itself(spark, shards, weights):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    out = sharding.shard_documents(docs, shards, weights=weights).select("doc_id", "shard", "grown_shard").collect()
+    share = 1 / (sum(weights or [1.0] * shards) + 1)
+    assert len(out) == 6000 and all(r.grown_shard in (r.shard, shards) for r in out)
+    assert 0.75 * share < sum(r.grown_shard == shards for r in out) / 6000 < 1.25 * share
+    assert sharding.grown_tree(sharding.tree_of(24)) == sharding.tree_of(25)
+
+
+def test_shards_by_force(spark):
+    """The draw recomputed: 64-bit hashes of the key and the child in a chain, the smallest -ln(u) / weight at each level."""
+    weights = [1.0, 2.0, 0.0, 1.5, 3.0, 1.0, 0.5, 1.0, 1.0, 2.0, 1.0, 1.0, 4.0, 1.0]
+    tree = sharding.tree_of(len(weights), weights=weights)
+
+    def draw(key, level, children):
+        def race(child, weight):
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+            bits = xxhash.xxh64_intdigest(f"{level}/{child}".encode(), seed) >> 11
+            return -math.log((bits + 0.5) / 2 ** 53) / weight, child
+        return min(race(k, w) for k, w in children if w > 0)[1]
+
+    def by_force(key):
+        racks = [(r, rack) for r, region in enumerate(tree) for rack in region]
+        first = list(itertools.accumulate((len(rack) for _, rack in racks), initial=0))
+        region = draw(key, "region", [(r, sum(map(sum, x))) for r, x in enumerate(tree)])
+        rack = draw(key, "rack", [(k, sum(x)) for k, (r, x) in enumerate(racks) if r == region])
+        return draw(key, "shard", [(first[rack] + k, w) for k, w in enumerate(racks[rack][1])])
+
+    out = spark.range(-2000, 2000).select("id", sharding.shard_of(F.col("id"), tree).alias("shard")).collect()
+    assert all(r.shard == by_force(r.id) for r in out) and len({r.shard for r in out}) == 13
+
+
 def test_sharding_moves(spark):
     keys = spark.range(40_000).select(sharding.shard_of(F.col("id"), sharding.tree_of(24)).alias("a"), sharding.shard_of(F.col("id"), sharding.tree_of(25)).alias("b"),
                                       sharding.shard_of(F.col("id"), sharding.tree_of(24, weights=[2.0] + [1.0] * 23)).alias("w")).toPandas()
@@ -180,6 +218,20 @@ def test_line_rules_by_force(spark):
     assert got[1].cleaned == BASE and {x.doc_id for x in line_quality.clean_documents(table).collect()} == {1, 2}
 
 
+def test_line_quality_twin(spark, docs, none, tmp_path):
+    r = random.Random(4)
+    parts = ["ab", "cd", "cd", "gh.", "kl!!", "\t|", "»", "ok?\"", "é…", "Privacy policy", "\r\n", "\n", "\n\n", "\u00a0x", "\x0b", "<b>", "$$", "d\u0301"]
+    more = [(100 + k, " ".join(r.choices(parts, k=r.randint(0, 200)))) for k in range(300)] + [(100, "ab " * 60), (100, None)]
+    for k, table in enumerate((docs.union(spark.createDataFrame(rows_of(more), DOCS)), none)):
+        path = str(tmp_path / str(k))
+        table.coalesce(1).write.parquet(path)
+        base = duckdb.connect()
+        base.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+        twin = base.sql(queries.ORACLES["op7_line_quality"])
+        out = line_quality.line_quality(spark.read.parquet(path)).select(*twin.columns)
+        assert Counter(map(tuple, out.collect())) == Counter(twin.fetchall()) and out.count() == table.count()
+
+
 def near_by_force(texts):
     sets = {}
     for _, t in texts:
