@@ -338,12 +338,25 @@ def _supplied(rows: list[tuple], columns: str, shown: str) -> str:
     ("modes/types.ts", "find", 1), ("modes/types.ts", "find -> skip", 1), ("modes/types.ts", "list", 2), ("modes/types.ts", "list -> skip", 2), ("modes/types.ts", "pick", 3), ("modes/types.ts", "h", 4),
     ("modes/open.ts", "find", 1), ("modes/open.ts", "find -> skip", 1), ("modes/open.ts", "find", 6), ("modes/open.ts", "find -> skip", 6),
     ("modes/loose.ts", "find", 2), ("modes/loose.ts", "find -> skip", 2), ("modes/loose.ts", "find", 4), ("modes/loose.ts", "find -> limit", 4),
-    ("modes/stray.ts", "find", 1), ("modes/stray.ts", "find -> skip", 1), ("modes/stray.ts", "find", 3), ("modes/stray.ts", "find -> skip", 3)], "path, names, line", "names, line"))
+    ("modes/stray.ts", "find", 1), ("modes/stray.ts", "find -> skip", 1), ("modes/stray.ts", "find", 3), ("modes/stray.ts", "find -> skip", 3),
+    ("modes/groups.ts", "find", 1), ("modes/groups.ts", "find -> skip", 1), ("modes/groups.ts", "list", 2), ("modes/groups.ts", "list -> sort", 2), ("modes/groups.ts", "list -> sort -> skip", 3),
+    ("modes/groups.ts", "find", 4), ("modes/groups.ts", "skip", 4), ("modes/groups.ts", "skip", 5)], "path, names, line", "names, line"))
 def _(spark, d):
     files = _files(spark, d, corpus.module_corpus).filter(C("file_path").contains("/modes/"))
     return tokens.member_calls(files).select("project", "file_path", F.array_join("names", " -> ").alias("names"), "line")
 
 
+GROUPED_HITS = [("modes/groups.ts", rule, first, last, text) for rules, first, last, text in (
+    ("A01 A02 A03", 1, 1, "(M.find({a: #})).skip(5)"), ("A01 A02", 2, 3, "((N.list()).sort(b)\n).skip(5)"),
+    ("A01 A02 A03", 4, 4, "(await P.find()).skip(6)"), ("A01 A02 A03", 5, 5, "(Q?.find()).skip(7)")) for rule in rules.split()]
+
+
+@register("A_hits_behind_groups", _supplied(GROUPED_HITS, "path, rule_id, line_start, line_end, shown", "rule_id, line_start, line_end, replace(shown, '#', s_suppkey::VARCHAR) AS code_snippet"))
+def _(spark, d):
+    hits = _audit(spark, d, corpus.module_corpus).raw_findings.filter(C("file_path").endswith("/modes/groups.ts"))
+    return hits.select(*[x.strip() for x in HIT.split(",")])
+
+
 @register("S13_broken_statements", _supplied([
     ("modes/open.ts", 2, 5), ("modes/loose.ts", 1, 1), ("modes/loose.ts", 3, 3), ("modes/stray.ts", 2, 2), ("modes/stray.ts", 2, 2)], "path, line_start, line_end", "line_start, line_end"))
 def _(spark, d):

@@ -7,6 +7,9 @@ that follows works on the tokens as rows. Time and memory grow with the text of
 Brackets that do not balance cost the statement they stand in and nothing else (``islands``): an opening one is given up at the next ``;``, statement
 keyword or closing brace that cannot stand inside it, or, if the file ends before, at the next declaration at the start of a line; a closing one
 without its partner is passed over. Tokens of a given-up statement are left out and its lines are told in a token of kind ``BROKEN``.
+
+Round brackets that hold nothing but a chain ending in a call, and stand before a ``.``, mean nothing: they are left out, so the chain goes on, and the
+token behind them tells how far back it began (``wrap``: characters and line breaks).
 """
 
 from __future__ import annotations
@@ -47,6 +50,9 @@ REGEX_WORDS = frozenset("return typeof case in of void throw await yield else do
 MARKUP_AFTER = frozenset(["(", ",", "=", "=>", "return", "?", ":", "&&", "||", "??", "[", "{", "default", "yield"])
 # Statements that cannot stand inside round or square brackets, and declarations of a file.
 STATEMENT_WORDS = frozenset("const var return throw try switch while if for export break continue".split())
+# What can stand before round brackets that only group, and names that do not begin a chain of calls.
+BEFORE_GROUP = frozenset("( [ { , ; : ? = => == === != !== < > <= >= && || ?? ! + - / % += -= ??= ||= &&= ... ${ return await typeof void throw case in of instanceof yield else do default".split())
+NO_CHAIN_START = frozenset("new await typeof void delete yield function class async".split())
 DECLARATION_WORDS = frozenset("export import function class const let var interface type enum abstract declare async".split())
 # --- End of fixed values ---------------------------------------------------------------------
 
@@ -61,6 +67,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _CODE, _TYPE, _TAG = (regex.compile(x).match for x in (CODE, TYPE, TAG))
 _REGEX, _PLAIN, _TEXT, _TAG_START, _CLOSING = (regex.compile(x).match for x in (REGEX, PLAIN_TEMPLATE, TEMPLATE_TEXT, TAG_START, CLOSING_TAG))
 _CALLED = regex.compile(rf"{BLANKS}*+\(").match
+_GROUP_GOES_ON = regex.compile(rf"(?:{BLANKS}++|{COMMENT})*+\.(?!\.)").match
 _MEMBER = regex.compile(r"\.\p{L}").match
 _PAIR = {")": "(", "]": "[", "}": "{"}
 
@@ -106,7 +113,9 @@ class Lexer:
         self.base = _Open("", -1)
         self.open: list[_Open] = []
         self.lost: list[tuple[int, int]] = []  # tokens of given-up statements
+        self.wraps: dict[int, tuple[int, int]] = {}  # round brackets without meaning: the closing one of an opening one, and the outermost opening one
         self.plain: set[int] = set()  # places where a backtick or "<" turned out to open nothing
+        self.closing: dict[int, int] = {}  # token that closes the round or square bracket at a token
         self._closings: dict[str, int] = {}
         self.unclosed = False
 
@@ -136,9 +145,33 @@ class Lexer:
         """Forget what has been read since ``o`` was opened: it never closes, so it opened nothing."""
         del self.open[self.open.index(o):], self.tokens[o.tokens:], self.starts[o.tokens:]
         self.lost = [x for x in self.lost if x[1] <= o.tokens]
+        self.wraps = {a: x for a, x in self.wraps.items() if x[0] < o.tokens}
         self.plain.add(o.at)
         return o.at, self._code
 
+    def _wrapped(self, a: int) -> None:
+        """Note the brackets from token ``a`` to the next one if they hold a chain that ends in a call, or only brackets that do."""
+        tokens, first, b = self.tokens, a, len(self.tokens)
+        pairs = [(a, b)]
+        while b - a > 1 and tokens[a + 1] == "(" and self.closing.get(a + 1) == b - 1:
+            a, b = a + 1, b - 1
+            pairs.append((a, b))
+        k = a + 1
+        if k in self.wraps:
+            k = self.wraps[k][0]
+        elif k == b or not (tokens[k][0].isalpha() or tokens[k][0] in "_$") or tokens[k] in NO_CHAIN_START:
+            return
+        k += 1
+        while k < b:
+            if tokens[k] == "." and k + 1 < b:
+                k += 2
+            elif tokens[k] in ("(", "["):
+                k = self.closing.get(k, b) + 1
+            else:
+                return
+        if k == b and tokens[b - 1] == ")":
+            self.wraps |= {x: (y, first) for x, y in pairs}
+
     def _say(self, token: str, at: int) -> None:
         self.tokens.append(token)
         self.starts.append(at)
@@ -178,6 +211,10 @@ class Lexer:
                         return after(at)
                     continue
                 o = open_.pop()
+                if t != "}":
+                    self.closing[o.tokens] = len(tokens)
+                if t == ")" and (not o.tokens or tokens[o.tokens - 1] in BEFORE_GROUP) and not o.header and _GROUP_GOES_ON(text, at):
+                    self._wrapped(o.tokens)
                 if t == "}":
                     self._ends(o, len(tokens))
                     if not open_ or open_[-1].braces:
@@ -331,8 +368,11 @@ class Lexer:
             at += 1
 
 
-def lex(text: str, every: bool = False) -> tuple[list[str], list[int], list[int]]:
-    """Tokens with the characters and the line breaks of the gap before each. ``every`` keeps the tokens of broken statements."""
+def lex(text: str, every: bool = False, groups: bool = False) -> tuple[list[str], list[int], list[int], dict[int, tuple[int, int]]]:
+    """Tokens with the characters and the line breaks of the gap before each, and by token the ``wrap`` before it.
+
+    ``every`` keeps the tokens of broken statements and all brackets, ``groups`` all brackets.
+    """
     found = Lexer(text).run()
     if found.unclosed:
         again = Lexer(text, islands=True).run()
@@ -341,20 +381,26 @@ def lex(text: str, every: bool = False) -> tuple[list[str], list[int], list[int]
     out: list[str] = []
     gaps: list[int] = []
     lines: list[int] = []
-    end, skip = 0, [] if every else sorted(found.lost)
+    end, broken_ones = 0, [] if every else sorted(found.lost)
+    wraps = {} if every or groups else found.wraps
+    behind = {b + 1: first for a, (b, first) in wraps.items() if a == first}
+    skip = sorted([*broken_ones, *((x, x + 1) for a, (b, _) in wraps.items() for x in (a, b))])
+    back: dict[int, tuple[int, int]] = {}
     k = 0
     for a, b in [*skip, (len(tokens), len(tokens))]:
-        for t, s in zip(tokens[k:a], starts[k:a]):
+        for i, t, s in zip(range(k, a), tokens[k:a], starts[k:a]):
+            if i in behind:
+                back[len(out)] = s - starts[behind[i]], text.count("\n", starts[behind[i]], s)
             out.append(t)
             gaps.append(s - end)
             lines.append(text.count("\n", end, s) if s > end else 0)
             end = s + len(t)
         k = max(k, b)
-    broken = [(text.count("\n", 0, starts[a]) + 1, text.count("\n", 0, starts[b - 1] + len(tokens[b - 1])) + 1) for a, b in skip]
+    broken = [(text.count("\n", 0, starts[a]) + 1, text.count("\n", 0, starts[b - 1] + len(tokens[b - 1])) + 1) for a, b in broken_ones]
     more = ["", *(f"{BROKEN}{a}:{b}" for a, b in broken)]
     if not every:
         more += [LINK + "\u0001".join(link) for link in links_in(out)]
-    return out + more, gaps + [0] * len(more), lines + [0] * len(more)
+    return out + more, gaps + [0] * len(more), lines + [0] * len(more), back
 
 
 def _texts(contents: pa.Array) -> Iterator[str]:
@@ -362,14 +408,15 @@ def _texts(contents: pa.Array) -> Iterator[str]:
         yield (raw.as_py() or b"").decode("utf-8", "replace")
 
 
-def _rows(every: bool) -> Callable:
+def _rows(every: bool = False, groups: bool = False) -> Callable:
     def run(contents: pa.Array, beside: pa.Array) -> pa.Array:
         tokens: list[str] = []
         gaps: list[int] = []
         lines: list[int] = []
-        ends, local = [0], []
+        ends, local, wraps = [0], [], {}
         for text in _texts(contents):
-            t, g, n = lex(text, every)
+            t, g, n, back = lex(text, every, groups)
+            wraps |= {ends[-1] + k: (chars << 32) + breaks for k, (chars, breaks) in back.items()}
             local += [] if every else [ends[-1] + k for k in local_calls(t)]
             tokens += t
             gaps += g
@@ -377,11 +424,13 @@ def _rows(every: bool) -> Callable:
             ends.append(len(tokens))
         marks = np.zeros(len(tokens), bool)
         marks[local] = True
+        wrap = np.zeros(len(tokens), np.int64)
+        wrap[list(wraps)] = list(wraps.values())
         rows = pa.StructArray.from_arrays(
-            [pa.array(tokens, pa.string()), pa.array(np.array(gaps, np.int32)), pa.array(np.array(lines, np.int32)), pa.array(marks)], ["t", "gap", "lines", "local"])
+            [pa.array(tokens, pa.string()), pa.array(np.array(gaps, np.int32)), pa.array(np.array(lines, np.int32)), pa.array(marks), pa.array(wrap)], ["t", "gap", "lines", "local", "wrap"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
-    return F.arrow_udf(run, "array<struct<t:string,gap:int,lines:int,local:boolean>>")
+    return F.arrow_udf(run, "array<struct<t:string,gap:int,lines:int,local:boolean,wrap:bigint>>")
 
 
 def _joined(contents: pa.Array) -> pa.Array:
@@ -391,12 +440,16 @@ def _joined(contents: pa.Array) -> pa.Array:
 
 @lru_cache
 def _function(name: str) -> Callable:
-    return F.arrow_udf(_joined, "string") if name == "joined" else _rows(name == "every")
+    return F.arrow_udf(_joined, "string") if name == "joined" else _rows(name == "every", name == "groups")
+
 
+def lexed(content: Column, beside: Column, kept: str = "") -> Column:
+    """Token rows of a text, the last of them empty, then one for each broken statement and each link between modules.
 
-def lexed(content: Column, beside: Column, every: bool = False) -> Column:
-    """Token rows of a text (``local``: opens a call of a name that an inner scope binds), the last of them empty, then one for each broken statement and each link between modules. ``beside`` is read and not used (see ``tokens._explode``)."""
-    return _function("every" if every else "rows")(content, beside)
+    ``local``: opens a call of a name that an inner scope binds; ``wrap``: 2^32 times the characters plus the line breaks since the start of the brackets
+    left out before it, or 0. ``kept`` is ``every`` or ``groups`` (see ``lex``). ``beside`` is read and not used (see ``tokens._explode``).
+    """
+    return _function(kept)(content, beside)
 
 
 def joined(content: Column) -> Column:

@@ -124,19 +124,19 @@ def keyed(files: DataFrame) -> DataFrame:
     ).repartition(parts, "h1", "h2")
 
 
-def _explode(keyed_files: DataFrame, *keys: str, every: bool = False) -> DataFrame:
+def _explode(keyed_files: DataFrame, *keys: str, kept: str = "") -> DataFrame:
     """One row for each token. Every file ends in an empty token, the last boundary, and its broken statements."""
     # The (always empty) second argument reads the path columns on purpose: the exchange then has the
     # same columns here and at the join back to the text, and is reused.
     beside = F.substring(F.concat("project", "file_path"), 1, 0)
-    rows = keyed_files.withColumn("tokens", lexer.lexed(F.col("content"), beside, every))
+    rows = keyed_files.withColumn("tokens", lexer.lexed(F.col("content"), beside, kept))
     return rows.select(*keys, F.posexplode("tokens").alias("n", "tok")).select(
-        *keys, "n", F.col("tok.t").alias("t"), F.col("tok.gap").alias("gap"), F.col("tok.lines").alias("gap_lines"), "tok.local")
+        *keys, "n", F.col("tok.t").alias("t"), F.col("tok.gap").alias("gap"), F.col("tok.lines").alias("gap_lines"), "tok.local", "tok.wrap")
 
 
 def tokens(files: DataFrame) -> DataFrame:
     """Non-blank tokens of each file with their character offset and line, those of broken statements too."""
-    rows = _explode(keyed(files), "h1", "h2", "project", "file_path", every=True)
+    rows = _explode(keyed(files), "h1", "h2", "project", "file_path", kept="every")
     shown = F.when(F.col("t") == lexer.TEMPLATE_CLOSE, "}").otherwise(F.col("t"))
     return _placed(rows, "project", "file_path").filter("t <> ''").select(
         "project", "file_path", "n", shown.alias("t"), "pos", "line", "lvl")
@@ -148,12 +148,12 @@ def _placed(rows: DataFrame, *extra: str) -> DataFrame:
     running = by_file.rowsBetween(W.unboundedPreceding, W.currentRow)
     c, t = F.col, F.col("t")
     sized = rows.select(
-        "h1", "h2", *extra, "n", "t", _bits(t).alias("b"), "gap", "gap_lines", "local",
+        "h1", "h2", *extra, "n", "t", _bits(t).alias("b"), "gap", "gap_lines", "local", "wrap",
         F.length(t).alias("size"), tx.count_newlines(t).alias("own_lines"))
     step = F.when(_has(c("b"), "(", "[", "{"), 1).when(_has(c("b"), ")", "]", "}"), -1).otherwise(0)
     no_bits = F.lit(0).cast("bigint")
     placed = sized.select(
-        "h1", "h2", *extra, "n", "t", "b", "gap", "gap_lines", "local",
+        "h1", "h2", *extra, "n", "t", "b", "gap", "gap_lines", "local", "wrap",
         (F.sum(c("gap") + c("size")).over(running) - c("size")).cast("int").alias("pos"),
         (1 + F.sum(c("gap_lines") + c("own_lines")).over(running) - c("own_lines")).cast("int").alias("line"),
         F.sum(step).over(running).cast("int").alias("depth"),
@@ -278,7 +278,9 @@ def _structured(leveled: DataFrame) -> DataFrame:
     step1 = leveled.withColumns({
         "boundary": boundary,
         "commas": F.sum(comma.cast("int")).over(running),
-        "head": _last(F.when(item & ~c("continues"), F.struct("n", "pos", "line", _has(b1, "(", ",").alias("in_list"))), running),
+        # Behind brackets that were left out the expression begins where they do.
+        "head": _last(F.when(item & (~c("continues") | (c("wrap") > 0)), F.struct(
+            "n", (c("pos") - F.shiftright("wrap", 32)).cast("int").alias("pos"), (c("line") - c("wrap").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int").alias("line"), _has(b1, "(", ",").alias("in_list"))), running),
         "optional_n": _last(F.when(item & _has(b, "chain"), c("n")), running),
         "open_item": _last(F.when(item & c("opens"), opener), running),
         "group": _last(F.when(border_open, F.struct("n", "b", "form", F.when(c("form") == GRAPHQL_MAP, c("label")).alias("label"))), running),
@@ -436,16 +438,16 @@ def _with_names(calls: DataFrame, name: Column) -> DataFrame:
     return calls.withColumn("names", F.when(name.isNotNull(), F.collect_list(name).over(prefix)))
 
 
-def structure(files: DataFrame) -> DataFrame:
+def structure(files: DataFrame, kept: str = "") -> DataFrame:
     """Tokens of all ``files`` with groups, runs and chains, without fact selection."""
-    rows = _explode(keyed(files), "h1", "h2", "project", "file_path").withColumn("deep", F.lit(True)).withColumn("decorated", F.lit(True))
+    rows = _explode(keyed(files), "h1", "h2", "project", "file_path", kept=kept).withColumn("deep", F.lit(True)).withColumn("decorated", F.lit(True))
     return _structured(_leveled(_owned(_placed(rows, "deep", "decorated", "project", "file_path"))).filter(~F.col("symbol_row")))
 
 
 def brackets(files: DataFrame) -> DataFrame:
     """Matching bracket pairs."""
     c = F.col
-    return structure(files).filter(c("item") & c("closes")).select(
+    return structure(files, kept="groups").filter(c("item") & c("closes")).select(
         "project", "file_path", F.when(c("t") == lexer.TEMPLATE_CLOSE, lexer.TEMPLATE_OPEN).when(_has(c("b"), ")"), "(").when(_has(c("b"), "]"), "[").otherwise("{").alias("bracket"), c("open_item.n").alias("open_n"),
         c("n").alias("close_n"), c("lvl"))
 

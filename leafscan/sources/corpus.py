@@ -150,6 +150,7 @@ MODE_FILES = (
     ("modes/open.ts", "M.find().skip(1);\nfunction f#() {\n  if (x) {\n    A.find().skip(2);\n}\nfunction g#() { return N.find().skip(3); }\n"),
     ("modes/loose.ts", "B.find(({a: 1});\nN.find().skip(#);\nconst c = [1, 2;\nP.find().limit(4);\n"),
     ("modes/stray.ts", "M.find().skip(1)\n}}\nN.find().skip(2)\n"),
+    ("modes/groups.ts", "(M.find({a: #})).skip(5);\nconst a# = ((N.list()).sort(b)\n).skip(5);\n(await P.find()).skip(6);\n(Q?.find()).skip(7);\n"),
 )
 MODULE_FILES = (
     ("web/a.ts", 'import { list, save as store } from "../barrel";\nimport def from "../default";\nconst { old, kept: k } = require("../common.js");\nconst whole = require("../whole");\n'

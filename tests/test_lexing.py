@@ -76,7 +76,7 @@ MODES = {
 
 @pytest.mark.parametrize("code", MODES)
 def test_modes(code):
-    tokens, _, _ = lexer.lex(code)
+    tokens, _, _, _ = lexer.lex(code)
     assert [tokens[k + 1] for k, t in enumerate(tokens[:-2]) if t == "." and tokens[k + 2] == "("] == MODES[code]
 
 
@@ -86,7 +86,8 @@ def test_tokens_stand_where_they_are_in_any_text():
     for _ in range(3000):
         text = "".join(rng.choices(parts, k=rng.randint(0, 40)))
         for every in (True, False):
-            tokens, gaps, lines = lexer.lex(text, every)
+            tokens, gaps, lines, wraps = lexer.lex(text, every)
+            assert not every or not wraps
             at, line, open_ = 0, 0, []
             for t, gap, n in zip(tokens, gaps, lines):
                 if t == "":
@@ -101,3 +102,39 @@ def test_tokens_stand_where_they_are_in_any_text():
                     elif t in (")", "]", "}", lexer.TEMPLATE_CLOSE):
                         assert open_ and open_.pop() == {")": "(", "]": "[", "}": "{", lexer.TEMPLATE_CLOSE: "${"}[t], text
             assert not open_, text
+
+
+GROUPED = {
+    "(M.find({})).skip(5)": [("find",), ("find", "skip")],
+    "const x = ((M.find({}))).skip(5).limit(1)": [("find",), ("find", "skip"), ("find", "skip", "limit")],
+    "((M.find()).skip(5)).sort(a)": [("find",), ("find", "skip"), ("find", "skip", "sort")],
+    "r = await (this.db.get('a').find(\n  f((1)))\n).skip(5)": [("get",), ("get", "find"), ("get", "find", "skip")],
+    "(await M.find({})).skip(5); (a || M.find()).skip(6); (a?.find()).skip(7); (typeof M.find()).skip(8); (M.find).skip(9)":
+        [("find",), ("skip",), ("find",), ("skip",), ("skip",), ("find",), ("skip",), ("skip",)],
+    "q(M.find()).skip(5); if (M.find()) { N.skip(6) } (x ? M.find() : y).skip(7); (M.find())[0].skip(8)":
+        [("find",), ("skip",), ("find",), ("skip",), ("find",), ("skip",), ("find",), ("skip",)],
+    "a = (load()).skip(5); (() => M.find())().skip(6); (M.find() as any).skip(7)": [("skip",), ("find",), ("skip",), ("find",), ("skip",)],
+}
+
+
+def test_brackets_that_only_group(spark):
+    files = spark.createDataFrame([("p", "/p", f"/p/{n}.ts", code) for n, code in enumerate(GROUPED)], "project string, root string, file_path string, content string")
+    found = {}
+    for r in tokens.member_calls(files).orderBy("file_path", "close_n").collect():
+        found.setdefault(int(r.file_path[3:-3]), []).append(tuple(r.names))
+    assert [found[n] for n in range(len(GROUPED))] == list(GROUPED.values())
+    skips = tokens.token_facts(files).filter("fact = 'call' AND name = 'skip'").collect()
+    shown = {(int(r.file_path[3:-3]), r.text, r.line_start, r.line_end) for r in skips}
+    assert {(0, "(M.find({})).skip(5)", 1, 1), (1, "((M.find({}))).skip(5)", 1, 1), (2, "(M.find()).skip(5)", 1, 1),
+            (3, "(this.db.get('a').find(\n  f((1)))\n).skip(5)", 1, 3), (4, "(a?.find()).skip(7)", 1, 1), (6, "(load()).skip(5)", 1, 1)} <= shown
+    pairs = tokens.brackets(files).groupBy("file_path").count().collect()
+    assert {int(r.file_path[3:-3]): r["count"] for r in pairs} == {n: sum(map(code.count, "([{")) for n, code in enumerate(GROUPED)}
+    calls = tokens.token_facts(files).filter("fact = 'icall'").select("name").collect()
+    assert not calls  # no declaration is around them
+
+
+def test_deep_groups_are_read_in_a_moment():
+    code = "(" * 2000 + "a.b()" + ").c()" * 2000
+    assert lexer.lex(code)[0].count("(") == 2001
+    assert lexer.lex("(" * 5000 + "a.b()" + ")" * 5000 + ".c()")[0].count("(") == 2
+    assert lexer.lex("x(" + "(" * 5000 + "a.b()" + ")" * 5000 + ").c()")[0].count("(") == 5003
