@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -183,6 +184,18 @@ def _(spark, d):
     return _audit(spark, d).facts.filter("fact = 'call'").select("project", "file_path", "n", "name", "arg0_kind", "arg0_text")
 
 
+_STORED: dict[tuple, Audit] = {}
+
+
+@register("T05_first_arguments_of_stored_files", REGISTRY["T05_first_arguments"][1])
+def _(spark, d):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        table = f"leafscan_{uuid.uuid4().hex}"
+        _STORED[key] = Audit(fs.store(_files(spark, d, corpus.code_corpus), table, f"{shared_folder(spark)}/leafscan/{table}"))
+    return _STORED[key].facts.filter("fact = 'call'").select("project", "file_path", "n", "name", "arg0_kind", "arg0_text")
+
+
 @register("T06_object_properties", o.q(o.PROPS, """SELECT p.project, p.file_path, p.call_n AS parent, p.name, p.start, p.stop,
   substr(c.content, p.start + 1, p.stop - p.start) AS text FROM props p JOIN code c USING (project, file_path)"""))
 def _(spark, d):

@@ -409,7 +409,7 @@ def _texts(contents: pa.Array) -> Iterator[str]:
 
 
 def _rows(every: bool = False, groups: bool = False) -> Callable:
-    def run(contents: pa.Array, beside: pa.Array) -> pa.Array:
+    def run(contents: pa.Array) -> pa.Array:
         tokens: list[str] = []
         gaps: list[int] = []
         lines: list[int] = []
@@ -426,11 +426,10 @@ def _rows(every: bool = False, groups: bool = False) -> Callable:
         marks[local] = True
         wrap = np.zeros(len(tokens), np.int64)
         wrap[list(wraps)] = list(wraps.values())
-        rows = pa.StructArray.from_arrays(
-            [pa.array(tokens, pa.string()), pa.array(np.array(gaps, np.int32)), pa.array(np.array(lines, np.int32)), pa.array(marks), pa.array(wrap)], ["t", "gap", "lines", "local", "wrap"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+        columns = {"t": pa.array(tokens, pa.string()), "gap": pa.array(np.array(gaps, np.int32)), "lines": pa.array(np.array(lines, np.int32)), "local": pa.array(marks), "wrap": pa.array(wrap)}
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in columns.values()], list(columns))
 
-    return F.arrow_udf(run, "array<struct<t:string,gap:int,lines:int,local:boolean,wrap:bigint>>")
+    return F.arrow_udf(run, "struct<t:array<string>,gap:array<int>,lines:array<int>,local:array<boolean>,wrap:array<bigint>>")
 
 
 def _joined(contents: pa.Array) -> pa.Array:
@@ -443,13 +442,13 @@ def _function(name: str) -> Callable:
     return F.arrow_udf(_joined, "string") if name == "joined" else _rows(name == "every", name == "groups")
 
 
-def lexed(content: Column, beside: Column, kept: str = "") -> Column:
-    """Token rows of a text, the last of them empty, then one for each broken statement and each link between modules.
+def lexed(content: Column, kept: str = "") -> Column:
+    """Tokens of a text as arrays side by side, the last token empty, then one for each broken statement and each link between modules.
 
-    ``local``: opens a call of a name that an inner scope binds; ``wrap``: 2^32 times the characters plus the line breaks since the start of the brackets
-    left out before it, or 0. ``kept`` is ``every`` or ``groups`` (see ``lex``). ``beside`` is read and not used (see ``tokens._explode``).
+    ``gap`` and ``lines``: characters and line breaks before a token; ``local``: it opens a call of a name that an inner scope binds; ``wrap``: 2^32 times
+    the characters plus the line breaks since the start of the brackets left out before it, or 0. ``kept`` is ``every`` or ``groups`` (see ``lex``).
     """
-    return _function(kept)(content, beside)
+    return _function(kept)(content)
 
 
 def joined(content: Column) -> Column:

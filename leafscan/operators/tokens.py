@@ -1,8 +1,10 @@
 """The token job (T01-T07): JS/TS source text as relational facts.
 
-Source files are exchanged once by a file key. Everything after that (lexing, explode, running windows,
-grouping, the join back to the text) is keyed by the same file key and needs no further exchange,
-so a token never crosses the network. Windows use running frames only: one row of state each.
+Lexing is a Python step, and Spark forgets how rows are dealt behind one. So each file is lexed where it
+is read, and its tokens, as arrays of one row, are exchanged by a file key; the text is exchanged by the same
+key for the join at the end, unless it is stored in buckets of it (``files.store``). Everything after that
+(explode, running windows, grouping, the join back to the text) needs no further exchange: rows of single
+tokens never cross the network. Windows use running frames only: one row of state each.
 Lexing knows modes (``lexer``): an expression in a template is code between ``${`` and its end, which
 count as round brackets; text of templates and markup and type arguments are gaps between tokens.
 
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import rulebook as rb
 from ..functions import text as tx
+from ..sources.files import FILE_KEYS, buckets_of, file_keys
 from . import lexer
 
 # --- Fixed values: words and token sets --------------------------------------------------------
@@ -109,34 +112,42 @@ def unquote(t: Column) -> Column:
     return F.substring(t, F.lit(2), F.length(t) - 2)
 
 
-def keyed(files: DataFrame) -> DataFrame:
-    """Code files under a 128-bit file key, exchanged once by it.
+def _dealt(files: DataFrame) -> tuple[list[Column], int]:
+    """The 128-bit file key of code files and the number of partitions that they are dealt to.
 
-    The number of partitions is fixed: text grows about twenty-fivefold into token rows, so sizes
-    measured at this exchange must not lead to merged partitions. Set
-    ``spark.sql.shuffle.partitions`` to the bytes of code divided by some 64 MB.
+    The number is fixed: text grows about twenty-fivefold into token rows, so sizes measured at the exchange must not
+    lead to merged partitions. Set ``spark.sql.shuffle.partitions`` to the bytes of code divided by some 64 MB; a stored
+    table has its number of buckets.
     """
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select(
-        F.xxhash64("project", "file_path").alias("h1"),
-        F.xxhash64(F.lit("file"), "file_path", "project").alias("h2"),
-        "project", "file_path", "content",
-    ).repartition(parts, "h1", "h2")
+    buckets = buckets_of(files)
+    keys = [F.col(k) for k in FILE_KEYS] if buckets else file_keys()
+    return [k.alias(n) for k, n in zip(keys, ("h1", "h2"))], buckets or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def keyed(files: DataFrame) -> DataFrame:
+    """The text of code files, dealt by the file key; that of a stored table stays in its buckets."""
+    keys, parts = _dealt(files)
+    rows = files.select(*keys, "project", "file_path", "content")
+    return rows if buckets_of(files) else rows.repartition(parts, "h1", "h2")
+
 
+def _explode(files: DataFrame, *more: str, kept: str = "") -> DataFrame:
+    """One row for each token, dealt by the file key, with ``more`` columns of its file.
 
-def _explode(keyed_files: DataFrame, *keys: str, kept: str = "") -> DataFrame:
-    """One row for each token. Every file ends in an empty token, the last boundary, and its broken statements."""
-    # The (always empty) second argument reads the path columns on purpose: the exchange then has the
-    # same columns here and at the join back to the text, and is reused.
-    beside = F.substring(F.concat("project", "file_path"), 1, 0)
-    rows = keyed_files.withColumn("tokens", lexer.lexed(F.col("content"), beside, kept))
-    return rows.select(*keys, F.posexplode("tokens").alias("n", "tok")).select(
-        *keys, "n", F.col("tok.t").alias("t"), F.col("tok.gap").alias("gap"), F.col("tok.lines").alias("gap_lines"), "tok.local", "tok.wrap")
+    Every file ends in an empty token, the last boundary, and its broken statements. As no file is without a token the outer explode gives the same
+    rows as the inner one; that would filter by the size of the array and lex each file twice.
+    """
+    keys, parts = _dealt(files)
+    arrays = ("t", "gap", "lines", "local", "wrap")
+    lexed = files.select(*keys, *more, lexer.lexed(F.col("content"), kept).alias("tokens")).repartition(parts, "h1", "h2")
+    rows = lexed.select("h1", "h2", *more, *[F.col(f"tokens.{x}").alias(x) for x in arrays])
+    rows = rows.select("h1", "h2", *more, F.posexplode_outer(F.arrays_zip(*arrays)).alias("n", "tok"))
+    return rows.select("h1", "h2", *more, "n", "tok.t", "tok.gap", F.col("tok.lines").alias("gap_lines"), "tok.local", "tok.wrap")
 
 
 def tokens(files: DataFrame) -> DataFrame:
     """Non-blank tokens of each file with their character offset and line, those of broken statements too."""
-    rows = _explode(keyed(files), "h1", "h2", "project", "file_path", kept="every")
+    rows = _explode(files, "project", "file_path", kept="every")
     shown = F.when(F.col("t") == lexer.TEMPLATE_CLOSE, "}").otherwise(F.col("t"))
     return _placed(rows, "project", "file_path").filter("t <> ''").select(
         "project", "file_path", "n", shown.alias("t"), "pos", "line", "lvl")
@@ -440,7 +451,7 @@ def _with_names(calls: DataFrame, name: Column) -> DataFrame:
 
 def structure(files: DataFrame, kept: str = "") -> DataFrame:
     """Tokens of all ``files`` with groups, runs and chains, without fact selection."""
-    rows = _explode(keyed(files), "h1", "h2", "project", "file_path", kept=kept).withColumn("deep", F.lit(True)).withColumn("decorated", F.lit(True))
+    rows = _explode(files, "project", "file_path", kept=kept).withColumn("deep", F.lit(True)).withColumn("decorated", F.lit(True))
     return _structured(_leveled(_owned(_placed(rows, "deep", "decorated", "project", "file_path"))).filter(~F.col("symbol_row")))
 
 
@@ -470,9 +481,7 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
         files = files.filter(F.col("content").rlike(DEEP_WORDS))
     by_key = keyed(files)
     c = F.col
-    rows = _explode(
-        by_key.withColumns({"deep": c("content").rlike(DEEP_WORDS), "decorated": c("content").rlike(DECORATOR_WORDS)}),
-        "h1", "h2", "deep", "decorated")
+    rows = _explode(files.withColumns({"deep": c("content").rlike(DEEP_WORDS), "decorated": c("content").rlike(DECORATOR_WORDS)}), "deep", "decorated")
     shaped = _structured(_leveled(_owned(_placed(rows, "deep", "decorated"))))
     parts = ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol", "broken", "link")
     # Both halves of a fact share its position; repeated calls of a name in one declaration are one fact.
@@ -488,8 +497,7 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
         halves = halves.filter("fact <> 'link'")
     wanted = F.arrays_overlap("names", F.array(*[F.lit(x) for x in CALL_NAMES_OF_INTEREST]))
     kept = named.filter((c("fact") != "call") | wanted)
-    # The text is joined back by the same key: the exchange of ``keyed`` is reused, and the facts,
-    # far smaller than the text, are the hashed side.
+    # The text is joined back by the same key; the facts, far smaller than the text, are the hashed side.
     joined = by_key.join(kept.hint("shuffle_hash"), ["h1", "h2"], "inner")
 
     def part(a, b):

@@ -28,8 +28,8 @@ UNITS = (
 )
 
 
-def conform(df: DataFrame, ddl: str) -> DataFrame:
-    """Select the columns of ``ddl`` in order, adding the missing ones as typed nulls."""
+def conform(df: DataFrame, ddl: str, *more: str) -> DataFrame:
+    """Select the columns of ``ddl`` in order, adding the missing ones as typed nulls, and ``more`` columns as they are."""
     from pyspark.sql.types import StructType
 
     wanted = StructType.fromDDL(ddl)
@@ -37,4 +37,4 @@ def conform(df: DataFrame, ddl: str) -> DataFrame:
     return df.select(*[
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in wanted.fields
-    ])
+    ], *more)

@@ -106,9 +106,43 @@ def sql_file_scan(spark: SparkSession, root: str, project: str | None = None) ->
     return scan_files(spark, root, project, SQL_GLOB)
 
 
+# Columns of a stored source table: 128 bits of each file's path, by which its buckets are dealt.
+FILE_KEYS = ("leafscan_h1", "leafscan_h2")
+
+
+def file_keys() -> list[Column]:
+    return [F.xxhash64("project", "file_path").alias(FILE_KEYS[0]), F.xxhash64(F.lit("file"), "file_path", "project").alias(FILE_KEYS[1])]
+
+
+def _keys_in(df: DataFrame) -> list[str]:
+    return [k for k in FILE_KEYS if set(FILE_KEYS) <= set(df.columns)]
+
+
 def source_files(df: DataFrame) -> DataFrame:
-    """Any table with ``project, file_path, content`` (and optionally ``root``) as source files."""
-    return conform(df, SOURCE_FILES)
+    """Any table with ``project, file_path, content`` (and optionally ``root``) as source files; the keys of a stored one stay."""
+    return conform(df, SOURCE_FILES, *_keys_in(df))
+
+
+def buckets_of(df: DataFrame) -> int | None:
+    """Number of buckets of the stored table that ``df`` selects from; None for other tables."""
+    return df.schema[FILE_KEYS[0]].metadata.get("buckets") if _keys_in(df) else None
+
+
+def store(files: DataFrame, table: str, path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Write source files as ``table``, one file for each bucket of the file keys, and read it back.
+
+    The text is exchanged here, once; the token job of every audit over the table then finds each file in one bucket and exchanges no text, only tokens.
+    A bucket is a task of that job: by default there are ``spark.sql.shuffle.partitions`` of them (bytes of code divided by some 64 MB). Passes that
+    need no buckets read the files in splits of their own size. ``path`` is a shared folder; without it the table lies in the warehouse.
+    """
+    spark = files.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first, second = file_keys()
+    keyed = source_files(files).drop(*FILE_KEYS).select("*", first.alias(FILE_KEYS[0], metadata={"buckets": buckets}), second)
+    rows = keyed.repartition(buckets, *FILE_KEYS)
+    writer = rows.write.format("parquet").bucketBy(buckets, *FILE_KEYS).sortBy(*FILE_KEYS)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return spark.table(table)
 
 
 def is_sql(path: Column) -> Column:
@@ -154,7 +188,7 @@ def select_backend_root(df: DataFrame, roots: DataFrame | None = None) -> DataFr
     return (
         joined.filter(F.col("backend_dir").isNull() | F.startswith(rel_path(), below))
         .withColumn("root", new_root)
-        .select("project", "root", "file_path", "content")
+        .select("project", "root", "file_path", "content", *_keys_in(joined))
     )
 
 

@@ -174,3 +174,28 @@ def test_settled_tables(spark, tmp_path):
         folders = list(a.settled)
         assert folders and all(os.path.isdir(f) for f in folders)
     assert not any(os.path.exists(f) for f in folders)
+
+
+def test_stored_files_are_lexed_where_they_lie(spark, tmp_path):
+    df = source_files(spark, FIXTURES)
+    df = df.union(df.select(F.concat(F.lit("more-"), "project"), *df.columns[1:])).withColumn("leafscan_H3", F.lit(1)).withColumn("size", F.lit("x"))
+    stored = fs.store(df, "stored_sources", str(tmp_path / "stored"), 3)
+    assert stored.columns == ["project", "root", "file_path", "content", *fs.FILE_KEYS] and stored.count() == df.count()
+    assert len({p.name.split("_")[-1] for p in (tmp_path / "stored").glob("part-*.parquet")}) <= 3
+    try:
+        roots = F.broadcast(spark.createDataFrame([("no-project", "src")], "project string, backend_dir string"))
+        facts, plain = (tokens.token_facts(fs.audited_files(x, roots=roots).filter(fs.is_code(F.col("file_path")))) for x in (stored, df))
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (facts, plain)]
+        # One exchange of the tokens as arrays, for plain files one of the text; each file is lexed once.
+        assert [p.count("Exchange hashpartitioning(h1") for p in plans] == [1, 2] and [p.count("ArrowEvalPython") for p in plans] == [1, 1]
+        assert "ENSURE_REQUIREMENTS" not in plans[0] + plans[1] and plans[0].count("Bucketed: true") >= 1
+        assert facts.exceptAll(plain).isEmpty() and plain.exceptAll(facts).isEmpty() and not facts.isEmpty()
+        again = fs.store(stored, "stored_again", str(tmp_path / "again"), 2)
+        assert again.columns == stored.columns and again.exceptAll(stored).isEmpty()
+        empty = fs.store(df.limit(0), "stored_nothing", str(tmp_path / "nothing"))
+        assert tokens.token_facts(fs.audited_files(empty)).isEmpty()
+        scores = {r["project"]: r["score"] for r in audit(stored).project_scores.collect()}
+        assert scores == {p + q: n for p in ("", "more-") for q, n in (("backend-risk", 39), ("backend-layered", 80), ("backend-safe", 100))}
+    finally:
+        for name in ("stored_sources", "stored_again", "stored_nothing"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
