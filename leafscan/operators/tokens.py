@@ -26,6 +26,8 @@ bad        lines of a statement that was left out because its brackets do not ba
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import rulebook as rb
@@ -112,34 +114,44 @@ def unquote(t: Column) -> Column:
     return F.substring(t, F.lit(2), F.length(t) - 2)
 
 
-def _dealt(files: DataFrame) -> tuple[list[Column], int]:
-    """The 128-bit file key of code files and the number of partitions that they are dealt to.
+# A task's share of the text. Each token becomes wide rows in three sorts, which should stay in a task's memory.
+TASK_BYTES = 2 << 20
+MOST_PARTS = 20_000
+
+
+def parts_of(files: DataFrame) -> int:
+    """Partitions that code files are dealt to: by their bytes, but no fewer than ``spark.sql.shuffle.partitions``; a stored table has its buckets.
 
-    The number is fixed: text grows about twenty-fivefold into token rows, so sizes measured at the exchange must not
-    lead to merged partitions. Set ``spark.sql.shuffle.partitions`` to the bytes of code divided by some 64 MB; a stored
-    table has its number of buckets.
+    The number is fixed before the exchange: text grows manyfold into token rows, so sizes measured there must not lead to merged partitions. With a
+    number that does not grow with the text, partitions outgrow the memory of a task and every sort of the token job spills.
     """
     buckets = buckets_of(files)
-    keys = [F.col(k) for k in FILE_KEYS] if buckets else file_keys()
-    return [k.alias(n) for k, n in zip(keys, ("h1", "h2"))], buckets or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if buckets:
+        return buckets
+    size = files.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    return max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // TASK_BYTES), MOST_PARTS))
+
+
+def _keys(files: DataFrame) -> list[Column]:
+    """The 128-bit file key of code files."""
+    keys = [F.col(k) for k in FILE_KEYS] if buckets_of(files) else file_keys()
+    return [k.alias(n) for k, n in zip(keys, ("h1", "h2"))]
 
 
-def keyed(files: DataFrame) -> DataFrame:
+def keyed(files: DataFrame, parts: int | None = None) -> DataFrame:
     """The text of code files, dealt by the file key; that of a stored table stays in its buckets."""
-    keys, parts = _dealt(files)
-    rows = files.select(*keys, "project", "file_path", "content")
-    return rows if buckets_of(files) else rows.repartition(parts, "h1", "h2")
+    rows = files.select(*_keys(files), "project", "file_path", "content")
+    return rows if buckets_of(files) else rows.repartition(parts or parts_of(files), "h1", "h2")
 
 
-def _explode(files: DataFrame, *more: str, kept: str = "") -> DataFrame:
+def _explode(files: DataFrame, *more: str, kept: str = "", parts: int | None = None) -> DataFrame:
     """One row for each token, dealt by the file key, with ``more`` columns of its file.
 
     Every file ends in an empty token, the last boundary, and its broken statements. As no file is without a token the outer explode gives the same
     rows as the inner one; that would filter by the size of the array and lex each file twice.
     """
-    keys, parts = _dealt(files)
     arrays = ("t", "gap", "lines", "local", "wrap")
-    lexed = files.select(*keys, *more, lexer.lexed(F.col("content"), kept).alias("tokens")).repartition(parts, "h1", "h2")
+    lexed = files.select(*_keys(files), *more, lexer.lexed(F.col("content"), kept).alias("tokens")).repartition(parts or parts_of(files), "h1", "h2")
     rows = lexed.select("h1", "h2", *more, *[F.col(f"tokens.{x}").alias(x) for x in arrays])
     rows = rows.select("h1", "h2", *more, F.posexplode_outer(F.arrays_zip(*arrays)).alias("n", "tok"))
     return rows.select("h1", "h2", *more, "n", "tok.t", "tok.gap", F.col("tok.lines").alias("gap_lines"), "tok.local", "tok.wrap")
@@ -429,8 +441,12 @@ def _fact_rows(s: DataFrame) -> DataFrame:
         "bad": (is_broken, c("n"), ("broken", broken)),
         "link": (item & _has(c("b"), LINK), c("n"), ("link", link)),
     }
-    kinds = F.concat_ws(" ", *[F.when(test, F.lit(kind)) for kind, (test, _, _) in shown.items()])
-    rows = s.withColumn("kinds", kinds).filter("kinds <> ''").withColumn("kind", F.explode(F.split("kinds", " ")))
+    # The tests become the bits of one number, so the filter needs no texts. The explode is an outer one: Spark puts a filter in front of an inner one,
+    # which would make all tests for each token once more.
+    tests = [F.when(test, 1 << i).otherwise(0) for i, (test, _, _) in enumerate(shown.values())]
+    rows = s.withColumn("shows", reduce(Column.bitwiseOR, tests)).filter("shows <> 0")
+    kinds = F.array_compact(F.array(*[F.when(c("shows").bitwiseAND(F.lit(1 << i)) != 0, F.lit(kind)) for i, kind in enumerate(shown)]))
+    rows = rows.withColumn("kind", F.explode_outer(kinds))
     key = F.coalesce(*[F.when(c("kind") == kind, place) for kind, (_, place, _) in shown.items()])
     parts: dict[str, Column] = {}
     for kind, (_, _, part) in shown.items():
@@ -479,17 +495,18 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
     """
     if not symbols:
         files = files.filter(F.col("content").rlike(DEEP_WORDS))
-    by_key = keyed(files)
+    parts = parts_of(files)
+    by_key = keyed(files, parts)
     c = F.col
-    rows = _explode(files.withColumns({"deep": c("content").rlike(DEEP_WORDS), "decorated": c("content").rlike(DECORATOR_WORDS)}), "deep", "decorated")
+    rows = _explode(files.withColumns({"deep": c("content").rlike(DEEP_WORDS), "decorated": c("content").rlike(DECORATOR_WORDS)}), "deep", "decorated", parts=parts)
     shaped = _structured(_leveled(_owned(_placed(rows, "deep", "decorated"))))
-    parts = ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol", "broken", "link")
+    halved = ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol", "broken", "link")
     # Both halves of a fact share its position; repeated calls of a name in one declaration are one fact.
     icall = c("fact") == "icall"
     halves = _fact_rows(shaped).groupBy(
         "h1", "h2", "fact", F.when(~icall, c("n")).alias("at"),
         F.when(icall, c("symbol.owner")).alias("caller"), F.when(icall, c("symbol.name")).alias("callee"),
-    ).agg(F.min("n").alias("n"), *[F.first(x, ignorenulls=True).alias(x) for x in ("level", "chain", *parts)])
+    ).agg(F.min("n").alias("n"), *[F.first(x, ignorenulls=True).alias(x) for x in ("level", "chain", *halved)])
     halves = halves.drop("at", "caller", "callee")
     # Halves without the call itself come from optional chains.
     named = _with_names(halves.filter((c("fact") != "call") | c("half_call").isNotNull()), c("half_call.name"))
