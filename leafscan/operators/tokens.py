@@ -1,10 +1,8 @@
 """The token job (T01-T07): JS/TS source text as relational facts.
 
-Lexing is a Python step, and Spark forgets how rows are dealt behind one. So each file is lexed where it
-is read, and its tokens, as arrays of one row, are exchanged by a file key; the text is exchanged by the same
-key for the join at the end, unless it is stored in buckets of it (``files.store``). Everything after that
-(explode, running windows, grouping, the join back to the text) needs no further exchange: rows of single
-tokens never cross the network. Windows use running frames only: one row of state each.
+Each file is lexed where it is read, and its tokens, as arrays of one row, are exchanged by a file key; the text is exchanged by the same
+key, unless it is stored in buckets of it (``files.store``). Behind the exchanges text and tokens of a file meet in an equi-join, and the tokens
+of many files at a time are worked on as columns (``shapes``): rows of single tokens exist neither on the network nor in a sort.
 Lexing knows modes (``lexer``): an expression in a template is code between ``${`` and its end, which
 count as round brackets; text of templates and markup and type arguments are gaps between tokens.
 
@@ -26,37 +24,13 @@ bad        lines of a statement that was left out because its brackets do not ba
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
-
-from .. import rulebook as rb
-from ..functions import text as tx
 from ..sources.files import FILE_KEYS, buckets_of, file_keys
-from . import lexer
-
-# --- Fixed values: words and token sets --------------------------------------------------------
-VARIABLE_WORDS = ("const", "let", "var")
-# Words that can stand before "(" without being called.
-CALL_STOP_WORDS = (
-    "if", "for", "while", "switch", "catch", "return", "function", "typeof", "await", "new", "super",
-    "import", "async", "with", "in", "of", "instanceof", "void", "delete", "throw", "case", "do", "else", "yield",
-)
-# Words after which a bracket or name starts a new expression.
-PREFIX_WORDS = (
-    "return", "await", "typeof", "void", "delete", "throw", "case", "in", "of", "instanceof", "yield",
-    "else", "do", "if", "for", "while", "switch", "catch", "default", "export", "extends", "as",
-    "const", "let", "var", "function", "class", "async",
-)
-MULTIPLICATIVE = ("*", "/", "%")
-# Operators that bind weaker than multiplication, and words that make an argument something else.
-WEAKER = (
-    "+", "-", "<", ">", "<=", ">=", "==", "===", "!=", "!==", "&", "|", "^", "&&", "||", "??", "?", "=>",
-    "=", "+=", "-=", "*=", "/=", "%=", "in", "instanceof", "as", "satisfies", "yield", "function", "class",
-)
-CALL_NAMES_OF_INTEREST = (
-    *rb.OFFSET_CALLS, *rb.QUERY_OBJECT_CALLS, *rb.ORDER_CALLS, *rb.HTTP_METHODS,
-)
+from . import lexer, shapes
+from .shapes import CALL_NAMES_OF_INTEREST  # noqa: F401
+
+# --- Fixed values: words that facts need -------------------------------------------------------
 # A file without any of these words yields no call, prop, declarator, cap or decorator fact.
 DEEP_WORDS = (
     r"skip|offset|findMany|findAll|sort|order|req\s*\.\s*query|Query|Mutation|Math"
@@ -65,56 +39,12 @@ DEEP_WORDS = (
 DECORATOR_WORDS = r"@\s*(?:Get|Post|Put|Patch|Delete|Options|Head|Query|Mutation)\b"
 # --- End of fixed values ---------------------------------------------------------------------
 
-# What a token is, as bits of one number: tests on a token and its neighbours are then integer
-# masks, which keeps the compiled projections small and the window rows narrow.
-WORD, STRING, NUMBER, TEMPLATE, BROKEN, LINK = 1, 2, 4, 8, 16, 32
-TOKEN_SETS = {
-    "dot": (".",), "chain": ("?.",), "(": ("(", lexer.TEMPLATE_OPEN), ")": (")", lexer.TEMPLATE_CLOSE), "[": ("[",), "]": ("]",), "{": ("{",), "}": ("}",),
-    ",": (",",), ";": (";",), ":": (":",), "=": ("=",), "@": ("@",), "*": ("*",), "=>": ("=>",), "sign": ("+", "-"),
-    "member_start": ("@", "#", "*", "["), "variable": VARIABLE_WORDS, "prefix": PREFIX_WORDS, "call_stop": CALL_STOP_WORDS,
-    "weaker": WEAKER, "multiplicative": MULTIPLICATIVE, "joined": ("instanceof", "in", "as", "of", "satisfies"),
-    "function": ("function",), "class": ("class",), "default": ("default",), "async": ("async",), "new": ("new",),
-    "statement_word": ("export", "default", "async", "declare", "abstract"),
-    "before_async_function": ("=", "(", ",", "=>", "return", ":"),
-    "no_call_before": (".", "?.", "function", "new", "async", "*", "get", "set", "static", "#", "@"),
-    "page_size": rb.PAGE_SIZE_NAMES,
-    "query_object": tuple(q + n + q for n in rb.QUERY_OBJECT_CALLS for q in ("", '"', "'")),
-    "graphql_type": tuple(q + n + q for n in rb.GRAPHQL_TYPES for q in ("", '"', "'")),
-    "type_word": ("type", "interface"), "min": ("min",), "Math": ("Math",), "query": ("query",), "req": ("req",), "end": ("",),
-}
-BIT = {name: 1 << (6 + i) for i, name in enumerate(TOKEN_SETS)}
-_TOKEN_BITS: dict[str, int] = {}
-for _name, _members in TOKEN_SETS.items():
-    for _token in _members:
-        _TOKEN_BITS[_token] = _TOKEN_BITS.get(_token, 0) | BIT[_name]
-
-
-def _bits(t: Column) -> Column:
-    """Bits of a token: its class from the first character, the rest from one table lookup."""
-    initial = F.substring(t, 1, 1)
-    klass = (
-        F.when(initial.rlike(r"[\p{L}_$]"), WORD).when(initial.isin('"', "'") & (F.length(t) > 1), STRING)
-        .when(initial == "`", TEMPLATE).when(initial.between("0", "9"), NUMBER).when(initial == lexer.BROKEN, BROKEN).when(initial == lexer.LINK, LINK).otherwise(0)).cast("bigint")
-    place = F.array_position(F.array(*[F.lit(x) for x in _TOKEN_BITS]), t).cast("int")
-    return klass.bitwiseOR(F.element_at(F.array(*[F.lit(x).cast("bigint") for x in (0, *_TOKEN_BITS.values())]), place + 1))
-
-
-def _has(bits: Column, *sets: str | int) -> Column:
-    mask = 0
-    for x in sets:
-        mask |= x if isinstance(x, int) else BIT[x]
-    return bits.bitwiseAND(F.lit(mask).cast("bigint")) != 0
-
-
-# Openers of interest: what stands before a bracket, decided once per bracket.
-DOT_CALL, TEXT_CALL, MIN_CALL, DECORATOR, QUERY_OBJECT, GRAPHQL_MAP = 1, 2, 3, 4, 5, 6
-
 
 def unquote(t: Column) -> Column:
     return F.substring(t, F.lit(2), F.length(t) - 2)
 
 
-# A task's share of the text. Each token becomes wide rows in three sorts, which should stay in a task's memory.
+# A task's share of the text. Its tokens, some twenty-five times as large, should stay in a task's memory.
 TASK_BYTES = 2 << 20
 MOST_PARTS = 20_000
 
@@ -122,8 +52,8 @@ MOST_PARTS = 20_000
 def parts_of(files: DataFrame) -> int:
     """Partitions that code files are dealt to: by their bytes, but no fewer than ``spark.sql.shuffle.partitions``; a stored table has its buckets.
 
-    The number is fixed before the exchange: text grows manyfold into token rows, so sizes measured there must not lead to merged partitions. With a
-    number that does not grow with the text, partitions outgrow the memory of a task and every sort of the token job spills.
+    The number is fixed before the exchange: text grows manyfold into tokens, so sizes measured there must not lead to merged partitions. With a
+    number that does not grow with the text, partitions outgrow the memory of a task and its join and grouping spill.
     """
     buckets = buckets_of(files)
     if buckets:
@@ -144,347 +74,35 @@ def keyed(files: DataFrame, parts: int | None = None) -> DataFrame:
     return rows if buckets_of(files) else rows.repartition(parts or parts_of(files), "h1", "h2")
 
 
-def _explode(files: DataFrame, *more: str, kept: str = "", parts: int | None = None) -> DataFrame:
-    """One row for each token, dealt by the file key, with ``more`` columns of its file.
+def _lexed(files: DataFrame, deep: Column, decorated: Column, *more: str, kept: str = "", parts: int | None = None) -> DataFrame:
+    """The tokens of each file, dealt by the file key, with ``more`` columns of it.
 
-    Every file ends in an empty token, the last boundary, and its broken statements. As no file is without a token the outer explode gives the same
-    rows as the inner one; that would filter by the size of the array and lex each file twice.
+    Rows with the same project and path are one file, each with its ``copies`` of tokens. Every text ends in an empty token, the last boundary, and
+    its broken statements.
     """
-    arrays = ("t", "gap", "lines", "local", "wrap")
-    lexed = files.select(*_keys(files), *more, lexer.lexed(F.col("content"), kept).alias("tokens")).repartition(parts or parts_of(files), "h1", "h2")
-    rows = lexed.select("h1", "h2", *more, *[F.col(f"tokens.{x}").alias(x) for x in arrays])
-    rows = rows.select("h1", "h2", *more, F.posexplode_outer(F.arrays_zip(*arrays)).alias("n", "tok"))
-    return rows.select("h1", "h2", *more, "n", "tok.t", "tok.gap", F.col("tok.lines").alias("gap_lines"), "tok.local", "tok.wrap")
+    copy = F.struct(deep.alias("deep"), decorated.alias("decorated"), lexer.lexed(F.col("content"), kept).alias("tokens"))
+    rows = files.select(*_keys(files), *more, copy.alias("copy")).repartition(parts or parts_of(files), "h1", "h2")
+    return rows.groupBy("h1", "h2").agg(*[F.first(x).alias(x) for x in more], F.collect_list("copy").alias("copies"))
+
+
+def _view(files: DataFrame, of_batches, schema: str, kept: str = "") -> DataFrame:
+    rows = _lexed(files, F.lit(True), F.lit(True), "project", "file_path", kept=kept)
+    return rows.drop("h1", "h2").mapInArrow(of_batches, schema)
 
 
 def tokens(files: DataFrame) -> DataFrame:
     """Non-blank tokens of each file with their character offset and line, those of broken statements too."""
-    rows = _explode(files, "project", "file_path", kept="every")
-    shown = F.when(F.col("t") == lexer.TEMPLATE_CLOSE, "}").otherwise(F.col("t"))
-    return _placed(rows, "project", "file_path").filter("t <> ''").select(
-        "project", "file_path", "n", shown.alias("t"), "pos", "line", "lvl")
-
-
-def _placed(rows: DataFrame, *extra: str) -> DataFrame:
-    """Offsets, lines, bracket depth and neighbours (first running window)."""
-    by_file = W.partitionBy("h1", "h2").orderBy("n")
-    running = by_file.rowsBetween(W.unboundedPreceding, W.currentRow)
-    c, t = F.col, F.col("t")
-    sized = rows.select(
-        "h1", "h2", *extra, "n", "t", _bits(t).alias("b"), "gap", "gap_lines", "local", "wrap",
-        F.length(t).alias("size"), tx.count_newlines(t).alias("own_lines"))
-    step = F.when(_has(c("b"), "(", "[", "{"), 1).when(_has(c("b"), ")", "]", "}"), -1).otherwise(0)
-    no_bits = F.lit(0).cast("bigint")
-    placed = sized.select(
-        "h1", "h2", *extra, "n", "t", "b", "gap", "gap_lines", "local", "wrap",
-        (F.sum(c("gap") + c("size")).over(running) - c("size")).cast("int").alias("pos"),
-        (1 + F.sum(c("gap_lines") + c("own_lines")).over(running) - c("own_lines")).cast("int").alias("line"),
-        F.sum(step).over(running).cast("int").alias("depth"),
-        *[F.lag("b", i, 0).over(by_file).alias(f"b{i}") for i in (1, 2, 3, 4)],
-        *[F.lead("b", i, 0).over(by_file).alias(f"y{i}") for i in (1, 2)],
-        *[F.lag("t", i).over(by_file).alias(f"p{i}") for i in (1, 2)],
-        *[F.lead("t", i).over(by_file).alias(f"x{i}") for i in (1, 2)],
-    )
-    closes = _has(c("b"), ")", "]", "}")
-    return placed.withColumns({
-        "opens": _has(c("b"), "(", "[", "{"), "closes": closes,
-        "lvl": F.when(closes, c("depth") + 1).otherwise(c("depth")),
-        "prev_end": c("pos") - c("gap"),
-        "prev_line": c("line") - c("gap_lines"),
-    })
-
-
-def _last(value: Column, spec) -> Column:
-    return F.last(value, ignorenulls=True).over(spec)
-
-
-def _true(cond: Column) -> Column:
-    return F.coalesce(cond, F.lit(False))
-
-
-def _owned(placed: DataFrame) -> DataFrame:
-    """Top-level statements, the declaration each token belongs to (same window order), and what
-    the tests of the second window need to know about the neighbours."""
-    by_file = W.partitionBy("h1", "h2").orderBy("n")
-    running = by_file.rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = by_file.rowsBetween(W.unboundedPreceding, -1)
-    c = F.col
-    b, b1, b2, b3, b4, y1, y2 = (c(x) for x in ("b", "b1", "b2", "b3", "b4", "y1", "y2"))
-    top = c("lvl") == F.when(c("opens") | c("closes"), 1).otherwise(0)
-    new_line = c("gap_lines") > 0
-    ends = top & (_has(b, ";") | (_has(b, "}") & (_has(y1, WORD, "end", ";", "@") | (y1 == 0) & c("x1").isNull())))
-    first = (c("n") == 0) | _has(b1, ";", "}", "statement_word") | new_line
-    function = top & _has(b, "function") & first & ~(_has(b1, "async") & _has(b2, "before_async_function"))
-    named = function | (top & _has(b, "class") & first) | (top & _has(b, "variable"))
-    name = F.when(function & _has(y1, "*") & _has(y2, WORD), c("x2")).when(named & _has(y1, WORD), c("x1"))
-    round_open = _has(b, "(")
-    is_icall = round_open & _has(b1, WORD) & ~_has(b1, "call_stop") & ~_has(b2, "no_call_before") & ~c("local")
-    dot_call = round_open & _has(b2, "dot") & _has(b1, WORD)
-    text_call = round_open & _has(b1, "]") & _has(b2, STRING) & _has(b3, "[")
-    decorator = round_open & _has(b2, "@") & _has(b1, WORD)
-    curly_open = _has(b, "{")
-    query_object = curly_open & _has(b1, "(") & (
-        (_has(b3, "dot") & _has(b2, "query_object") & _has(b2, WORD)) | (_has(b2, "]") & _has(b3, "query_object") & _has(b3, STRING)))
-    graphql_map = curly_open & _has(b1, ":") & _has(b2, "graphql_type") & _has(b3, "{", ",")
-    form = (
-        F.when(dot_call & _has(b1, "min") & _has(b3, "Math") & ~_has(b4, "dot"), MIN_CALL)
-        .when(dot_call, DOT_CALL).when(text_call, TEXT_CALL).when(decorator, DECORATOR)
-        .when(query_object, QUERY_OBJECT).when(graphql_map, GRAPHQL_MAP).when(c("opens"), 0)).cast("tinyint")
-    label = F.when(dot_call | decorator, c("p1")).when(text_call, unquote(c("p2"))).when(
-        graphql_map, F.when(_has(b2, STRING), unquote(c("p2"))).otherwise(c("p2")))
-    operand = (_has(b1, WORD) & ~_has(b1, "prefix")) | _has(b1, ")", "]")
-    operand_end = operand | _has(b1, STRING, NUMBER, TEMPLATE, "}")
-    begins = (
-        (c("n") == 0) | _has(b1, ";") | _has(b, "variable")
-        | (_has(b1, "}") & _has(b, WORD, STRING, NUMBER, TEMPLATE, "@") & ~_has(b, "joined"))
-        | (new_line & operand_end & _has(b, WORD, NUMBER, "@") & ~_has(b, "joined")))
-    continues = (
-        _has(b, "dot", "chain") | _has(b1, "dot", "chain", "new") | c("closes")
-        | (_has(b, "(", "[") & (operand | _has(b1, STRING, TEMPLATE))) | (_has(b, TEMPLATE) & operand))
-    tested = placed.withColumns({
-        "ends": ends.cast("int"), "decl_name": name,
-        "is_default": _has(b1, "default") | _has(b2, "default"), "is_icall": is_icall,
-        "form": form, "label": label, "is_type": _true(top & first & _has(b, "type_word") & _has(y1, WORD)), "continues": continues, "begins": begins,
-        "is_query_size": _has(b1, "dot") & _has(b2, "query") & _has(b3, "dot") & _has(b4, "req"),
-        # What a text call takes its bracket from.
-        "text_base": _has(b4, WORD, ")", "]"),
-        "member_end": _has(b, ";") | (_has(b, "}") & (_has(y1, WORD, STRING, "member_start", "}", ";", "end") | c("x1").isNull())),
-        "method_name": _has(b, WORD) & _has(y1, "(") & ~_has(b1, "@", "dot", "chain", "new") & ~_has(b, "call_stop"),
-    }).drop("p2", "x1", "x2", "b2", "b3", "b4", "y2", "gap", "local")
-    numbered = tested.withColumn("segment", F.coalesce(F.sum("ends").over(before), F.lit(0)))
-    # A map inside a type or interface declares shapes, not resolvers.
-    typed = _last(F.when(c("is_type"), c("segment")), running) == c("segment")
-    numbered = numbered.withColumn("form", F.when((c("form") == GRAPHQL_MAP) & typed, F.lit(0).cast("tinyint")).otherwise(c("form"))).drop("is_type")
-    return numbered.withColumn(
-        "owner", _last(F.when(c("decl_name").isNotNull(), F.struct("decl_name", "segment")), running)
-    ).withColumn("owner", F.when(c("owner.segment") == c("segment"), c("owner.decl_name"))).drop("segment", "ends", "gap_lines")
-
-
-SYMBOL_LEVEL = -1_000_000
-
-
-def _leveled(owned: DataFrame) -> DataFrame:
-    """Two views of each bracket: an item of its parent level, and the border of its own level."""
-    c = F.col
-    bracket = c("opens") | c("closes")
-    inner = F.when(bracket, F.array(c("lvl") - 1, c("lvl"))).otherwise(F.array(c("lvl")))
-    symbol = F.when(c("decl_name").isNotNull() | (c("is_icall") & c("owner").isNotNull()), F.array(F.lit(SYMBOL_LEVEL)))
-    none = F.array().cast("array<int>")
-    levels = F.concat(
-        F.when(c("deep"), inner).otherwise(F.when(_has(c("b"), "end", BROKEN, LINK), F.array(c("lvl"))).otherwise(none)),
-        F.coalesce(symbol, none))
-    leveled = owned.withColumn("level", F.explode(levels)).withColumns({
-        "symbol_row": c("level") == SYMBOL_LEVEL,
-        "border": bracket & (c("level") == c("lvl")),
-    })
-    # Strings only a symbol row needs stay off the others.
-    return leveled.withColumns({
-        "item": ~c("border") & ~c("symbol_row"),
-        "owner": F.when(c("symbol_row"), c("owner")), "decl_name": F.when(c("symbol_row"), c("decl_name")),
-        "p1": F.when(c("symbol_row") | _has(c("b"), ",", "}"), c("p1")),
-    })
-
-
-def _structured(leveled: DataFrame) -> DataFrame:
-    """Expression runs, enclosing groups, call chains and argument facts (second running window)."""
-    by_level = W.partitionBy("h1", "h2", "level").orderBy("n")
-    running = by_level.rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = by_level.rowsBetween(W.unboundedPreceding, -1)
-    c = F.col
-    t, b, b1, item = c("t"), c("b"), c("b1"), c("item")
-    border_open = c("border") & c("opens")
-    begins = item & c("begins") & ~c("closes")
-    boundary = c("border") | (item & (_has(b, ",", ";", "end") | begins))
-    comma = item & _has(b, ",")
-    variable = item & _has(b, "variable")
-    opener = F.struct("n", "line", "b", "form", "label", "text_base")
-    step1 = leveled.withColumns({
-        "boundary": boundary,
-        "commas": F.sum(comma.cast("int")).over(running),
-        # Behind brackets that were left out the expression begins where they do.
-        "head": _last(F.when(item & (~c("continues") | (c("wrap") > 0)), F.struct(
-            "n", (c("pos") - F.shiftright("wrap", 32)).cast("int").alias("pos"), (c("line") - c("wrap").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int").alias("line"), _has(b1, "(", ",").alias("in_list"))), running),
-        "optional_n": _last(F.when(item & _has(b, "chain"), c("n")), running),
-        "open_item": _last(F.when(item & c("opens"), opener), running),
-        "group": _last(F.when(border_open, F.struct("n", "b", "form", F.when(c("form") == GRAPHQL_MAP, c("label")).alias("label"))), running),
-        "prev_boundary": F.coalesce(_last(F.when(boundary, c("n")), before), F.lit(-1)),
-        "variable_n": _last(F.when(variable, c("n")), running),
-        "statement_n": F.coalesce(_last(F.when(item & (_has(b, ";") | (begins & ~variable)), c("n")), running), F.lit(-1)),
-        "members": F.coalesce(F.sum((item & c("member_end")).cast("int")).over(before), F.lit(0)),
-        "method": _last(F.when(item & c("decorated") & c("method_name"), F.struct("n", "t")), running),
-    })
-
-    o = c("open_item")
-    called = o["form"].isin(DOT_CALL, MIN_CALL) | ((o["form"] == TEXT_CALL) & o["text_base"])
-    is_call = item & _has(b, ")") & called & ~_true(c("optional_n") > c("head.n"))
-    step2 = step1.withColumns({
-        "is_call": _true(is_call),
-        # The token before the "." or "[" of the call: a chain goes on if a member call closes there.
-        "link": o["n"] - F.when(o["form"] == TEXT_CALL, 4).otherwise(3),
-    })
-    step2 = step2.withColumns({
-        "arg": c("commas") - F.coalesce(_last(F.when(border_open, c("commas")), running), F.lit(0)),
-        "prev_call_n": _last(F.when(c("is_call"), c("n")), before),
-    })
-
-    group_n = F.coalesce(c("group.n"), F.lit(-1))
-    in_call = _true(c("group.form").between(DOT_CALL, DECORATOR))
-    in_object = _true(c("group.form") >= QUERY_OBJECT)
-    arg0, arg1 = in_call & (c("arg") == 0), in_call & (c("arg") == 1)
-    key = item & in_object & _has(b1, "{", ",") & _has(b, WORD, STRING) & _has(c("y1"), ":", ",", "}")
-    named_in_list = _has(b1, ",") & (c("variable_n") > F.greatest(c("statement_n"), group_n))
-    declared = item & _has(b, "page_size") & _has(c("y1"), "=", ":") & (_has(b1, "variable") | named_in_list)
-    unary = (c("n") == 0) | _has(b1, "(", ",", "weaker", "multiplicative")
-    weak = item & arg0 & _has(b, "weaker") & ~(_has(b, "sign") & unary)
-    # Plain property access keeps an argument a member expression; anything else does not.
-    odd = item & ~_has(b, WORD, "dot", "[", "]")
-    begin = F.struct("n", F.when(_has(b, STRING), t).alias("t"), "b", "pos")
-    return step2.withColumns({
-        "key": _last(F.when(key, F.struct("n", "t", "b", "pos", "line")), running),
-        "declared": _last(F.when(declared, F.struct("n", "t", "pos", "line")), running),
-        "comma1": _last(F.when(comma & arg1, F.struct("n", "prev_end")), running),
-        "comma2": _last(F.when(comma & in_call & (c("arg") == 2), F.struct("n", "prev_end")), running),
-        "item1": _last(F.when(item & in_call & (c("n") == group_n + 1), begin), running),
-        "item2": _last(F.when(item & arg1 & _has(b1, ","), begin), running),
-        "weak_n": _last(F.when(weak, c("n")), running),
-        "strong": _last(F.when(item & arg0 & _has(b, "multiplicative"), F.struct("n", "b")), running),
-        "odd_n": _last(F.when(odd & arg0, c("n")), running),
-        "odd2_n": _last(F.when(odd & arg1 & ~_has(b, ","), c("n")), running),
-        "arrow1_n": _last(F.when(item & arg1 & _has(b, "=>", "function"), c("n")), running),
-        "chain": _last(F.when(c("is_call") & (c("prev_call_n").isNull() | (c("prev_call_n") != c("link"))), c("n")), running),
-    })
-
-
-def _argument(first: Column, end_n: Column, odd_n: Column, open_n: Column, arrow_n: Column | None = None) -> Column:
-    """Kind of a call argument from its first token and its length in tokens."""
-    single = end_n == first["n"] + 1
-    kind = F.when(first.isNull(), F.lit(None).cast("string"))
-    kind = kind.when(single & _has(first["b"], STRING), "string").when(single & _has(first["b"], NUMBER), "number")
-    kind = kind.when(single & _has(first["b"], WORD), "identifier")
-    if arrow_n is not None:
-        kind = kind.when(_true(arrow_n > open_n), "function")
-    kind = kind.when(_has(first["b"], WORD) & ~_true(odd_n > open_n), "member")
-    return kind.when(_has(first["b"], "{"), "object").otherwise("expression")
-
-
-def _fact_rows(s: DataFrame) -> DataFrame:
-    """Fact candidates, still without text; calls and decorators come in two halves that share a key."""
-    c = F.col
-    g, o, item, border = c("group"), c("open_item"), c("item"), c("border")
-    closes_call = border & _has(c("b"), ")")
-    end0 = F.when(c("comma1.n") > g["n"], c("comma1")).otherwise(F.struct(c("n"), c("prev_end")))
-    end1 = F.when(c("comma2.n") > g["n"], c("comma2")).otherwise(F.struct(c("n"), c("prev_end")))
-    item1 = F.when((c("item1.n") == g["n"] + 1) & (c("item1.n") < c("n")), c("item1"))
-    item2 = F.when((c("item2.n") > g["n"]) & (c("item2.n") < c("n")), c("item2"))
-    mult = ~_true(c("weak_n") > g["n"]) & _true((c("strong.n") > g["n"]) & _has(c("strong.b"), "*"))
-    half_call = F.struct(
-        o["label"].alias("name"), (o["form"] != TEXT_CALL).alias("dotted"), c("head.pos").alias("start"),
-        (c("pos") + 1).alias("stop"), c("head.line").alias("line_start"), c("line").alias("line_end"))
-    half_args = F.struct(
-        _argument(item1, end0["n"], c("odd_n"), g["n"]).alias("kind0"),
-        item1["pos"].alias("a0"), end0["prev_end"].alias("b0"),
-        _argument(item2, end1["n"], c("odd2_n"), g["n"], c("arrow1_n")).alias("kind1"),
-        item2["pos"].alias("a1"), end1["prev_end"].alias("b1"), mult.alias("mult"))
-
-    closes_piece = (item & _has(c("b"), ",")) | (border & c("closes"))
-    is_prop = _true(g["form"] >= QUERY_OBJECT) & closes_piece & (c("key.n") == c("prev_boundary") + 1)
-    value_symbol = F.when(c("n") == c("key.n") + 1, c("key.t")).when(
-        (c("n") == c("key.n") + 3) & _has(c("b1"), WORD), c("p1"))
-    prop = F.struct(
-        F.when(_has(c("key.b"), STRING), unquote(c("key.t"))).otherwise(c("key.t")).alias("name"),
-        c("key.pos").alias("start"), c("prev_end").alias("stop"),
-        c("key.line").alias("line_start"), c("prev_line").alias("line_end"),
-        F.coalesce(g["label"], F.lit("arg")).alias("owner"), (g["n"] - 1).alias("parent"), value_symbol.alias("symbol"))
-
-    is_declarator = c("boundary") & ~(border & c("opens")) & (c("declared.n") == c("prev_boundary") + 1)
-    declarator = F.struct(
-        c("declared.t").alias("name"), c("declared.pos").alias("start"), c("prev_end").alias("stop"),
-        c("declared.line").alias("line_start"), c("prev_line").alias("line_end"))
-
-    is_cap = (
-        (g["form"] == MIN_CALL) & item & _has(c("b"), "page_size") & _has(c("y1"), ",", ")")
-        & (_has(c("b1"), "(", ",") | (c("is_query_size") & (c("head.n") == c("n") - 4) & c("head.in_list"))))
-
-    # A decorator is seen from outside (which member it precedes) and from inside (its argument).
-    is_decorator = item & _has(c("b"), ")") & (o["form"] == DECORATOR)
-    half_decorator = F.struct(
-        o["label"].alias("name"), o["line"].alias("line"), c("members").alias("member"), g["n"].alias("parent"))
-    path_literal = F.struct(F.when(
-        _has(item1["b"], STRING) & (end0["n"] == item1["n"] + 1), unquote(item1["t"])).alias("path"))
-    is_method = item & c("member_end") & c("decorated") & _has(g["b"], "{") & _has(c("b"), "}") & _has(o["b"], "{") & (c("method.n") > g["n"])
-    method = F.struct(
-        c("method.t").alias("name"), c("line"), c("members").alias("member"), g["n"].alias("parent"))
-
-    is_broken = item & _has(c("b"), BROKEN)
-    border_line = lambda i: F.split_part(F.substring(c("t"), 2, 64), F.lit(":"), F.lit(i)).cast("int")
-    broken = F.struct(border_line(1).alias("line_start"), border_line(2).alias("line_end"))
-
-    of_link = lambda i: F.split_part(F.substring(c("t"), F.lit(2), F.length("t")), F.lit("\u0001"), F.lit(i))
-    link = F.struct(of_link(1).alias("owner"), of_link(2).alias("name"), of_link(3).alias("spec"), of_link(4).alias("target"))
-
-    symbol = F.struct(F.coalesce(c("decl_name"), c("p1")).alias("name"), c("owner"), c("line"), c("is_default"))
-    is_decl = c("decl_name").isNotNull()
-    # What a row shows: (kind, test, key of the fact, its part). The tests are plain columns of a
-    # compiled projection, most tokens show nothing and are dropped there, and only the names of
-    # the kinds are exploded.
-    shown = {
-        "call": (c("is_call"), o["n"], ("half_call", half_call)),
-        "call.args": (closes_call & _true(g["form"].between(DOT_CALL, MIN_CALL)), g["n"], ("half_args", half_args)),
-        "prop": (is_prop, c("key.n"), ("prop", prop)),
-        "declarator": (is_declarator, c("declared.n"), ("declarator", declarator)),
-        "cap": (is_cap, c("n"), None),
-        "decorator": (is_decorator, o["n"], ("half_decorator", half_decorator)),
-        "decorator.args": (closes_call & (g["form"] == DECORATOR), g["n"], ("path_literal", path_literal)),
-        "method": (is_method, c("n"), ("method", method)),
-        "decl": (c("symbol_row") & is_decl, c("n"), ("symbol", symbol)),
-        "icall": (c("symbol_row") & ~is_decl, c("n"), ("symbol", symbol)),
-        "bad": (is_broken, c("n"), ("broken", broken)),
-        "link": (item & _has(c("b"), LINK), c("n"), ("link", link)),
-    }
-    # The tests become the bits of one number, so the filter needs no texts. The explode is an outer one: Spark puts a filter in front of an inner one,
-    # which would make all tests for each token once more.
-    tests = [F.when(test, 1 << i).otherwise(0) for i, (test, _, _) in enumerate(shown.values())]
-    rows = s.withColumn("shows", reduce(Column.bitwiseOR, tests)).filter("shows <> 0")
-    kinds = F.array_compact(F.array(*[F.when(c("shows").bitwiseAND(F.lit(1 << i)) != 0, F.lit(kind)) for i, kind in enumerate(shown)]))
-    rows = rows.withColumn("kind", F.explode_outer(kinds))
-    key = F.coalesce(*[F.when(c("kind") == kind, place) for kind, (_, place, _) in shown.items()])
-    parts: dict[str, Column] = {}
-    for kind, (_, _, part) in shown.items():
-        if part is not None:
-            of_kind = c("kind").isin("decl", "icall") if part[0] == "symbol" else c("kind") == kind
-            parts[part[0]] = F.when(of_kind, part[1])
-    return rows.select(
-        "h1", "h2", F.substring_index("kind", ".", 1).alias("fact"), key.cast("int").alias("n"),
-        F.when(c("kind") == "call", c("level")).alias("level"), F.when(c("kind") == "call", c("chain")).alias("chain"),
-        *[part.alias(name) for name, part in parts.items()])
-
-
-def _with_names(calls: DataFrame, name: Column) -> DataFrame:
-    """The names of each call's chain prefix."""
-    prefix = W.partitionBy("h1", "h2", "level", "chain").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return calls.withColumn("names", F.when(name.isNotNull(), F.collect_list(name).over(prefix)))
-
-
-def structure(files: DataFrame, kept: str = "") -> DataFrame:
-    """Tokens of all ``files`` with groups, runs and chains, without fact selection."""
-    rows = _explode(files, "project", "file_path", kept=kept).withColumn("deep", F.lit(True)).withColumn("decorated", F.lit(True))
-    return _structured(_leveled(_owned(_placed(rows, "deep", "decorated", "project", "file_path"))).filter(~F.col("symbol_row")))
+    return _view(files, shapes.all_tokens, shapes.TOKENS_SQL, "every")
 
 
 def brackets(files: DataFrame) -> DataFrame:
     """Matching bracket pairs."""
-    c = F.col
-    return structure(files, kept="groups").filter(c("item") & c("closes")).select(
-        "project", "file_path", F.when(c("t") == lexer.TEMPLATE_CLOSE, lexer.TEMPLATE_OPEN).when(_has(c("b"), ")"), "(").when(_has(c("b"), "]"), "[").otherwise("{").alias("bracket"), c("open_item.n").alias("open_n"),
-        c("n").alias("close_n"), c("lvl"))
+    return _view(files, shapes.all_brackets, shapes.BRACKETS_SQL, "groups")
 
 
 def member_calls(files: DataFrame) -> DataFrame:
     """Every member call with the names of its chain prefix."""
-    c = F.col
-    return _with_names(structure(files).filter("is_call"), c("open_item.label")).select(
-        "project", "file_path", c("open_item.n").alias("open_n"), c("n").alias("close_n"),
-        c("open_item.label").alias("name"), "names", c("head.pos").alias("start"), (c("pos") + 1).alias("stop"), c("line"))
+    return _view(files, shapes.all_calls, shapes.CALLS_SQL)
 
 
 def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
@@ -493,55 +111,11 @@ def token_facts(files: DataFrame, symbols: bool = True) -> DataFrame:
     Without ``symbols`` (no call chains wanted) files that cannot yield any other fact are skipped
     before the exchange.
     """
+    content = F.col("content")
     if not symbols:
-        files = files.filter(F.col("content").rlike(DEEP_WORDS))
+        files = files.filter(content.rlike(DEEP_WORDS))
     parts = parts_of(files)
-    by_key = keyed(files, parts)
-    c = F.col
-    rows = _explode(files.withColumns({"deep": c("content").rlike(DEEP_WORDS), "decorated": c("content").rlike(DECORATOR_WORDS)}), "deep", "decorated", parts=parts)
-    shaped = _structured(_leveled(_owned(_placed(rows, "deep", "decorated"))))
-    halved = ("half_call", "half_args", "prop", "declarator", "half_decorator", "path_literal", "method", "symbol", "broken", "link")
-    # Both halves of a fact share its position; repeated calls of a name in one declaration are one fact.
-    icall = c("fact") == "icall"
-    halves = _fact_rows(shaped).groupBy(
-        "h1", "h2", "fact", F.when(~icall, c("n")).alias("at"),
-        F.when(icall, c("symbol.owner")).alias("caller"), F.when(icall, c("symbol.name")).alias("callee"),
-    ).agg(F.min("n").alias("n"), *[F.first(x, ignorenulls=True).alias(x) for x in ("level", "chain", *halved)])
-    halves = halves.drop("at", "caller", "callee")
-    # Halves without the call itself come from optional chains.
-    named = _with_names(halves.filter((c("fact") != "call") | c("half_call").isNotNull()), c("half_call.name"))
-    if not symbols:
-        halves = halves.filter("fact <> 'link'")
-    wanted = F.arrays_overlap("names", F.array(*[F.lit(x) for x in CALL_NAMES_OF_INTEREST]))
-    kept = named.filter((c("fact") != "call") | wanted)
-    # The text is joined back by the same key; the facts, far smaller than the text, are the hashed side.
-    joined = by_key.join(kept.hint("shuffle_hash"), ["h1", "h2"], "inner")
-
-    def part(a, b):
-        return F.substring(c("content"), a + 1, b - a)
-
-    def either(field, *structs):
-        return F.coalesce(*[c(f"{x}.{field}") for x in structs])
-
-    start = either("start", "half_call", "prop", "declarator")
-    stop = either("stop", "half_call", "prop", "declarator")
-    return joined.select(
-        "project", "file_path", "fact", "n", start.alias("start"), stop.alias("stop"),
-        F.coalesce(either("line_start", "half_call", "prop", "declarator", "broken"),
-                   either("line", "half_decorator", "method", "symbol")).alias("line_start"),
-        F.coalesce(either("line_end", "half_call", "prop", "declarator", "broken"),
-                   either("line", "half_decorator", "method", "symbol")).alias("line_end"),
-        either("name", "half_call", "prop", "declarator", "half_decorator", "method", "symbol", "link").alias("name"),
-        "names", F.coalesce(part(start, stop), c("link.spec")).alias("text"),
-        c("half_args.kind0").alias("arg0_kind"), part(c("half_args.a0"), c("half_args.b0")).alias("arg0_text"),
-        c("half_args.kind1").alias("arg1_kind"), part(c("half_args.a1"), c("half_args.b1")).alias("arg1_text"),
-        c("half_args.mult").alias("mult"), c("half_call.dotted").alias("dotted"),
-        # prop: Query/Mutation or "arg"; icall: the declaration it is in; link: its kind.
-        either("owner", "prop", "symbol", "link").alias("owner"),
-        # prop: opening bracket of the call; decorator, method: opening bracket of the class.
-        either("parent", "prop", "half_decorator", "method").alias("parent"),
-        either("member", "half_decorator", "method").alias("member"),
-        # prop: the identifier that is its value; decorator: its literal argument; link: the name there.
-        F.coalesce(c("prop.symbol"), c("path_literal.path"), c("link.target")).alias("symbol"),
-        c("symbol.is_default").alias("is_default"),
-    )
+    rows = _lexed(files, content.rlike(DEEP_WORDS), content.rlike(DECORATOR_WORDS), parts=parts)
+    # The text, far smaller than its tokens, is the hashed side.
+    joined = rows.join(keyed(files, parts).hint("shuffle_hash"), ["h1", "h2"], "inner")
+    return joined.select("project", "file_path", "content", "copies").mapInArrow(shapes.facts, shapes.FACTS_SQL)
