@@ -28,6 +28,10 @@ CONFIG = "tsconfig.json"
 CONFIG_SCHEMA = "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>"
 # --- End of fixed values ---------------------------------------------------------------------
 
+_OPENING, _CLOSING = frozenset("{(["), frozenset("})]")
+# Words that a link begins with.
+_LINKING = frozenset(["import", "export", "const", "let", "var", "exports", "module", "require"])
+
 BIND, FORWARD, STAR = "bind", "forward", "star"
 
 # Travels with the lexer that calls it (see there).
@@ -76,11 +80,11 @@ def links_in(tokens: list[str]) -> list[tuple[str, str, str, str]]:
     get = lambda k: tokens[k] if k < n else ""
     while at < n:
         t = tokens[at]
-        if t in ("{", "(", "["):
+        if t in _OPENING:
             depth += 1
-        elif t in ("}", ")", "]"):
+        elif t in _CLOSING:
             depth -= 1
-        elif depth == 0 and (at == 0 or tokens[at - 1] not in (".", "?.")):
+        elif depth == 0 and t in _LINKING and (at == 0 or tokens[at - 1] not in (".", "?.")):
             k = at + 1
             if t == "import" and get(k) not in ("(", "."):
                 if get(k) == "type" and get(k + 1) not in ("from", ",", "="):

@@ -169,11 +169,12 @@ def backend_roots(df: DataFrame) -> DataFrame:
 
     Only projects that have such a folder are listed; the aggregate reads paths, never contents.
     """
-    rel = rel_path()
+    rel = F.col("rel")
     hint_rank = F.coalesce(*[
         F.when(rel.startswith(hint + "/"), F.lit(rank)) for rank, hint in enumerate(rb.BACKEND_HINTS)
     ])
-    best = df.filter(hint_rank.isNotNull()).groupBy("project").agg(F.min(hint_rank).alias("hint_rank"))
+    # A filter on the rank before the grouping would work out the path again for each hint.
+    best = df.select("project", rel_path().alias("rel")).groupBy("project").agg(F.min(hint_rank).alias("hint_rank")).filter("hint_rank IS NOT NULL")
     hints = F.array(*[F.lit(h) for h in rb.BACKEND_HINTS])
     return best.select("project", F.element_at(hints, F.col("hint_rank") + 1).alias("backend_dir"))
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafscan.operators import discovery, lexer, tokens
+from leafscan.sources import corpus
 
 CODE = {
     "type_args": "db.user.findMany<User>({skip: 5}); M.find<User>({}).skip(5); f.g<Map<A, B[]>>().skip(1);\nx.y<{a: string; b?: C<D>}>(1)",
@@ -138,3 +139,15 @@ def test_deep_groups_are_read_in_a_moment():
     assert lexer.lex(code)[0].count("(") == 2001
     assert lexer.lex("(" * 5000 + "a.b()" + ")" * 5000 + ".c()")[0].count("(") == 2
     assert lexer.lex("x(" + "(" * 5000 + "a.b()" + ")" * 5000 + ").c()")[0].count("(") == 5003
+
+
+def test_texts_of_ascii_are_read_by_the_faster_pattern_with_the_same_tokens(monkeypatch):
+    texts = [*corpus.EDGE_TEMPLATES, *(t for _, t in corpus.MODE_FILES + corpus.MODULE_FILES), "", "a\n// end", "a  \n", "x\x1cy\x0bz!.q", "`a${b}`!['c'] /= /[/]/g", "/* open", "'open\nx"]
+    read = []
+    monkeypatch.setattr(lexer, "_ASCII_CODE", lambda text, at, match=lexer._ASCII_CODE: read.append(text) or match(text, at))
+    fast = [(lexer.lex(t), lexer.lex(t, True), lexer.lex(t, False, True)) for t in texts]
+    assert set(read) == {t for t in texts if t.isascii()} and len(read) > len(texts)
+    read.clear()
+    assert lexer.lex("naïve²(x)")[0][:-1] == ["naïve", "²", "(", "x", ")"] and not read
+    monkeypatch.setattr(lexer, "_ASCII_CODE", lexer._CODE)
+    assert [(lexer.lex(t), lexer.lex(t, True), lexer.lex(t, False, True)) for t in texts] == fast

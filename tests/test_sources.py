@@ -199,3 +199,11 @@ def test_stored_files_are_lexed_where_they_lie(spark, tmp_path):
     finally:
         for name in ("stored_sources", "stored_again", "stored_nothing"):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_backend_folders_work_out_each_path_once(spark):
+    rows = [("a", "/a", "/a/api/x.ts"), ("a", "/a", "/a/backend/y.ts"), ("a", "/a", "/b/backend/z.ts"), ("b", "/b", "/b/src/x.ts"), (None, "/c", "/c/server/x.ts"), ("d", None, "api/x.ts"), ("e", "/e", None)]
+    found = fs.backend_roots(spark.createDataFrame(rows, "project string, root string, file_path string"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("a", "backend"), (None, "server"), ("d", "api")], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ltrim(") == 1
