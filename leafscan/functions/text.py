@@ -36,8 +36,12 @@ def normal_path(path: Column) -> Column:
 
 
 def infer_layer(path: Column) -> Column:
-    p = normal_path(path)
-    out = F.when(path.isNull(), F.lit("unknown"))
+    return layer_of(normal_path(path))
+
+
+def layer_of(p: Column) -> Column:
+    """The layer of a normal path."""
+    out = F.when(p.isNull(), F.lit("unknown"))
     for layer, fragments in rb.LAYER_FRAGMENTS:
         hit = F.lit(False)
         for fragment in fragments:

@@ -119,14 +119,15 @@ def text_facts(files: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFr
     path = c("file_path")
     flagged = files.select("project", "file_path", "content", is_sql(path).alias("sql_file"), is_code(path).alias("code_file"))
     flagged = flagged.withColumns(flags)
-    fired = F.concat_ws(" ", *[F.when(test, F.lit(rule)) for rule, test in tests.items()])
+    # Files without a fired rule have a null list and explode to nothing. A filter on the list would be pushed below the flags, to where
+    # the optimizer works them out again, and so each pattern and the lexer would run twice over every text.
+    fired = F.nullif(F.concat_ws(" ", *[F.when(test, F.lit(rule)) for rule, test in tests.items()]), F.lit(""))
     none = F.lit(None).cast("string")
     listed = flagged.select(
         "project", "file_path", "head", fired.alias("fired"),
         (F.when(c("wrapper_line").isNotNull(), wrapper_context(text, c("wrapper_line"))) if "W" in families else none).alias("context"),
         (c("wrapper_line") if "W" in families else F.lit(None)).cast("int").alias("wrapper_line"),
         (F.when(c("identifiers").contains("\u0001after\u0001"), "cursor").otherwise("none") if "G" in families else none).alias("first_strategy"))
-    listed = listed.filter("fired <> ''")
     rule = c("rule_id")
     family = F.substring(rule, 1, 1)
     return listed.withColumn("rule_id", F.explode(F.split("fired", " "))).select(

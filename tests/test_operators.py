@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from builders import findings, units
+from builders import findings, source_files, units
 from leafscan import rulebook as rb
-from leafscan.operators import enrich, findings as fd, grouping, metrics, scoring
+from leafscan.operators import enrich, findings as fd, grouping, metrics, scoring, text_rules
 
 
 def score(spark, rows):
@@ -168,3 +168,31 @@ def test_advice(spark):
                     "Add composite index for stable cursor sort keys (e.g. createdAt, _id)."]
     assert [r["root_cause"] for r in metrics.root_causes(rows).collect()] == ["c1"]
     assert metrics.recommendations(findings(spark, [])).count() == 0
+
+
+def nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from nodes(plan.children().apply(i))
+
+
+def test_findings_meet_units_in_one_join(spark):
+    rows = [{"code": "OFFSET_USED", "line": 5}, {"code": "OFFSET_USED", "line": 5}, {"code": "MISSING_LIMIT", "line": 90}, {"code": "NO_ORDER_BY", "unit_id": "b"},
+            {"code": "NO_ORDER_BY", "file": "/p/C.ts"}, {"code": "NO_ORDER_BY", "file": "/p/d.ts"}, {"code": "DEEP_OFFSET", "file": None, "unit_id": "b"},
+            {"code": "DEEP_OFFSET", "file": None}, {"code": "DEEP_OFFSET", "project": None, "line": 5}, {"code": "DEEP_OFFSET", "project": None, "unit_id": "b"}]
+    found = [{"key": "a", "file": "/p/a.ts", "start": 1, "end": 9, "chain": ["/P/c.ts"]}, {"key": "b", "file": "/p/a.ts", "start": 4, "end": 6}]
+    got = grouping.assign_units(findings(spark, rows), units(spark, found))
+    assert [tuple(r) for r in got.orderBy("finding_ord").select("unit_key", "assigned_by").collect()] == [
+        ("a", "file"), ("a", "file"), ("a", "file"), ("b", "preset"), ("a", "chain"), ("file:/p/d.ts", "fallback"), ("b", "preset"), (None, "fallback"),
+        ("file:/p/a.ts", "fallback"), ("file:/p/a.ts", "fallback")]
+    wide = [n for n in nodes(got._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join" and "message" in n.output().toString()]
+    assert len(wide) == 1  # was one for each way to find a unit, and each exchanges and sorts the findings with all their texts
+
+
+def test_text_pass_works_out_each_flag_once(spark):
+    files = source_files(spark, {"p": {"a.sql": "SELECT * FROM t OFFSET 5", "b.ts": "const a = 1;", "c.ts": "f(args.first, args.after);", "d.ts": "// first"}})
+    got = text_rules.text_facts(files)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_joined(") == 1 and plan.count("paginate") and plan.count("(?:orderBy|sort|ORDER BY)") == 1
+    assert sorted((r["file_path"], r["rule_id"]) for r in got.collect()) == [
+        ("/p/a.sql", "Q01"), ("/p/a.sql", "Q03"), ("/p/a.sql", "Q04"), ("/p/a.sql", "Q06"), ("/p/c.ts", "G01"), ("/p/c.ts", "G02")]
