@@ -28,9 +28,9 @@ PLACES = 1 << 20  # rows of partition totals that are broadcast: one for each ta
 def encode_partitions(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int) -> DataFrame:
     """Settled rows (part, before, doc_id, n_tokens, ids): ids as bytes, ``before`` the ids of the partition's rows before."""
     def work(batches):
-        part, before, encode = TaskContext.get().partitionId(), 0, subwords.encoder(vocabulary).encode
-        for batch in c.slices(batches, "text"):
-            counts, ids = subwords.with_end(*encode(batch.column("text")), end_id)
+        part, before = TaskContext.get().partitionId(), 0
+        for batch, *found in subwords.encoded(batches, vocabulary):
+            counts, ids = subwords.with_end(*found, end_id)
             ends = np.cumsum(counts)
             offsets = np.concatenate(([0], ends * 4)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([
@@ -59,7 +59,7 @@ def pack(docs: DataFrame, length: int = 4096, id_col: str = "doc_id", text_col:
     vocabulary = vocabulary or subwords.public_path("word_bpe_49k.json")
 
     def work(batches):
-        for batch in c.slices(batches, "ids"):
+        for batch in c.slices(batches, "ids", c.SLICE_BYTES // 4):
             at = batch.column("at").to_numpy()
             n = batch.column("n_tokens").to_numpy()
             first = at // length
@@ -75,6 +75,7 @@ def pack(docs: DataFrame, length: int = 4096, id_col: str = "doc_id", text_col:
             if with_ids:
                 columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in cut], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids)
+        c.give_back()
 
     placed = with_global_start(encode_partitions(docs, id_col, text_col, vocabulary, end_id))
     return placed.select("doc_id", "n_tokens", "ids", "at").mapInArrow(work, PIECES + ", ids array<int>" * with_ids)

@@ -7,9 +7,12 @@ import math
 import random
 import re
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -533,3 +536,26 @@ def test_pipeline(spark, tmp_path):
     want = {r[1] for r in near_by_force(good)}
     assert {r.doc_id for r in out} == want
     assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+
+
+def test_encoding_needs_little_memory_beside_the_text():
+    """The peak of a process that encodes 16 MB of text, above what the text and an encoder alone take."""
+    code = """
+import resource, random, sys
+import pyarrow as pa
+from leafscan.llm import subwords
+r = random.Random(1)
+words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+batch = pa.RecordBatch.from_arrays([pa.array([" ".join(r.choices(words, k=800)) for _ in range(3500)])], ["text"])
+path = subwords.public_path("word_bpe_49k.json")
+subwords.encoder(path).encode(batch.column("text").slice(0, 200))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+total = sum(len(ids) for _, _, ids in subwords.encoded(iter([batch]), path)) if sys.argv[1] == "all" else len(subwords.encoder(path).encode(batch.column("text").slice(0, 1800))[1])
+print(total, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    grown = {}
+    for what in ("all", "eight"):
+        done = subprocess.run([sys.executable, "-c", code, what], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+        total, grown[what] = map(int, done.stdout.split())
+        assert total > 1_000_000
+    assert grown["all"] < grown["eight"] / 2  # kilobytes; "eight": some 8 MB at once, as it was
