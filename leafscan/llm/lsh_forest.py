@@ -113,7 +113,7 @@ def signatures(offsets: np.ndarray, values: np.ndarray, size: int) -> np.ndarray
 def _sign(rows: DataFrame, f: Forest) -> DataFrame:
     """Settled (_row, doc_id, _a, _b, _n, _signature): the text's 128-bit hash, its number of n-grams and its signature."""
     def work(batches):
-        for batch in c.slices(batches, "text"):
+        for batch in c.slices(batches, "text", c.SLICE_BYTES // 4):
             texts = batch.column("text")
             offsets, values = grams(texts, f.n)
             n = np.diff(offsets)
@@ -124,6 +124,7 @@ def _sign(rows: DataFrame, f: Forest) -> DataFrame:
                 batch.column("_row"), batch.column("doc_id"), pa.array([as_long(d >> 64) for d in digests], pa.int64()),
                 pa.array([as_long(d & (1 << 64) - 1) for d in digests], pa.int64()), pa.array(n), pa.array([next(signed).tobytes() if k else b"" for k in n], pa.binary())],
                 ["_row", "doc_id", "_a", "_b", "_n", "_signature"])
+            c.give_back()
 
     return settle(rows.mapInArrow(work, "_row long, doc_id long, _a long, _b long, _n long, _signature binary"), "signed")
 
@@ -261,10 +262,11 @@ def _links(sets: list[np.ndarray], side: np.ndarray, same_block: bool, threshold
 def verified(rows: DataFrame, members: DataFrame, f: Forest) -> DataFrame:
     """Settled (a, b, n): spanning edges of the true links (n null) and link counts of texts (b null). ``members``: (rep, root, _size)."""
     def sets_of(batches):
-        for batch in c.slices(batches, "text"):
+        for batch in c.slices(batches, "text", c.SLICE_BYTES // 4):
             offsets, values = grams(batch.column("text"), f.n)
             sets = [np.unique(values[a:b]).tobytes() for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("root"), batch.column("_size"), pa.array(sets, pa.binary())], ["rep", "root", "_size", "_set"])
+            c.give_back()
 
     # A merge join at every size: members grow with the corpus, so their broadcast would only hold for small ones.
     texts = rows.select(F.col("_row").alias("rep"), "text").join(members.hint("merge"), "rep").select("rep", "root", "_size", "text")

@@ -131,6 +131,8 @@ def _word_rows(sample: DataFrame) -> DataFrame:
                 counts[int(y > 0)].update(terms(text.lower()))
         words = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([k[w] for w in words], pa.int64()) for k in counts)], ["word", "clean", "toxic"])
+        del counts, words
+        c.give_back()
 
     return sample.mapInArrow(work, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
@@ -141,7 +143,7 @@ def _moments(texts: DataFrame, lists: list[set[str]]) -> tuple[int, np.ndarray]:
 
     def work(batches):
         n, joint = 0, np.zeros((size, size))
-        for batch in c.slices(batches, "text"):
+        for batch in c.slices(batches, "text", SLICE_BYTES):
             v = _votes(batch.column("text").to_pylist(), lists).astype(np.float32)
             n, joint = n + len(v), joint + v.T @ v
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([joint.ravel()], pa.list_(pa.float64()))], ["n", "joint"])
@@ -252,6 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
             found = [sorted({place[w] for w in terms(t.lower()) if w in place}) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(posterior(_votes(texts, lists), rates, pairs, balance)), pa.array(found, pa.list_(pa.int32()))],
                                              ["toxic", "posterior", "features"])
+            c.give_back()
 
     rows = sample.mapInArrow(features, "toxic int, posterior double, features array<int>").toArrow()
     seeds = {w: 2.0 for x in SEEDS.values() for w in x}
