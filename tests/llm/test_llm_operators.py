@@ -541,7 +541,7 @@ def test_pipeline(spark, tmp_path):
 def test_encoding_needs_little_memory_beside_the_text():
     """The peak of a process that encodes 16 MB of text, above what the text and an encoder alone take."""
     code = """
-import resource, random, sys
+import random, re, sys
 import pyarrow as pa
 from leafscan.llm import subwords
 r = random.Random(1)
@@ -549,9 +549,10 @@ words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ i
 batch = pa.RecordBatch.from_arrays([pa.array([" ".join(r.choices(words, k=800)) for _ in range(3500)])], ["text"])
 path = subwords.public_path("word_bpe_49k.json")
 subwords.encoder(path).encode(batch.column("text").slice(0, 200))
-before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+peak = lambda: int(re.search(r'VmHWM:\\s+(\\d+)', open('/proc/self/status').read())[1])
+before = peak()
 total = sum(len(ids) for _, _, ids in subwords.encoded(iter([batch]), path)) if sys.argv[1] == "all" else len(subwords.encoder(path).encode(batch.column("text").slice(0, 1800))[1])
-print(total, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+print(total, peak() - before)
 """
     grown = {}
     for what in ("all", "eight"):
