@@ -493,6 +493,46 @@ def test_language_model_learns_from_every_window(spark):
     assert (attention_lm.neighbours(table, shape, model.symbol_of, symbols, marks) == near).all()
 
 
+def test_language_model_shares_are_formed_slice_by_slice():
+    import tracemalloc
+    shape, symbols, classes = attention_lm.Shape(), 500, 100
+    r = np.random.default_rng(1)
+    _, inputs, targets, scored = attention_lm.windows([r.integers(0, symbols - 1, n) for n in (0, 1, 23, 24, 25, 47, 9000)], shape, symbols)
+    assert inputs.dtype == targets.dtype == np.uint16  # a quarter of the bytes of 64-bit numbers
+    counts = r.random((symbols, classes)) ** 8 + 1e-9
+    class_of = r.integers(0, classes, symbols)
+    for scale in (1, 3000):  # logits near zero, and some that no exponential in 32 bits can hold
+        net = attention_lm.Network(shape, np.log(counts / counts.sum(1, keepdims=True)))
+        net.p["u"] = net.p["u"] * np.float32(scale)
+        out, _ = net._hidden(inputs)
+        logits = (out[:, :shape.size] @ net.p["u"] + net.p["b"] + net.prior[inputs[:, -shape.stride:].ravel()]).astype(float)
+        assert (np.abs(logits).max() > 88) == (scale > 1)
+        logs = logits - logits.max(1, keepdims=True)
+        logs -= np.log(np.exp(logs).sum(1, keepdims=True))
+        y = class_of[targets]
+        tracemalloc.start()
+        net._hidden(inputs)
+        below = tracemalloc.get_traced_memory()[1]
+        got = net.log_share(inputs, y.ravel())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.allclose(got, logs[np.arange(len(logs)), y.ravel()], rtol=1e-4, atol=1e-4)
+        assert np.allclose(net.forward(inputs)[0], np.exp(logs), rtol=2e-3, atol=1e-5)
+        assert peak < below + logits.size  # a quarter of the logits' bytes: those of all rows are never held
+        d = np.exp(logs)
+        d[np.arange(len(d)), y.ravel()] -= 1
+        d *= scored.ravel()[:, None] / scored.sum()
+        g = net.gradient(inputs, y, scored)
+        assert np.allclose(g["b"], d.sum(0), atol=1e-5) and np.allclose(g["u"], out[:, :shape.size].T @ d, atol=1e-4)
+
+
+def test_language_model_places_of_words():
+    import pyarrow as pa
+    words = lambda *x: pa.array(x, pa.string())
+    assert attention_lm.places(words("a", "b", "", "c"), words("c", "x", "", "a")).tolist() == [3, 4, 2, 0]
+    assert attention_lm.places(words(), words("a")).tolist() == [0] and attention_lm.places(words("a"), words()).tolist() == []
+
+
 def test_language_model_gradients_and_windows():
     shape = attention_lm.Shape(width=8, stride=5, size=6, hidden=7)
     ids = [np.array([1, 2, 3, 4, 0, 1, 2]), np.array([], int)]
