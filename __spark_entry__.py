@@ -31,7 +31,7 @@ def _files(spark: SparkSession, sf_dir: str, build=corpus.code_corpus) -> DataFr
     """The source file table derived from the given tables, written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
     if key not in _FILES:
-        _FILES[key] = settle(build(spark, sf_dir), build.__name__)
+        _FILES[key] = settle(build(spark, sf_dir), build.__name__, codec="zstd")
     return _FILES[key]
 
 

@@ -143,8 +143,8 @@ class Runs:
         return np.where(group == self.start, out, none)
 
 
-def placed(copies: pa.ListArray) -> Columns:
-    """Tokens with offsets, lines, bracket depth and neighbours.
+def numbered(copies: pa.ListArray, bits: Callable[[str], int] = _bits) -> Columns:
+    """Tokens with offsets, lines and bracket depth.
 
     ``copies`` holds for each file its lexed texts with ``deep`` and ``decorated``. Rows with the same project and path are one file: their tokens are
     put together by their numbers.
@@ -164,7 +164,7 @@ def placed(copies: pa.ListArray) -> Columns:
         order = np.lexsort((c.n, c.file))
         c = Columns(**{name: values[order] for name, values in vars(c).items()})
     c.known = known
-    b = c.b = np.array([_bits(w) for w in known], np.int64)[c.word]
+    b = c.b = np.array([bits(w) for w in known], np.int64)[c.word]
     size = np.array([len(w) for w in known], np.int64)[c.word]
     own_lines = np.array([w.count("\n") for w in known], np.int64)[c.word]
     runs = c.runs = Runs(np.diff(c.file, prepend=-1) != 0)
@@ -173,6 +173,13 @@ def placed(copies: pa.ListArray) -> Columns:
     c.opens, c.closes = _has(b, "(", "[", "{"), _has(b, ")", "]", "}")
     c.bracket = c.opens | c.closes
     c.lvl = runs.sum(c.opens.astype(np.int64) - c.closes) + c.closes
+    return c
+
+
+def placed(copies: pa.ListArray) -> Columns:
+    """Tokens with offsets, lines, bracket depth and neighbours."""
+    c = numbered(copies)
+    b, runs = c.b, c.runs
     c.b1, c.b2, c.b3, c.b4 = (runs.lag(b, k, 0) for k in (1, 2, 3, 4))
     c.y1, c.y2 = (runs.lead(b, k, 0) for k in (1, 2))
     c.prev_end, c.prev_line = c.pos - c.gap, c.line - c.gap_lines
@@ -553,10 +560,10 @@ CALLS_SQL = "project string, file_path string, open_n int, close_n int, name str
 def all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens with their places."""
     for batch in slices(batches):
-        c = placed(batch.column("copies"))
-        known = ["}" if w == TEMPLATE_CLOSE else w for w in c.known]
+        c = numbered(batch.column("copies"), lambda w: _TOKEN_BITS.get(w, 0))
+        known = pa.array(["}" if w == TEMPLATE_CLOSE else w for w in c.known], pa.string())
         rows = np.flatnonzero(~_has(c.b, "end"))
-        yield _batch({"file": c.file[rows], "t": [known[w] for w in c.word[rows].tolist()], **{x: getattr(c, x)[rows] for x in ("n", "pos", "line", "lvl")}}, TOKENS, batch)
+        yield _batch({"file": c.file[rows], "t": known.take(pa.array(c.word[rows])), **{x: getattr(c, x)[rows] for x in ("n", "pos", "line", "lvl")}}, TOKENS, batch)
 
 
 def all_brackets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

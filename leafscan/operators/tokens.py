@@ -1,7 +1,7 @@
 """The token job (T01-T07): JS/TS source text as relational facts.
 
-Each file is lexed where it is read, and its tokens, as arrays of one row, are exchanged by a file key; the text is exchanged by the same
-key, unless it is stored in buckets of it (``files.store``). Behind the exchanges text and tokens of a file meet in an equi-join, and the tokens
+For the facts, each file is lexed where it is read, and its tokens, as arrays of one row, are exchanged by a file key; the text is exchanged by the
+same key, unless it is stored in buckets of it (``files.store``). Plain views (T01-T04) exchange the text alone and lex it behind the exchange. Behind the exchanges text and tokens of a file meet in an equi-join, and the tokens
 of many files at a time are worked on as columns (``shapes``): rows of single tokens exist neither on the network nor in a sort.
 Lexing knows modes (``lexer``): an expression in a template is code between ``${`` and its end, which
 count as round brackets; text of templates and markup and type arguments are gaps between tokens.
@@ -74,20 +74,22 @@ def keyed(files: DataFrame, parts: int | None = None) -> DataFrame:
     return rows if buckets_of(files) else rows.repartition(parts or parts_of(files), "h1", "h2")
 
 
-def _lexed(files: DataFrame, deep: Column, decorated: Column, *more: str, kept: str = "", parts: int | None = None) -> DataFrame:
-    """The tokens of each file, dealt by the file key, with ``more`` columns of it.
+def _lexed(files: DataFrame, deep: Column, decorated: Column, parts: int | None = None) -> DataFrame:
+    """The tokens of each file, dealt by the file key.
 
     Rows with the same project and path are one file, each with its ``copies`` of tokens. Every text ends in an empty token, the last boundary, and
     its broken statements.
     """
-    copy = F.struct(deep.alias("deep"), decorated.alias("decorated"), lexer.lexed(F.col("content"), kept).alias("tokens"))
-    rows = files.select(*_keys(files), *more, copy.alias("copy")).repartition(parts or parts_of(files), "h1", "h2")
-    return rows.groupBy("h1", "h2").agg(*[F.first(x).alias(x) for x in more], F.collect_list("copy").alias("copies"))
+    copy = F.struct(deep.alias("deep"), decorated.alias("decorated"), lexer.lexed(F.col("content")).alias("tokens"))
+    rows = files.select(*_keys(files), copy.alias("copy")).repartition(parts or parts_of(files), "h1", "h2")
+    return rows.groupBy("h1", "h2").agg(F.collect_list("copy").alias("copies"))
 
 
 def _view(files: DataFrame, of_batches, schema: str, kept: str = "") -> DataFrame:
-    rows = _lexed(files, F.lit(True), F.lit(True), "project", "file_path", kept=kept)
-    return rows.drop("h1", "h2").mapInArrow(of_batches, schema)
+    """A plain view needs no text beside the tokens, so the text, far smaller than they are, is exchanged, and lexed where its tokens are worked on."""
+    texts = F.collect_list(F.struct("content")).alias("texts")  # structs, as null texts count
+    rows = keyed(files).groupBy("h1", "h2").agg(F.first("project").alias("project"), F.first("file_path").alias("file_path"), texts)
+    return rows.drop("h1", "h2").mapInArrow(lexer.over_texts(of_batches, kept), schema)
 
 
 def tokens(files: DataFrame) -> DataFrame:

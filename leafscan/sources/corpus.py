@@ -46,6 +46,11 @@ UNION ALL SELECT source, '/', concat(stem, '.ts'), text FROM d
 """
 
 
+def _over_spread_tables(spark: SparkSession, sf_dir: str, text: str, **keys: list[str]) -> DataFrame:
+    """Like ``_over_tables`` for a ``text`` that reads its tables more than once: they are spread by ``keys`` before it, so each is exchanged once."""
+    return spark.sql(text, **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(spark.sparkContext.defaultParallelism, *key) for table, key in keys.items()})
+
+
 def _over_tables(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
     """Run ``text`` over parquet tables; its ``{table}`` marks become the files themselves."""
     for table in tables:
@@ -59,7 +64,7 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prose_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over_tables(spark, sf_dir, PROSE_SQL, "documents", "pages", "conversations")
+    return _over_spread_tables(spark, sf_dir, PROSE_SQL, documents=["doc_id"], pages=["page_id"], conversations=["conv_id", "turn"])
 
 
 # Folder layouts over the ``documents`` table: forty projects with backend folders, roles, ORM
