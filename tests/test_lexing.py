@@ -151,3 +151,15 @@ def test_texts_of_ascii_are_read_by_the_faster_pattern_with_the_same_tokens(monk
     assert lexer.lex("naïve²(x)")[0][:-1] == ["naïve", "²", "(", "x", ")"] and not read
     monkeypatch.setattr(lexer, "_ASCII_CODE", lexer._CODE)
     assert [(lexer.lex(t), lexer.lex(t, True), lexer.lex(t, False, True)) for t in texts] == fast
+
+
+def test_patterns_of_the_standard_module_read_alike():
+    def read(pattern, text):
+        return [(m.lastindex, m.span(m.lastindex), m.end()) if (m := pattern(text, at)) else None for at in range(len(text))]
+
+    for ch in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]):
+        for text in (f"a{ch}b", f"{ch}!.x"):
+            assert read(lexer._PLANE_CODE, text) == read(lexer._CODE, text), hex(ord(ch))
+    for text, pattern in (("ab", lexer._ASCII_CODE), ("é￿", lexer._PLANE_CODE), ("\ud800", lexer._PLANE_CODE), ("é𝒳", lexer._CODE), ("", lexer._ASCII_CODE)):
+        assert lexer.Lexer(text).read == pattern
+    assert lexer.lex("é.ñ𝒳(½)")[0][:6] == ["é", ".", "ñ𝒳", "(", "½", ")"]
